@@ -85,6 +85,18 @@ class Bpe:
         self.pairs = PairTable(left, right, merged.astype(np.int32))
         self.byte = np.array([self.whole[bytes([b])] for b in range(256)], np.int32)
 
+    def state(self) -> tuple:
+        """Plain values from which of() builds this again."""
+        return self.whole, self.byte, vars(self.pairs)
+
+    @classmethod
+    def of(cls, state: tuple) -> Bpe:
+        out = cls.__new__(cls)
+        out.pairs = PairTable.__new__(PairTable)
+        out.whole, out.byte = state[:2]
+        vars(out.pairs).update(state[2])
+        return out
+
     def encode_pieces(self, pieces: list[bytes]) -> list[np.ndarray]:
         """Token ids of each piece."""
         out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(pieces)
@@ -203,10 +215,10 @@ class Encoder:
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id_col, ids (array<int>) of every row; path: a rank file that every executor can read."""
-    shared = docs.sparkSession.sparkContext.broadcast(Bpe(load_ranks(path)))  # the vocabulary's size, not the data's
+    shared = docs.sparkSession.sparkContext.broadcast(Bpe(load_ranks(path)).state())  # the vocabulary's size, not the data's
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(shared.value, pattern)
+        encoder = Encoder(Bpe.of(shared.value), pattern)
         for batch in it:
             texts = [x or "" for x in batch.column(1).to_pylist()]
             for a, b in batches(texts, CHARS):
