@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import ann, bpe, chat, exact_dedup, mixing, simhash, toxicity, url_filter
+from millrace.llm import ann, bpe, chat, exact_dedup, mixing, simhash, substring_dedup, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,11 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
 
@@ -77,7 +82,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op3_mixing, op5_ann, op6_url_filter, op7_chat, op8_bpe, op9_simhash)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op3_mixing, op4_substring_dedup, op5_ann, op6_url_filter, op7_chat, op8_bpe, op9_simhash)}
 
 UP, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -109,6 +114,16 @@ ORACLE_SQL = {
         SELECT doc_id, size, source_size, target,
                CAST(size * (whole + CASE WHEN need > 0 AND (upto <= need OR (upto - size <= need AND upto - need < need - (upto - size)))
                     THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM o""",
+    "op4_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+        i AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM d),
+        k AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY array_to_string(ws[i:i + 12], ' ')) AS low FROM i),
+        g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS j FROM k WHERE low < doc_id),
+        r AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+        w AS (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS j FROM d),
+        t AS (SELECT doc_id, string_agg(w, ' ' ORDER BY j) AS t FROM w ANTI JOIN g USING (doc_id, j) GROUP BY doc_id)
+        SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+        FROM d LEFT JOIN r USING (doc_id) LEFT JOIN t USING (doc_id)""",
     "op6_url_filter": rf"""
         WITH p AS (SELECT page_id,
                 translate(coalesce(regexp_extract(url, '^[\s\S]*?://([^/?#]*)', 1), ''), '{UP}', '{LOW}') AS host,
