@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import ann, bpe, chat, exact_dedup, mixing, simhash, substring_dedup, toxicity, url_filter
+from millrace.llm import ann, bpe, chat, exact_dedup, langid, mixing, simhash, substring_dedup, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,7 +82,13 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_classes(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op3_mixing, op4_substring_dedup, op5_ann, op6_url_filter, op7_chat, op8_bpe, op9_simhash)}
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), toxicity.remainder("doc_id", 3) == 1
+    crf = langid.train(docs.where(~held_out))
+    return langid.predict(docs, crf).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op3_mixing, op4_substring_dedup, op5_ann, op6_url_filter, op7_chat, op8_bpe, op9_simhash, op10_langid)}
 
 UP, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
