@@ -240,6 +240,8 @@ def train(docs: DataFrame, max_rows: int = 300, id_col: str = "doc_id", text_col
         yield pa.RecordBatch.from_arrays(arrays, names=["labels", "w", "t", "s"])
 
     row = sample.select("id", "lang", "text").repartition(1).mapInArrow(run, "labels array<string>, w binary, t binary, s binary").first()
+    if row is None:  # nothing to learn from
+        return fit([], [])
     labels = list(row["labels"])
     k = len(labels)
     return Crf(labels, np.frombuffer(row["w"]).reshape(BUCKETS, k).astype(np.float32), np.frombuffer(row["t"]).reshape(k, k), np.frombuffer(row["s"]))

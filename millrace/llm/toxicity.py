@@ -173,6 +173,8 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 1000, id_col: str
 
     text = sample.select("__id", F.coalesce("__t", F.lit("")), "__y").repartition(1)
     row = text.mapInArrow(run, "units binary, bias double, slope double, shift double").first()
+    if row is None:  # no labelled document
+        return fit([], np.zeros(0, np.int64), share)
     return Model(np.frombuffer(row["units"], np.float32), row["bias"], row["slope"], row["shift"])
 
 
