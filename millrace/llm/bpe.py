@@ -19,15 +19,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm.common import batches, ragged
+from millrace.llm.common import batches, lean, ragged
 
 NONE = np.int32(2**31 - 1)  #: the rank of a pair that doesn't merge
-CHARS = 4_000_000  #: characters encoded at once
-PIECES = 300_000  #: pieces remembered between batches
+CHARS = 1_000_000  #: characters encoded at once
+PIECES = 150_000  #: pieces remembered between batches
 
 
 def load_ranks(path: str) -> list[bytes]:
@@ -213,12 +214,11 @@ class Encoder:
         return ids, upto[ends] - upto[ends - np.array(counts, np.int64)]
 
 
-def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id_col, ids (array<int>) of every row; path: a rank file that every executor can read."""
-    shared = docs.sparkSession.sparkContext.broadcast(Bpe(load_ranks(path)).state())  # the vocabulary's size, not the data's
+def _encoding(state, pattern: str, id_col: str):
+    """A function of batches (id, text) to batches (id, ids)."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(Bpe.of(shared.value), pattern)
+        encoder = Encoder(Bpe.of(state.value), pattern)
         for batch in it:
             texts = [x or "" for x in batch.column(1).to_pylist()]
             for a, b in batches(texts, CHARS):
@@ -226,31 +226,58 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], lists], names=[id_col, "ids"])
 
-    rows = docs.select(F.col(id_col), F.col(text_col))
-    return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, ids array<int>")
+    return run
 
 
-def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
-    """encoded with a further column, decoded (binary): the bytes that the ids stand for."""
-    shared = _token_bytes(encoded.sparkSession, path)
-    names = encoded.columns
+def _decoding(state, names: list[str], ids_col: str):
+    """A function of batches to batches with the bytes of ids_col."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pool, start, size = shared.value
+        pool, start, size = state.value
         for batch in it:
-            step = max(1, 1 + 2_000_000 * batch.num_rows // (1 + batch.column(names.index(ids_col)).nbytes))
+            lists = batch.column(names.index(ids_col))
+            step = max(1, 2_000_000 * batch.num_rows // (1 + lists.nbytes))
             for k in range(0, batch.num_rows, step):
-                part = batch.slice(k, step)
-                lists = part.column(names.index(ids_col)).fill_null([]) if part.column(names.index(ids_col)).null_count else part.column(names.index(ids_col))
-                flat, ends = lists.flatten().to_numpy(), np.cumsum(np.diff(lists.offsets.to_numpy()))
+                part = lists.slice(k, step)
+                flat = part.flatten().to_numpy()  # a null list has no elements
+                ends = np.cumsum([x or 0 for x in pa.compute.list_value_length(part).to_pylist()])
                 sizes = size[flat]
                 upto = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], ends])]
                 data = pool[ragged(start[flat], sizes)]
-                out = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(upto.astype(np.int32)), pa.py_buffer(data)])
-                yield pa.RecordBatch.from_arrays([*part.columns, out], names=[*names, "decoded"])
+                out = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(upto.astype(np.int32)), pa.py_buffer(data)])
+                yield pa.RecordBatch.from_arrays([*batch.slice(k, step).columns, out], names=[*names, "decoded"])
+
+    return run
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+    rows = lean(docs).select(F.col(id_col), F.col(text_col))
+    return rows, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, ids array<int>"
+
+
+def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col, ids (array<int>) of every row; path: a rank file that the driver can read."""
+    rows, schema = _rows(docs, id_col, text_col)
+    return rows.mapInArrow(_encoding(_vocabulary(docs.sparkSession, path), pattern, id_col), schema)
+
 
+def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
+    """encoded with a further column, decoded (binary): the bytes that the ids stand for."""
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
-    return encoded.mapInArrow(run, f"{fields}, decoded binary")
+    run = _decoding(_token_bytes(encoded.sparkSession, path), encoded.columns, ids_col)
+    return lean(encoded).mapInArrow(run, f"{fields}, decoded binary")
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id_col, ids, decoded: decode() of encode() in one Python worker."""
+    rows, schema = _rows(docs, id_col, text_col)
+    there = _encoding(_vocabulary(docs.sparkSession, path), pattern, id_col)
+    back = _decoding(_token_bytes(docs.sparkSession, path), [id_col, "ids"], "ids")
+    return rows.mapInArrow(lambda it: back(there(it)), f"{schema}, decoded binary")
+
+
+def _vocabulary(spark: SparkSession, path: str):
+    return spark.sparkContext.broadcast(Bpe(load_ranks(path)).state())  # the vocabulary's size, not the data's
 
 
 def _token_bytes(spark: SparkSession, path: str):

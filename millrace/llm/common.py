@@ -32,6 +32,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Rows of whole texts that a Python worker is handed at once.
+TEXTS = "1000"
+
+
+def lean(df: DataFrame) -> DataFrame:
+    """df, with its session handing Python at most TEXTS rows at once unless the session sets a number itself:
+    Arrow's default of 10,000 whole texts would take each worker hundreds of megabytes."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(name) == "10000":
+        df.sparkSession.conf.set(name, TEXTS)
+    return df
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and rereads it: cuts lineage and survives lost executors."""
     spark = df.sparkSession

@@ -25,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import batches, ragged
+from millrace.llm.common import batches, lean, ragged
 from millrace.llm.textvec import Words
 
 BUCKETS = 1 << 17
 SPAN = 32  #: words of a piece
-CHARS = 1_000_000
+CHARS = 400_000
 GRAMS, AFFIXES = (2, 3, 4), (1, 2, 3, 4)
 
 
@@ -259,5 +259,5 @@ def predict(docs: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str = "
                 langs, scores = own.predict(texts[a:b])
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(langs, pa.string()), pa.array(scores)], names=[id_col, "lang_pred", "score"])
 
-    rows = docs.select(F.col(id_col), F.col(text_col))
+    rows = lean(docs).select(F.col(id_col), F.col(text_col))
     return rows.mapInArrow(run, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, lang_pred string, score double")

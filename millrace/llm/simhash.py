@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import attach, keep, mix64, partitions, ragged
+from millrace.llm.common import attach, keep, lean, mix64, partitions, ragged
 
 TILE = 20_000
 
@@ -90,7 +90,7 @@ def fingerprints(docs: DataFrame, words: int = 4, width: int = 0, id_col: str =
             cols = [pa.array(fps[:, i].copy().view(np.int64)) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["id", *names])
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    rows = lean(docs).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "id bigint, " + ", ".join(f"{n} bigint" for n in names))
 
 

@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import keep, mix64, partitions, ragged
+from millrace.llm.common import keep, lean, mix64, partitions, ragged
 from millrace.llm.textvec import range_hashes
 
 WINDOW, RUN = 13, 4  #: words
@@ -198,7 +198,7 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         if held:
             yield flush()
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    rows = lean(docs).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "chunk string, bytes bigint, kmers bigint, frequent array<struct<key:bigint,n:bigint>>, docs binary")
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import batches, ragged
+from millrace.llm.common import batches, lean, ragged
 from millrace.llm.textvec import Words
 
 PASSAGE = 16  #: words
@@ -37,7 +37,7 @@ BUCKETS = 1 << 17
 DIM = 4
 SCALE = 32.0  #: of the softmax's logits
 EPS = 1e-3  #: of Adam: steps of buckets with smaller gradients, which few passages have, shrink
-CHARS = 1_000_000
+CHARS = 400_000
 
 
 @dataclass
@@ -205,4 +205,4 @@ def _scored(docs: DataFrame, model: Model, out_col: str | None, text_col: str, m
             yield out if most is None else out.filter(pa.array(scores < most))
 
     fields = [f"`{docs.schema[i].name}` {docs.schema[i].dataType.simpleString()}" for i in cols] + ([f"`{out_col}` double"] if out_col else [])
-    return docs.mapInArrow(run, ", ".join(fields))
+    return lean(docs).mapInArrow(run, ", ".join(fields))
