@@ -35,7 +35,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row's token ids, their number, and whether decoding them gives the text again."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     rows = docs.withColumn("doc", F.struct("doc_id", "source", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha")))
-    out = bpe.decode(bpe.encode(rows, path, public_tokenizers.PATTERN, id_col="doc"), path)
+    out = bpe.round_trip(rows, path, public_tokenizers.PATTERN, id_col="doc")
     return out.select("doc.doc_id", "doc.source", F.size("ids").alias("n_tokens"), "ids", (F.sha2("decoded", 256) == F.col("doc.sha")).alias("round_trip"))
 
 
