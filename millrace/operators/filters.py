@@ -110,7 +110,8 @@ def licence_gate(df: DataFrame, registry: DataFrame, name: str = "teacher", ackn
     joined = df.join(known, F.col(name) == F.col("__name"), "left")
     bad = F.col("__name").isNull() | (F.coalesce("restricted", F.lit(True)) & F.lit(not acknowledged))
     if strict:
-        joined = joined.withColumn("__ok", F.assert_true(~bad, F.concat(F.lit("refused teacher: "), F.coalesce(name, F.lit("null"))))).where(F.col("__ok").isNull())
+        refused = F.raise_error(F.concat(F.lit("refused teacher: "), F.coalesce(name, F.lit("null"))))
+        return joined.where(F.when(bad, refused.cast("boolean")).otherwise(True)).select(df.columns)
     return joined.where(~bad).select(df.columns)
 
 

@@ -70,9 +70,10 @@ def pairs_within(df: DataFrame, key: str, id_col: str, most: int | None = None)
     next so many rows by id, which bounds it."""
     a = df.select(key, F.col(id_col).alias("a"))
     if most is not None:
-        near = Window.partitionBy(key).orderBy(id_col)
-        nexts = [F.lead(id_col, k).over(near) for k in range(1, most + 1)]
-        return df.select(key, F.col(id_col).alias("a"), F.explode(F.array_compact(F.array(*nexts))).alias("b"))
+        near = Window.partitionBy(key).orderBy("a")
+        nexts = [F.lead("a", k).over(near) for k in range(1, most + 1)]
+        listed = a.withColumn("__b", F.array_compact(F.array(*nexts)))
+        return listed.select(key, "a", F.explode("__b").alias("b"))
     return a.join(df.select(key, F.col(id_col).alias("b")), key).where("a < b")
 
 

@@ -35,8 +35,8 @@ def merge_caches(base: DataFrame, extra: DataFrame, base_voices: DataFrame, extr
 def assert_disjoint(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """a, whose evaluation fails if a key of it is in b."""
     hit = a.join(b.select(F.col(key).alias("__k")).distinct(), F.col(key) == F.col("__k"), "left")
-    ok = F.assert_true(F.col("__k").isNull(), F.concat(F.lit("held-out key in the corpus: "), F.col("__k").cast("string")))
-    return hit.withColumn("__ok", ok).where("__ok IS NULL").select(a.columns)
+    found = F.raise_error(F.concat(F.lit("held-out key in the corpus: "), F.col("__k").cast("string")))
+    return hit.where(F.when(F.col("__k").isNotNull(), found.cast("boolean")).otherwise(True)).select(a.columns)
 
 
 def difference(everything: DataFrame, val: DataFrame, key: str) -> DataFrame:
