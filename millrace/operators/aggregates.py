@@ -102,8 +102,8 @@ def per_dim_rho(pairs: DataFrame, keys: list[str], dim: str = "dim", least: floa
     return by.groupBy(*keys).agg(F.avg("r").alias("rho"), F.count("*").alias("dims")) if keys else by.agg(F.avg("r").alias("rho"), F.count("*").alias("dims"))
 
 
-def bootstrap_ci(df: DataFrame, value: str, key: str, draws: int = 2000, seed: int = 0) -> DataFrame:
-    """(mean, low, high): 95 % interval of the mean from resampled means.
+def bootstrap_ci(df: DataFrame, value: str, key: str, draws: int = 2000, seed: int = 0, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, mean, low, high): 95 % interval of the mean from resampled means.
 
     Poisson resampling: each row enters each draw as often as a Poisson(1) number that its key, the draw and the seed
     give. So draws are sums that combine on the map side, and no row is looked up by place.
@@ -114,11 +114,12 @@ def bootstrap_ci(df: DataFrame, value: str, key: str, draws: int = 2000, seed: i
         total += p
         times = times + (u >= total).cast("int")
         p /= k + 1
-    rows = df.where(F.col(value).isNotNull()).select(key, value, F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("__draw")).withColumn("__w", times)
-    means = rows.groupBy("__draw").agg((F.sum(F.col(value) * F.col("__w")) / F.sum("__w")).alias("m")).where("m IS NOT NULL")
-    ranked = means.agg(F.array_sort(F.collect_list("m")).alias("s"))  # `draws` numbers
+    rows = df.where(F.col(value).isNotNull()).select(*dict.fromkeys([*by, key, value]), F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("__draw")).withColumn("__w", times)
+    means = rows.groupBy(*by, "__draw").agg((F.sum(F.col(value) * F.col("__w")) / F.sum("__w")).alias("m")).where("m IS NOT NULL")
+    ranked = means.groupBy(*by).agg(F.array_sort(F.collect_list("m")).alias("s"))  # `draws` numbers a group
     at = lambda q: F.element_at("s", F.least(F.floor(F.size("s") * q).cast("int") + 1, F.size("s")))
-    return df.agg(F.avg(value).alias("mean")).crossJoin(ranked.select(at(0.025).alias("low"), at(0.975).alias("high")))
+    bounds, mean = ranked.select(*by, at(0.025).alias("low"), at(0.975).alias("high")), df.groupBy(*by).agg(F.avg(value).alias("mean"))
+    return mean.join(bounds, list(by)) if by else mean.crossJoin(bounds)  # one row each
 
 
 def spread_summary(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:

@@ -131,3 +131,16 @@ def paired_batches(items: DataFrame, id_col: str, voice: str, size: int, seed: i
     neg = J.negative_pair(items, voice, id_col, seed + epoch).select(F.col("id").alias(id_col), F.col("partner").alias("negative"))
     return rows.join(pos, id_col).join(neg, id_col)
 
+
+
+def disjoint_corpus(prompts: DataFrame, voices: DataFrame, waves: DataFrame, n_val: int) -> tuple[DataFrame, DataFrame]:
+    """C9. prompts: text; voices: voice; waves: text, voice, wav. (kept records of the grid with their split, report)."""
+    rows, report, _ = curate(J.grid(prompts, voices).join(waves, ["text", "voice"]))
+    return W.split_by_text(rows.where("keep"), "text", n_val), report
+
+
+def claims_report(claims: DataFrame, reports: DataFrame, files: DataFrame) -> DataFrame:
+    """C15. Each claim's measurement and outcome, and what evidence is kept for it. claims also holds path."""
+    from millrace.sources.manifests import evidence_manifest
+
+    return A.evaluate_claims(claims, reports).join(evidence_manifest(claims.select("claim", "path"), files), "claim")
