@@ -23,6 +23,7 @@ import pyarrow.compute  # noqa: F401
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.llm.common import batches, lean, ragged
 
@@ -250,9 +251,12 @@ def _decoding(state, names: list[str], ids_col: str):
     return run
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, str]:
+DECODED = T.StructField("decoded", T.BinaryType())
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, T.StructType]:
     rows = lean(docs).select(F.col(id_col), F.col(text_col))
-    return rows, f"`{id_col}` {rows.schema[0].dataType.simpleString()}, ids array<int>"
+    return rows, T.StructType([rows.schema[0], T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
 
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -263,9 +267,8 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     """encoded with a further column, decoded (binary): the bytes that the ids stand for."""
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
     run = _decoding(_token_bytes(encoded.sparkSession, path), encoded.columns, ids_col)
-    return lean(encoded).mapInArrow(run, f"{fields}, decoded binary")
+    return lean(encoded).mapInArrow(run, T.StructType([*encoded.schema, DECODED]))
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -273,7 +276,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     rows, schema = _rows(docs, id_col, text_col)
     there = _encoding(_vocabulary(docs.sparkSession, path), pattern, id_col)
     back = _decoding(_token_bytes(docs.sparkSession, path), [id_col, "ids"], "ids")
-    return rows.mapInArrow(lambda it: back(there(it)), f"{schema}, decoded binary")
+    return rows.mapInArrow(lambda it: back(there(it)), T.StructType([*schema, DECODED]))
 
 
 def _vocabulary(spark: SparkSession, path: str):

@@ -165,7 +165,8 @@ def split_by_age(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, Da
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that another row's text replaces; columns unchanged."""
+    """docs without the rows that another row's text replaces; columns unchanged. Rows go by id: those with
+    a null id all stay, and rows that share an id go together."""
     past, new = split_by_age(docs, id_col)
     lost = exact_dedup(new, past, id_col, text_col).where("NOT kept").select(id_col).distinct()
     return docs.join(lost, id_col, "left_anti").select(docs.columns)

@@ -289,7 +289,8 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, wi
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with one row of each component, that of the smallest id; columns unchanged."""
+    """docs with one row of each component, that of the smallest id; columns unchanged. Rows go by id: those
+    with a null id all stay, and rows that share an id go together."""
     found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
     lost = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
     return docs.join(lost, id_col, "left_anti").select(docs.columns)

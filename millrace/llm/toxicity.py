@@ -26,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.llm.common import batches, lean, ragged
 from millrace.llm.textvec import Words
@@ -204,5 +205,5 @@ def _scored(docs: DataFrame, model: Model, out_col: str | None, text_col: str, m
             out = pa.RecordBatch.from_arrays(arrays, names=names)
             yield out if most is None else out.filter(pa.array(scores < most))
 
-    fields = [f"`{docs.schema[i].name}` {docs.schema[i].dataType.simpleString()}" for i in cols] + ([f"`{out_col}` double"] if out_col else [])
-    return lean(docs).mapInArrow(run, ", ".join(fields))
+    fields = [docs.schema[i] for i in cols] + ([T.StructField(out_col, T.DoubleType())] if out_col else [])
+    return lean(docs).mapInArrow(run, T.StructType(fields))
