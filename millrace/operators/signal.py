@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 
 def _frames(x: np.ndarray, size: int, hop: int) -> np.ndarray:
@@ -77,8 +78,7 @@ def _mapped(df: DataFrame, wav: str, name: str, kind: pa.DataType, ddl: str, fea
             out = [None if x is None else feature(np.asarray(x, np.float64)) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, kind)], names=names)
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInArrow(run, f"{fields}, {name} {ddl}")
+    return df.mapInArrow(run, T.StructType([*df.schema, *T.StructType.fromDDL(f"{name} {ddl}")]))
 
 
 def with_spectral(df: DataFrame, wav: str = "wav", sr: int = 24000) -> DataFrame:
