@@ -128,7 +128,7 @@ def unfold(rows: Column, size: Column | int) -> Column:
 
 # Pitch range in Hz, pitch bins, energy range in dB, and the log-duration's mean and deviation.
 F0_MIN, F0_MAX, F0_BINS = 60.0, 500.0, 256
-ENERGY_MIN, ENERGY_MAX = -80.0, 0.0
+ENERGY_MIN, ENERGY_MAX = -60.0, 0.0
 LOG_DURATION_MEAN, LOG_DURATION_SD = 1.728, 0.390
 
 
@@ -139,16 +139,17 @@ def f0_to_normalized(f0: Column) -> Column:
 
 
 def normalized_to_f0(x: Column) -> Column:
-    return F0_MIN * F.pow(_d(2), x * math.log2(F0_MAX / F0_MIN))
+    """0 is unvoiced."""
+    return F.when(x <= 0, 0.0).otherwise(F0_MIN * F.pow(_d(2), F.least(x, _d(1)) * math.log2(F0_MAX / F0_MIN)))
 
 
 def f0_to_bins(f0: Column) -> Column:
-    """0 is unvoiced; voiced pitch has bins 1 to 255 on the log scale."""
-    return F.when(f0 <= 0, 0).otherwise(1 + F.bround(f0_to_normalized(f0) * (F0_BINS - 2))).cast("int")
+    """0 is unvoiced; voiced pitch has bins 1 to 256 on the log scale."""
+    return F.when(f0 <= 0, 0).otherwise(1 + F.bround(f0_to_normalized(f0) * (F0_BINS - 1))).cast("int")
 
 
 def bins_to_f0(b: Column) -> Column:
-    return F.when(b <= 0, 0.0).otherwise(normalized_to_f0((b - 1) / (F0_BINS - 2)))
+    return F.when(b <= 0, 0.0).otherwise(F0_MIN * F.pow(_d(2), (b - 1) / (F0_BINS - 1) * math.log2(F0_MAX / F0_MIN)))
 
 
 def energy_to_normalized(db: Column) -> Column:
@@ -300,7 +301,7 @@ def fallback_durations(energy: Column, n_tokens: Column) -> Column:
         every = F.greatest(F.array_max(upto), _d(1e-8))
 
         def edge(k: Column) -> Column:
-            by_energy = F.size(F.filter(upto, lambda u: u < k / n_tokens * every)) + 1
+            by_energy = F.size(F.filter(upto, lambda u: u < k / n_tokens * every))
             return F.bround((F.least(by_energy, n) + k / n_tokens * n) / 2).cast("int")
 
         return F.transform(F.sequence(F.lit(1), n_tokens), lambda k: F.when(k == n_tokens, n).otherwise(edge(k)))

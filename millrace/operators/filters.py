@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
@@ -97,11 +97,21 @@ def turn_window(df: DataFrame, used: DataFrame | None = None, said: str = "said"
     return df if used is None else df.join(used.select(said).distinct(), said, "left_anti")
 
 
-# The registry of teachers.
+# The registry of teachers (name, licence of the weights, may train, restricted).
 TEACHERS = [
-    ("kokoro", "apache-2.0", True, False), ("orpheus", "apache-2.0", True, False), ("chatterbox", "mit", True, False), ("dia", "apache-2.0", True, False),
-    ("higgs", "community", True, True), ("minimax", "api-terms", False, True), ("elevenlabs", "api-terms", False, True),
-]
+    ("orpheus", "apache-2.0 tag, Llama 3.2 base", True, False),
+    ("kokoro", "Apache-2.0", True, False),
+    ("minimax", "proprietary", False, True),
+    ("stub_low", "n/a", True, False),
+    ("stub_high", "n/a", True, False),
+    ("speechify", "proprietary service", True, False),
+    ("drama3", "proprietary hosted inference", True, True),
+]
+
+
+def registry(spark: SparkSession) -> DataFrame:
+    """The registry as a table: name, licence, allows_training, restricted."""
+    return spark.createDataFrame(TEACHERS, "name string, licence string, allows_training boolean, restricted boolean")
 
 
 def licence_gate(df: DataFrame, registry: DataFrame, name: str = "teacher", acknowledged: bool = False, strict: bool = False) -> DataFrame:

@@ -57,7 +57,7 @@ def f36_frame_energy(spark, d):
     return vectors(spark, d).select("vec_id", F.transform(N.frame_energy_db(F.col("x"), 16, 8), lambda v: F.round(v, 5)).alias("db"))
 
 
-@query("SELECT event_id, CASE WHEN value * 5 <= 0 THEN 0 ELSE 1 + CAST(round_even(least(greatest(log2(greatest(value * 5, 60) / 60) / log2(500.0 / 60), 0), 1) * 254, 0) AS INT) END AS bin FROM events")
+@query("SELECT event_id, CASE WHEN value * 5 <= 0 THEN 0 ELSE 1 + CAST(round_even(least(greatest(log2(greatest(value * 5, 60) / 60) / log2(500.0 / 60), 0), 1) * 255, 0) AS INT) END AS bin FROM events")
 def f39_pitch_bins(spark, d):
     return table(spark, d, "events").select("event_id", N.f0_to_bins(F.col("value") * 5).alias("bin"))
 

@@ -164,9 +164,13 @@ def test_rest_works_without_the_training_data_operators():
     assert "c1_build_prompts" in names and not any(n.startswith("op") for n in names)
 
 
+def test_registry(spark):
+    rows = spark.createDataFrame([("kokoro",), ("drama3",)], "teacher string")
+    assert [r.teacher for r in P.licence_gate(rows, P.registry(spark)).collect()] == ["kokoro"]
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
-    assert len(P.TEACHERS) == 7
