@@ -45,14 +45,28 @@ def lean(df: DataFrame) -> DataFrame:
     return df
 
 
+_KEPT: list[str] = []
+
+
 def keep(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and rereads it: cuts lineage and survives lost executors."""
+    """Writes df to the shared folder and rereads it: cuts lineage and survives lost executors.
+
+    Results are lazy and read these tables, so they stay until release().
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _KEPT.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Deletes the tables kept so far; call it when the results that were built on them are written."""
+    while _KEPT:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_KEPT.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions(spark: SparkSession, rows: int = 0, each: int = 100_000) -> int:
     """Groups to hash rows into: at least the session's shuffle partitions, at most `each` rows in one."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
