@@ -15,8 +15,8 @@ Broadcasting all trees to all tasks would not be bounded, so a tree goes to the
 near_duplicates() estimates the similarity (Jaccard) of two texts' shingle sets. It takes a wider fingerprint:
 each hash is mixed anew for each of `width` words of 64 bits. Texts of similarity s differ in about
 arccos(2s / (1 + s)) / pi of the bits, which sets the radius (one standard error of that share is added).
-Its shard keys are the fingerprint's runs of 16 bits: texts of similarity 0.9 share one with
-probability 0.99 at the default width, of 0.8 with 0.83; this and the estimate are what SimHash can promise.
+Its shard keys are the fingerprint's runs of 14 bits: texts of similarity 0.9 share one with
+probability 0.997 at the default width, of 0.8 with 0.92; this and the estimate are what SimHash can promise.
 
 Rules: A-Z is lower-cased; words are runs other than \\x20 and \\x09-\\x0D; a text with fewer words than a
 shingle is one shingle; a text without words (empty or null) has fingerprint 0, which links like any other. Rows
@@ -279,11 +279,14 @@ def near_classes(docs: DataFrame, radius: int = 4, words: int = 4, id_col: str =
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("w0")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, width: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row: id_col, component_id of texts whose estimated similarity is at least the one given."""
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, width: int = 6, key_bits: int = 14, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row: id_col, component_id of texts whose estimated similarity is at least the one given.
+
+    Shards hold n / 2^key_bits texts on average: past a hundred million texts, take more key bits and a larger width.
+    """
     share, bits = math.acos(2 * similarity / (1 + similarity)) / math.pi, 64 * width
     radius = math.floor(bits * share + math.sqrt(bits * share * (1 - share)))
-    keys = [(w, _signed(list(range(b, b + 16)))) for w in range(width) for b in range(0, 64, 16)]
+    keys = [(w, _signed(list(range(b, b + key_bits)))) for w in range(width) for b in range(0, 65 - key_bits, key_bits)]
     rows = keep(fingerprints(docs, words, width, id_col, text_col), "simhash")
     return _classes(rows, radius, keys).select(F.col("id").alias(id_col), "component_id")
 
