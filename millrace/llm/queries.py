@@ -121,13 +121,14 @@ ORACLE_SQL = {
                     THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM o""",
     "op4_substring_dedup": r"""
         WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
-        i AS (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM d),
-        k AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY array_to_string(ws[i:i + 12], ' ')) AS low FROM i),
+        w AS (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS j, len(ws) AS n FROM d),
+        i AS (SELECT doc_id, j AS i, string_agg(w, ' ') OVER (PARTITION BY doc_id ORDER BY j ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS key
+              FROM w QUALIFY j <= n - 12),
+        k AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY key) AS low FROM i),
         g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS j FROM k WHERE low < doc_id),
         r AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
-        w AS (SELECT doc_id, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS j FROM d),
         t AS (SELECT doc_id, string_agg(w, ' ' ORDER BY j) AS t FROM w ANTI JOIN g USING (doc_id, j) GROUP BY doc_id)
-        SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+        SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(r.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
         FROM d LEFT JOIN r USING (doc_id) LEFT JOIN t USING (doc_id)""",
     "op6_url_filter": rf"""
         WITH p AS (SELECT page_id,
