@@ -85,6 +85,19 @@ def strip_markers(text: Column, start: str, end: str) -> Column:
     return F.substring_index(body, end, 1)
 
 
+def nfkc(text: Column) -> Column:
+    """Unicode's NFKC form, by an Arrow UDF: Spark has no function for it. ASCII text is passed by."""
+    import unicodedata
+
+    import pandas as pd
+
+    @F.pandas_udf("string")
+    def form(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+
+    return F.when(text.rlike(r"^\p{ASCII}*$"), text).otherwise(form(text))
+
+
 def normalize_text(text: Column, compat: bool = False) -> Column:
     """Quotes and dashes unified, abbreviations and digits spelled out, other characters blanked, lower case.
 

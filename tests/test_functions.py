@@ -38,6 +38,11 @@ def test_normalize(spark):
     assert one(spark, None, T.normalize_text(X)) is None
 
 
+def test_nfkc(spark):
+    rows = spark.createDataFrame([("ﬁne ①",), ("plain",), (None,)], "x string")
+    assert {r.y for r in rows.select(T.nfkc(X).alias("y")).collect()} == {"fine 1", "plain", None}
+
+
 def test_ids_round_trip(spark):
     ids = one(spark, "ab é\t.", T.char_ids(X))
     assert ids[0] == 2 and ids[-1] == 3 and ids.count(1) == 1 and len(ids) == 7
