@@ -34,8 +34,8 @@ from millrace.llm.common import keep, lean, mix64, partitions, ragged
 from millrace.llm.textvec import range_hashes
 
 WINDOW, RUN = 13, 4  #: words
-CHUNK = 2_000_000  #: bytes of text a chunk is cut at
-BUCKET = 5_000_000  #: bytes of strings a bucket should hold
+CHUNK = 3_000_000  #: bytes of text a chunk is cut at
+BUCKET = 8_000_000  #: bytes of strings a bucket should hold
 HOT = 5_000
 NO_ID = 2**63 - 1
 
@@ -105,7 +105,11 @@ class Chunk:
         for e in np.concatenate([bad, other[~same]]):  # equal hash, other bytes: an entry of its own
             entry[e] = len(rep)
             rep = np.append(rep, e)
-        self.entry, self.rep = entry, rep
+        place = np.argsort(rep, kind="stable")  # entries are numbered as they come, so ids ascend
+        rank = np.empty(len(rep), np.int64)
+        rank[place] = np.arange(len(rep))
+        self.entry, self.rep = rank[entry], rep[place]
+        rep = self.rep
         lead = self.first[rep]
         key = self.low[lead].copy()
         alone = np.isin(key, hot)
@@ -124,8 +128,7 @@ class Chunk:
         edges = np.append(np.flatnonzero(np.diff(self.bucket[order], prepend=-1)), len(order))
         press = zstandard.ZstdCompressor(level=3)
         for x, y in zip(edges[:-1], edges[1:]):
-            head = np.array([y - x], np.int64).tobytes() + order[x:y].astype(np.int32).tobytes() + size[x:y].astype(np.int32).tobytes()
-            yield int(self.bucket[order[x]]), press.compress(head + low[x:y].tobytes() + flat[ends[x] : ends[y]].tobytes())
+            yield int(self.bucket[order[x]]), press.compress(_pack_entries(order[x:y], size[x:y], low[x:y]) + flat[ends[x] : ends[y]].tobytes())
 
     def remove(self, entry: np.ndarray, offset: np.ndarray, low: np.ndarray) -> np.ndarray:
         """Which words go, given the windows of entries that start in a smaller id elsewhere."""
@@ -157,6 +160,24 @@ def _equal(codes: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) ->
     return np.add.reduceat(differ, np.cumsum(size) - size, dtype=np.int64) == 0
 
 
+def _pack_entries(entry: np.ndarray, size: np.ndarray, low: np.ndarray) -> bytes:
+    """Numbers of ascending entries as differences, byte by byte, which compresses well."""
+    columns = (np.diff(entry, prepend=0).astype(np.int32), size.astype(np.int32), np.diff(low, prepend=0).astype(np.int64))
+    planes = [c.view(np.uint8).reshape(len(c), -1).T.tobytes() for c in columns]
+    return np.array([len(entry)], np.int64).tobytes() + b"".join(planes)
+
+
+def _unpack_entries(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(entry, size, low, bytes of the strings)."""
+    n, out, at = int(np.frombuffer(data, np.int64, 1)[0]), [], 8
+    for kind in (np.int32, np.int32, np.int64):
+        width = np.dtype(kind).itemsize
+        planes = np.frombuffer(data, np.uint8, n * width, at).reshape(width, n)
+        out.append(np.ascontiguousarray(planes.T).view(kind).ravel())
+        at += n * width
+    return np.cumsum(out[0]), out[1], np.cumsum(out[2]), np.frombuffer(data, np.uint8, -1, at)
+
+
 def _pack_docs(ids: np.ndarray, texts: list[bytes]) -> bytes:
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     return zstandard.ZstdCompressor(level=3).compress(np.array([len(texts)], np.int64).tobytes() + ids.tobytes() + sizes.tobytes() + b"".join(texts))
@@ -206,10 +227,7 @@ def _count(rows: pa.Table) -> pa.Table:
     """A bucket's windows that start in a smaller id elsewhere: chunk and packed (entry, offset, id)."""
     names, parts = rows["chunk"].to_pylist(), []
     for blob in rows["data"]:
-        data = zstandard.ZstdDecompressor().decompress(blob.as_py())
-        n = int(np.frombuffer(data, np.int64, 1)[0])
-        entry, size = np.frombuffer(data, np.int32, n, 8), np.frombuffer(data, np.int32, n, 8 + 4 * n)
-        parts.append((entry, size, np.frombuffer(data, np.int64, n, 8 + 8 * n), np.frombuffer(data, np.uint8, -1, 8 + 16 * n)))
+        parts.append(_unpack_entries(zstandard.ZstdDecompressor().decompress(blob.as_py())))
     entry, size, low, codes = (np.concatenate([p[k] for p in parts]) for k in range(4))
     chunk = np.repeat(np.arange(len(parts)), [len(p[0]) for p in parts])
     stop = np.flatnonzero(codes == 32)
@@ -243,7 +261,7 @@ def _count(rows: pa.Table) -> pa.Table:
     for x, y in zip(edges[:-1], edges[1:]):
         own = by[x:y]
         out_chunk.append(names[chunk[owner[own[0]]]])
-        out.append(zstandard.ZstdCompressor(level=1).compress(entry[owner[own]].tobytes() + offset[own].astype(np.int32).tobytes() + first[own].tobytes()))
+        out.append(zstandard.ZstdCompressor(level=1).compress(entry[owner[own]].astype(np.int32).tobytes() + offset[own].astype(np.int32).tobytes() + first[own].tobytes()))
     return pa.table({"chunk": pa.array(out_chunk, pa.string()), "hits": pa.array(out, pa.binary())})
 
 

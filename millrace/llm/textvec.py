@@ -10,18 +10,27 @@ BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 2**64)
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    if n:
+def _steps(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 to 4095 of a base, and powers of its 4096th power up to n."""
+    def run(x: int, k: int) -> np.ndarray:
+        out = np.full(k, x, np.uint64)
         out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
+        return np.cumprod(out, dtype=np.uint64)
+
+    return run(base, 4096), run(pow(base, 4096, 2**64), (n >> 12) + 1)
 
 
 def range_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit polynomial hash of each codes[start:end], from one prefix sum."""
-    n = len(codes) + 1
-    upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * powers(BASE, n - 1), dtype=np.uint64)])
-    return mix64((upto[ends] - upto[starts]) * powers(INVERSE, n)[starts])
+    n = len(codes)
+    small, large = _steps(BASE, n)
+    upto = np.multiply.outer(large, small).ravel()[: n + 1]
+    upto[1:] = upto[:-1].copy()
+    upto[0] = 0
+    upto[1:] *= codes.astype(np.uint64) + np.uint64(1)
+    np.cumsum(upto, out=upto)
+    small, large = _steps(INVERSE, n)
+    return mix64((upto[ends] - upto[starts]) * small[starts & 4095] * large[starts >> 12])
 
 
 class Words:
