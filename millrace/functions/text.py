@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -87,10 +90,6 @@ def strip_markers(text: Column, start: str, end: str) -> Column:
 
 def nfkc(text: Column) -> Column:
     """Unicode's NFKC form, by an Arrow UDF: Spark has no function for it. ASCII text is passed by."""
-    import unicodedata
-
-    import pandas as pd
-
     @F.pandas_udf("string")
     def form(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
