@@ -12,11 +12,13 @@ propagation with pointer jumping over written tables.
 
 Broadcasting all trees to all tasks would not be bounded, so a tree goes to the tasks of its own shard key.
 
-near_duplicates() estimates the similarity (Jaccard) of two texts' shingle sets. It takes a wider fingerprint:
-each hash is mixed anew for each of `width` words of 64 bits. Texts of similarity s differ in about
-arccos(2s / (1 + s)) / pi of the bits, which sets the radius (one standard error of that share is added).
-Its shard keys are the fingerprint's runs of 14 bits: texts of similarity 0.9 share one with
-probability 0.997 at the default width, of 0.8 with 0.92; this and the estimate are what SimHash can promise.
+near_duplicates() links texts by the exact similarity (Jaccard) of their shingle sets; fingerprints only find
+candidates. It takes a wider fingerprint: each hash is mixed anew for each of `width` words of 64 bits. Texts of
+similarity s differ in about arccos(2s / (1 + s)) / pi of the bits, which sets the candidates' radius (three
+standard errors of that share are added). Its shard keys are overlapping runs of 12 bits of the fingerprint.
+The components of candidate links are clouds; all pairs of a cloud are then compared by their sets (of 64-bit
+hashes), in tiles that no task outgrows, and only pairs of the similarity asked for link. So no link is false; a pair
+is missed only if no chain of candidates joins it.
 
 Rules: A-Z is lower-cased; words are runs other than \\x20 and \\x09-\\x0D; a text with fewer words than a
 shingle is one shingle; a text without words (empty or null) has fingerprint 0, which links like any other. Rows
@@ -28,17 +30,20 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from fractions import Fraction
 from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import attach, keep, lean, mix64, partitions, ragged
+from millrace.llm.common import attach, keep, lean, mix64, partitions, ragged, small
 
 TILE = 20_000
+#: A cloud's parts hold about so many texts and shingles.
+PART, SHINGLES = 2_000, 500_000
 
 
 def shingle_hashes(text: str | None, words: int, seed: int = 42) -> np.ndarray:
@@ -70,9 +75,13 @@ def fingerprint(text: str | None, words: int = 4) -> int:
     return int.from_bytes(majority(shingle_hashes(text, words)).tobytes(), "big")
 
 
-def wide_fingerprint(text: str | None, words: int, width: int) -> np.ndarray:
-    """width words of 64 bits; a shingle counts once."""
-    own = np.unique(shingle_hashes(text, words).copy().view(">u8").ravel().astype(np.uint64))
+def shingle_set(text: str | None, words: int) -> np.ndarray:
+    """The distinct shingle hashes of a text in order."""
+    return np.unique(shingle_hashes(text, words).copy().view(">u8").ravel().astype(np.uint64))
+
+
+def wide_fingerprint(own: np.ndarray, width: int) -> np.ndarray:
+    """width words of 64 bits from a shingle set; a shingle counts once."""
     salts = mix64(np.arange(1, width + 1))
     mixed = mix64(own[:, None] ^ salts[None, :])
     return majority(mixed.astype(">u8").view(np.uint8).reshape(len(own), 8 * width)).view(">u8").astype(np.uint64)
@@ -86,7 +95,7 @@ def fingerprints(docs: DataFrame, words: int = 4, width: int = 0, id_col: str =
         for batch in it:
             fps = np.zeros((batch.num_rows, len(names)), np.uint64)
             for i, text in enumerate(batch.column(1)):
-                fps[i] = wide_fingerprint(text.as_py(), words, width) if width else fingerprint(text.as_py(), words)
+                fps[i] = wide_fingerprint(shingle_set(text.as_py(), words), width) if width else fingerprint(text.as_py(), words)
             cols = [pa.array(fps[:, i].copy().view(np.int64)) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["id", *names])
 
@@ -279,16 +288,138 @@ def near_classes(docs: DataFrame, radius: int = 4, words: int = 4, id_col: str =
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("w0")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, width: int = 6, key_bits: int = 14, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row: id_col, component_id of texts whose estimated similarity is at least the one given.
+def _prints(text: Column, words: int, width: int) -> Column:
+    """w0, w1, ...: the wide fingerprint; s0, s1: a digest of the shingle set; size: its shingles."""
+    names = [f"w{i}" for i in range(width)] + ["s0", "s1", "size"]
+
+    @F.arrow_udf("struct<" + ", ".join(f"{n}: bigint" for n in names) + ">")
+    def run(texts: pa.Array) -> pa.Array:
+        out = np.zeros((len(texts), len(names)), np.int64)
+        for i, one in enumerate(texts):
+            own = shingle_set(one.as_py(), words)
+            out[i, :width] = wide_fingerprint(own, width).view(np.int64)
+            out[i, width : width + 2] = np.frombuffer(xxhash.xxh3_128_digest(own.tobytes()), np.int64)
+            out[i, -1] = len(own)
+        return pa.StructArray.from_arrays([pa.array(out[:, k].copy()) for k in range(len(names))], names=names)
+
+    return run(text)
+
+
+def _sets(text: Column, words: int) -> Column:
+    """The shingle set of a text as bytes."""
+
+    @F.arrow_udf("binary")
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([shingle_set(t.as_py(), words).tobytes() for t in texts], pa.binary())
+
+    return run(text)
+
+
+def folded(edges: DataFrame, each: int = 1_000_000) -> DataFrame:
+    """(a, b): fewer edges with the same components; a task folds about `each` of them."""
+    rows = keep(edges.select("a", "b"), "links")
 
-    Shards hold n / 2^key_bits texts on average: past a hundred million texts, take more key bits and a larger width.
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.stack([c.to_numpy() for c in batch.columns]) for batch in it]
+        if held:
+            nodes, at = np.unique(np.concatenate(held, axis=1), return_inverse=True)
+            label = spanning(*at.reshape(2, -1), len(nodes))
+            own = np.flatnonzero(label != np.arange(len(nodes)))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(nodes[label[own]])], names=["a", "b"])
+
+    return rows.coalesce(max(8, -(-rows.count() // each))).mapInArrow(run, "a bigint, b bigint")
+
+
+def _exact_links(sets: list[np.ndarray], tree: np.ndarray, query: np.ndarray, similarity: Fraction) -> list[tuple[int, int]]:
+    """Links between rows of the tree and of the query side, whose components are those of all such pairs
+    with at least the similarity. Pairs that links join already aren't compared."""
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    start = np.cumsum(size) - size
+    seen = np.zeros(int(flat.max(initial=-1)) + 1, np.int32)
+    label, out, alone = np.arange(len(sets)), [], bool((tree & query).all())
+    for q in np.flatnonzero(query):
+        # No overlap above the smaller set's size: other sizes can't reach the similarity.
+        fits = tree & (np.minimum(size, size[q]) * similarity.denominator >= np.maximum(size, size[q]) * similarity.numerator)
+        if alone:  # one part against itself: each pair once
+            fits[q:] = False
+        left = np.flatnonzero(fits & (label != label[q]))
+        own = flat[start[q] : start[q] + size[q]]
+        seen[own] = 1
+        while left.size:
+            part, left = left[:256], left[256:]
+            ends = np.cumsum(size[part])
+            common = np.concatenate([[0], np.cumsum(seen[flat[ragged(start[part], size[part])]])])
+            common = common[ends] - common[ends - size[part]]
+            hit = part[common * similarity.denominator >= (size[part] + size[q] - common) * similarity.numerator]
+            if hit.size:
+                out += [(int(q), int(h)) for h in hit]
+                joined = np.append(label[hit], label[q])
+                label[np.isin(label, joined)] = joined.min()
+                left = left[label[left] != label[q]]
+        seen[own] = 0
+    return out
+
+
+def verified(members: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """members: node, label, size; texts: node, text. (a, b): links between nodes of one label, whose components
+    are those of all pairs of that label with at least the similarity.
+
+    A label's nodes are cut into parts of about PART nodes or SHINGLES shingles, and each two parts meet in a tile.
     """
+    spark, share = members.sparkSession, Fraction(str(similarity))
+    n, total = members.agg(F.count("*"), F.sum("size")).first()
+    parts = F.ceil(F.greatest(F.count("*") / PART, F.sum("size") / SHINGLES)).cast("int")
+    hot = keep(members.groupBy("label").agg(parts.alias("parts")).where("parts > 1"), "cloud-parts")
+    placed = members.join(small(hot, hot.count()), "label", "left").select("node", "label", F.coalesce("parts", F.lit(1)).alias("parts"))
+    rows = lean(texts).join(small(placed, n), "node").withColumn("set", _sets(F.col("text"), words))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    x, y = F.least("own", "other"), F.greatest("own", "other")
+    bucket = F.pmod(F.xxhash64("label"), F.lit(partitions(spark, total or 0, SHINGLES)))  # small clouds share a group
+    whole = F.col("parts") == 1
+    tiles = rows.select(F.when(whole, bucket).otherwise(F.col("label")).alias("cloud"), F.when(whole, -1).otherwise(x).alias("x"), F.when(whole, -1).otherwise(y).alias("y"), "own", "label", "node", "set")
+
+    def run(tile: pa.Table) -> pa.Table:
+        x, y, own, label, node = (tile[c].to_numpy() for c in ("x", "y", "own", "label", "node"))
+        sets = [np.frombuffer(b.as_py(), np.uint64) for b in tile["set"]]
+        order, found = np.lexsort([node, label]), []
+        for rows in np.split(order, np.flatnonzero(np.diff(label[order])) + 1):
+            tree, query = (own[rows] == x[rows]) | (x[rows] < 0), (own[rows] == y[rows]) | (x[rows] < 0)
+            found += [(node[rows[a]], node[rows[b]]) for a, b in _exact_links([sets[k] for k in rows], tree, query, share)]
+        a, b = np.array(found, np.int64).reshape(-1, 2).T
+        return pa.table({"a": pa.array(a.copy()), "b": pa.array(b.copy())})
+
+    return tiles.groupBy("cloud", "x", "y").applyInArrow(run, "a bigint, b bigint")
+
+
+def _near(rows: DataFrame, similarity: float, words: int, width: int, key_bits: int, step: int) -> DataFrame:
+    """rows: node (tells rows apart), id, text, f (prints), written. One row per distinct shingle set: s0, s1, copies,
+    low (its least id), label (equal for linked sets)."""
     share, bits = math.acos(2 * similarity / (1 + similarity)) / math.pi, 64 * width
-    radius = math.floor(bits * share + math.sqrt(bits * share * (1 - share)))
-    keys = [(w, _signed(list(range(b, b + key_bits)))) for w in range(width) for b in range(0, 65 - key_bits, key_bits)]
-    rows = keep(fingerprints(docs, words, width, id_col, text_col), "simhash")
-    return _classes(rows, radius, keys).select(F.col("id").alias(id_col), "component_id")
+    radius = math.floor(bits * share + 3 * math.sqrt(bits * share * (1 - share)))
+    keys = [(w, _signed(list(range(b, b + key_bits)))) for w in range(width) for b in range(0, 65 - key_bits, step)]
+    names = [f"w{i}" for i in range(width)]
+    distinct = rows.groupBy(*[F.col(f"f.{c}").alias(c) for c in [*names, "s0", "s1", "size"]]).agg(F.min("node").alias("node"), F.min("id").alias("low"), F.count("*").alias("copies"))
+    distinct = keep(distinct, "simhash-distinct")
+    clouds = components(folded(links(distinct.select("node", *names), radius, keys)))
+    members = keep(clouds.join(distinct.select("node", "size"), "node"), "simhash-clouds")
+    label = components(folded(verified(members, rows.select("node", "text"), words, similarity)))
+    return distinct.join(label, "node", "left").select("s0", "s1", "copies", "low", F.coalesce("label", "node").alias("label"))
+
+
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, width: int = 6, key_bits: int = 12, step: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row: id_col, component_id of texts whose shingle sets have at least the similarity given.
+
+    Shards hold n / 2^key_bits texts on average: past eighty million texts, take more key bits and a larger width.
+    """
+    rows = lean(docs).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    rows = keep(rows.select(F.monotonically_increasing_id().alias("node"), "id", "text", _prints(F.col("text"), words, width).alias("f")), "simhash")
+    named = keep(_near(rows, similarity, words, width, key_bits, step), "simhash-near")
+    lowest = named.groupBy("label").agg(F.min("low").alias("component_id"))
+    key = lambda a, b: F.concat_ws(",", a, b)
+    classes = keep(_with_lowest(named, lowest).select(key("s0", "s1").alias("fp"), "copies", "component_id"), "simhash-classes")
+    return attach(rows.select("id", key("f.s0", "f.s1").alias("fp")), classes, "fp", "copies").select(F.col("id").alias(id_col), "component_id")
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

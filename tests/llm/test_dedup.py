@@ -144,6 +144,42 @@ def test_near_duplicates_take_edits_and_leave_others(spark):
     assert left.count() == 60 and left.columns == ["doc_id", "text", "kept", "digest", "fp"]
 
 
+def jaccard_closure(texts):
+    parts = [(t or "").lower().split() for t in texts]
+    sets = [{tuple(p[i : i + 5]) for i in range(max(1, len(p) - 4))} if p else set() for p in parts]
+    near = lambda a, b: 5 * len(a & b) >= 4 * len(a | b)
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if near(sets[i], sets[j]) and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return root
+
+
+@pytest.mark.parametrize("part", [2_000, 5])
+def test_near_duplicates_are_exactly_those_of_the_similarity(spark, monkeypatch, part):
+    """Pairs from 0.70 to 0.95, half of them below 0.8, and a cloud whose members differ from each other by too much."""
+    monkeypatch.setattr(simhash, "PART", part)
+    rng = np.random.default_rng(11)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    texts = []
+    for i in range(60):
+        own = [word() for _ in range(204)]
+        texts.append(" ".join(own))
+        new = 18 + i % 14  # fresh words at the end: 200 - new of 200 + new shingles stay
+        texts.append(" ".join(own[:-new] + [word() for _ in range(new)]))
+    base = [word() for _ in range(204)]
+    for i in range(30):
+        texts.append(" ".join(base[:-24] + [word() for _ in range(24)]))
+        texts.append(" ".join(base[:-10] + [word() for _ in range(10)]))
+    texts += ["", None, "one two", "One  TWO", "three"]
+    root = jaccard_closure(texts)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(rows(spark, list(enumerate(texts)))).collect()}
+    assert [got[i] for i in range(len(texts))] == root
+    assert 20 < sum(root[k] == root[k + 1] for k in range(0, 120, 2)) < 40
+
+
 def test_simhash_of_nothing(spark):
     assert simhash.near_classes(rows(spark, [])).collect() == []
     assert simhash.near_duplicates(rows(spark, [])).collect() == []
