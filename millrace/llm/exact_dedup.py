@@ -141,13 +141,8 @@ def exact_dedup(incoming: DataFrame, history: DataFrame | None = None, id_col: s
 
     seen_before: a row of history has this text.
     """
-    spark = incoming.sparkSession
-    old = digests(incoming.limit(0) if history is None else history, id_col, text_col).withColumn("old", F.lit(True))
-    rows = keep(old.unionByName(digests(incoming, id_col, text_col).withColumn("old", F.lit(False))), "digests")
-    shards = partitions(spark, rows.count())
-    past, new = rows.where("old").drop("old"), rows.where("NOT old").drop("old")
-    classes = keep(classify(new, history_slots(past, shards), shards), "classes")
-    return attach(rows.drop("old"), classes, "digest", "group_size").select(
+    rows, classes = _classified(incoming, history, id_col, text_col)
+    return attach(rows, classes, "digest", "group_size").select(
         F.col("id").alias(id_col),
         "keep_id",
         "group_size",
@@ -157,6 +152,17 @@ def exact_dedup(incoming: DataFrame, history: DataFrame | None = None, id_col: s
     )
 
 
+def _classified(incoming: DataFrame, history: DataFrame | None, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(id, digest) of every row of history and incoming, and the CLASSES of the digests."""
+    spark = incoming.sparkSession
+    old = digests(incoming.limit(0) if history is None else history, id_col, text_col).withColumn("old", F.lit(True))
+    rows = keep(old.unionByName(digests(incoming, id_col, text_col).withColumn("old", F.lit(False))), "digests")
+    shards = partitions(spark, rows.count())
+    past, new = rows.where("old").drop("old"), rows.where("NOT old").drop("old")
+    classes = keep(classify(new, history_slots(past, shards), shards), "classes")
+    return rows.drop("old"), classes
+
+
 def split_by_age(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """(history, incoming): the lower and the upper half of the id range; rows without an id are incoming."""
     low, high = docs.agg(F.min(id_col), F.max(id_col)).first()
@@ -165,8 +171,16 @@ def split_by_age(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, Da
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that another row's text replaces; columns unchanged. Rows go by id: those with
-    a null id all stay, and rows that share an id go together."""
+    """docs with one row of each group of equal texts, that of the largest id (null last); columns unchanged.
+
+    The decision stays with the row: what has the winner's id in its group goes on, and where several rows do (a
+    repeated id, or none at all), the first of them by content is taken, after each task has chosen its own.
+    """
     past, new = split_by_age(docs, id_col)
-    lost = exact_dedup(new, past, id_col, text_col).where("NOT kept").select(id_col).distinct()
-    return docs.join(lost, id_col, "left_anti").select(docs.columns)
+    rows, classes = _classified(new, past, id_col, text_col)
+    won = attach(rows, classes, "digest", "group_size").where(F.col("id").eqNullSafe(F.col("keep_id")))
+    won = keep(won.groupBy("digest", "keep_id", "group_size").agg(F.count("*").alias("winners")), "exact-winners")
+    marked = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("bigint").alias("id"), F.unhex(text_digest(F.col(text_col))).alias("digest"))
+    left = attach(marked, won, "digest", "group_size").where(F.col("id").eqNullSafe(F.col("keep_id")))
+    several = left.where("winners > 1").groupBy("digest").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    return left.where("winners = 1").select("row").unionByName(several.select("row")).select("row.*")

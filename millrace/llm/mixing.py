@@ -24,13 +24,14 @@ STEP = 3  #: hex digits a round resolves
 DIGITS = 32
 
 
-def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(id, size, source key, hash) of each row. A key starts with = (a name) or ~ (null), so null is last."""
+def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *more: str) -> DataFrame:
+    """(id, size, source key, hash) of each row, and more of its columns. A key starts with = (a name) or ~ (null), so null is last."""
     return docs.select(
         F.col(id_col).alias("id"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
         F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("~")).alias("key"),
         F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("h"),
+        *more,
     )
 
 
@@ -96,18 +97,35 @@ def mix(
 ) -> DataFrame:
     """id_col, size, source_size, target, copies (times the mix takes the row), taken (words)."""
     rows = keep(sizes(docs, id_col, text_col, source_col), "mix-sizes")
+    out = _copied(rows, _plan(rows, weights, share, cap))
+    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def _plan(rows: DataFrame, weights: tuple[int, ...], share: float, cap: float) -> DataFrame:
+    """rows: sizes(), written. What decides on each source's rows: key, source_size, target, whole, tau, inclusive."""
     plan = targets(rows, weights, share, cap)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     plan = plan.withColumn("whole", whole.cast("int"))
     plan = keep(plan.withColumn("need", F.col("target") - F.col("whole") * F.col("source_size")), "mix-plan")
-    found = plan.join(thresholds(rows, plan.select("key", "need")), "key", "left")
+    return small(plan.join(thresholds(rows, plan.select("key", "need")), "key", "left"), plan.count())
+
+
+def _copied(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """rows (with key and h) with the plan's columns and copies."""
     more = (F.col("h") < F.col("tau")) | ((F.col("h") == F.col("tau")) & F.col("inclusive"))
-    out = rows.join(small(found, plan.count()), "key").withColumn("copies", F.col("whole") + F.coalesce(more, F.lit(False)).cast("int"))
-    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+    return rows.join(plan, "key").withColumn("copies", F.col("whole") + F.coalesce(more, F.lit(False)).cast("int"))
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """docs with each row as often as the mix takes it; columns unchanged. Needs one row per id."""
-    copies = mix(docs, **options).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("copies").alias("__copies"))
-    joined = docs.join(copies, docs["doc_id"].eqNullSafe(copies["__id"]))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)
+def mixed(
+    docs: DataFrame,
+    weights: tuple[int, ...] = (3, 1, 2),
+    share: float = 1.5,
+    cap: float = 2.0,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
+    """docs with each row as often as the mix takes it; columns unchanged. Copies are decided on and made row by row."""
+    plan = _plan(keep(sizes(docs, id_col, text_col, source_col), "mix-sizes"), weights, share, cap)
+    rows = sizes(docs.select("*", F.struct("*").alias("__row")), id_col, text_col, source_col, "__row")
+    return _copied(rows, plan).where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("__row.*")

@@ -394,18 +394,26 @@ def verified(members: DataFrame, texts: DataFrame, words: int, similarity: float
 
 
 def _near(rows: DataFrame, similarity: float, words: int, width: int, key_bits: int, step: int) -> DataFrame:
-    """rows: node (tells rows apart), id, text, f (prints), written. One row per distinct shingle set: s0, s1, copies,
-    low (its least id), label (equal for linked sets)."""
+    """rows: node (tells rows apart), id, text, f (prints), order, written. One row per distinct shingle set: s0, s1,
+    copies, low (its least id), best (its row of the least order and node), label (equal for linked sets)."""
     share, bits = math.acos(2 * similarity / (1 + similarity)) / math.pi, 64 * width
     radius = math.floor(bits * share + 3 * math.sqrt(bits * share * (1 - share)))
     keys = [(w, _signed(list(range(b, b + key_bits)))) for w in range(width) for b in range(0, 65 - key_bits, step)]
     names = [f"w{i}" for i in range(width)]
-    distinct = rows.groupBy(*[F.col(f"f.{c}").alias(c) for c in [*names, "s0", "s1", "size"]]).agg(F.min("node").alias("node"), F.min("id").alias("low"), F.count("*").alias("copies"))
+    distinct = rows.groupBy(*[F.col(f"f.{c}").alias(c) for c in [*names, "s0", "s1", "size"]]).agg(F.min("node").alias("node"), F.min("id").alias("low"), F.min(F.struct("order", "node")).alias("best"), F.count("*").alias("copies"))
     distinct = keep(distinct, "simhash-distinct")
     clouds = components(folded(links(distinct.select("node", *names), radius, keys)))
     members = keep(clouds.join(distinct.select("node", "size"), "node"), "simhash-clouds")
     label = components(folded(verified(members, rows.select("node", "text"), words, similarity)))
-    return distinct.join(label, "node", "left").select("s0", "s1", "copies", "low", F.coalesce("label", "node").alias("label"))
+    return distinct.join(label, "node", "left").select("s0", "s1", "copies", "low", "best", F.coalesce("label", "node").alias("label"))
+
+
+def _numbered(docs: DataFrame, words: int, width: int, id_col: str, text_col: str) -> DataFrame:
+    """node, id, f, order and row (all columns), written, and text of the row. order: by id, null last, then by content."""
+    rows = lean(docs).select(F.struct("*").alias("row"), F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    order = F.struct(F.col("id").isNull().alias("none"), "id", F.xxhash64(F.to_json("row")).alias("hash"))
+    rows = keep(rows.select(F.monotonically_increasing_id().alias("node"), "id", order.alias("order"), "row", _prints(F.col("text"), words, width).alias("f")), "simhash")
+    return rows.withColumn("text", F.col("row").getField(text_col))
 
 
 def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, width: int = 6, key_bits: int = 12, step: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -413,8 +421,7 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, wi
 
     Shards hold n / 2^key_bits texts on average: past eighty million texts, take more key bits and a larger width.
     """
-    rows = lean(docs).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
-    rows = keep(rows.select(F.monotonically_increasing_id().alias("node"), "id", "text", _prints(F.col("text"), words, width).alias("f")), "simhash")
+    rows = _numbered(docs.select(id_col, text_col), words, width, id_col, text_col)
     named = keep(_near(rows, similarity, words, width, key_bits, step), "simhash-near")
     lowest = named.groupBy("label").agg(F.min("low").alias("component_id"))
     key = lambda a, b: F.concat_ws(",", a, b)
@@ -422,9 +429,12 @@ def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, wi
     return attach(rows.select("id", key("f.s0", "f.s1").alias("fp")), classes, "fp", "copies").select(F.col("id").alias(id_col), "component_id")
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs with one row of each component, that of the smallest id; columns unchanged. Rows go by id: those
-    with a null id all stay, and rows that share an id go together."""
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    lost = found.where(F.col(id_col) != F.col("component_id")).select(id_col).distinct()
-    return docs.join(lost, id_col, "left_anti").select(docs.columns)
+def deduplicated(docs: DataFrame, similarity: float = 0.8, words: int = 5, width: int = 6, key_bits: int = 12, step: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with one row of each component of near_duplicates(), that of the smallest id (null last); columns unchanged.
+
+    Rows are decided on as such, so null and repeated ids are as good as others.
+    """
+    rows = _numbered(docs, words, width, id_col, text_col)
+    best = _near(rows, similarity, words, width, key_bits, step).groupBy("label").agg(F.min("best").alias("best"))
+    lost = keep(rows.select("node").join(best.select("best.node"), "node", "left_anti"), "simhash-lost")
+    return rows.select("node", "row").join(small(lost, lost.count()), "node", "left_anti").select("row.*")

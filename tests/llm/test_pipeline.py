@@ -80,6 +80,28 @@ def test_run_is_the_stages_in_order(spark, made):
     assert not got & (set(copies) | set(edits)) and len(got & toxic) <= 2 and len(got) > 150
 
 
+def test_null_and_repeated_ids(spark, made):
+    rng = np.random.default_rng(8)
+    text = lambda: " ".join("".join(rng.choice(list("aeioustnrl"), 6)) for _ in range(60))
+    a, b, c, d, e, f = (text() for _ in range(6))
+    near = lambda t: t.rsplit(" ", 1)[0] + " changed"
+    texts = [(None, a), (None, a), (None, a.upper()), (None, near(a)), (1, b), (1, b), (2, b), (2, b), (1, c), (3, d), (3, near(d)), (3, e), (None, e), (None, f)]
+    docs = spark.createDataFrame([(i, t, "en", "src0", 1) for i, t in texts], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    single = corpus_pipeline.drop_copies(spark, docs, made[0])
+    assert single.columns == COLUMNS
+    got = Counter((r.doc_id, r.text.lower()) for r in single.collect())
+    assert got == Counter([(None, a), (None, near(a)), (2, b), (1, c), (3, d), (3, near(d)), (3, e), (None, f)])
+    for found in (single, docs):
+        apart = [(r.doc_id, r.text.lower()) for r in corpus_pipeline.drop_near_copies(spark, found, made[0]).collect()]
+        assert len(apart) == 6 and all(sum(t in (x, near(x)) for _, t in apart) == 1 for x in (a, b, c, d, e, f))
+    mixed = corpus_pipeline.mix_sources(spark, docs, made[0])
+    assert mixed.columns == COLUMNS
+    want = Counter()
+    for r in mixing.mix(docs).collect():
+        want[r.doc_id] += r.copies
+    assert Counter(r.doc_id for r in mixed.collect()) == +want and sum(want.values()) <= 2 * len(texts)
+
+
 def test_kept_tables_can_be_released(spark):
     kept = common.keep(spark.range(3), "some")
     path = common._KEPT[-1]
