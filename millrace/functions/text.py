@@ -97,12 +97,22 @@ def nfkc(text: Column) -> Column:
     return F.when(text.rlike(r"^\p{ASCII}*$"), text).otherwise(form(text))
 
 
-def normalize_text(text: Column, compat: bool = False) -> Column:
+def normalize_text(text: Column, compat: bool = False, keep_tags: bool = False) -> Column:
     """Quotes and dashes unified, abbreviations and digits spelled out, other characters blanked, lower case.
 
-    Text must be in NFKC already (see nfkc). compat: abbreviations are replaced wherever they occur in
+    Text is brought to NFKC first. keep_tags: <tags> of letters, spaces and _ stay, in lower case, and what lies
+    between them is normalised by itself; by default their marks are blanked. compat: abbreviations are replaced wherever they occur in
     this case, before lower-casing; by default only as whole words, in any case. Null stays null.
     """
+    text = F.translate(nfkc(text), "\u0001\u0002", "  ")
+    if not keep_tags:
+        return _plain(text, compat)
+    parts = F.split(F.regexp_replace(text, "(<[a-zA-Z_ ]+>)", "\u0002$1\u0002"), "\u0002", -1)
+    done = F.transform(parts, lambda part, i: F.when(i % 2 == 1, F.lower(part)).otherwise(_plain(part, compat)))
+    return squeeze(F.array_join(F.filter(done, lambda part: part != ""), " "))
+
+
+def _plain(text: Column, compat: bool) -> Column:
     out = F.translate(text, "’“”", "'\"\"")
     out = F.regexp_replace(out, "[–—]", " - ")
     for short, full in ABBREVIATIONS.items():

@@ -182,7 +182,7 @@ def f3_scan_tags(spark, d):
 
 @query()
 def f1_normalize_text(spark, d):
-    return docs(spark, d).select("doc_id", T.normalize_text(F.col("text")).alias("plain"), T.normalize_text(F.col("text"), compat=True).alias("compat"))
+    return docs(spark, d).select("doc_id", T.normalize_text(F.col("text"), keep_tags=True).alias("plain"), T.normalize_text(F.col("text"), compat=True, keep_tags=True).alias("compat"))
 
 
 @query()

@@ -43,6 +43,13 @@ def test_nfkc(spark):
     assert {r.y for r in rows.select(T.nfkc(X).alias("y")).collect()} == {"fine 1", "plain", None}
 
 
+def test_normalize_folds_and_keeps_tags(spark):
+    text = "ﬁne Ｎｏ １２ x② <Laugh>Mr. Y <big_sigh>  7 <x9> ﹤b﹥<B>"
+    assert one(spark, text, T.normalize_text(X, keep_tags=True)) == "fine no one two x2 <laugh> mister y <big_sigh> seven x9 <b> <b>"
+    assert one(spark, text, T.normalize_text(X)) == "fine no one two x2 laugh mister y big sigh seven x9 b b"
+    assert one(spark, None, T.normalize_text(X, keep_tags=True)) is None
+
+
 def test_ids_round_trip(spark):
     ids = one(spark, "ab é\t.", T.char_ids(X))
     assert ids[0] == 2 and ids[-1] == 3 and ids.count(1) == 1 and len(ids) == 7
