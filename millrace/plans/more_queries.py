@@ -392,9 +392,14 @@ def c6_curate(spark, d):
 
 @query()
 def c10_feature_cache(spark, d):
+    from millrace.operators.order import indexed
     from millrace.plans.jobs import feature_cache
 
-    rows = docs(spark, d).join(vectors(spark, d), F.col("doc_id") == F.col("vec_id")).select(F.col("doc_id").alias("utt_id"), "text", F.col("source").alias("teacher"), F.col("lang").alias("voice"), F.lit(None).cast("double").alias("mos"), F.transform("x", F.abs).alias("energy"))
+    # Every document has a series: vectors are taken in turn, and with no vectors at all the series is empty.
+    turns = indexed(table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x")), "vec_id", "turn")
+    n = F.broadcast(table(spark, d, "embeddings").agg(F.count("*").alias("n")))
+    placed = docs(spark, d).crossJoin(n).withColumn("at", F.when(F.col("n") > 0, F.pmod(F.coalesce("doc_id", F.lit(0)), "n")))
+    rows = placed.join(turns, F.col("at") == F.col("turn"), "left").withColumn("x", F.coalesce("x", F.array().cast("array<double>"))).select(F.col("doc_id").alias("utt_id"), "text", F.col("source").alias("teacher"), F.col("lang").alias("voice"), F.lit(None).cast("double").alias("mos"), F.transform("x", F.abs).alias("energy"))
     return feature_cache(rows, spark.sql("SELECT 'src0' AS name, 0.5D AS weight")).select("utt_id", "ids", "durations", "weight")
 
 
