@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 
 from millrace.functions.core import let
 
-# Character vocabulary, tags, abbreviations and heading words.
+# Character vocabulary, phoneme symbols, tags, abbreviations and heading words.
 CHARS = " abcdefghijklmnopqrstuvwxyz0123456789.,!?;:'\"-()[]"
+IPA = "əɪʊɛæɑɔʌɜɹðθʃʒŋʤʧɚɝˈˌɐɡɾʔː\u0329ᵻ"
 SPECIAL = ["<pad>", "<unk>", "<bos>", "<eos>"]
 TAGS = [
     "<laugh>", "<chuckle>", "<giggle>", "<sigh>", "<cough>", "<sniffle>", "<groan>", "<yawn>", "<gasp>", "<hum>", "<breath>", "<whisper>", "<scream>", "<cry>",
     "<angry>", "<sad>", "<happy>", "<excited>", "<surprised>", "<fearful>", "<disgusted>", "<neutral>", "<calm>", "<serious>",
 ]
+TAG = "(<[a-zA-Z_ ]+>)"
 ABBREVIATIONS = {"mr.": "mister", "mrs.": "missus", "dr.": "doctor", "st.": "saint", "no.": "number", "&": " and ", "%": " percent ", "+": " plus ", "=": " equals "}
 DIGITS = ["zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine"]
 HEADINGS = ["CHAPTER", "PART", "BOOK", "ACT", "SCENE", "PREFACE", "CONTENTS"]
@@ -54,31 +56,35 @@ def is_prose_like(text: Column) -> Column:
 
 
 def is_usable_prompt(line: Column, min_words: int = 8, max_words: int = 22) -> Column:
-    ws = words(line)
-    head = F.upper(F.trim(F.lit(PUNCTUATION), F.element_at(ws, 1)))
-    return (
-        F.size(ws).between(min_words, max_words)
-        & ~shouts(ws)
-        & ~head.isin([*HEADINGS, "ADVENTURE"])
-        & ~line.rlike(rf"\b({'|'.join(ROMAN)})\b\.?$")
-        & (capital_share(ws) <= 0.5)
-    )
+    """A sentence to be read out: of usable length, without words in capitals, a heading first or a roman numeral last."""
+
+    def usable(ws: Column) -> Column:
+        head = F.upper(F.trim(F.lit(PUNCTUATION), F.element_at(ws, 1)))
+        return F.size(ws).between(min_words, max_words) & ~shouts(ws) & ~head.isin([*HEADINGS, "ADVENTURE"]) & (capital_share(ws) <= 0.5)
+
+    return ~line.rlike(rf"\b({'|'.join(ROMAN)})\b\.?$") & let(words(line), usable)
+
+
+# What a candidate must begin and end with, and what it must not hold.
+OPENING, MARKUP, CLOSING = r"^\p{Lu}", r"[_\[\]{}]|http|Gutenberg|Copyright|CHAPTER|^Chapter", r"[.!?]$"
+
+
+def stretches(text: Column) -> Column:
+    """Stretches of text without line breaks up to and with . ! or ?, wherever these stand; what follows the last one is none."""
+    cut = F.split(F.translate(text, "\r\n", "  "), r"(?<=[.!?])")
+    return F.filter(cut, lambda s: (F.length(s) > 1) & F.right(s, F.lit(1)).isin(".", "!", "?"))
 
 
 def is_expansion_candidate(text: Column, min_chars: int = 60, max_chars: int = 220) -> Column:
     """A clean prompt of 8 to 40 words: no markup, headings or front matter, few capitals, a full stop."""
-    line, letters = squeeze(text), F.regexp_replace(text, r"\P{L}", "")
-    capitals = F.length(F.regexp_replace(letters, r"\P{Lu}", ""))
-    spaces = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
-    return (
-        F.length(line).between(min_chars, max_chars)
-        & (spaces >= 6)
-        & line.rlike(r"^\p{Lu}")
-        & ~line.rlike(r"[_\[\]{}]|http|Gutenberg|Copyright|CHAPTER|^Chapter")
-        & (capitals <= 0.3 * F.greatest(F.lit(1), F.length(letters)))
-        & F.size(words(line)).between(8, 40)
-        & line.rlike(r"[.!?]$")
-    )
+
+    def candidate(line: Column) -> Column:
+        letters = F.regexp_replace(line, r"\P{L}", "")
+        spaces = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
+        capitals = let(letters, lambda x: F.length(F.regexp_replace(x, r"\P{Lu}", "")) <= 0.3 * F.greatest(F.lit(1), F.length(x)))
+        return F.length(line).between(min_chars, max_chars) & spaces.between(7, 39) & line.rlike(OPENING) & line.rlike(CLOSING) & ~line.rlike(MARKUP) & capitals
+
+    return let(squeeze(text), candidate)
 
 
 def strip_markers(text: Column, start: str, end: str) -> Column:
@@ -89,25 +95,26 @@ def strip_markers(text: Column, start: str, end: str) -> Column:
 
 
 def nfkc(text: Column) -> Column:
-    """Unicode's NFKC form, by an Arrow UDF: Spark has no function for it. ASCII text is passed by."""
+    """Unicode's NFKC form, by an Arrow UDF: Spark has no function for it. All text goes through a Python worker, which
+    returns ASCII text as it is; a table that is known to be ASCII needs no call."""
     @F.pandas_udf("string")
     def form(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: unicodedata.normalize("NFKC", t), na_action="ignore")
+        return texts.map(lambda t: t if t.isascii() else unicodedata.normalize("NFKC", t), na_action="ignore")
 
-    return F.when(text.rlike(r"^\p{ASCII}*$"), text).otherwise(form(text))
+    return form(text)
 
 
-def normalize_text(text: Column, compat: bool = False, keep_tags: bool = False) -> Column:
+def normalize_text(text: Column, compat: bool = False, keep_tags: bool = True) -> Column:
     """Quotes and dashes unified, abbreviations and digits spelled out, other characters blanked, lower case.
 
     Text is brought to NFKC first. keep_tags: <tags> of letters, spaces and _ stay, in lower case, and what lies
-    between them is normalised by itself; by default their marks are blanked. compat: abbreviations are replaced wherever they occur in
+    between them is normalised by itself; without it their marks are blanked. compat: abbreviations are replaced wherever they occur in
     this case, before lower-casing; by default only as whole words, in any case. Null stays null.
     """
     text = F.translate(nfkc(text), "\u0001\u0002", "  ")
     if not keep_tags:
         return _plain(text, compat)
-    parts = F.split(F.regexp_replace(text, "(<[a-zA-Z_ ]+>)", "\u0002$1\u0002"), "\u0002", -1)
+    parts = F.split(F.regexp_replace(text, TAG, "\u0002$1\u0002"), "\u0002", -1)
     done = F.transform(parts, lambda part, i: F.when(i % 2 == 1, F.lower(part)).otherwise(_plain(part, compat)))
     return squeeze(F.array_join(F.filter(done, lambda part: part != ""), " "))
 
@@ -119,10 +126,10 @@ def _plain(text: Column, compat: bool) -> Column:
         if compat or not short[0].isalpha():
             out = F.replace(out, F.lit(short), F.lit(full))
         else:
-            out = F.regexp_replace(out, rf"(?i)\b{short[:-1]}\.", full)
+            out = F.regexp_replace(out, rf"(?i)(?<![\p{{L}}\p{{N}}_]){short[:-1]}\.", full)
     out = F.lower(out)
     # Whole numbers are spelled digit by digit: marks around them make every second part a number.
-    parts = F.split(F.regexp_replace(out, r"(?<!\w)(\d+)(?!\w)", "\u0001$1\u0001"), "\u0001", -1)
+    parts = F.split(F.regexp_replace(out, r"(?<![\p{L}\p{N}_])([0-9]+)(?![\p{L}\p{N}_])", "\u0001$1\u0001"), "\u0001", -1)
 
     def spell(part: Column, i: Column) -> Column:
         one = part
@@ -134,10 +141,10 @@ def _plain(text: Column, compat: bool) -> Column:
     return squeeze(F.regexp_replace(out, r"[^a-z0-9'\-.,!?;:()\[\] ]", " "))
 
 
-def split_tags(text: Column) -> tuple[Column, Column]:
-    """(text without known tags, the known tags in it in order)."""
-    known = "|".join(TAGS)
-    return squeeze(F.regexp_replace(text, known, " ")), F.regexp_extract_all(text, F.lit(f"({known})"), 1)
+def split_tags(text: Column, compat: bool = False) -> tuple[Column, Column]:
+    """(normalised text without tags, the known ones among them in order and in lower case)."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(TAG), 1), F.lower)
+    return normalize_text(F.regexp_replace(text, TAG, " "), compat, keep_tags=False), F.filter(found, lambda t: t.isin(TAGS))
 
 
 def scan_tags(text: Column, tags: list[str] = TAGS) -> Column:
@@ -146,13 +153,14 @@ def scan_tags(text: Column, tags: list[str] = TAGS) -> Column:
     return F.filter(F.array(*map(F.lit, tags)), lambda t: F.contains(low, t))
 
 
-def char_ids(text: Column, max_len: int | None = None, add_special: bool = True) -> Column:
-    """Ids of characters; white space that has no id is passed over, other unknown characters are 1."""
-    first = len(SPECIAL) + len(TAGS)
+def char_ids(text: Column, max_len: int | None = None, add_special: bool = True, phonemes: bool = False) -> Column:
+    """Ids of characters; white space that has no id is passed over, other unknown characters are 1. phonemes: the
+    symbols of IPA have ids as well, after the characters'."""
+    first, symbols = len(SPECIAL) + len(TAGS), CHARS + (IPA if phonemes else "")
     chars = F.filter(F.split(text, ""), lambda c: (c != "") & ((c == " ") | ~c.rlike(r"^\s$")))
 
     def number(c: Column) -> Column:
-        at = F.position(c, F.lit(CHARS))
+        at = F.position(c, F.lit(symbols))
         return F.when(at > 0, at + (first - 1)).otherwise(1)
 
     ids = F.transform(chars, number)
@@ -161,10 +169,11 @@ def char_ids(text: Column, max_len: int | None = None, add_special: bool = True)
     return ids if max_len is None else F.slice(ids, 1, max_len)
 
 
-def from_char_ids(ids: Column) -> Column:
-    """Text of ids, without pad, start and end; an unknown character reads <unk>."""
-    symbols = F.array(*[F.lit(s) for s in [*SPECIAL, *TAGS, *CHARS]])
-    return F.array_join(F.transform(F.filter(ids, lambda i: ~i.isin(0, 2, 3)), lambda i: F.element_at(symbols, i + 1)), "")
+def from_char_ids(ids: Column, phonemes: bool = False) -> Column:
+    """Text of ids, without pad, start and end and ids that don't exist; an unknown character reads <unk>."""
+    names = [*SPECIAL, *TAGS, *CHARS, *(IPA if phonemes else "")]
+    symbols = F.array(*map(F.lit, names))
+    return F.array_join(F.transform(F.filter(ids, lambda i: ~i.isin(0, 2, 3) & (i < len(names))), lambda i: F.element_at(symbols, i + 1)), "")
 
 
 def wer_tokens(text: Column) -> Column:
@@ -182,10 +191,13 @@ def match_key(text: Column, mode: str = "letters") -> Column:
 def word_error_rate(ref: Column, hyp: Column) -> Column:
     """Edit distance of the token sequences over the reference's length; an empty reference gives 0 or 1.
 
-    Each distinct token of the pair becomes one character, so the built-in edit distance counts tokens.
+    Each distinct token of the pair becomes one character, so the built-in edit distance counts tokens. There are
+    characters for over a million of them.
     """
     def coded(tokens: Column, both: Column) -> Column:
-        return F.array_join(F.transform(tokens, lambda t: F.decode(F.unhex(F.lpad(F.hex(F.array_position(both, t)), 4, "0")), "UTF-16BE")), "")
+        place = lambda t: F.array_position(both, t)
+        code = lambda t: F.when(place(t) < 0xD800, place(t)).otherwise(place(t) + 0x800)  # noqa: E731  surrogates are no characters
+        return F.array_join(F.transform(tokens, lambda t: F.decode(F.unhex(F.lpad(F.hex(code(t)), 8, "0")), "UTF-32")), "")
 
     def distance(p: Column) -> Column:
         edits = let(F.array_distinct(F.concat(p["a"], p["b"])), lambda both: F.levenshtein(coded(p["a"], both), coded(p["b"], both)))
@@ -219,16 +231,18 @@ CONNECTIVES = ["and", "but", "which", "while", "because", "when", "that"]
 
 def variants(sentence: Column) -> Column:
     """Other readings of a sentence with the same words: its last mark changed, and, if it is longer than 60
-    characters, a comma before the first connective after the 20th."""
+    characters, a comma before the first connective after the 20th, in place of the blank before it."""
     text = F.trim(sentence)
     stem = F.regexp_replace(text, r"[.!?]$", "")
-    comma = F.regexp_replace(text, rf"^(.{{20,}}?) ?\b({'|'.join(CONNECTIVES)})\b", "$1, $2")
+    tail = F.substr(text, F.lit(21))
+    put = F.regexp_replace(tail, rf"(?s)^(.*?)\b({'|'.join(CONNECTIVES)})\b", "$1,$2")
+    comma = F.replace(F.concat(F.substring(text, 1, 20), put), F.lit(" ,"), F.lit(","))
     return F.array_compact(
         F.array(
             F.when(text.endswith("."), F.concat(stem, F.lit("!"))),
             F.when(text.endswith("."), F.concat(stem, F.lit("?"))),
             F.when(text.rlike(r"[!?]$"), F.concat(stem, F.lit("."))),
-            F.when((F.length(text) > 60) & (comma != text), comma),
+            F.when((F.length(text) > 60) & (put != tail), comma),
         )
     )
 

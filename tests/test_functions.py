@@ -32,7 +32,7 @@ def test_prose(spark, text, want):
 
 
 def test_normalize(spark):
-    assert one(spark, "Hello — “World” 42 & x9 dr. Who’s <b>!", T.normalize_text(X)) == "hello - world four two and x9 doctor who's b !"
+    assert one(spark, "Hello — “World” 42 & x9 dr. Who’s <b>!", T.normalize_text(X)) == "hello - world four two and x9 doctor who's <b> !"
     assert one(spark, "The best. Mr. X", T.normalize_text(X)) == "the best. mister x"
     assert one(spark, "The best. Mr. X", T.normalize_text(X, compat=True)) == "the besaint mr. x"
     assert one(spark, None, T.normalize_text(X)) is None
@@ -46,10 +46,29 @@ def test_nfkc(spark):
 def test_normalize_folds_and_keeps_tags(spark):
     text = "ﬁne Ｎｏ １２ x② <Laugh>Mr. Y <big_sigh>  7 <x9> ﹤b﹥<B>"
     assert one(spark, text, T.normalize_text(X, keep_tags=True)) == "fine no one two x2 <laugh> mister y <big_sigh> seven x9 <b> <b>"
-    assert one(spark, text, T.normalize_text(X)) == "fine no one two x2 laugh mister y big sigh seven x9 b b"
+    assert one(spark, text, T.normalize_text(X, keep_tags=False)) == "fine no one two x2 laugh mister y big sigh seven x9 b b"
     assert one(spark, None, T.normalize_text(X, keep_tags=True)) is None
 
 
+def test_split_tags(spark):
+    text = "<LAUGH> Say <odd>42 <sigh>é5 <Laugh>"
+    plain, tags = T.split_tags(X)
+    assert one(spark, text, plain) == "say four two 5" and one(spark, text, tags) == ["<laugh>", "<sigh>", "<laugh>"]
+    assert one(spark, None, plain) is None and one(spark, "", tags) == []
+
+
+def test_phoneme_ids(spark):
+    ids = one(spark, "a ˈəʊ̩", T.char_ids(X, phonemes=True))
+    assert 1 not in ids and one(spark, ids, T.from_char_ids(X, phonemes=True), "array<int>") == "a ˈəʊ̩"
+    assert one(spark, "ˈə", T.char_ids(X)) == [2, 1, 1, 3]
+    assert one(spark, [29, 10_000], T.from_char_ids(X), "array<int>") == "a"
+
+
+def test_stretches(spark):
+    assert one(spark, "It is 3.5 now.. Go!\nOn? tail", T.stretches(X)) == ["It is 3.", "5 now.", " Go!", " On?"]
+    assert one(spark, "", T.stretches(X)) == [] and one(spark, None, T.stretches(X)) is None
+
+
 def test_ids_round_trip(spark):
     ids = one(spark, "ab é\t.", T.char_ids(X))
     assert ids[0] == 2 and ids[-1] == 3 and ids.count(1) == 1 and len(ids) == 7
@@ -81,10 +100,10 @@ def test_pairwise(spark):
 def test_variants_tags_mix_and_lines(spark):
     assert one(spark, "We went home.", T.variants(X)) == ["We went home!", "We went home?"]
     long = "It was a long and winding road to the sea, everyone said so and left."
-    assert one(spark, long, T.variants(X))[-1] == "It was a long and winding road to the sea, everyone said so, and left."
+    assert one(spark, long, T.variants(X))[-1] == "It was a long and winding road to the sea, everyone said so,and left."
     assert one(spark, "", T.variants(X)) == []
     clean, tags = T.split_tags(X)
-    assert one(spark, "a <laugh> b <x>", clean) == "a b <x>" and one(spark, "a <laugh> b <x>", tags) == ["<laugh>"]
+    assert one(spark, "a <laugh> b <x>", clean) == "a b" and one(spark, "a <laugh> b <x>", tags) == ["<laugh>"]
     assert one(spark, "a=.6, b", T.parse_mix(X)) == {"a": 0.6, "b": 1.0}
     line = one(spark, "[gate] step 12: FLOW-TERM text dependence -3.5%", T.parse_gate_line(X))
     assert (line.step, line.percent) == (12, -3.5) and one(spark, "none", T.parse_gate_line(X)) is None
