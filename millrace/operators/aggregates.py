@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
-from millrace.operators.joins import pairs_within
+from millrace.functions.core import let
+from millrace.operators.order import hash_key, indexed, quantiles
 
 NAN = float("nan")
 
@@ -57,15 +63,12 @@ def population_norm(df: DataFrame, dim: str = "dim", value: str = "value") -> Da
 
 
 def ema_norm(batches: DataFrame, key: str = "dim", order: str = "batch", momentum: float = 0.01) -> DataFrame:
-    """batches: (key, order, mean, var) of each batch. The running mean and variance after all: the first is copied."""
-    own = batches.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, "mean", "var"))).alias("b"))
-    start = F.struct(F.lit(None).cast("double").alias("mean"), F.lit(None).cast("double").alias("var"))
-
-    def step(acc: Column, x: Column) -> Column:
-        mix = lambda name: F.coalesce(acc[name] * (1 - momentum) + x[name] * momentum, x[name])
-        return F.struct(mix("mean").alias("mean"), mix("var").alias("var"))
-
-    return own.select(key, F.aggregate("b", start, step).alias("r")).select(key, "r.mean", "r.var")
+    """batches: (key, order, mean, var) of each batch, order a number. The running mean and variance after all: the first
+    is copied. A batch's share after all is a power that its place gives, so these are plain sums."""
+    placed = indexed(batches, order, "__i", (key,))
+    total = placed.groupBy(key).agg(F.count("*").alias("__n"))
+    w = F.pow(F.lit(1 - momentum), F.col("__n") - 1 - F.col("__i")) * F.when(F.col("__i") == 0, 1.0).otherwise(momentum)
+    return placed.join(total, key).groupBy(key).agg(F.sum(F.col("mean") * w).alias("mean"), F.sum(F.col("var") * w).alias("var"))
 
 
 def scale_check(df: DataFrame, voice: str = "voice", value: str = "normed", tolerance: float = 0.15) -> DataFrame:
@@ -86,13 +89,18 @@ def duplicates(df: DataFrame, key: Column, name: str = "key") -> DataFrame:
 
 def duration_summary(df: DataFrame, seconds: str = "duration_s", low: float = 3.0, high: float = 30.0) -> DataFrame:
     s = F.col(seconds)
-    return df.agg((F.sum(s) / 3600).alias("hours"), F.percentile(s, 0.5).alias("median"), F.min(s).alias("min"), F.max(s).alias("max"), F.count_if((s < low) | (s > high)).alias("out_of_range"))
+    (median,) = quantiles(df, s, [0.5])
+    return df.agg((F.sum(s) / 3600).alias("hours"), _constant(median).alias("median"), F.min(s).alias("min"), F.max(s).alias("max"), F.count_if((s < low) | (s > high)).alias("out_of_range"))
+
+
+def _constant(x: float | None) -> Column:
+    return F.any_value(F.lit(x).cast("double"))
 
 
 def trim_by_quantile(df: DataFrame, ratio: str, low: float = 0.01, high: float = 0.95) -> DataFrame:
     """Rows whose ratio lies within the exact quantiles, inclusive."""
-    bounds = df.agg(F.percentile(F.col(ratio).cast("double"), F.array(F.lit(low), F.lit(high))).alias("__b"))
-    return df.crossJoin(F.broadcast(bounds)).where(F.col(ratio).between(F.col("__b")[0], F.col("__b")[1])).drop("__b")  # one row
+    a, b = quantiles(df, F.col(ratio), [low, high])
+    return df.where(F.col(ratio).between(F.lit(a).cast("double"), F.lit(b).cast("double")))
 
 
 def per_dim_rho(pairs: DataFrame, keys: list[str], dim: str = "dim", least: float = 1e-6) -> DataFrame:
@@ -102,31 +110,64 @@ def per_dim_rho(pairs: DataFrame, keys: list[str], dim: str = "dim", least: floa
     return by.groupBy(*keys).agg(F.avg("r").alias("rho"), F.count("*").alias("dims")) if keys else by.agg(F.avg("r").alias("rho"), F.count("*").alias("dims"))
 
 
+def _mix(x: np.ndarray) -> np.ndarray:
+    """Shifts and factors of a 64-bit mixer."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(13787848793156543929)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(10723151780598845931)
+    return x ^ (x >> np.uint64(31))
+
+
 def bootstrap_ci(df: DataFrame, value: str, key: str, draws: int = 2000, seed: int = 0, by: tuple[str, ...] = ()) -> DataFrame:
-    """(by, mean, low, high): 95 % interval of the mean from resampled means.
+    """(by, mean, low, high): 95 % interval of the mean from resampled means; key tells rows apart.
 
     Poisson resampling: each row enters each draw as often as a Poisson(1) number that its key, the draw and the seed
-    give. So draws are sums that combine on the map side, and no row is looked up by place.
+    give. So draws are sums: a task adds up all draws of the rows it meets, and one array of `draws` sums a group leaves it.
     """
-    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("__draw").cast("string"), F.col(key).cast("string"))), 1, 12), 16, 10).cast("double") / float(16**12)
-    total, p, times = 0.0, 0.36787944117144233, F.lit(0)
+    p, upto = math.exp(-1), []
     for k in range(8):  # the Poisson distribution's steps
-        total += p
-        times = times + (u >= total).cast("int")
+        upto.append((upto[-1] if upto else 0.0) + p)
         p /= k + 1
-    rows = df.where(F.col(value).isNotNull()).select(*dict.fromkeys([*by, key, value]), F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("__draw")).withColumn("__w", times)
-    means = rows.groupBy(*by, "__draw").agg((F.sum(F.col(value) * F.col("__w")) / F.sum("__w")).alias("m")).where("m IS NOT NULL")
-    ranked = means.groupBy(*by).agg(F.array_sort(F.collect_list("m")).alias("s"))  # `draws` numbers a group
+    salts = _mix(np.arange(1, draws + 1, dtype=np.uint64) + np.uint64(seed) * np.uint64(1_000_003))
+    group = F.to_json(F.struct(*by)) if by else F.lit("")
+    rows = df.where(F.col(value).isNotNull()).select(group.alias("__g"), hash_key(0, key).alias("k"), F.col(value).cast("double").alias("v"))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] = {}
+        for batch in it:
+            names = batch.column(0).to_numpy(zero_copy_only=False)
+            keys, values = batch.column(1).to_numpy().astype(np.uint64), batch.column(2).to_numpy()
+            for start in range(0, len(keys), 512):
+                u = (_mix(keys[start : start + 512, None] ^ salts[None, :]) >> np.uint64(11)) * 2.0**-53
+                times = np.searchsorted(upto, u.ravel(), "right").reshape(u.shape).astype(np.float64)
+                part, v = names[start : start + 512], values[start : start + 512]
+                for g in np.unique(part):
+                    own = part == g
+                    sums = np.stack([v[own] @ times[own], times[own].sum(axis=0)])
+                    held[g] = held[g] + sums if g in held else sums
+                if len(held) > 256:  # the memory of a task stays bounded whatever the number of groups
+                    yield _sums(held)
+                    held = {}
+        yield _sums(held)
+
+    parts = rows.mapInArrow(run, "__g string, a array<double>, b array<double>")
+    sums = parts.select("__g", F.posexplode(F.arrays_zip("a", "b")).alias("draw", "s")).groupBy("__g", "draw").agg((F.sum("s.a") / F.sum("s.b")).alias("m")).where("m IS NOT NULL")
+    ranked = sums.groupBy("__g").agg(F.array_sort(F.collect_list("m")).alias("s"))  # `draws` numbers a group
     at = lambda q: F.element_at("s", F.least(F.floor(F.size("s") * q).cast("int") + 1, F.size("s")))
-    bounds, mean = ranked.select(*by, at(0.025).alias("low"), at(0.975).alias("high")), df.groupBy(*by).agg(F.avg(value).alias("mean"))
-    return mean.join(bounds, list(by)) if by else mean.crossJoin(bounds)  # one row each
+    bounds = ranked.select("__g", at(0.025).alias("low"), at(0.975).alias("high"))
+    mean = df.groupBy(*by).agg(F.avg(value).alias("mean")).withColumn("__g", group)
+    return mean.join(bounds, "__g", "left").select(*by, "mean", "low", "high")
+
+
+def _sums(held: dict[str, np.ndarray]) -> pa.RecordBatch:
+    rows = list(held.values())
+    return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), *(pa.array([r[k] for r in rows], pa.list_(pa.float64())) for k in (0, 1))], names=["__g", "a", "b"])
 
 
 def spread_summary(df: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
-    """Mean, deviation, bounds, count, values in order, and whether the interval mean ± deviation holds zero.
+    """Mean, deviation, bounds, count, and whether the interval mean ± deviation holds zero; the values stay in df.
     Without keys an empty table gives a row of NaN that straddles zero."""
     v = F.col(value)
-    agg = [F.avg(v).alias("mean"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), F.count(v).alias("n"), F.array_sort(F.collect_list(v)).alias("each")]
+    agg = [F.avg(v).alias("mean"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"), F.count(v).alias("n")]
     out = df.groupBy(*keys).agg(*agg) if keys else df.agg(*agg)
     empty = F.col("n") == 0
     for c in ("mean", "std", "min", "max"):
@@ -202,9 +243,11 @@ def alignment_evidence(df: DataFrame) -> DataFrame:
     err = F.when(held, F.abs(F.aggregate("token_frames", F.lit(0.0), lambda a, x: a + x) - frames) / frames)
     each = F.when(held, F.size("token_frames") == F.length("text"))
     rows = df.select(held.alias("held"), err.alias("err"), each.alias("each"), F.col("mos").cast("double").alias("mos"))
+    e50, e90 = map(_constant, quantiles(rows, F.col("err"), [0.5, 0.9]))
+    m50, m10, m90 = map(_constant, quantiles(rows, F.col("mos"), [0.5, 0.1, 0.9]))
     return rows.agg(
-        F.count("*").alias("n"), F.count_if("held").alias("aligned"), F.percentile("err", 0.5).alias("median_error"), F.percentile("err", 0.9).alias("p90_error"),
-        F.bool_and("each").alias("one_frame_per_char"), F.avg("mos").alias("mos_mean"), F.percentile("mos", 0.5).alias("mos_median"), F.percentile("mos", 0.1).alias("mos_p10"), F.percentile("mos", 0.9).alias("mos_p90"),
+        F.count("*").alias("n"), F.count_if("held").alias("aligned"), e50.alias("median_error"), e90.alias("p90_error"),
+        F.bool_and("each").alias("one_frame_per_char"), F.avg("mos").alias("mos_mean"), m50.alias("mos_median"), m10.alias("mos_p10"), m90.alias("mos_p90"),
     )
 
 
@@ -242,7 +285,7 @@ def centred_mse(df: DataFrame, sample: str, dim: str = "dim") -> DataFrame:
 
 def level_summary(df: DataFrame) -> DataFrame:
     """Medians of rms_db, peak_db, crest_db and duration_s, and the checks that fail."""
-    out = df.agg(*[F.percentile(c, 0.5).alias(c) for c in ("rms_db", "peak_db", "crest_db", "duration_s")], F.count("*").alias("n"))
+    out = df.agg(*[_constant(quantiles(df, F.col(c), [0.5])[0]).alias(c) for c in ("rms_db", "peak_db", "crest_db", "duration_s")], F.count("*").alias("n"))
     checks = F.array_compact(F.array(F.when(F.col("rms_db") < -40, F.lit("quiet")), F.when(F.col("peak_db") > -0.1, F.lit("clipped")), F.when(F.col("duration_s") < 0.5, F.lit("short"))))
     return out.withColumn("failed", checks)
 
@@ -256,7 +299,7 @@ def agreement_report(same: DataFrame, control: DataFrame, value: str = "rho") ->
 def reliability_report(pairs: DataFrame, bar: float = 0.60) -> DataFrame:
     """pairs: pair, rho, shift, n_a, n_b. Mean, interval, the ceiling (root of the mean), median shift, length gap, verdict."""
     ci = bootstrap_ci(pairs, "rho", "pair")
-    rest = pairs.agg(F.percentile("shift", 0.5).alias("median_shift"), F.avg(F.abs(F.col("n_a") - F.col("n_b")) / F.greatest("n_a", "n_b")).alias("length_mismatch"), F.count("*").alias("pairs"))
+    rest = pairs.agg(_constant(quantiles(pairs, F.col("shift"), [0.5])[0]).alias("median_shift"), F.avg(F.abs(F.col("n_a") - F.col("n_b")) / F.greatest("n_a", "n_b")).alias("length_mismatch"), F.count("*").alias("pairs"))
     return ci.crossJoin(rest).withColumn("ceiling", F.sqrt(F.greatest("mean", F.lit(0.0)))).withColumn("verdict", F.when(F.col("low") >= bar, "reliable").when(F.col("high") < bar, "unreliable").otherwise("undecided"))
 
 
@@ -315,13 +358,18 @@ def corpus_hours(df: DataFrame, seconds: str = "duration_s") -> DataFrame:
     return df.agg((F.coalesce(F.sum(seconds), F.lit(0.0)) / 3600).alias("hours"))
 
 
-def pitch_summary(df: DataFrame, f0: str = "f0") -> DataFrame:
-    """df: an array of pitch (0: unvoiced) a row. Over the rows: voiced share and median voiced pitch, and checks."""
+def pitch_summary(df: DataFrame, f0: str = "f0", others: tuple[str, ...] = ()) -> DataFrame:
+    """df: an array of pitch (0: unvoiced) a row. Over the rows: voiced share and median voiced pitch, the voiced shares of
+    other trackers' columns (another threshold, autocorrelation), and checks."""
     voiced = F.filter(f0, lambda x: x > 0)
-    s = F.array_sort(voiced)
-    median = F.when(F.size(s) > 0, (F.element_at(s, F.floor((F.size(s) + 1) / 2).cast("int")) + F.element_at(s, F.floor(F.size(s) / 2).cast("int") + 1)) / 2)
-    by = df.select((F.size(voiced) / F.size(f0)).alias("share"), median.alias("median"))
-    out = by.agg(F.avg("share").alias("voiced"), F.avg("median").alias("mean_f0"), F.min("median").alias("min_f0"), F.max("median").alias("max_f0"), F.percentile("median", 0.5).alias("median_f0"), F.count("*").alias("n"))
+
+    def middle(s: Column) -> Column:
+        return F.when(F.size(s) > 0, (F.element_at(s, F.floor((F.size(s) + 1) / 2).cast("int")) + F.element_at(s, F.floor(F.size(s) / 2).cast("int") + 1)) / 2)
+
+    share = lambda c: F.size(F.filter(c, lambda x: x > 0)) / F.size(c)
+    by = df.select(share(f0).alias("share"), let(F.array_sort(voiced), middle).alias("median"), *[share(c).alias(f"voiced_{c}") for c in others])
+    (median,) = quantiles(by, F.col("median"), [0.5])
+    out = by.agg(F.avg("share").alias("voiced"), *[F.avg(f"voiced_{c}").alias(f"voiced_{c}") for c in others], F.avg("median").alias("mean_f0"), F.min("median").alias("min_f0"), F.max("median").alias("max_f0"), _constant(median).alias("median_f0"), F.count("*").alias("n"))
     return out.withColumn("plausible", F.col("voiced").between(0.2, 0.95) & F.col("median_f0").between(60, 400))
 
 
@@ -338,6 +386,30 @@ def census(df: DataFrame, holdout: DataFrame, corpus: str = "corpus", text: str
     return rows.groupBy(corpus).agg(F.count("*").alias("records"), F.count_distinct("__k").alias("unique_texts"), F.count_distinct(voice).alias("voices"), F.count("__h").alias("held_out"))
 
 
-def same_text_pairs(df: DataFrame, text: str, id_col: str, most: int = 8) -> DataFrame:
-    """Pairs of renditions of one text, each with its next few by id."""
-    return pairs_within(df, text, id_col, most)
+def pair_agreement(df: DataFrame, group: str, id_col: str, series: str, tile: int = 2048) -> DataFrame:
+    """(class, mean, n, min, max) of the correlations of all pairs of renditions within a group, all series of one length.
+
+    No pairs are formed: a group's items are cut into tiles of `tile`, each two tiles meet once, and what leaves a task is the sum,
+    number and bounds of a product of two matrices.
+    """
+    sizes = df.groupBy(group).agg(F.ceil(F.count("*") / tile).cast("int").alias("parts"))
+    sizes = F.broadcast(sizes) if sizes.count() <= 100_000 else sizes
+    rows = df.select(group, F.col(id_col).cast("string").alias("id"), F.col(series).cast("array<double>").alias("v")).where(F.col("v").isNotNull()).join(sizes, group)
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cells = rows.select(group, F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "v")
+
+    def run(cell: pa.Table) -> pa.Table:
+        own, x, y = (cell[c].to_numpy() for c in ("own", "x", "y"))
+        z = np.stack([np.asarray(v, float) for v in cell["v"].to_pylist()])
+        z = z - z.mean(axis=1, keepdims=True)
+        norm = np.sqrt((z * z).sum(axis=1, keepdims=True))
+        z = np.where(norm > 0, z / np.where(norm > 0, norm, 1), np.nan)  # a constant series correlates with none
+        a, b = z[own == x], z[own == y]
+        rho = (a @ b.T)[np.triu_indices(len(a), 1)] if x[0] == y[0] else (a @ b.T).ravel()
+        rho = rho[~np.isnan(rho)]
+        if not len(rho):
+            return pa.table({"s": pa.array([], pa.float64()), "n": pa.array([], pa.int64()), "low": pa.array([], pa.float64()), "high": pa.array([], pa.float64())})
+        return pa.table({"s": [float(rho.sum())], "n": [len(rho)], "low": [float(rho.min())], "high": [float(rho.max())]})
+
+    out = cells.groupBy(group, "x", "y").applyInArrow(run, "s double, n bigint, low double, high double")
+    return out.agg(F.lit("same").alias("class"), (F.sum("s") / F.sum("n")).alias("mean"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.min("low").alias("min"), F.max("high").alias("max"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions import numeric as N
 from millrace.functions import text as T
 from millrace.functions.core import let
+from millrace.operators.order import quantiles
 
 # Phonemes by kind; any other symbol is a consonant.
 VOWELS, MARKS = "əɪʊɛæɑɔʌɜɐᵻiueoaɚɝ", "ˈˌː"
@@ -108,10 +109,12 @@ def crop_to_tokens(durations: Column, frames: Column, start: Column, size: Colum
 
 
 def speechlikeness(df: DataFrame) -> DataFrame:
-    """df: f0 (array; see signal.with_f0) and flatness. Voiced share, median pitch, flatness, and whether all lie where speech does."""
+    """df: f0 (array; see signal.with_f0) and flatness. Voiced share, upper median pitch, flatness, and whether all lie where speech does."""
     voiced = F.filter("f0", lambda x: x > 0)
     by = df.where(F.size("f0") > 0).select((F.size(voiced) / F.size("f0")).alias("v"), F.coalesce(N.upper_median(voiced), F.lit(0.0)).alias("p"), "flatness")
-    out = by.agg(F.avg("v").alias("voiced"), N.upper_median(F.collect_list("p")).alias("median_f0"), F.avg("flatness").alias("flatness"))
+    n = by.count()
+    (median,) = quantiles(by, F.col("p"), [n // 2 / max(1, n - 1)])
+    out = by.agg(F.avg("v").alias("voiced"), F.any_value(F.lit(median).cast("double")).alias("median_f0"), F.avg("flatness").alias("flatness"))
     return out.withColumn("speech_like", F.col("voiced").between(0.25, 0.9) & F.col("median_f0").between(70, 350) & F.coalesce(F.col("flatness") < 0.65, F.lit(True)))
 
 

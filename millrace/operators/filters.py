@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
+from millrace.operators.order import running
 
 
 @dataclass(frozen=True)
@@ -62,14 +63,25 @@ def asr_gate(df: DataFrame, transcripts: str = "transcripts", max_wer: float = 0
     return df.withColumn("keep", F.col("keep") & ~bad)
 
 
+# A sentence's characters, its longest word and the longest line.
+PLAIN, LONGEST_WORD, LONGEST_LINE = r"^[A-Za-z][A-Za-z ,;:'\-()]*[.!?]$", 16, 400
+
+
 def sentences(df: DataFrame, text: str = "text", min_words: int = 8, max_words: int = 22) -> DataFrame:
     """Explodes text into usable sentences: adds pos (the sentence's place) and sentence."""
-    out = df.select("*", F.posexplode(F.split(F.col(text), r"(?<=[.!?])\s+")).alias("pos", "raw"))
-    line = T.squeeze(F.col("raw"))
-    out = out.withColumn("line", line).where((F.col("line") != "") & (F.length("line") <= 400))
-    out = out.withColumn("sentence", T.squeeze(F.regexp_replace(F.replace("line", F.lit("_"), F.lit(" ")), "--", ", ")))
-    ok = F.col("sentence").rlike(r"^[A-Za-z][A-Za-z ,;:'\-()]*[.!?]$") & F.forall(T.words(F.col("sentence")), lambda w: F.length(w) <= 16)
-    return out.where(ok & T.is_usable_prompt(F.col("sentence"), min_words, max_words)).drop("raw", "line")
+    raw = df.select("*", F.posexplode(F.split(F.col(text), r"(?<=[.!?])\s+")).alias("pos", "__raw"))
+    raw = raw.where((F.length("__raw") >= 2 * min_words) & F.col("__raw").rlike(r"[.!?][\s_]*$"))  # cheap, and true of all that stay
+
+    def cleaned(line: Column) -> Column:
+        spoken = T.squeeze(F.regexp_replace(F.replace(line, F.lit("_"), F.lit(" ")), "--", ", "))
+        return F.when((line != "") & (F.length(line) <= LONGEST_LINE), spoken)
+
+    def good(s: Column) -> Column:
+        return s.rlike(PLAIN) & T.is_usable_prompt(s, min_words, max_words) & F.forall(T.words(s), lambda w: F.length(w) <= LONGEST_WORD)
+
+    # An array of none or one, so that each step is computed once however often it is named.
+    one = F.filter(F.transform(F.array(T.squeeze(F.col("__raw"))), cleaned), lambda s: F.coalesce(good(s), F.lit(False)))
+    return raw.withColumn("sentence", F.explode(one)).drop("__raw")
 
 
 # Speaker lines, stage directions and boilerplate of plays.
@@ -115,7 +127,8 @@ def registry(spark: SparkSession) -> DataFrame:
 
 
 def licence_gate(df: DataFrame, registry: DataFrame, name: str = "teacher", acknowledged: bool = False, strict: bool = False) -> DataFrame:
-    """Rows whose teacher is in the registry (name, restricted) and free, or acknowledged. strict: others are an error."""
+    """Rows whose teacher is in the registry (name, restricted) and free, or acknowledged. strict: others are an error.
+    A registry is a configured list of a few hundred names at most, and is broadcast as such."""
     known = F.broadcast(registry.select(F.col("name").alias("__name"), "restricted"))
     joined = df.join(known, F.col(name) == F.col("__name"), "left")
     bad = F.col("__name").isNull() | (F.coalesce("restricted", F.lit(True)) & F.lit(not acknowledged))
@@ -149,10 +162,10 @@ def varied_dims(df: DataFrame, dim: str, value: str, least: float = 1e-6) -> Dat
 
 
 def cap_share(df: DataFrame, shard: str, teacher: str, share: float, order: str) -> DataFrame:
-    """At most so large a share of a shard's rows from one teacher, the first by order staying."""
+    """At most so large a share of a shard's rows from one teacher, the first by order (a number) staying."""
     every = df.groupBy(shard).agg(F.count("*").alias("__n"))
-    ranked = df.withColumn("__r", F.row_number().over(Window.partitionBy(shard, teacher).orderBy(order)))
-    return ranked.join(every, shard).where(F.col("__r") <= F.floor(F.col("__n") * share)).select(df.columns)
+    every = F.broadcast(every) if every.count() <= 100_000 else every
+    return running(df, order, "__r", None, (shard, teacher)).join(every, shard).where(F.col("__r") <= F.floor(F.col("__n") * share)).select(df.columns)
 
 
 def flag_disagreement(df: DataFrame, max_spread: float, text: str = "text", wer: str = "wer") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.operators.order import indexed
+from millrace.operators.order import hash_key, indexed
 
 
 def attach_share(df: DataFrame, mix: DataFrame, name: str = "teacher") -> DataFrame:
@@ -97,39 +97,41 @@ def frames_in_span(frames: DataFrame, spans: DataFrame, key: str, frame: str = "
     return joined.where((F.col(frame) >= F.col(start)) & (F.col(frame) < F.col(stop))).drop("__b")
 
 
-def _mix_hash(seed: int, *cols: str) -> Column:
-    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols]))
+def _sized(df: DataFrame, key: str) -> DataFrame:
+    """(key, size): rows of each key; broadcast if the keys, counted first, are few."""
+    sizes = df.groupBy(key).agg(F.count("*").alias("size"))
+    return F.broadcast(sizes) if sizes.count() <= 100_000 else sizes
 
 
 def positive_pair(df: DataFrame, key: str, id_col: str, seed: int = 0) -> DataFrame:
     """(id, partner): another item of the same key, itself if it is alone.
 
     Items of a key are put on a ring in hash order; the partner is the next one. So each item is drawn
-    once and no key's pairs are formed.
+    once, no key's pairs are formed, and items meet by key and place, so that a hot key is spread.
     """
-    ring = df.select(key, id_col).withColumn("h", _mix_hash(seed, id_col))
-    order = Window.partitionBy(key).orderBy("h", id_col)
-    first = F.first(id_col).over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return ring.select(F.col(id_col).alias("id"), key, F.coalesce(F.lead(id_col).over(order), first).alias("partner"))
+    rows = df.select(key, id_col).withColumn("__h", hash_key(seed, id_col))
+    ring = indexed(rows, "__h", "__i", (key,), (id_col,)).join(_sized(df, key), key)
+    after = ring.select(key, (F.col("__i") - 1).alias("__i"), F.col(id_col).alias("partner"))
+    first = ring.where("__i = 0").select(key, (F.col("size") - 1).alias("__i"), F.col(id_col).alias("partner"))
+    return ring.join(after.where("__i >= 0").unionByName(first), [key, "__i"]).select(F.col(id_col).alias("id"), key, "partner")
 
 
 def negative_pair(df: DataFrame, key: str, id_col: str, seed: int = 0) -> DataFrame:
-    """(id, partner): an item of another key, over all other keys; null if there is none.
+    """(id, partner, other_key): an item of another key, over all other keys; null if there is none.
 
     The other key is the item's hash's pick among all other keys (a small table), the partner that key's item of
     the item's hashed place.
     """
-    ranked = df.select(key, id_col).withColumn("n", F.row_number().over(Window.partitionBy(key).orderBy(_mix_hash(seed, id_col), id_col)) - 1)
-    sizes = ranked.groupBy(key).agg(F.count("*").alias("size"))
-    keys = sizes.withColumn("k", F.row_number().over(Window.orderBy(key)) - 1).withColumn("keys", F.count("*").over(Window.partitionBy()))
-    own = ranked.join(keys, key)
-    draw = F.conv(F.substring(_mix_hash(seed + 1, id_col), 1, 12), 16, 10).cast("bigint")
-    pick = F.pmod(F.col("k") + 1 + F.pmod(draw, F.greatest(F.col("keys") - 1, F.lit(1))), F.col("keys"))
-    own = own.where("keys > 1").withColumn("other", pick).withColumn("draw", draw)
-    other = keys.select(F.col(key).alias("other_key"), F.col("size").alias("other_size"), F.col("k").alias("other"))
-    placed = own.join(other, "other").withColumn("place", F.pmod(F.floor(F.col("draw") / 65536), F.col("other_size")))
-    target = ranked.select(F.col(key).alias("other_key"), F.col("n").alias("place"), F.col(id_col).alias("partner"))
-    found = placed.join(target, ["other_key", "place"]).select(F.col(id_col).alias("id"), "partner", "other_key")
+    rows = df.select(key, id_col).withColumn("__h", hash_key(seed, id_col))
+    ranked = indexed(rows, "__h", "__n", (key,), (id_col,))
+    keys = df.groupBy(key).agg(F.count("*").alias("__size")).withColumn("__k", F.row_number().over(Window.orderBy(key)) - 1).withColumn("__keys", F.count("*").over(Window.partitionBy()))
+    small = F.broadcast if keys.count() <= 100_000 else lambda x: x
+    own = ranked.join(small(keys), key).where("__keys > 1").withColumn("__draw", hash_key(seed + 1, id_col))
+    own = own.withColumn("__other", F.pmod(F.col("__k") + 1 + F.pmod("__draw", F.greatest(F.col("__keys") - 1, F.lit(1))), F.col("__keys")))
+    other = keys.select(F.col(key).alias("other_key"), F.col("__size").alias("__other_size"), F.col("__k").alias("__other"))
+    placed = own.join(small(other), "__other").withColumn("__place", F.pmod(F.shiftright("__draw", 16), F.col("__other_size")))
+    target = ranked.select(F.col(key).alias("other_key"), F.col("__n").alias("__place"), F.col(id_col).alias("partner"))
+    found = placed.join(target, ["other_key", "__place"]).select(F.col(id_col).alias("id"), "partner", "other_key")
     return df.select(F.col(id_col).alias("id"), key).join(found, "id", "left")
 
 
@@ -143,10 +145,10 @@ def grid(prompts: DataFrame, voices: DataFrame, limit: int = 10_000) -> DataFram
 
 def control_pairs(df: DataFrame, id_col: str, n: int | None = 120, seed: int = 0) -> DataFrame:
     """(pair, a, b): disjoint pairs of items in hash order; the first n of them."""
-    hashed = df.select(id_col).withColumn("h", _mix_hash(seed, id_col)).withColumn("hn", F.conv(F.substring("h", 1, 12), 16, 10).cast("bigint"))
+    hashed = df.select(id_col).withColumn("h", hash_key(seed, id_col))
     if n is not None:
         hashed = hashed.orderBy("h", id_col).limit(2 * n)  # top-k: no full sort
-    ranked = indexed(hashed, "hn", "i", ties=("h", id_col), width=2**48 // 1024)
+    ranked = indexed(hashed, "h", "i", ties=(id_col,))
     even = ranked.where("i % 2 = 0").select(F.floor(F.col("i") / 2).alias("pair"), F.col(id_col).alias("a"))
     odd = ranked.where("i % 2 = 1").select(F.floor(F.col("i") / 2).alias("pair"), F.col(id_col).alias("b"))
     return even.join(odd, "pair")
@@ -163,10 +165,11 @@ def best_shift(a: DataFrame, b: DataFrame, key: str, window: int = 12, least: in
 
 
 def shuffled_control(df: DataFrame, batch: str, order: str, text: str = "text") -> DataFrame:
-    """Adds other_text: the text of the row before in the batch; the first row takes the last one's."""
-    w = Window.partitionBy(batch).orderBy(order)
-    last = F.last(text).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    return df.withColumn("other_text", F.coalesce(F.lag(text).over(w), last))
+    """Adds other_text: the text of the row before in the batch, by order (a number that tells its rows apart); the first
+    row takes the last one's. Rows meet by batch and place, so that one large batch is spread."""
+    placed = indexed(df, order, "__i", (batch,)).join(_sized(df, batch), batch)
+    before = placed.select(batch, F.pmod(F.col("__i") + 1, F.col("size")).alias("__i"), F.col(text).alias("other_text"))
+    return placed.join(before, [batch, "__i"]).select(*df.columns, "other_text")
 
 
 def zip_min(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:

@@ -1,22 +1,52 @@
-"""Ranks and running sums over a whole table or a hot group, without gathering it in one task.
+"""Ranks, running sums and quantiles over a whole table or a hot group, without gathering it in one task.
 
-Rows are cut into blocks of `width` consecutive values of a numeric key. Windows run inside a block; what
-comes before a block is added from a table with a row a block.
+Rows are cut into blocks between quantiles of a numeric key, so that a block holds about ROWS of them whatever the
+key's distribution. Windows run inside a block; what comes before a block is added from a table with a row a block.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-WIDTH = 100_000
+ROWS = 250_000  #: of a block
+BLOCKS = 8_192  #: at most
+
+
+def _cuts(df: DataFrame, key: str, rows: int) -> list[float]:
+    """Values between which the key's rows are about equally many; none for a table of one block."""
+    n = df.count()
+    blocks = min(BLOCKS, -(-n // rows))
+    if blocks < 2:
+        return []
+    return sorted(set(df.agg(F.percentile_approx(F.col(key).cast("double"), [i / blocks for i in range(1, blocks)], 10 * blocks)).first()[0]))
+
+
+def _block(key: Column, cuts: list[float]) -> Column:
+    """The number of cuts under the key, by bisection."""
+    table, key = F.lit(cuts), key.cast("double")
+
+    def halve(bounds: Column, _: Column) -> Column:
+        mid = F.floor((bounds["low"] + bounds["high"]) / 2).cast("int")
+        under = F.try_element_at(table, mid + 1) < key
+        return F.struct(F.when(under, mid + 1).otherwise(bounds["low"]).alias("low"), F.when(under, bounds["high"]).otherwise(mid).alias("high"))
 
+    steps = F.sequence(F.lit(1), F.lit(math.ceil(math.log2(len(cuts) + 1))))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.lit(len(cuts)).alias("high")), halve)["low"]
 
-def running(df: DataFrame, key: str, out: str, value: Column | None = None, group: tuple[str, ...] = (), ties: tuple[str, ...] = (), width: int = WIDTH) -> DataFrame:
+
+def running(df: DataFrame, key: str, out: str, value: Column | None = None, group: tuple[str, ...] = (), ties: tuple[str, ...] = (), rows: int = ROWS) -> DataFrame:
     """Adds out: the sum of value (1 if None, so a rank from 1) over the rows of the group up to this
     one in order of key, then ties. key must be numeric and not null; (key, ties) must tell rows apart."""
     value = F.lit(1).cast("bigint") if value is None else value
-    df = df.withColumn("__v", value).withColumn("__block", F.floor(F.col(key) / width))
+    cuts = _cuts(df, key, rows)
+    df = df.withColumn("__v", value)
+    if not cuts:
+        upto = Window.partitionBy(*group).orderBy(key, *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.withColumn(out, F.sum("__v").over(upto)).drop("__v")
+    df = df.withColumn("__block", _block(F.col(key), cuts))
     by = [*group, "__block"]
     inside = Window.partitionBy(*by).orderBy(key, *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     blocks = df.groupBy(*by).agg(F.sum("__v").alias("__s"))
@@ -27,6 +57,43 @@ def running(df: DataFrame, key: str, out: str, value: Column | None = None, grou
     return joined.withColumn(out, F.col("__in") + F.coalesce("__before", F.lit(0))).select(*[c for c in df.columns if c not in ("__v", "__block")], out)
 
 
-def indexed(df: DataFrame, key: str, out: str = "idx", group: tuple[str, ...] = (), ties: tuple[str, ...] = (), width: int = WIDTH) -> DataFrame:
+def indexed(df: DataFrame, key: str, out: str = "idx", group: tuple[str, ...] = (), ties: tuple[str, ...] = (), rows: int = ROWS) -> DataFrame:
     """Adds out: each row's place from 0, in the table or its group."""
-    return running(df, key, out, None, group, ties, width).withColumn(out, F.col(out) - 1)
+    return running(df, key, out, None, group, ties, rows).withColumn(out, F.col(out) - 1)
+
+
+def hash_key(seed: int, *cols: str) -> Column:
+    """A number of 60 bits that orders rows at random, alike in each run."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in cols])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+
+
+def quantiles(df: DataFrame, value: Column, shares: list[float], most: int = 1_000_000, cells: int = 4096) -> list[float | None]:
+    """Exact quantiles (linear between neighbours) of the values that aren't null; nulls for an empty table.
+
+    A table of more than `most` values is cut into equal cells between its bounds; the cells that hold the ranks asked for are cut
+    again until they hold one value. Each round is a count by cell, combined on the map side; no task gets the values.
+    """
+    x = df.select(value.cast("double").alias("x")).where("x IS NOT NULL")
+    n, low, high = x.agg(F.count("*"), F.min("x"), F.max("x")).first()
+    if n <= most:
+        found = x.agg(F.percentile("x", F.array(*map(F.lit, map(float, shares))))).first()[0]
+        return list(found) if found is not None else [None] * len(shares)
+    at = [(n - 1) * s for s in shares]
+    known: dict[int, float] = {}
+    todo = {(low, high): (0, sorted({r for a in at for r in (math.floor(a), math.ceil(a))}))}  # bounds: rows below, ranks
+    while todo:
+        fresh = {}
+        for (low, high), (below, ranks) in todo.items():
+            inside = x.where(F.col("x").between(low, high))
+            cell = F.least(F.floor((F.col("x") - low) / ((high - low) or 1.0) * cells), F.lit(cells - 1))
+            counts = inside.groupBy(cell.alias("c")).agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).orderBy("c").collect()  # `cells` rows
+            for c in counts:
+                own = [r for r in ranks if below <= r < below + c["n"]]
+                if c["low"] == c["high"]:
+                    known |= dict.fromkeys(own, c["low"])
+                elif own:
+                    fresh[c["low"], c["high"]] = (below, own)
+                below += c["n"]
+        todo = fresh
+    return [known[math.floor(a)] + (known[math.ceil(a)] - known[math.floor(a)]) * (a - math.floor(a)) for a in at]

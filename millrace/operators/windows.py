@@ -58,7 +58,31 @@ def punctuate(words: Column, add_ms: float = 300.0) -> Column:
     return F.trim(F.regexp_replace(F.array_join(F.transform(words, one), " "), r"\s+", " "))
 
 
-SEGMENT = "struct<start:double,end:double,text:string>"
+def _cut_words(words: Column, min_s: float, max_s: float, gap_s: float) -> Column:
+    """array<struct(first, last, start, end)>: the segments' first and last words, by place from 0.
+
+    The fold holds the open segment's bounds; the list of segments grows once a segment, not once a word.
+    """
+    bounds = "struct<first:int,last:int,start:double,end:double>"
+    open_ = lambda first, last, start, end: F.struct(first.cast("int").alias("first"), last.cast("int").alias("last"), start.cast("double").alias("start"), end.cast("double").alias("end"))
+    none, nothing = F.lit(None).cast(bounds), F.array().cast(f"array<{bounds}>")
+
+    def add(acc: Column, w: Column) -> Column:
+        now, place = acc["now"], acc["place"]
+        close = ((w["start"] - now["end"] >= gap_s) & (now["end"] - now["start"] >= min_s)) | (w["end"] - now["start"] > max_s)
+        fresh, grown = open_(place, place, w["start"], w["end"]), open_(now["first"], place, now["start"], w["end"])
+        done = F.when(now.isNotNull() & close, F.array_append(acc["done"], now)).otherwise(acc["done"])
+        return F.struct(F.when(now.isNull() | close, fresh).otherwise(grown).alias("now"), (place + 1).cast("int").alias("place"), done.alias("done"))
+
+    def merge(acc: Column, s: Column) -> Column:
+        now = acc["now"]
+        short = now.isNotNull() & (s["end"] - s["start"] < min_s)
+        done = F.when(now.isNull() | short, acc["done"]).otherwise(F.array_append(acc["done"], now))
+        return F.struct(F.when(short, open_(now["first"], s["last"], now["start"], s["end"])).otherwise(s).alias("now"), done.alias("done"))
+
+    ended = lambda acc: F.when(acc["now"].isNull(), acc["done"]).otherwise(F.array_append(acc["done"], acc["now"]))
+    cut = F.aggregate(words, F.struct(none.alias("now"), F.lit(0).alias("place"), nothing.alias("done")), add, ended)
+    return F.aggregate(cut, F.struct(none.alias("now"), nothing.alias("done")), merge, ended)
 
 
 def segment_by_words(words: Column, min_s: float = 3.0, max_s: float = 15.0, gap_s: float = 0.3) -> Column:
@@ -67,22 +91,8 @@ def segment_by_words(words: Column, min_s: float = 3.0, max_s: float = 15.0, gap
     A segment closes before a word that follows a gap, if it is long enough already, or that would make it
     too long. Then a segment that is too short joins the one before it; words are never lost.
     """
-    empty = F.array().cast(f"array<{SEGMENT}>")
-    fresh = lambda w: F.struct(w["start"].cast("double").alias("start"), w["end"].cast("double").alias("end"), w["word"].alias("text"))
-
-    def add(done: Column, w: Column) -> Column:
-        last = F.element_at(done, -1)
-        close = ((w["start"] - last["end"] >= gap_s) & (last["end"] - last["start"] >= min_s)) | (w["end"] - last["start"] > max_s)
-        grown = F.struct(last["start"].alias("start"), w["end"].cast("double").alias("end"), F.concat_ws(" ", last["text"], w["word"]).alias("text"))
-        return F.when((F.size(done) == 0) | close, F.array_append(done, fresh(w))).otherwise(F.array_append(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), grown))
-
-    def merge(done: Column, s: Column) -> Column:
-        last = F.element_at(done, -1)
-        both = F.struct(last["start"].alias("start"), s["end"].alias("end"), F.concat_ws(" ", last["text"], s["text"]).alias("text"))
-        short = (F.size(done) > 0) & (s["end"] - s["start"] < min_s)
-        return F.when(short, F.array_append(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), both)).otherwise(F.array_append(done, s))
-
-    return F.aggregate(F.aggregate(words, empty, add), empty, merge)
+    said = lambda s: F.array_join(F.transform(F.slice(words, s["first"] + 1, s["last"] - s["first"] + 1), lambda w: w["word"]), " ")
+    return F.transform(_cut_words(words, min_s, max_s, gap_s), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), said(s).alias("text")))
 
 
 def split_long_segment(segment: Column, words: Column, max_s: float) -> Column:
@@ -153,7 +163,7 @@ def epoch_batches(df: DataFrame, id_col: str, size: int, seed: int, epoch: int,
     """Adds batch and slot: rows in the epoch's hash order, the tail short of a batch left out; from batch `position` on."""
     h = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(epoch)), F.col(id_col).cast("string")))
     rows = df.withColumn("__h", h).withColumn("__k", F.conv(F.substring("__h", 1, 12), 16, 10).cast("bigint"))
-    placed = indexed(rows, "__k", "__i", ties=("__h", id_col), width=2**48 // 1024)
+    placed = indexed(rows, "__k", "__i", ties=("__h", id_col))
     n = df.count()
     batch = F.floor(F.col("__i") / size)
     return placed.where(F.col("__i") < n // size * size).withColumn("batch", batch).withColumn("slot", F.col("__i") % size).where(F.col("batch") >= position).drop("__h", "__k", "__i")
@@ -179,7 +189,7 @@ def split_by_group(df: DataFrame, group: Column, n_val: int, seed: int = 0) -> D
     df = df.withColumn("__g", group)
     sizes = df.groupBy("__g").agg(F.count("*").alias("__n")).withColumn("__h", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("__g").cast("string"), F.lit("")))))
     sizes = sizes.withColumn("__k", F.conv(F.substring("__h", 1, 12), 16, 10).cast("bigint"))
-    ranked = running(sizes, "__k", "__upto", F.col("__n"), (), ("__h", "__g"), width=2**48 // 1024)
+    ranked = running(sizes, "__k", "__upto", F.col("__n"), (), ("__h", "__g"))
     val = ranked.where(F.col("__upto") - F.col("__n") < n_val).select(F.col("__g").alias("__vg"))
     return df.join(val, F.col("__g").eqNullSafe(F.col("__vg")), "left").withColumn("split", F.when(F.col("__vg").isNotNull(), "val").otherwise("train")).drop("__g", "__vg")
 

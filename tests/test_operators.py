@@ -17,15 +17,72 @@ def frame(spark, rows, ddl):
 
 def test_running_sums_cross_blocks(spark):
     rows = [(i, i % 3, i * 2) for i in range(500)] + [(7, 1, 5)]
-    got = order.running(frame(spark, rows, "id bigint, g int, v int"), "id", "s", F.col("v"), ("g",), ("v",), width=16).collect()
+    got = order.running(frame(spark, rows, "id bigint, g int, v int"), "id", "s", F.col("v"), ("g",), ("v",), rows=16).collect()
     sums = {}
     for i, g, v in sorted(rows, key=lambda r: (r[0], r[2])):
         sums[g] = sums.get(g, 0) + v
         assert (i, g, v, sums[g]) in {tuple(r) for r in got}
-    index = order.indexed(frame(spark, rows, "id bigint, g int, v int"), "id", ties=("v",), width=16).select("idx").collect()
+    index = order.indexed(frame(spark, rows, "id bigint, g int, v int"), "id", ties=("v",), rows=16).select("idx").collect()
     assert sorted(r.idx for r in index) == list(range(501))
 
 
+def test_running_sums_of_skewed_keys(spark):
+    """Keys far apart and one group that holds all rows: blocks follow the rows, not the keys' range."""
+    keys = [i for i in range(300)] + [10**15 + 10**9 * i for i in range(300)]
+    df = frame(spark, [(k, 1) for k in keys], "id bigint, g int")
+    assert len(order._cuts(df, "id", 50)) >= 8
+    got = {r.id: r.at for r in order.indexed(df, "id", "at", ("g",), rows=50).collect()}
+    assert got == {k: i for i, k in enumerate(keys)}
+
+
+def test_exact_quantiles_by_refinement(spark):
+    rng = np.random.default_rng(1)
+    values = [*map(float, rng.lognormal(0, 6, 3000)), *[2.5] * 700, None]
+    df = frame(spark, [(v,) for v in values], "v double")
+    known = np.array([v for v in values if v is not None])
+    shares = [0.0, 0.01, 0.25, 0.5, 0.77, 0.95, 1.0]
+    for most in (100, 10**6):
+        assert order.quantiles(df, F.col("v"), shares, most, cells=16) == pytest.approx(np.quantile(known, shares).tolist())
+    assert order.quantiles(df.limit(0), F.col("v"), [0.5]) == [None]
+
+
+def test_agreement_of_all_pairs(spark):
+    rng = np.random.default_rng(2)
+    items = [(i, i % 3 == 0, [float(x) for x in rng.normal(size=6)]) for i in range(40)] + [(99, True, [1.0] * 6)]
+    df = frame(spark, items, "id int, g boolean, v array<double>")
+    want = [np.corrcoef(a[2], b[2])[0, 1] for i, a in enumerate(items) for b in items[:i] if a[1] == b[1] and 99 not in (a[0], b[0])]
+    for tile in (4, 2048):
+        r = A.pair_agreement(df, "g", "id", "v", tile).first()
+        assert r.n == len(want) and (r["mean"], r["min"], r["max"]) == pytest.approx((np.mean(want), min(want), max(want)))
+    assert A.pair_agreement(df.limit(0), "g", "id", "v").first().n == 0
+
+
+def test_bootstrap_covers_the_mean_and_agrees_between_runs(spark):
+    df = spark.range(400).select("id", (F.col("id") % 7 * 1.5).alias("v"), (F.col("id") % 2).alias("g"))
+    ci = lambda d: {r.g: (r["mean"], r.low, r.high) for r in A.bootstrap_ci(d, "v", "id", 500, by=("g",)).collect()}
+    got = ci(df)
+    for g in (0, 1):
+        v = np.array([i % 7 * 1.5 for i in range(400) if i % 2 == g])
+        mean, low, high = got[g]
+        assert mean == pytest.approx(v.mean()) and low < mean < high
+        assert high - low == pytest.approx(2 * 1.96 * v.std() / np.sqrt(200), rel=0.25)
+    again = ci(df.repartition(9))
+    assert all(again[g] == pytest.approx(got[g]) for g in got)
+    assert A.bootstrap_ci(df.limit(0), "v", "id", 10).first().low is None
+
+
+def test_pairs_of_one_hot_key(spark):
+    df = spark.range(900).select("id", F.when(F.col("id") < 880, 1).otherwise(F.col("id")).alias("k"))
+    key = {i: 1 if i < 880 else i for i in range(900)}
+    pos = {r.id: r.partner for r in J.positive_pair(df, "k", "id").collect()}
+    assert len(pos) == 900 and all(key[p] == key[i] and (p != i or i >= 880) for i, p in pos.items())
+    assert sorted(p for i, p in pos.items() if i < 880) == list(range(880))
+    neg = {r.id: r.partner for r in J.negative_pair(df, "k", "id").collect()}
+    assert len(neg) == 900 and all(key[p] != key[i] for i, p in neg.items())
+    other = {r.id: r.other_text for r in J.shuffled_control(df.withColumn("b", F.lit(0)).withColumn("text", F.col("id")), "b", "id").collect()}
+    assert other == {i: (i - 1) % 900 for i in range(900)}
+
+
 def test_gates_collect_all_reasons(spark):
     df = frame(spark, [("a", 0.5, -60.0, 0.2, 0.9, 3.0, 100.0, 1.0), ("b", 5.0, -20.0, 0.0, 0.1, None, 9000.0, None)], "id string, duration_s double, rms_db double, clipping_ratio double, silence_ratio double, snr_db double, bandwidth99_hz double, mos double")
     got = {r.id: r for r in P.apply_gates(df).collect()}
@@ -175,6 +232,8 @@ def test_signal_features(spark):
     for f in (110, 220, 440):
         assert np.median(got[f]) == pytest.approx(f, rel=0.01)
     assert not any(got[0]) and got[-1] is None
+    auto = {r.f: r.f0 for r in signal.with_f0(df, method="autocorr").collect()}
+    assert np.median(auto[220]) == pytest.approx(220, rel=0.01) and not any(auto[0])
     spec = {r.f: r.bandwidth99_hz for r in signal.with_spectral(df).collect()}
     assert spec[440] == pytest.approx(440, abs=120)
     mel = {r.f: r.log_mel for r in signal.with_log_mel(df).collect()}
