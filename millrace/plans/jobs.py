@@ -32,13 +32,14 @@ def holdout_prompts(books: DataFrame, used: DataFrame, per_source: int) -> DataF
 
 
 def expansion_prompts(books: DataFrame, *blocked: DataFrame, characters: int = 100_000) -> DataFrame:
-    """C3. New sentences under a budget of characters, spread over the sources."""
-    rows = books.select("source", "doc_id", F.posexplode(F.split("text", r"(?<=[.!?])\s+")).alias("pos", "raw")).where(T.is_expansion_candidate(F.col("raw")))
-    rows = rows.select("source", (F.col("doc_id") * 1_000_000 + F.col("pos")).alias("at"), T.squeeze(F.col("raw")).alias("text"))
+    """C3. (source, doc_id, pos, text): new stretches of text that read as prompts, each once, under a budget of characters
+    spread over the sources. blocked: tables of one column of texts."""
+    rows = books.select("source", "doc_id", F.posexplode(T.stretches(F.col("text"))).alias("pos", "raw")).where(T.is_expansion_candidate(F.col("raw")))
+    rows = rows.select("source", "doc_id", "pos", T.squeeze(F.col("raw")).alias("text"))
     fresh = J.exclude(rows, sets.union_keys(*blocked), key=F.lower("text")) if blocked else rows
-    first = W.dedup_first(fresh, F.lower("text"), "source", "at")
+    first = W.dedup_first(fresh, F.lower("text"), "source", "doc_id", "pos")
     sources = max(1, books.select("source").distinct().count())
-    return W.prefix_until(first, "source", "at", F.length("text"), max(1, characters // sources), characters)
+    return W.prefix_until(first, "source", "doc_id", F.length("text"), max(1, characters // sources), characters, "pos")
 
 
 def dialogue_prompts(plays: DataFrame, used: DataFrame | None, quota: int) -> DataFrame:
@@ -70,7 +71,7 @@ def curate(waves: DataFrame, cfg: P.CurateConfig = P.CurateConfig(), sr: int = 2
 
 
 def ingest(words: DataFrame, min_s: float = 3.0, max_s: float = 15.0, gap_s: float = 0.3) -> DataFrame:
-    """C7. words: recording, start, end, word. (utt_id, recording, start, end, text): segments, over-long ones split."""
+    """C7. words: recording, start, end, word; a recording's words fit one row. (utt_id, recording, start, end, text): segments, over-long ones split."""
     by = P.clean_words(words).groupBy("recording").agg(F.array_sort(F.collect_list(F.struct("start", "end", "word"))).alias("w"))
     segments = W.segment_by_words(F.col("w"), min_s, max_s, gap_s)
     split = by.select("recording", F.flatten(F.transform(segments, lambda s: W.split_long_segment(s, F.col("w"), max_s))).alias("s"))
@@ -132,10 +133,9 @@ def paired_batches(items: DataFrame, id_col: str, voice: str, size: int, seed: i
     return rows.join(pos, id_col).join(neg, id_col)
 
 
-
-def disjoint_corpus(prompts: DataFrame, voices: DataFrame, waves: DataFrame, n_val: int) -> tuple[DataFrame, DataFrame]:
+def disjoint_corpus(prompts: DataFrame, voices: DataFrame, waves: DataFrame, n_val: int, cfg: P.CurateConfig = P.CurateConfig()) -> tuple[DataFrame, DataFrame]:
     """C9. prompts: text; voices: voice; waves: text, voice, wav. (kept records of the grid with their split, report)."""
-    rows, report, _ = curate(J.grid(prompts, voices).join(waves, ["text", "voice"]))
+    rows, report, _ = curate(J.grid(prompts, voices).join(waves, ["text", "voice"]), cfg)
     return W.split_by_text(rows.where("keep"), "text", n_val), report
 
 

@@ -13,7 +13,7 @@ from millrace.operators import filters as P
 from millrace.operators import joins as J
 from millrace.operators import windows as W
 from millrace.plans.adapters import frames, records, series, table, timed
-from millrace.plans.queries import LONG, RECORDS, SERIES, docs, query, r6
+from millrace.plans.queries import LONG, READINGS, RECORDS, SERIES, STEMS, WS, bootstrap_sql, docs, hashed_sql, query, r6
 from millrace.sources import manifests as S
 
 VEC = "w AS (SELECT vec_id, [CAST(x AS DOUBLE) for x in embedding] AS x FROM embeddings)"
@@ -43,13 +43,16 @@ def f31_silence(spark, d):
 
 
 @query(
-    f"""WITH {VEC}, e AS (SELECT vec_id, list_sort([greatest(list_sum([v * v for v in x[i * 4 + 1:i * 4 + 4]]) / 4, 1e-12) for i in range(16)]) AS e FROM w),
-    s AS (SELECT vec_id, 10 * log10((e[14] + (e[15] - e[14]) * 0.5) / (e[2] + (e[3] - e[2]) * 0.5)) AS db FROM e) SELECT vec_id, round(db, 5) AS db FROM s"""
+    """WITH l AS (SELECT l_suppkey, list(l_quantity ORDER BY l_orderkey, l_linenumber) AS x FROM lineitem GROUP BY 1),
+    e AS (SELECT l_suppkey, list_sort([greatest(list_sum([v * v for v in x[i * 64 + 1:i * 64 + 64]]) / 64, 1e-12) for i in range(len(x) // 64)]) AS e FROM l),
+    q AS (SELECT l_suppkey, e, (len(e) - 1) * 0.9::DOUBLE AS a, (len(e) - 1) * 0.1::DOUBLE AS b FROM e),
+    s AS (SELECT l_suppkey, CASE WHEN len(e) >= 4 THEN 10 * log10((e[floor(a)::INT + 1] + (e[ceil(a)::INT + 1] - e[floor(a)::INT + 1]) * (a - floor(a))) / (e[floor(b)::INT + 1] + (e[ceil(b)::INT + 1] - e[floor(b)::INT + 1]) * (b - floor(b)))) END AS db FROM q)
+    SELECT l_suppkey, round(CASE WHEN db >= 0.5 THEN db END, 5) AS db FROM s"""
 )
-def f33_dynamic_range(spark, d):
-    """The spread between loud and quiet frames of 4."""
-    e = F.array_sort(N.frame_energies(F.col("x"), 4))
-    return vectors(spark, d).select("vec_id", e.alias("e")).select("vec_id", F.round(10 * F.log10(N.quantile(F.col("e"), 0.9) / N.quantile(F.col("e"), 0.1)), 5).alias("db"))
+def f33_snr(spark, d):
+    """Each supplier's quantities as a signal with frames of 64."""
+    rows = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_quantity"))).alias("r"))
+    return rows.select("l_suppkey", F.round(N.estimate_snr_db(F.transform("r", lambda x: x["l_quantity"]), 3200, 20.0, 0.5), 5).alias("db"))
 
 
 @query(f"WITH {VEC} SELECT vec_id, [round(20 * log10(greatest(sqrt(list_sum([v * v for v in x[greatest(i * 8 - 8, 0) + 1:least(i * 8 + 8, 64)]]) / 16), 1e-8)), 5) for i in range(9)] AS db FROM w")
@@ -132,17 +135,66 @@ def f46_normalised(spark, d):
     return rows.select("utt", "dim", F.round(N.normalize(F.col("value"), F.col("mean"), F.col("var")), 5).alias("z"))
 
 
-@query()
+#: Samples x of g(user_id, x) in frames of 32 around every 8th sample: fr(user_id, i, f); outside is silence, or (REFLECTED) the signal mirrored.
+SILENT = "fr AS (SELECT user_id, i, [CASE WHEN i * 8 + j - 16 BETWEEN 0 AND len(x) - 1 THEN x[i * 8 + j - 15] ELSE 0.0 END for j in range(32)] AS f FROM (SELECT user_id, x, unnest(range(len(x) // 8 + 1)) AS i FROM g))"
+REFLECTED = """gp AS (SELECT user_id, list_concat(x, [0.0::DOUBLE for k in range(greatest(0, 32 - len(x)))]) AS x FROM g),
+    fr AS (SELECT user_id, i, [x[CASE WHEN abs(i * 8 + j - 16) < len(x) THEN abs(i * 8 + j - 16) ELSE 2 * (len(x) - 1) - (i * 8 + j - 16) END + 1] for j in range(32)] AS f FROM (SELECT user_id, x, unnest(range(len(x) // 8 + 1)) AS i FROM gp))"""
+SPECTRUM = "sp AS (SELECT user_id, i, [list_sum([f[j + 1] * (0.5 - 0.5 * cos(2 * pi() * j / 32)) * cos(2 * pi() * j * k / 32) for j in range(32)]) ^ 2 + list_sum([f[j + 1] * (0.5 - 0.5 * cos(2 * pi() * j / 32)) * sin(2 * pi() * j * k / 32) for j in range(32)]) ^ 2 for k in range(17)] AS p FROM fr)"
+
+
+@query(
+    f"""WITH {SIG}, {REFLECTED}, {SPECTRUM}, c AS (SELECT user_id, [list_sum(p[:k]) / greatest(list_sum(p), 1e-12) for k in range(1, 18)] AS c FROM sp),
+    h AS (SELECT user_id, list_min([k for k in range(17) if c[k + 1] >= 0.95]) * 750.0 AS a, list_min([k for k in range(17) if c[k + 1] >= 0.99]) * 750.0 AS b FROM c)
+    SELECT user_id, round(avg(a), 3) AS rolloff95_hz, round(avg(b), 3) AS bandwidth99_hz FROM h GROUP BY 1"""
+)
+def f34_spectral(spark, d):
+    """Each user's event values as a signal of 24 kHz, in frames of 32."""
+    out = signal.with_spectral(signals(spark, d), n_fft=32)
+    return out.select("user_id", F.round("rolloff95_hz", 3).alias("rolloff95_hz"), F.round("bandwidth99_hz", 3).alias("bandwidth99_hz"))
+
+
+#: Six triangles on the mel scale over 17 bins of 0 to 12 kHz.
+TRIANGLES = """ed AS (SELECT [700 * (10 ^ (2595 * log10(1 + 12000 / 700.0) * m / 7 / 2595) - 1) for m in range(8)] AS e),
+    tr AS (SELECT [[greatest(0, least((k * 750.0 - e[b]) / (e[b + 1] - e[b]), (e[b + 2] - k * 750.0) / (e[b + 2] - e[b + 1]))) * 2 / (e[b + 2] - e[b]) for k in range(17)] for b in range(1, 7)] AS t FROM ed)"""
+
+
+@query(
+    f"""WITH {SIG}, {REFLECTED}, {SPECTRUM}, {TRIANGLES}, m AS (SELECT user_id, i, [ln(greatest(list_sum([sqrt(p[k]) * t[b][k] for k in range(1, 18)]), 1e-5)) for b in range(1, 7)] AS m FROM sp, tr)
+    SELECT user_id, i AS frame, [round(v, 4) for v in m] AS bands FROM m"""
+)
+def f37_log_mel(spark, d):
+    """Each user's event values as a signal of 24 kHz, in frames of 32 and six bands."""
+    out = signal.with_log_mel(signals(spark, d), n_fft=32, hop=8, bands=6)
+    return out.select("user_id", F.posexplode("log_mel").alias("frame", "m")).select("user_id", F.col("frame").cast("bigint").alias("frame"), F.transform("m", lambda v: F.round(v, 4)).alias("bands"))
+
+
+#: Pitch by YIN of frames of 32 at 800 Hz from 60 to 200 Hz, threshold 0.8: lags 4 to 13.
+YIN = """ce AS (SELECT user_id, i, [v - list_avg(f) for v in f] AS f FROM fr),
+    di AS (SELECT user_id, i, [list_sum([CASE WHEN j + t < 32 THEN (f[j + 1] - f[j + t + 1]) ^ 2 ELSE 0.0 END for j in range(32)]) for t in range(15)] AS d, list_sum([v * v for v in f]) AS en FROM ce),
+    cm AS (SELECT user_id, i, d, en, [CASE WHEN t = 0 THEN 1.0 ELSE d[t + 1] / greatest(list_sum(d[:t + 1]) / t, 1e-9) END for t in range(15)] AS c FROM di),
+    lo AS (SELECT *, list_min([t for t in range(4, 14) if (t = 4 OR c[t + 1] <= c[t]) AND (t = 13 OR c[t + 1] <= c[t + 2]) AND c[t + 1] < 0.8 AND en > 1e-8]) AS first FROM cm),
+    ta AS (SELECT *, least(greatest(first, 5), 12) AS a FROM lo),
+    pi AS (SELECT user_id, i, first, 800.0 / greatest(a + least(greatest(0.5 * (d[a] - d[a + 2]) / greatest(abs(d[a] - 2 * d[a + 1] + d[a + 2]), 1e-12), -1), 1), 1) AS p FROM ta),
+    f0 AS (SELECT user_id, i, CASE WHEN first IS NOT NULL AND p BETWEEN 60 AND 200 THEN p ELSE 0.0 END AS f FROM pi)"""
+
+
+@query(f"WITH {SIG}, {SILENT}, {YIN} SELECT user_id, list(round(f, 3) ORDER BY i) AS f0 FROM f0 GROUP BY 1")
 def f38_pitch(spark, d):
-    """Event values as a signal of 8 kHz."""
-    out = signal._mapped(signals(spark, d), "wav", "f0", signal.pa.list_(signal.pa.float64()), "array<double>", lambda x: signal.estimate_f0(x, 8000, 64, 128).tolist())
+    """Event values as a signal of 800 Hz, in frames of 32."""
+    out = signal.with_f0(signals(spark, d), sr=800, hop=8, frame=32, low=60, high=200, threshold=0.8)
     return out.select("user_id", F.transform("f0", lambda v: F.round(v, 3)).alias("f0"))
 
 
-@query()
-def f37_log_mel(spark, d):
-    out = signal.with_log_mel(signals(spark, d).where(F.size("wav") >= 2))
-    return out.select("user_id", F.size("log_mel").alias("frames"), F.round(N.total(F.element_at("log_mel", 1)), 4).alias("first"))
+@query(
+    f"""WITH {SIG}, {SILENT}, ce AS (SELECT user_id, i, [(f[j + 1] - list_avg(f)) * (0.5 - 0.5 * cos(2 * pi() * j / 32)) for j in range(32)] AS f FROM fr),
+    ac AS (SELECT user_id, i, [list_sum([CASE WHEN j + t < 32 THEN f[j + 1] * f[j + t + 1] ELSE 0.0 END for j in range(32)]) / greatest(list_sum([v * v for v in f]), 1e-8) for t in range(15)] AS r FROM ce),
+    ta AS (SELECT *, list_max(r[5:13]) AS b, list_position(r, list_max(r[5:13])) - 1 AS a FROM ac),
+    pi AS (SELECT user_id, i, b, 800.0 / greatest(a + least(greatest(0.5 * (r[a] - r[a + 2]) / greatest(abs(r[a] - 2 * r[a + 1] + r[a + 2]), 1e-8), -0.5), 0.5), 1) AS p FROM ta)
+    SELECT user_id, list(round(CASE WHEN b > 0.3 AND p BETWEEN 60 AND 200 THEN p ELSE 0.0 END, 3) ORDER BY i) AS f0 FROM pi GROUP BY 1"""
+)
+def f38_pitch_autocorrelation(spark, d):
+    out = signal.with_f0(signals(spark, d), sr=800, hop=8, frame=32, low=60, high=200, method="autocorr")
+    return out.select("user_id", F.transform("f0", lambda v: F.round(v, 3)).alias("f0"))
 
 
 @query("SELECT conv_id, turn, text AS said FROM conversations WHERE length(text) BETWEEN 25 AND 220 AND text NOT IN (SELECT text FROM conversations WHERE turn = 0)")
@@ -151,12 +203,31 @@ def p9_turn_window(spark, d):
     return P.turn_window(rows, rows.where("turn = 0")).select("conv_id", "turn", "said")
 
 
-@query()
-def p8_turns_from_play(spark, d):
+#: Spoken turns said(play, turn, speaker, said) of the conversations written as plays, a line for the role before each text.
+TURNS = r"""li AS (SELECT conv_id AS play, turn * 100000 + generate_subscripts(x, 1) AS n, trim(unnest(x), ' ') AS line FROM (SELECT conv_id, turn, string_split(replace(upper(role) || '.' || chr(10) || text, chr(13) || chr(10), chr(10)), chr(10)) AS x FROM conversations)),
+    sp AS (SELECT *, regexp_matches(line, '^([A-Z][A-Z0-9 .''\-]{1,30})\.\s*$') AS spoke FROM li WHERE line <> ''),
+    tn AS (SELECT *, sum(spoke::INT) OVER (PARTITION BY play ORDER BY n) AS turn FROM sp),
+    said AS (SELECT play, turn, max(CASE WHEN spoke THEN regexp_extract(line, '^([A-Z][A-Z0-9 .''\-]{1,30})\.\s*$', 1) END) AS speaker,
+      trim(regexp_replace(string_agg(line, ' ' ORDER BY n) FILTER (NOT spoke AND NOT regexp_matches(line, '^[\[(].*[\])]\s*$') AND NOT regexp_matches(line, '(?i)gutenberg|copyright|licence|license|transcriber|www\.|http|^\s*(act|scene)\b|dramatis personae')), '\s+', ' ', 'g')) AS said
+      FROM tn WHERE turn > 0 GROUP BY play, turn)"""
+
+
+def plays(spark, d):
     """Conversations written as plays."""
     rows = table(spark, d, "conversations").select("conv_id", F.struct("turn", F.concat(F.upper("role"), F.lit(".\n"), "text").alias("t")).alias("t"))
-    plays = rows.groupBy(F.col("conv_id").alias("play")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("t")), lambda x: x["t"]), "\n").alias("text"))
-    return P.turns_from_play(plays)
+    return rows.groupBy(F.col("conv_id").alias("play")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("t")), lambda x: x["t"]), "\n").alias("text"))
+
+
+@query(f"WITH {TURNS} SELECT * FROM said WHERE said <> ''")
+def p8_turns_from_play(spark, d):
+    return P.turns_from_play(plays(spark, d))
+
+
+@query(f"WITH {TURNS}, k AS (SELECT *, sum(length(said)) OVER (PARTITION BY play ORDER BY turn) AS upto FROM said WHERE said <> '' AND length(said) BETWEEN 25 AND 220) SELECT play, turn, speaker, said FROM k WHERE upto <= 300")
+def c4_dialogue_prompts(spark, d):
+    from millrace.plans.jobs import dialogue_prompts
+
+    return dialogue_prompts(plays(spark, d), None, 300)
 
 
 @query("WITH w AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS s, epoch_us(ts) / 1e6 + value - 20 AS e, event_type AS w FROM events) SELECT event_id FROM w WHERE e > s AND w <> ''")
@@ -184,11 +255,13 @@ def w6_punctuate(spark, d):
     return by.select("user_id", W.punctuate(w, 7_200_000.0).alias("text"))
 
 
-@query(f"WITH {VEC}, z AS (SELECT vec_id, [CASE WHEN abs(v) < 0.15 THEN 0 ELSE v END for v in x] AS z FROM w) SELECT vec_id, len([v for v in z if v <> 0]) = 0 AS bare, len(z) AS n FROM z")
+@query(
+    f"""WITH {VEC}, z AS (SELECT vec_id, [CASE WHEN abs(v) < 0.15 THEN 0.0 ELSE v END for v in x] AS z FROM w), k AS (SELECT vec_id, z, [i for i in range(1, len(z) + 1) if z[i] <> 0] AS hit FROM z)
+    SELECT vec_id, [CASE WHEN z[i] <> 0 OR len(hit) = 0 THEN z[i] ELSE z[list_sort([[abs(j - i), j] for j in hit])[1][2]] END for i in range(1, len(z) + 1)] AS y FROM k"""
+)
 def w11_fill_nearest(spark, d):
-    """Small components are filled from their neighbours; none stays zero unless all are."""
-    filled = N.fill_nearest(F.transform("x", lambda v: F.when(F.abs(v) < 0.15, 0.0).otherwise(v)))
-    return vectors(spark, d).select("vec_id", filled.alias("y")).select("vec_id", (F.size(F.filter("y", lambda v: v == 0)) > 0).alias("bare"), F.size("y").cast("bigint").alias("n"))
+    """Small components are filled from their neighbours."""
+    return vectors(spark, d).select("vec_id", N.fill_nearest(F.transform("x", lambda v: F.when(F.abs(v) < 0.15, 0.0).otherwise(v))).alias("y"))
 
 
 @query("SELECT l_orderkey, l_linenumber, CAST(greatest(round_even(l_quantity * 93.75 / count(*) OVER (PARTITION BY l_orderkey, l_returnflag), 0), 1) AS INT) AS frames FROM lineitem")
@@ -202,17 +275,20 @@ def w22_pick_variant(spark, d):
     return docs(spark, d).select("doc_id", W.pick_variant(F.col("doc_id"), F.array(F.lit("a"), F.lit("b"), F.lit("c"))).alias("pick"))
 
 
-@query(
-    r"""WITH t AS (SELECT conv_id, turn, text, trim(text, ' ') AS t, regexp_replace(trim(text, ' '), '(?s)^(.{20,}?) ?\b(and|but|which|while|because|when|that)\b', '\1, \2') AS c FROM conversations)
-    SELECT conv_id, turn, CASE WHEN suffix(t, '.') THEN regexp_replace(t, '\.$', '!') WHEN regexp_matches(t, '[!?]$') THEN regexp_replace(t, '[!?]$', '.') WHEN length(t) > 60 AND c <> t THEN c ELSE 'none' END AS variant FROM t"""
-)
+@query(f"SELECT conv_id, turn, coalesce(({READINGS})[1], text) AS variant, len({READINGS}) = 0 AS reused FROM {STEMS} JOIN conversations USING (conv_id, turn)")
 def f16_aligned_variants(spark, d):
-    rows = align.aligned_variants(table(spark, d, "conversations"))
-    return rows.select("conv_id", "turn", F.when(F.col("reused"), "none").otherwise(F.col("variant")).alias("variant"))
+    return align.aligned_variants(table(spark, d, "conversations")).select("conv_id", "turn", "variant", "reused")
 
 
-@query()
+@query(
+    rf"""WITH d AS (SELECT doc_id, unnest(x) AS w, generate_subscripts(x, 1) AS nth FROM (SELECT doc_id, {WS.format("lower(text)")} AS x FROM documents)),
+    s AS (SELECT DISTINCT w, [CASE WHEN instr('əɪʊɛæɑɔʌɜɐᵻiueoaɚɝ', c) > 0 THEN 2.0::DOUBLE WHEN instr('ˈˌː', c) > 0 THEN 0.0 ELSE 1.0 END for c in string_split(w, '')] AS ws FROM d),
+    r AS (SELECT w, ws, [greatest(CAST(round_even(length(w) * 3 * CASE WHEN list_sum(ws) > 0 THEN x / list_sum(ws) ELSE 1.0::DOUBLE / len(ws) END, 0) AS INT), 1) for x in ws] AS f FROM s),
+    p AS (SELECT w, [CASE WHEN i = list_position(f, list_max(f)) THEN CAST(greatest(f[i] + length(w) * 3 - list_sum(f), 1) AS INT) ELSE f[i] END for i in range(1, len(f) + 1)] AS f FROM r)
+    SELECT doc_id, list(f ORDER BY nth) AS frames FROM d JOIN p USING (w) GROUP BY 1"""
+)
 def f22_phoneme_frames(spark, d):
+    """A word's letters stand for its phonemes."""
     words = docs(spark, d).select("doc_id", T.words(F.lower("text")).alias("w"))
     return words.select("doc_id", F.transform("w", lambda w: align.phoneme_frames(F.length(w) * 3, w)).alias("frames"))
 
@@ -256,29 +332,26 @@ def a31_level_summary(spark, d):
 
 
 @query(
-    f"""WITH {LONG}, h AS (SELECT DISTINCT utt, voice FROM f), n AS (SELECT utt AS a, lead(utt) OVER (PARTITION BY voice ORDER BY utt) AS b FROM h),
-    c AS (SELECT utt AS a, lead(utt, 1) OVER (ORDER BY utt) AS b FROM h), p AS (SELECT 'same' AS class, * FROM n WHERE b IS NOT NULL UNION ALL SELECT 'control', * FROM c WHERE b IS NOT NULL),
-    r AS (SELECT class, a, corr(x.value, y.value) AS rho FROM p JOIN f x ON x.utt = a JOIN f y ON y.utt = b AND y.dim = x.dim GROUP BY ALL)
-    SELECT class, round(avg(rho), 6) AS mean, count(*) AS n, round(min(rho), 6) AS min, round(max(rho), 6) AS max FROM r GROUP BY 1"""
+    f"""WITH {LONG}, s AS (SELECT x.utt AS a, y.utt AS b, corr(x.value, y.value) AS rho FROM f x JOIN f y ON x.voice = y.voice AND x.utt < y.utt AND x.dim = y.dim GROUP BY ALL),
+    h AS (SELECT vec_id, row_number() OVER (ORDER BY {hashed_sql(0, 'vec_id')}, vec_id) - 1 AS i FROM embeddings), p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM h a JOIN h b ON b.i = a.i + 1 WHERE a.i % 2 = 0),
+    c AS (SELECT p.a, corr(x.value, y.value) AS rho FROM p JOIN f x ON x.utt = p.a JOIN f y ON y.utt = p.b AND y.dim = x.dim GROUP BY ALL),
+    r AS (SELECT 'same' AS class, rho FROM s UNION ALL SELECT 'control', rho FROM c) SELECT class, round(avg(rho), 6) AS mean, count(*) AS n, round(min(rho), 6) AS min, round(max(rho), 6) AS max FROM r GROUP BY 1"""
 )
 def a32_agreement(spark, d):
-    f = frames(spark, d)
-    same = A.same_text_pairs(table(spark, d, "embeddings"), "label", "vec_id", 1).select("a", "b")
-    every = table(spark, d, "embeddings").select("vec_id")
-    from millrace.operators.order import indexed
-
-    at = indexed(every, "vec_id")
-    control = J.pair_by_offset(at, 1).select(F.col("vec_id").alias("a"), F.col("other_vec_id").alias("b"))
-
-    def rho(pairs):
-        x = f.select(F.col("utt").alias("a"), "dim", F.col("value").alias("x"))
-        y = f.select(F.col("utt").alias("b"), "dim", F.col("value").alias("y"))
-        return pairs.join(x, "a").join(y, ["b", "dim"]).groupBy("a", "b").agg(F.corr("x", "y").alias("rho"))
-
-    return r6(A.agreement_report(rho(same), rho(control)), "mean", "min", "max")
+    """All pairs of vectors of one label, and disjoint pairs in hash order."""
+    e = table(spark, d, "embeddings")
+    v = vectors(spark, d).select("vec_id", F.posexplode("x").alias("dim", "v"))
+    pairs = J.control_pairs(e, "vec_id", n=None).join(v.select(F.col("vec_id").alias("a"), "dim", F.col("v").alias("x")), "a").join(v.select(F.col("vec_id").alias("b"), "dim", F.col("v").alias("y")), ["b", "dim"])
+    control = A.agreement_report(pairs.groupBy("pair").agg(F.corr("x", "y").alias("rho")).limit(0), pairs.groupBy("pair").agg(F.corr("x", "y").alias("rho")))
+    return r6(A.pair_agreement(e, "label", "vec_id", "embedding").unionByName(control), "mean", "min", "max")
 
 
-@query()
+@query(
+    f"""WITH {SERIES}, c AS (SELECT a.utt, a.dim, corr(a.value, b.value) AS r FROM z a JOIN z b ON b.utt = a.utt + 1 AND a.dim = b.dim AND a.frame = b.frame GROUP BY ALL HAVING stddev_samp(a.value) >= 1e-6 AND stddev_samp(b.value) >= 1e-6),
+    p AS (SELECT 0 AS g, utt AS k, avg(r) AS v FROM c GROUP BY utt), {bootstrap_sql('p', 2000)}
+    SELECT round(avg(v), 6) AS mean, round(any_value(low), 6) AS low, round(any_value(high), 6) AS high, round(sqrt(greatest(avg(v), 0)), 6) AS ceiling, 0.0 AS median_shift, 0.0 AS length_mismatch, count(*) AS pairs,
+      CASE WHEN any_value(low) >= 0.6 THEN 'reliable' WHEN any_value(high) < 0.6 THEN 'unreliable' ELSE 'undecided' END AS verdict FROM p JOIN ci USING (g)"""
+)
 def a33_reliability(spark, d):
     f = series(spark, d)
     other = f.select((F.col("utt") - 1).alias("utt"), "dim", "frame", "value")
@@ -306,11 +379,16 @@ def a39_hours(spark, d):
     return r6(A.corpus_hours(records(spark, d)), "hours")
 
 
-@query("WITH g AS (SELECT user_id, list(CASE WHEN event_type = 'click' THEN 0 ELSE value * 4 END ORDER BY ts, event_id) AS f FROM events GROUP BY 1), m AS (SELECT len([x for x in f if x > 0]) / len(f) AS s, list_median([x for x in f if x > 0]) AS m FROM g) SELECT round(avg(s), 6) AS voiced, round(avg(m), 6) AS mean_f0, round(quantile_cont(m, 0.5), 6) AS median_f0, count(*) AS n FROM m")
+@query(
+    """WITH g AS (SELECT user_id, list(CASE WHEN event_type = 'click' THEN 0 ELSE value * 4 END ORDER BY ts, event_id) AS f FROM events GROUP BY 1),
+    m AS (SELECT len([x for x in f if x > 0]) / len(f) AS s, len([x for x in f if x > 100]) / len(f) AS o, list_median([x for x in f if x > 0]) AS m FROM g)
+    SELECT round(avg(s), 6) AS voiced, round(avg(o), 6) AS voiced_strict, round(avg(m), 6) AS mean_f0, round(quantile_cont(m, 0.5), 6) AS median_f0, count(*) AS n FROM m"""
+)
 def a40_pitch_summary(spark, d):
+    """Event values as pitch; a second tracker hears nothing under 100 Hz."""
     by = table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", F.when(F.col("event_type") == "click", 0.0).otherwise(F.col("value") * 4).alias("f")))).alias("r"))
-    rows = by.select(F.transform("r", lambda x: x["f"]).alias("f0"))
-    return r6(A.pitch_summary(rows).select("voiced", "mean_f0", "median_f0", "n"), "voiced", "mean_f0", "median_f0")
+    rows = by.select(F.transform("r", lambda x: x["f"]).alias("f0"), F.transform("r", lambda x: F.when(x["f"] > 100, x["f"]).otherwise(0.0)).alias("strict"))
+    return r6(A.pitch_summary(rows, others=("strict",)).select("voiced", "voiced_strict", "mean_f0", "median_f0", "n"), "voiced", "voiced_strict", "mean_f0", "median_f0")
 
 
 @query("SELECT l_orderkey, l_extendedprice FROM lineitem WHERE l_extendedprice = (SELECT max(l_extendedprice) FROM lineitem) ORDER BY l_orderkey LIMIT 1")
@@ -390,26 +468,6 @@ def c6_curate(spark, d):
     return rows.select("user_id", "keep", "reasons")
 
 
-@query()
-def c10_feature_cache(spark, d):
-    from millrace.operators.order import indexed
-    from millrace.plans.jobs import feature_cache
-
-    # Every document has a series: vectors are taken in turn, and with no vectors at all the series is empty.
-    turns = indexed(table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x")), "vec_id", "turn")
-    n = F.broadcast(table(spark, d, "embeddings").agg(F.count("*").alias("n")))
-    placed = docs(spark, d).crossJoin(n).withColumn("at", F.when(F.col("n") > 0, F.pmod(F.coalesce("doc_id", F.lit(0)), "n")))
-    rows = placed.join(turns, F.col("at") == F.col("turn"), "left").withColumn("x", F.coalesce("x", F.array().cast("array<double>"))).select(F.col("doc_id").alias("utt_id"), "text", F.col("source").alias("teacher"), F.col("lang").alias("voice"), F.lit(None).cast("double").alias("mos"), F.transform("x", F.abs).alias("energy"))
-    return feature_cache(rows, spark.sql("SELECT 'src0' AS name, 0.5D AS weight")).select("utt_id", "ids", "durations", "weight")
-
-
-@query()
-def c14_paired_batches(spark, d):
-    from millrace.plans.jobs import paired_batches
-
-    return paired_batches(table(spark, d, "embeddings").select("vec_id", "label"), "vec_id", "label", 16, 0, 1)
-
-
 @query("WITH l AS (SELECT *, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events) SELECT user_id, count(before) AS n FROM l GROUP BY 1")
 def j17_zip_min(spark, d):
     """Each user's series against itself one place later: one frame less."""

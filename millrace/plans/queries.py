@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +53,39 @@ SENT = rf"""
    AND len(list_filter(ws, lambda x: x[1] = upper(x[1]) AND x[1] <> lower(x[1]))) / len(ws) <= 0.5)"""
 
 
+# Fixed values of the text rules, as SQL: text in {0} normalised (no text of the given tables changes under NFKC).
+ABBREVIATED = {
+    True: lambda x: reduce(lambda out, p: f"replace({out}, '{p[0]}', '{p[1]}')", T.ABBREVIATIONS.items(), x),
+    False: lambda x: reduce(lambda out, p: f"regexp_replace({out}, '(?i)(^|[^\\p{{L}}\\p{{N}}_]){p[0][:-1]}\\.', '\\1{p[1]}', 'g')" if p[0][0].isalpha() else f"replace({out}, '{p[0]}', '{p[1]}')", T.ABBREVIATIONS.items(), x),
+}
+DIGIT = "CASE c " + " ".join(f"WHEN '{i}' THEN '{w}'" for i, w in enumerate(T.DIGITS)) + " END"
+
+
+def normal_sql(x: str, compat: bool) -> str:
+    marks = f"regexp_replace(translate({x}, '’“”', chr(39) || '""'), '[–—]', ' - ', 'g')"
+    low = f"lower({ABBREVIATED[compat](marks)})"
+    runs = rf"regexp_extract_all({low}, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+')"
+    said = f"array_to_string([CASE WHEN regexp_matches(w, '^[0-9]+$') THEN array_to_string([{DIGIT} for c in string_split(w, '')], ' ') ELSE w END for w in {runs}], '')"
+    return f"trim(regexp_replace(regexp_replace({said}, '[^a-z0-9''\\-.,!?;:()\\[\\] ]', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+def tagged_sql(x: str, compat: bool) -> str:
+    parts = f"string_split(regexp_replace({x}, '(<[a-zA-Z_ ]+>)', chr(2) || '\\1' || chr(2), 'g'), chr(2))"
+    each = f"list_transform({parts}, lambda p, i: CASE WHEN i % 2 = 0 THEN lower(p) ELSE {normal_sql('p', compat)} END)"
+    return f"trim(regexp_replace(array_to_string(list_filter({each}, lambda p: p <> ''), ' '), '\\s+', ' ', 'g'))"
+
+
+TOKENS = "list_filter(string_split_regex(regexp_replace(lower({0}), '[^a-z0-9'' ]', ' ', 'g'), ' +'), lambda x: x <> '')"
+#: Edit distances d of the token lists a and b of pr(k, a, b): a row of the table of distances for each token of a.
+EDITS = """ta AS (SELECT k, unnest(range(1, len(a) + 1)) AS i, unnest([hash(x) for x in a]) AS x FROM pr),
+    dp AS (SELECT k, 0 AS i, unnest(range(len(b) + 1)) AS j, unnest(range(len(b) + 1)) AS v, unnest(list_concat([0::UBIGINT], [hash(x) for x in b])) AS y FROM pr
+    UNION ALL SELECT k, i, j, j + min(t - j) OVER (PARTITION BY k ORDER BY j) AS v, y FROM (
+      SELECT dp.k, ta.i, j, y, CASE WHEN j = 0 THEN ta.i ELSE least(v + 1, lag(v) OVER (PARTITION BY dp.k ORDER BY j) + CASE WHEN ta.x = y THEN 0 ELSE 1 END) END AS t
+      FROM dp JOIN ta ON ta.k = dp.k AND ta.i = dp.i + 1)),
+    ed AS (SELECT k, v AS d FROM dp JOIN (SELECT k, len(a) AS la, len(b) AS lb FROM pr) n USING (k) WHERE i = la AND j = lb)"""
+WER = "CASE WHEN len({0}) = 0 THEN CASE WHEN len({1}) = 0 THEN 0.0 ELSE 1.0 END ELSE d / len({0}) END"
+
+
 def docs(spark, d):
     return table(spark, d, "documents")
 
@@ -96,38 +130,39 @@ def p4_prose_like(spark, d):
     return docs(spark, d).select("doc_id", T.is_prose_like(F.col("text")).alias("prose"))
 
 
-@query(
-    rf"""WITH s0 AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) AS raw FROM documents),
-    l AS (SELECT doc_id, trim(regexp_replace(raw, '\s+', ' ', 'g')) AS line FROM s0)
-    SELECT doc_id, line FROM l WHERE length(line) BETWEEN 60 AND 220 AND length(line) - length(replace(line, ' ', '')) >= 6 AND regexp_matches(line, '^\p{{Lu}}')
-      AND NOT regexp_matches(line, '[_\[\]{{}}]|http|Gutenberg|Copyright|CHAPTER|^Chapter')
-      AND length(regexp_replace(line, '[^\p{{Lu}}]', '', 'g')) <= 0.3 * greatest(1, length(regexp_replace(line, '[^\p{{L}}]', '', 'g')))
-      AND len(string_split(line, ' ')) BETWEEN 8 AND 40 AND regexp_matches(line, '[.!?]$')"""
-)
+STRETCHES = r"""l AS (SELECT doc_id, source, trim(regexp_replace(raw, '\s+', ' ', 'g')) AS line, pos FROM (SELECT doc_id, source, unnest(x) AS raw, generate_subscripts(x, 1) - 1 AS pos FROM
+      (SELECT doc_id, source, regexp_extract_all(translate(text, chr(13) || chr(10), '  '), '[^.!?]+[.!?]') AS x FROM documents))),
+    q AS (SELECT * FROM l WHERE length(line) BETWEEN 60 AND 220 AND length(line) - length(replace(line, ' ', '')) >= 6 AND regexp_matches(line, '^\p{Lu}')
+      AND NOT regexp_matches(line, '[_\[\]{}]|http|Gutenberg|Copyright|CHAPTER|^Chapter')
+      AND length(regexp_replace(line, '[^\p{Lu}]', '', 'g')) <= 0.3 * greatest(1, length(regexp_replace(line, '[^\p{L}]', '', 'g')))
+      AND len(string_split(line, ' ')) BETWEEN 8 AND 40 AND regexp_matches(line, '[.!?]$'))"""
+
+
+@query(f"WITH {STRETCHES} SELECT doc_id, line FROM q")
 def p7_expansion_candidates(spark, d):
-    rows = docs(spark, d).select("doc_id", F.explode(F.split("text", r"(?<=[.!?])\s+")).alias("raw"))
+    rows = docs(spark, d).select("doc_id", F.explode(T.stretches(F.col("text"))).alias("raw"))
     return rows.where(T.is_expansion_candidate(F.col("raw"))).select("doc_id", T.squeeze(F.col("raw")).alias("line"))
 
 
 @query(
-    f"""WITH {SENT}, k AS (SELECT source, sentence, doc_id * 100000 + pos AS spot FROM s),
-    a AS (SELECT *, sum(length(sentence)) OVER (PARTITION BY source ORDER BY spot) AS upto FROM k) SELECT source, sentence, spot FROM a WHERE upto <= 3000"""
+    f"""WITH {SENT}, k AS (SELECT source, sentence, doc_id, pos FROM s),
+    a AS (SELECT *, sum(length(sentence)) OVER (PARTITION BY source ORDER BY doc_id, pos) AS upto FROM k) SELECT source, sentence, doc_id, pos FROM a WHERE upto <= 3000"""
 )
 def w4_prefix_within(spark, d):
-    rows = P.sentences(docs(spark, d).select("doc_id", "source", "text")).select("source", "sentence", (F.col("doc_id") * 100000 + F.col("pos")).alias("spot"))
-    return W.prefix_within(rows, "source", "spot", F.length("sentence"), 3000)
+    rows = P.sentences(docs(spark, d).select("doc_id", "source", "text")).select("source", "sentence", "doc_id", "pos")
+    return W.prefix_within(rows, "source", "doc_id", F.length("sentence"), 3000, "pos")
 
 
 @query(
-    f"""WITH {SENT}, k AS (SELECT source, sentence, doc_id * 100000 + pos AS spot FROM s),
-    a AS (SELECT *, length(sentence) AS n, sum(length(sentence)) OVER (PARTITION BY source ORDER BY spot) AS upto FROM k),
+    f"""WITH {SENT}, k AS (SELECT source, sentence, doc_id, pos FROM s),
+    a AS (SELECT *, length(sentence) AS n, sum(length(sentence)) OVER (PARTITION BY source ORDER BY doc_id, pos) AS upto FROM k),
     o AS (SELECT * FROM a WHERE upto - n < 2000), g AS (SELECT source, sum(n) AS t FROM o GROUP BY source),
     h AS (SELECT source, coalesce(sum(t) OVER (ORDER BY source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM g)
-    SELECT o.source, sentence, spot FROM o JOIN h USING (source) WHERE b + upto - n < 15000"""
+    SELECT o.source, sentence, doc_id, pos FROM o JOIN h USING (source) WHERE b + upto - n < 15000"""
 )
 def w5_prefix_until(spark, d):
-    rows = P.sentences(docs(spark, d).select("doc_id", "source", "text")).select("source", "sentence", (F.col("doc_id") * 100000 + F.col("pos")).alias("spot"))
-    return W.prefix_until(rows, "source", "spot", F.length("sentence"), 2000, 15000)
+    rows = P.sentences(docs(spark, d).select("doc_id", "source", "text")).select("source", "sentence", "doc_id", "pos")
+    return W.prefix_until(rows, "source", "doc_id", F.length("sentence"), 2000, 15000, "pos")
 
 
 @query("SELECT doc_id, source, text FROM documents QUALIFY row_number() OVER (PARTITION BY lower(text) ORDER BY doc_id) = 1")
@@ -168,11 +203,10 @@ def f4_char_ids(spark, d):
     return docs(spark, d).select("doc_id", T.char_ids(F.col("text")).alias("ids"))
 
 
-@query(r"""SELECT doc_id, CAST(length(translate(regexp_replace(text, '[^ a-z0-9.,!?;:''"()\[\]-]', '', 'g'), '', '')) AS INT) AS n FROM documents""")
+@query(r"""SELECT doc_id, regexp_replace(replace(replace(text, chr(10), ''), chr(13), ''), '[^ a-z0-9.,!?;:''"()\[\]-]', '<unk>', 'g') AS text FROM documents""")
 def f5_char_round_trip(spark, d):
     """Characters with an id come back from their ids."""
-    known = F.replace(T.from_char_ids(T.char_ids(F.col("text"))), F.lit("<unk>"), F.lit(""))
-    return docs(spark, d).select("doc_id", F.length(known).alias("n"))
+    return docs(spark, d).select("doc_id", T.from_char_ids(T.char_ids(F.col("text"))).alias("text"))
 
 
 @query("SELECT doc_id, [t for t in ['<laugh>','<sigh>','<calm>'] if contains(lower('<Laugh> ' || text), t)] AS tags FROM documents")
@@ -180,29 +214,75 @@ def f3_scan_tags(spark, d):
     return docs(spark, d).select("doc_id", T.scan_tags(F.concat(F.lit("<Laugh> "), "text"), ["<laugh>", "<sigh>", "<calm>"]).alias("tags"))
 
 
-@query()
+TAGGED = "'<Laugh> ' || text || ' 10 St. <odd_tag><calm>Mr. 7a, no. 42'"
+UNTAGGED = f"regexp_replace({TAGGED}, '<[a-zA-Z_ ]+>', ' ', 'g')"
+
+
+@query(f"SELECT doc_id, {tagged_sql(TAGGED, False)} AS plain, {tagged_sql(TAGGED, True)} AS compat FROM documents")
 def f1_normalize_text(spark, d):
-    return docs(spark, d).select("doc_id", T.normalize_text(F.col("text"), keep_tags=True).alias("plain"), T.normalize_text(F.col("text"), compat=True, keep_tags=True).alias("compat"))
+    """Texts with some tags, numbers and abbreviations around them."""
+    text = F.concat(F.lit("<Laugh> "), "text", F.lit(" 10 St. <odd_tag><calm>Mr. 7a, no. 42"))
+    return docs(spark, d).select("doc_id", T.normalize_text(text).alias("plain"), T.normalize_text(text, compat=True).alias("compat"))
+
 
+@query(f"SELECT doc_id, {normal_sql(UNTAGGED, False)} AS plain, ['<laugh>', '<calm>'] AS tags FROM documents")
+def f2_split_tags(spark, d):
+    text = F.concat(F.lit("<Laugh> "), "text", F.lit(" 10 St. <odd_tag><calm>Mr. 7a, no. 42"))
+    plain, tags = T.split_tags(text)
+    return docs(spark, d).select("doc_id", plain.alias("plain"), tags.alias("tags"))
 
-@query()
+
+BEFORE = "coalesce(lag(text) OVER w, last_value(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))"
+
+
+@query(
+    f"""WITH RECURSIVE t AS (SELECT conv_id, turn, text, {BEFORE} AS other FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+    pr AS (SELECT conv_id * 1000 + turn AS k, {TOKENS.format('text')} AS a, {TOKENS.format('other')} AS b FROM t), {EDITS}
+    SELECT k // 1000 AS conv_id, k % 1000 AS turn, round({WER.format('a', 'b')}, 6) AS wer FROM pr JOIN ed USING (k)"""
+)
 def f8_word_error_rate(spark, d):
     """Turns against the turn before them."""
     rows = J.shuffled_control(table(spark, d, "conversations"), "conv_id", "turn")
     return rows.select("conv_id", "turn", F.round(T.word_error_rate(F.col("text"), F.col("other_text")), 6).alias("wer"))
 
 
-@query()
+#: Three turns in a row stand for one utterance's transcripts: e(conv_id, part, wer).
+THREES = f"""t AS (SELECT conv_id, turn, turn // 3 AS part, {TOKENS.format('text')} AS w FROM conversations),
+    two AS (SELECT x.conv_id, x.part, x.w AS a, y.w AS b, row_number() OVER () AS k FROM t x JOIN t y ON x.conv_id = y.conv_id AND x.part = y.part AND x.turn < y.turn),
+    pr AS (SELECT k, a, b FROM two), {EDITS},
+    e AS (SELECT t.conv_id, t.part, coalesce(any_value(m), 0.0) AS wer, count(DISTINCT turn) AS texts FROM t
+      LEFT JOIN (SELECT conv_id, part, avg(greatest({WER.format('a', 'b')}, {WER.format('b', 'a')})) AS m FROM two JOIN ed USING (k) GROUP BY 1, 2) p ON t.conv_id = p.conv_id AND t.part = p.part GROUP BY 1, 2)"""
+
+
+def threes(spark, d):
+    return table(spark, d, "conversations").groupBy("conv_id", F.floor(F.col("turn") / 3).alias("part")).agg(F.array_sort(F.collect_list("text")).alias("texts"))
+
+
+@query(f"WITH RECURSIVE {THREES} SELECT conv_id, part, round(wer, 6) AS wer FROM e")
 def f14_pairwise_wer(spark, d):
-    """Three turns in a row stand for one utterance's transcripts."""
-    rows = table(spark, d, "conversations").groupBy("conv_id", F.floor(F.col("turn") / 3).alias("part")).agg(F.array_sort(F.collect_list("text")).alias("texts"))
-    return rows.select("conv_id", "part", F.round(T.average_pairwise_wer(F.col("texts")), 6).alias("wer"))
+    return threes(spark, d).select("conv_id", "part", F.round(T.average_pairwise_wer(F.col("texts")), 6).alias("wer"))
+
+
+@query(
+    f"""WITH RECURSIVE {THREES} SELECT conv_id, part, conv_id % 5 <> 0 AND NOT (texts >= 2 AND wer > 0.9) AS keep, CASE WHEN conv_id % 5 <> 0 AND texts >= 2 AND wer > 0.9 THEN ['asr_disagreement'] ELSE [] END AS reasons, round(CASE WHEN conv_id % 5 <> 0 AND texts >= 2 THEN wer END, 6) AS asr_wer,
+    CASE WHEN conv_id % 5 <> 0 AND texts < 2 THEN ['asr_skipped'] ELSE [] END AS notes FROM e"""
+)
+def p3_asr_gate(spark, d):
+    none = F.array().cast("array<string>")
+    rows = threes(spark, d).withColumnRenamed("texts", "transcripts").select("*", (F.col("conv_id") % 5 != 0).alias("keep"), none.alias("reasons"), none.alias("notes"))
+    out = P.asr_gate(rows, max_wer=0.9)
+    return r6(out.select("conv_id", "part", "keep", F.transform("reasons", lambda r: F.substring_index(r, "(", 1)).alias("reasons"), "notes", "asr_wer"), "asr_wer")
+
+
+#: The readings of text t, s being t without its last mark.
+READINGS = r"""list_filter([CASE WHEN suffix(t, '.') THEN s || '!' END, CASE WHEN suffix(t, '.') THEN s || '?' END, CASE WHEN regexp_matches(t, '[!?]$') THEN s || '.' END,
+      CASE WHEN length(t) > 60 AND regexp_matches(t[21:], '\b(and|but|which|while|because|when|that)\b') THEN replace(t[:20] || regexp_replace(t[21:], '(?s)^(.*?)\b(and|but|which|while|because|when|that)\b', '\1,\2'), ' ,', ',') END], lambda x: x IS NOT NULL)"""
+STEMS = "(SELECT conv_id, turn, t, regexp_replace(t, '[.!?]$', '') AS s FROM (SELECT conv_id, turn, trim(text, ' ') AS t FROM conversations))"
 
 
-@query("SELECT conv_id, turn, list_filter([CASE WHEN suffix(t, '.') THEN regexp_replace(t, '[.!?]$', '') || '!' END, CASE WHEN suffix(t, '.') THEN regexp_replace(t, '[.!?]$', '') || '?' END, CASE WHEN regexp_matches(t, '[!?]$') THEN regexp_replace(t, '[.!?]$', '') || '.' END], lambda x: x IS NOT NULL) AS readings FROM (SELECT conv_id, turn, trim(text, ' ') AS t FROM conversations)")
+@query(f"SELECT conv_id, turn, {READINGS} AS readings FROM {STEMS}")
 def f15_variants(spark, d):
-    rows = table(spark, d, "conversations").select("conv_id", "turn", T.variants(F.col("text")).alias("v"), F.trim("text").alias("t"))
-    return rows.select("conv_id", "turn", F.filter("v", lambda x: F.regexp_replace(x, "[.!?]$", "") == F.regexp_replace("t", "[.!?]$", "")).alias("readings"))
+    return table(spark, d, "conversations").select("conv_id", "turn", T.variants(F.col("text")).alias("readings"))
 
 
 @query("SELECT event_id, props->>'$.k' AS k, md5(props) AS print, sha256(props) AS print256 FROM events")
@@ -360,11 +440,22 @@ def j11_positive_pair(spark, d):
     return J.positive_pair(table(spark, d, "embeddings"), "label", "vec_id")
 
 
-@query("SELECT vec_id AS id, label, true AS other FROM embeddings")
+def hashed_sql(seed: int, x: str) -> str:
+    return f"('0x' || substr(md5('{seed}:' || {x}), 1, 15))::BIGINT"
+
+
+def negatives_sql(rows: str, seed: int) -> str:
+    """np(id, voice, partner, other_key) of rows(id, voice)."""
+    return f"""nr AS (SELECT id, voice, row_number() OVER (PARTITION BY voice ORDER BY {hashed_sql(seed, 'id')}, id) - 1 AS n, {hashed_sql(seed + 1, 'id')} AS draw FROM {rows}),
+    nk AS (SELECT voice, count(*) AS size, row_number() OVER (ORDER BY voice) - 1 AS k, count(*) OVER () AS keys FROM {rows} GROUP BY 1),
+    no AS (SELECT nr.*, (k + 1 + draw % greatest(keys - 1, 1)) % keys AS other FROM nr JOIN nk USING (voice) WHERE keys > 1),
+    np AS (SELECT no.id, no.voice, t.id AS partner, t.voice AS other_key FROM no JOIN nk o ON o.k = no.other JOIN nr t ON t.voice = o.voice AND t.n = (no.draw // 65536) % o.size)"""
+
+
+@query(f"WITH i AS (SELECT vec_id AS id, label AS voice FROM embeddings), {negatives_sql('i', 0)} SELECT i.id, i.voice AS label, partner, other_key FROM i LEFT JOIN np USING (id)")
 def j12_negative_pair(spark, d):
     """Each vector has a partner of another label."""
-    rows = J.negative_pair(table(spark, d, "embeddings"), "label", "vec_id")
-    return rows.select("id", "label", (F.col("other_key") != F.col("label")).alias("other"))
+    return J.negative_pair(table(spark, d, "embeddings"), "label", "vec_id").select("id", "label", "partner", "other_key")
 
 
 @query("SELECT doc_id, n_name FROM documents, nation")
@@ -429,7 +520,10 @@ def a6_population_norm(spark, d):
     return r6(A.population_norm(frames(spark, d)), "mean", "var")
 
 
-@query()
+@query(
+    f"""WITH {LONG}, b AS (SELECT utt % 8 AS batch, dim, avg(value) AS m, var_pop(value) AS v FROM f GROUP BY ALL)
+    SELECT dim, round(list_reduce(list(m ORDER BY batch), lambda a, x: a * 0.99::DOUBLE + x * 0.01::DOUBLE), 6) AS mean, round(list_reduce(list(v ORDER BY batch), lambda a, x: a * 0.99::DOUBLE + x * 0.01::DOUBLE), 6) AS var FROM b GROUP BY 1"""
+)
 def a7_ema_norm(spark, d):
     by = frames(spark, d).groupBy((F.col("utt") % 8).alias("batch"), "dim").agg(F.avg("value").alias("mean"), F.var_pop("value").alias("var"))
     return r6(A.ema_norm(by), "mean", "var")
@@ -482,11 +576,37 @@ def a15_per_dim_rho(spark, d):
     return r6(A.per_dim_rho(pairs, ["voice"]), "rho")
 
 
-@query("SELECT event_type, round(avg(value), 2) AS mean, true AS holds FROM events GROUP BY 1")
+def bootstrap_sql(rows: str, draws: int) -> str:
+    """ci(g, low, high) of rows(g, k, v) by Poisson resampling; k is hashed."""
+    p, upto, total = 0.36787944117144233, [], 0.0
+    for k in range(8):
+        total += p
+        upto.append(repr(total))
+        p /= k + 1
+    times = " + ".join(f"(u >= {t})::INT" for t in upto)
+    return f"""{_steps_sql("salts AS (SELECT range::UBIGINT AS x, range AS draw FROM range(1, " + str(draws + 1) + "))")},
+    hk AS (SELECT g, v, ('0x' || substr(md5('0:' || k), 1, 15))::UBIGINT AS h FROM {rows} WHERE v IS NOT NULL),
+    {_steps_sql("crossed AS (SELECT g, v, draw, xor(h, salts_m.x) AS x FROM hk, salts_m)")},
+    w AS (SELECT g, v, draw, {times} AS t FROM (SELECT g, v, draw, (x >> 11)::DOUBLE * 1.1102230246251565e-16 AS u FROM crossed_m)),
+    ms AS (SELECT g, draw, sum(v * t) / sum(t) AS m FROM w GROUP BY ALL HAVING sum(t) > 0),
+    ci AS (SELECT g, s[least(floor(len(s) * 0.025)::INT + 1, len(s))] AS low, s[least(floor(len(s) * 0.975)::INT + 1, len(s))] AS high FROM (SELECT g, list(m ORDER BY m) AS s FROM ms GROUP BY 1))"""
+
+
+def _steps_sql(cte: str) -> str:
+    """cte (name AS (... x ...)) and name_m, with x mixed in four steps so that no step is written twice."""
+    name = cte.split(" ", 1)[0]
+    half = "((x::UHUGEINT * {0}::UHUGEINT) % 18446744073709551616::UHUGEINT)::UBIGINT"
+    return f"""{cte}, {name}_1 AS (SELECT * REPLACE (xor(x, x >> 30) AS x) FROM {name}), {name}_2 AS (SELECT * REPLACE ({half.format('13787848793156543929')} AS x) FROM {name}_1),
+    {name}_3 AS (SELECT * REPLACE (xor(x, x >> 27) AS x) FROM {name}_2), {name}_4 AS (SELECT * REPLACE ({half.format('10723151780598845931')} AS x) FROM {name}_3), {name}_m AS (SELECT * REPLACE (xor(x, x >> 31) AS x) FROM {name}_4)"""
+
+
+@query(
+    f"""WITH e AS (SELECT event_type AS g, event_id AS k, value AS v FROM events), {bootstrap_sql('e', 400)}
+    SELECT g AS event_type, round(avg(v), 6) AS mean, round(any_value(low), 6) AS low, round(any_value(high), 6) AS high FROM e JOIN ci USING (g) GROUP BY 1"""
+)
 def a16_bootstrap(spark, d):
-    """By type: the mean, and whether the bootstrap interval holds it."""
-    out = A.bootstrap_ci(table(spark, d, "events"), "value", "event_id", 200, by=("event_type",))
-    return out.select("event_type", F.round("mean", 2).alias("mean"), ((F.col("low") <= F.col("mean")) & (F.col("mean") <= F.col("high"))).alias("holds"))
+    """By type: the mean and its bootstrap interval."""
+    return r6(A.bootstrap_ci(table(spark, d, "events"), "value", "event_id", 400, by=("event_type",)), "mean", "low", "high")
 
 
 @query("SELECT l_returnflag, round(avg(l_tax - 0.04), 6) AS mean, round(stddev_samp(l_tax - 0.04), 6) AS std, round(min(l_tax - 0.04), 6) AS min, round(max(l_tax - 0.04), 6) AS max, count(*) AS n, avg(l_tax - 0.04) - stddev_samp(l_tax - 0.04) <= 0 AND avg(l_tax - 0.04) + stddev_samp(l_tax - 0.04) >= 0 AS straddles_zero FROM lineitem GROUP BY 1")
@@ -626,17 +746,57 @@ def w7_gap_sessions(spark, d):
     return out.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("first"), "n")
 
 
-@query()
-def w7_segments(spark, d):
-    """Events as timed words, an hour for a second: greedy segments of 3 to 15."""
+def segments_sql(words: str, name: str, min_s: str, max_s: str, gap_s: str) -> str:
+    """{name}(key, n, first, last, s, e): segments of words(key, i, s, e), i from 1, by greedy cuts and a merge of short ones."""
+    return f"""{name}0 AS (SELECT key, i, 0 AS g, s AS gs, e AS ge FROM {words} WHERE i = 1
+      UNION ALL SELECT w.key, w.i, CASE WHEN cut THEN g + 1 ELSE g END, CASE WHEN cut THEN w.s ELSE gs END, w.e FROM (
+        SELECT r.key, r.i, g, gs, ((w.s - ge >= {gap_s} AND ge - gs >= {min_s}) OR w.e - gs > {max_s}) AS cut FROM {name}0 r JOIN {words} w ON w.key = r.key AND w.i = r.i + 1) x JOIN {words} w ON w.key = x.key AND w.i = x.i + 1),
+    {name}1 AS (SELECT key, g, min(i) AS first, max(i) AS last, min(gs) AS s, arg_max(ge, i) AS e FROM {name}0 GROUP BY key, g),
+    {name}2 AS (SELECT *, sum(CASE WHEN g = 0 OR e - s >= {min_s} THEN 1 ELSE 0 END) OVER (PARTITION BY key ORDER BY g) - 1 AS n FROM {name}1),
+    {name} AS (SELECT key, n, min(first) AS first, max(last) AS last, arg_min(s, g) AS s, arg_max(e, g) AS e FROM {name}2 GROUP BY key, n)"""
+
+
+#: Events as timed words w(key, i, s, e, word), an hour for a second.
+HOURS = "w AS (SELECT user_id AS key, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, epoch_us(ts) / 1e6::DOUBLE / 3600 AS s, epoch_us(ts) / 1e6::DOUBLE / 3600 + 0.05::DOUBLE AS e, event_type AS word FROM events)"
+
+
+def hours(spark, d):
+    """key and w: each user's events as sorted timed words, an hour for a second."""
     from millrace.plans.adapters import timed
 
     rows = timed(spark, d).select("key", (F.col("start") / 3600).alias("start"), (F.col("start") / 3600 + 0.05).alias("end"), "word", "event_id")
     by = rows.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "event_id", "end", "word"))).alias("w"))
-    segs = by.select("key", F.posexplode(W.segment_by_words(F.transform("w", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["word"].alias("word"))), gap_s=6.0)).alias("n", "s"))
+    return by.select("key", F.transform("w", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["word"].alias("word"))).alias("w"))
+
+
+@query(f"WITH RECURSIVE {HOURS}, {segments_sql('w', 'g', '3.0', '15.0', '6.0')} SELECT key, n, round(s, 4) AS start, round(e, 4) AS end, last - first + 1 AS words FROM g")
+def w7_segments(spark, d):
+    """Greedy segments of 3 to 15 seconds."""
+    segs = hours(spark, d).select("key", F.posexplode(W.segment_by_words(F.col("w"), gap_s=6.0)).alias("n", "s"))
     return segs.select("key", "n", F.round("s.start", 4).alias("start"), F.round("s.end", 4).alias("end"), F.size(F.split("s.text", " ")).alias("words"))
 
 
+#: Segments longer than 15 seconds cut by the cap alone, or else in equal slices.
+LONG_SPLIT = f"""{segments_sql('w', 'g', '3.0', '15.0', '6.0')},
+    lo AS (SELECT g.key || '_' || g.n AS key, g.s, g.e, g.key AS k, g.n FROM g WHERE e - s > 15),
+    ow AS (SELECT lo.key, row_number() OVER (PARTITION BY lo.key ORDER BY w.i) AS i, w.s, w.e, w.word FROM lo JOIN w ON w.key = lo.k AND w.s >= lo.s - 1e-6 AND w.s < lo.e),
+    {segments_sql('ow', 'h', '15.0 / 4', '15.0', '1e9')},
+    cu AS (SELECT key, count(*) AS c FROM h GROUP BY 1), wc AS (SELECT key, count(*) AS c FROM ow GROUP BY 1),
+    eq AS (SELECT lo.*, greatest(CAST(ceil((e - s) / 15) AS INT), 2) AS m FROM lo JOIN cu USING (key) JOIN wc USING (key) WHERE cu.c < 2 AND wc.c >= 2),
+    sl AS (SELECT key, k, n, s + j * ((e - s) / m) AS s, s + (j + 1) * ((e - s) / m) AS e FROM (SELECT *, unnest(range(m)) AS j FROM eq)),
+    pieces AS (SELECT g.key AS k, g.n, g.s, g.e, g.last - g.first + 1 AS words FROM g WHERE e - s <= 15
+      UNION ALL SELECT lo.k, lo.n, lo.s, lo.e, wc.c FROM lo JOIN wc USING (key) WHERE wc.c < 2
+      UNION ALL SELECT lo.k, lo.n, h.s, h.e, h.last - h.first + 1 FROM lo JOIN h USING (key) JOIN cu USING (key) JOIN wc USING (key) WHERE cu.c >= 2 AND wc.c >= 2
+      UNION ALL SELECT sl.k, sl.n, sl.s, sl.e, (SELECT CASE WHEN count(*) = 0 THEN (SELECT c FROM wc WHERE wc.key = sl.key) ELSE count(*) END FROM ow WHERE ow.key = sl.key AND ow.s >= sl.s AND ow.s < sl.e) FROM sl)"""
+
+
+@query(f"WITH RECURSIVE {HOURS}, {LONG_SPLIT} SELECT k AS key, n, round(s, 4) AS start, round(e, 4) AS end, words FROM pieces")
+def w8_split_segments(spark, d):
+    rows = hours(spark, d).select("key", "w", F.posexplode(W.segment_by_words(F.col("w"), gap_s=6.0)).alias("n", "s"))
+    cut = rows.select("key", "n", F.explode(W.split_long_segment(F.col("s"), F.col("w"), 15.0)).alias("p"))
+    return cut.select("key", "n", F.round("p.start", 4).alias("start"), F.round("p.end", 4).alias("end"), F.size(F.split("p.text", " ")).alias("words"))
+
+
 @query("SELECT event_id, round(coalesce((epoch_us(lag(ts) OVER w) / 1e6 + epoch_us(ts) / 1e6) / 2, epoch_us(ts) / 1e6), 3) AS l, round(coalesce((epoch_us(lead(ts) OVER w) / 1e6 + epoch_us(ts) / 1e6) / 2, epoch_us(ts) / 1e6), 3) AS r FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)")
 def w12_midpoints(spark, d):
     from millrace.plans.adapters import timed
@@ -771,16 +931,14 @@ def f49_sample_weight(spark, d):
     return r6(ev.select("event_id", N.sample_weight(F.when(F.col("event_type") == "click", 0.5), F.col("value") / 100).alias("weight")), "weight")
 
 
-@query()
+#: Frames per token of energies e for n tokens: edges by energy and by place, each at least one further, all frames used.
+FALLBACK = """c{0} AS (SELECT *, list_reduce(list_concat([[0.0::DOUBLE]], [[x] for x in e]), lambda a, x: list_append(a, a[-1] + x[1]))[2:] AS upto FROM {0}),
+    g{0} AS (SELECT *, [CASE WHEN k = n THEN len(e) ELSE CAST(round_even((least(len([u for u in upto if u < k / n * greatest(list_max(upto), 1e-8)]), len(e)) + k / n * len(e)) / 2, 0) AS INT) END for k in range(1, n + 1)] AS edges FROM c{0}),
+    r{0} AS (SELECT *, list_reduce(list_concat([[0]], [[x] for x in edges]), lambda a, x: list_append(a, least(greatest(x[1], a[-1] + 1), greatest(len(e) - (n - len(a)), a[-1])))) AS rising FROM g{0}),
+    d{0} AS (SELECT *, [CAST(rising[k + 1] - rising[k] AS INT) for k in range(1, n + 1)] AS durations FROM r{0})"""
+
+
+@query(f"WITH z AS (SELECT vec_id, [abs(CAST(x AS DOUBLE)) for x in embedding] AS e, 9 AS n FROM embeddings), {FALLBACK.format('z')} SELECT vec_id, durations FROM dz")
 def f45_fallback_durations(spark, d):
     e = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.abs(x).cast("double")).alias("e"))
     return e.select("vec_id", N.fallback_durations(F.col("e"), F.lit(9)).alias("durations"))
-
-
-@query()
-def f34_spectral(spark, d):
-    """Each user's event values as a signal of 24 kHz."""
-    from millrace.operators.signal import with_spectral
-
-    ev = table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("r"))
-    return r6(with_spectral(ev.select("user_id", F.transform("r", lambda x: x["value"]).alias("wav"))).drop("wav"), "rolloff95_hz", "bandwidth99_hz")

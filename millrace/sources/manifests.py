@@ -82,25 +82,29 @@ def parse_wav(data: bytes, max_seconds: float | None = None) -> tuple[int, np.nd
     raise ValueError("no samples")
 
 
-def load_waves(spark: SparkSession, path: str, max_seconds: float | None = None) -> DataFrame:
-    """(path, sample_rate, wav) of the WAV files under a path; unreadable ones have a null signal."""
+def decode_waves(files: DataFrame, max_seconds: float | None = None) -> DataFrame:
+    """files: path, content. (path, sample_rate, wav); what can't be read has a null signal."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             rates, waves = [], []
-            for data in batch.column(1).to_pylist():
+            for data in batch.column(1):
                 try:
-                    rate, wav = parse_wav(data, max_seconds)
+                    rate, wav = parse_wav(data.as_py() or b"", max_seconds)
                 except ValueError:
                     rate, wav = None, None
                 rates.append(rate)
                 waves.append(wav)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rates, pa.int32()), pa.array(waves, pa.list_(pa.float32()))], names=["path", "sample_rate", "wav"])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").option("recursiveFileLookup", "true").load(path)
     return files.select("path", "content").mapInArrow(run, "path string, sample_rate int, wav array<float>")
 
 
+def load_waves(spark: SparkSession, path: str, max_seconds: float | None = None) -> DataFrame:
+    """(path, sample_rate, wav) of the WAV files under a path."""
+    return decode_waves(spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").option("recursiveFileLookup", "true").load(path), max_seconds)
+
+
 def rebuild_manifest(files: DataFrame, texts: DataFrame, voices: list[str]) -> DataFrame:
     """files: path; texts: idx, text. Records of files whose name holds the number of a text; voice is number mod voices."""
     idx = F.nullif(F.regexp_extract("path", r"(\d+)[^/\d]*$", 1), F.lit("")).cast("bigint")

@@ -178,9 +178,9 @@ def test_entry(spark):
 
 def test_feature_cache_query_has_every_document(spark, sf):
     sf = f"{sf}/../sf0.01"  # more documents than vectors
-    from millrace.plans import more_queries
+    from millrace.plans import job_queries
 
     every = sorted(r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect())
-    got = more_queries.c10_feature_cache(spark, sf).collect()
+    got = job_queries.c10_feature_cache(spark, sf).collect()
     assert len(every) > spark.read.parquet(f"{sf}/embeddings.parquet").count()
     assert sorted(r.utt_id for r in got) == every and all(r.durations for r in got)
