@@ -20,7 +20,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TURN = r"(?s)(?:\[INST\]|<s>)([^\\\n]*(?:\\.[^\\\n]*)*)\n(.*?)(?:\[/INST\]|</s>)"
+#: What ends a turn, and a turn without it. The role's group is possessive, which Java matches in a loop: no stack grows
+#: with its length.
+END = r"\[/INST\]|</s>"
+TURN = r"(?s)^(?:\[INST\]|<s>)((?:[^\\\n]|\\.)*+)\n(.*)$"
 
 
 def escape(text: Column) -> Column:
@@ -66,8 +69,8 @@ def _by_turn(a: Column, b: Column) -> Column:
 def read_back(examples: DataFrame) -> DataFrame:
     """(conv_id, turns, losses, formatted_chars): turns (role, text) parsed from the example with all turns, and the
     text under each example's loss mask, in order; both unescaped."""
-    parsed = F.arrays_zip(F.regexp_extract_all("formatted", F.lit(TURN), 1).alias("role"), F.regexp_extract_all("formatted", F.lit(TURN), 2).alias("text"))
-    turns = F.transform(parsed, lambda t: F.struct(unescape(t["role"]).alias("role"), unescape(t["text"]).alias("text")))
+    cut = F.split("formatted", END, -1)  # what follows the last end is empty
+    turns = F.transform(F.slice(cut, 1, F.size(cut) - 1), lambda t: F.struct(unescape(F.regexp_extract(t, TURN, 1)).alias("role"), unescape(F.regexp_extract(t, TURN, 2)).alias("text")))
     loss = unescape(F.expr("substring(formatted, loss_start + 1, loss_chars)"))
     read = examples.select("conv_id", "example", F.length("formatted").alias("chars"), F.when(F.col("is_last"), turns).alias("turns"), loss.alias("loss"))
     grouped = read.groupBy("conv_id").agg(F.first("turns", ignorenulls=True).alias("turns"), F.array_sort(F.collect_list(F.struct("example", "loss"))).alias("losses"), F.sum("chars").alias("formatted_chars"))
