@@ -5,11 +5,13 @@ two of a node's vectors drawn at random, until a leaf stands for `leaf` of the t
 is bounded by the sample, so it is broadcast.
 Index: every distinct vector goes down every tree; (tree, leaf) is its place. Equal vectors are one entry with
 their k + 1 smallest ids, which is all that k answers besides the query itself can need.
+A leaf's rows are counted; one with more than TILE of them is cut into tiles.
 Search: all trees share one priority queue. From the roots on, the queue gives the node with the largest
 margin so far (the smaller of its parent's and the query's signed distance to the split), whose far side
-joins the queue; a query ends when the leaves reached stand for a given share of all rows. Queries of equal vectors are one.
-Rerank: a leaf's entries and the queries that reached it meet in one task, which keeps each query's nearest by
-exact distance in double precision; the best of all leaves follow by a window per query.
+joins the queue; a query ends when the leaves reached hold a given share of all rows. Queries of equal vectors are one.
+Rerank: a tile of a leaf's entries and the queries that reached the leaf meet in one group. A matrix product gives
+distances that are off by rounding; every entry that the bound of this error can't tell from the k nearest goes on
+to the exact distance in double precision, so ties are settled by id alone. The best of all tiles follow by a window per query.
 
 Rules: vectors that are null, empty, of another size than most, all zero, or hold null or non-finite components
 take no part, as queries or as candidates. A row is never its own answer, but rows of equal vector are. Ties
@@ -25,10 +27,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import attach, keep, partitions
+from millrace.llm.common import attach, keep, partitions, small
+
+TILE = 16_384  #: entries of a leaf that one group reranks
 
 
 @dataclass
@@ -40,7 +44,7 @@ class Forest:
     left: np.ndarray
     right: np.ndarray
     roots: np.ndarray
-    weight: np.ndarray  #: rows that a leaf stands for
+    weight: np.ndarray  #: rows that a leaf holds
 
     def leaves(self, vectors: np.ndarray) -> np.ndarray:
         """The leaf of each vector in each tree."""
@@ -123,6 +127,30 @@ def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
+def nearest(a: np.ndarray, b: np.ndarray, ids: list[list[int]], k: int) -> list[tuple[int, int, float]]:
+    """(row of a, id, distance): the ids of the k + 1 rows of b nearest to each row of a, by exact distance and smallest
+    id; a row of b stands for all of its ids."""
+    out: list[tuple[int, int, float]] = []
+    if not len(b):
+        return out
+    low, most = np.array([x[0] for x in ids]), min(len(b), k + 1)
+    a2, b2 = (a * a).sum(axis=1), (b * b).sum(axis=1)
+    # Each of the three terms is a sum of dim products: its rounding error is under dim + 2 units of its size's bound.
+    unit = 4 * (a.shape[1] + 4) * np.finfo(np.float64).eps
+    step = max(1, 4_000_000 // len(b))
+    for start in range(0, len(a), step):
+        part, part2 = a[start : start + step], a2[start : start + step]
+        near = part2[:, None] - 2 * (part @ b.T) + b2[None, :]
+        error = unit * (part2[:, None] + b2[None, :])
+        cut = np.partition(near + error, most - 1, axis=1)[:, most - 1]
+        for i in range(len(part)):
+            at = np.flatnonzero(near[i] - error[i] <= cut[i])
+            exact = np.sqrt(((part[i] - b[at]) ** 2).sum(axis=1))
+            for j in np.lexsort((low[at], exact))[:most]:
+                out += [(start + i, own, float(exact[j])) for own in ids[at[j]]]
+    return out
+
+
 def search(
     rows: DataFrame,
     is_query,
@@ -153,7 +181,8 @@ def search(
     sample = np.stack(first.to_list()).astype(np.float64)
     kind = distinct.schema["v"].dataType.simpleString()
     dim = sample.shape[1]
-    shared = spark.sparkContext.broadcast(vars(fit(sample, n, trees, min(leaf, max(16, n // 32)))))
+    forest = fit(sample, n, trees, min(leaf, max(16, n // 32)))
+    shared = spark.sparkContext.broadcast(vars(forest))
 
     def place(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest(**shared.value)
@@ -162,40 +191,43 @@ def search(
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(at.astype(np.int32)), pa.list_(pa.int32()))], names=["key", "v", "ids", "leaves"])
 
     def probe(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest = Forest(**shared.value)
+        forest = Forest(**counted.value)
         for batch in it:
             for start in range(0, batch.num_rows, 64):
                 part = batch.slice(start, 64)
                 at = [forest.search(v, search_share * n) for v in _matrix(part.column(1), dim)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(at, pa.list_(pa.int32()))], names=["key", "v", "leaves"])
 
+    def tally(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = Forest(**shared.value)
+        total = np.zeros(len(forest.left), np.int64)
+        for batch in it:
+            total += np.bincount(forest.leaves(_matrix(batch.column(0), dim)).ravel(), minlength=len(total))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["leaf", "n"])
+
+    # A forest has at most twice as many nodes as the sample has rows, in each tree.
+    held = {r["leaf"]: r["n"] for r in distinct.select("v").mapInArrow(tally, "leaf int, n bigint").groupBy("leaf").agg(F.sum("n").alias("n")).collect()}
+    for node, rows_held in held.items():
+        forest.weight[node] = rows_held
+    large = spark.createDataFrame([(node, -(-m // TILE)) for node, m in held.items() if m > TILE], "leaf int, tiles int")
+    large = small(large, len(held))
+    counted = spark.sparkContext.broadcast(vars(forest))
+
+    def tiled(df: DataFrame, tile: Column) -> DataFrame:
+        return df.join(large, "leaf", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1))).withColumn("tile", tile)
+
     index = distinct.select("key", "v", "ids").mapInArrow(place, f"key string, v {kind}, ids array<bigint>, leaves array<int>")
-    index = index.select(F.explode("leaves").alias("leaf"), "v", "ids")
+    index = tiled(index.select(F.explode("leaves").alias("leaf"), "key", "v", "ids"), F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int")).select("leaf", "tile", "v", "ids")
     probes = distinct.join(asked, "key").select("key", "v").mapInArrow(probe, f"key string, v {kind}, leaves array<int>")
-    probes = probes.select(F.explode("leaves").alias("leaf"), "key", "v")
+    probes = tiled(probes.select(F.explode("leaves").alias("leaf"), "key", "v"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("leaf", "tile", "key", "v")
 
     def rerank(left: pa.Table, right: pa.Table) -> pa.Table:
-        a, b = _matrix(left["v"], dim), _matrix(right["v"], dim) if right.num_rows else np.zeros((0, dim))
-        ids, keys = right["ids"].to_pylist(), left["key"].to_pylist()
-        out = {"key": [], "vec_id": [], "score": []}
-        if len(b):
-            low = np.array([x[0] for x in ids])
-            for start in range(0, len(a), 256):
-                part = a[start : start + 256]
-                near = ((part * part).sum(1)[:, None] - 2 * part @ b.T + (b * b).sum(1)[None, :])
-                most = min(len(b), 4 * (k + 1))
-                for i, row in enumerate(near):
-                    at = np.argpartition(row, most - 1)[:most] if most < len(b) else np.arange(len(b))
-                    exact = np.sqrt(((part[i] - b[at]) ** 2).sum(axis=1))
-                    best = np.lexsort((low[at], exact))[: k + 1]
-                    for j in best:
-                        own = ids[at[j]]
-                        out["key"] += [keys[start + i]] * len(own)
-                        out["vec_id"] += own
-                        out["score"] += [exact[j]] * len(own)
-        return pa.table({"key": pa.array(out["key"], pa.string()), "vec_id": pa.array(out["vec_id"], pa.int64()), "score": pa.array(out["score"], pa.float64())})
-
-    pairs = probes.groupBy("leaf").cogroup(index.groupBy("leaf")).applyInArrow(rerank, "key string, vec_id bigint, score double")
+        found = nearest(_matrix(left["v"], dim), _matrix(right["v"], dim) if right.num_rows else np.zeros((0, dim)), right["ids"].to_pylist(), k)
+        keys = left["key"].to_pylist()
+        return pa.table({"key": pa.array([keys[i] for i, _, _ in found], pa.string()), "vec_id": pa.array([j for _, j, _ in found], pa.int64()), "score": pa.array([d for _, _, d in found], pa.float64())})
+
+    pairs = probes.groupBy("leaf", "tile").cogroup(index.groupBy("leaf", "tile")).applyInArrow(rerank, "key string, vec_id bigint, score double")
     pairs = pairs.repartition(partitions(spark), "key").dropDuplicates(["key", "vec_id"])
     by = Window.partitionBy("key").orderBy("score", "vec_id")
     best = pairs.withColumn("n", F.row_number().over(by)).where(F.col("n") <= k + 1)
