@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import contextlib
 import uuid
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Characters that separate words: \x20 and \x09-\x0D; nothing else does.
@@ -21,28 +22,24 @@ def ascii_lower(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only in local mode."""
-    conf = spark.sparkContext.getConf()
-    found = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.millrace.shared.dir", None)
-    if not found:
-        if not (conf.get("spark.master") or "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="millrace-")
-        spark.conf.set("spark.millrace.shared.dir", found)
-    return found
+    """The folder that driver and executors share: spark.checkpoint.dir, or a folder in the warehouse where that is unset."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    return found or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/millrace-kept"
 
 
-#: Rows of whole texts that a Python worker is handed at once.
-TEXTS = "1000"
+#: Rows of whole texts that a Python worker should be handed at once.
+TEXTS = 1000
 
 
-def lean(df: DataFrame) -> DataFrame:
-    """df, with its session handing Python at most TEXTS rows at once unless the session sets a number itself:
-    Arrow's default of 10,000 whole texts would take each worker hundreds of megabytes."""
+def job(spark: SparkSession) -> None:
+    """Settings for a job over whole texts, to be called where the job starts; operators change no settings.
+
+    Python workers are handed TEXTS rows at once unless the session sets a number itself: Arrow's default of
+    10,000 whole texts would take each worker hundreds of megabytes.
+    """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if df.sparkSession.conf.get(name) == "10000":
-        df.sparkSession.conf.set(name, TEXTS)
-    return df
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(TEXTS))
 
 
 _KEPT: list[str] = []
@@ -51,22 +48,58 @@ _KEPT: list[str] = []
 def keep(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and rereads it: cuts lineage and survives lost executors.
 
-    Results are lazy and read these tables, so they stay until release().
+    Results are lazy and read these tables, so they stay until release() or the end of the driver.
     """
     spark = df.sparkSession
+    atexit.unregister(_at_end)
+    atexit.register(_at_end, spark)
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
     _KEPT.append(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes the tables kept so far; call it when the results that were built on them are written."""
-    while _KEPT:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_KEPT.pop())
+def release(spark: SparkSession, since: int = 0, but: DataFrame | None = None) -> None:
+    """Deletes the tables kept so far, from number `since` on, but for the files that a DataFrame reads; call it when
+    the results that were built on them are written."""
+    files = but.inputFiles() if but is not None else []
+    stay = [p for p in _KEPT[since:] if any(p.rsplit("/", 1)[-1] in f for f in files)]
+    gone = [p for p in _KEPT[since:] if p not in stay]
+    _KEPT[since:] = stay
+    for name in gone:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _at_end(spark: SparkSession) -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone before
+        release(spark)
+
+
+def kept() -> int:
+    """How many tables are kept: the number to give to release() later."""
+    return len(_KEPT)
+
+
+def bounded(rows: DataFrame, label: str, h: str, most: int) -> DataFrame:
+    """The rows of the `most` smallest hashes (h, of 60 bits) of each label, repeated rows once. Labels must be few.
+
+    The number of a label's distinct hashes, estimated with map-side combining, gives a threshold that more than `most`
+    of them lie below (six deviations and a quarter more), and only rows below it are told apart and
+    ranked: no task gets a label's rows, however often one repeats.
+    """
+    aim = 1.25 * (most + 6 * most**0.5 + 20)
+    tau = rows.groupBy(label).agg((F.lit(aim * float(1 << 60)) / F.approx_count_distinct(h, 0.02)).alias("__tau"))
+    below = rows.join(F.broadcast(tau), label).where(F.col(h) <= F.col("__tau")).drop("__tau").distinct()
+    ranked = below.withColumn("__n", F.row_number().over(Window.partitionBy(label).orderBy(h, *[c for c in rows.columns if c not in (label, h)])))
+    return ranked.where(F.col("__n") <= most).drop("__n")
+
+
+def hash60(text: Column) -> Column:
+    """The first 60 bits of a text's MD5 as a number."""
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")
+
+
 def partitions(spark: SparkSession, rows: int = 0, each: int = 100_000) -> int:
     """Groups to hash rows into: at least the session's shuffle partitions, at most `each` rows in one."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
@@ -90,6 +123,14 @@ def attach(rows: DataFrame, classes: DataFrame, key: str, size: str, parts: int
     return rows.join(F.broadcast(often), key).unionByName(rows.join(keys, key, "left_anti").join(rare, key))
 
 
+def join_hubs(rows: DataFrame, table: DataFrame, key: str, hubs: DataFrame) -> DataFrame:
+    """rows joined to table (one row a key). hubs: fewer than a thousand keys that hold many rows each; what belongs to
+    these is broadcast, so no task gets a hub's rows."""
+    few = F.broadcast(hubs.select(key))
+    often = rows.join(few, key, "left_semi").join(F.broadcast(table.join(few, key, "left_semi")), key)
+    return often.unionByName(rows.join(few, key, "left_anti").join(table, key))
+
+
 def batches(texts: list[str | None], most: int):
     """Yields (start, stop) runs of texts that together stay near `most` characters (one text at least)."""
     start = held = 0

@@ -7,9 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import ann, bpe, chat, exact_dedup, langid, mixing, simhash, substring_dedup, toxicity, url_filter
+from millrace.llm.common import job
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    job(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
