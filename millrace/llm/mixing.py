@@ -1,15 +1,15 @@
 """Mixing sources to target weights by hash thresholds.
 
-Each document has a fixed place in its source's order: the MD5 of its id, read as a 128-bit number. A mix
+Each document has a fixed place in its source's order: the first 60 bits of the MD5 of its id, as a number. A mix
 takes every document a whole number of times and, once more, those below a threshold. So budgets nest: a
-larger budget keeps every document that a smaller one takes. The threshold is found without sorting: words are
-summed by source and the next three hex digits of the hash (4,096 buckets), the bucket in which the budget
-ends is found from running sums, and only that bucket is split further, until one hash is left in it.
+larger budget keeps every document that a smaller one takes. The threshold is found without sorting rows: words are
+summed by source and the next 12 bits of the hash (4,096 buckets), the bucket in which the budget
+ends is found from running sums over these buckets, and only that bucket is split further, until one hash is left in it.
 
 Rules: a size is the number of words; null text counts 0. Sources order by code point, null last, and weigh
 3, 1, 2 in turn. They share 150 % of all words; a target stops at twice its source's words, and what is cut
 off is shared by weight among the others. The document at the boundary is taken if that brings the sum nearer
-to the target. Rows with one id (and rows with none) share a hash and are taken together. A source without
+to the target. Rows with one id (and rows with none) share a hash and are taken together, as are ids whose hashes agree in 60 bits. A source without
 words gets target 0; an empty table gives no rows. Only id, text and source are read.
 """
 
@@ -18,10 +18,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import WORD, keep, small
+from millrace.llm.common import WORD, hash60, keep, small
 
-STEP = 3  #: hex digits a round resolves
-DIGITS = 32
+BITS, STEP = 60, 12  #: of a hash, and those a round resolves
 
 
 def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *more: str) -> DataFrame:
@@ -30,7 +29,7 @@ def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
         F.col(id_col).alias("id"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
         F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("~")).alias("key"),
-        F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("h"),
+        hash60(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("h"),
         *more,
     )
 
@@ -65,18 +64,16 @@ def thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     """budgets: key, need (words below the source's sum). Adds tau and inclusive: a row is in if its
     hash is below tau, or is tau and inclusive holds. Sources that need nothing get no threshold."""
     n = budgets.count()
-    state = budgets.where("need > 0").select("key", "need", F.lit("").alias("prefix"), F.lit(0).cast("bigint").alias("below"))
+    state = budgets.where("need > 0").select("key", "need", F.lit(0).cast("bigint").alias("prefix"), F.lit(0).cast("bigint").alias("below"))
     ended = None
-    for digits in range(STEP, DIGITS + STEP, STEP):
-        in_prefix = rows.join(small(state, n), "key").where(F.col("h").startswith(F.col("prefix")))
-        bucket = F.substring("h", 1, min(digits, DIGITS))
-        hist = in_prefix.groupBy("key", "need", "below", bucket.alias("bucket")).agg(
-            F.sum("size").alias("words"), F.min("h").alias("lo"), F.max("h").alias("hi")
-        )
-        run = Window.partitionBy("key").orderBy("bucket")
-        hist = hist.withColumn("upto", F.col("below") + F.sum("words").over(run))
-        edge = hist.where(F.col("upto") > F.col("need")).groupBy("key", "need").agg(F.min(F.struct("bucket", "upto", "words", "lo", "hi")).alias("b"))
-        edge = keep(edge.select("key", "need", "b.*").withColumn("below", F.col("upto") - F.col("words")), "mix-edge")
+    for left in range(BITS - STEP, -STEP, -STEP):
+        bucket = F.shiftright("h", left)
+        in_prefix = rows.join(small(state, n), "key").where(F.shiftright(bucket, STEP) == F.col("prefix"))
+        hist = in_prefix.groupBy("key", "need", "below", bucket.alias("bucket")).agg(F.sum("size").alias("words"), F.min("h").alias("lo"), F.max("h").alias("hi"))
+        run = Window.partitionBy("key").orderBy("bucket")  # over at most 4,096 buckets a source
+        hist = hist.withColumn("upto", F.col("below") + F.sum("words").over(run)).withColumn("below", F.col("upto") - F.col("words"))
+        # The sums rise, so the bucket that the budget ends in is the one of a source that holds it.
+        edge = keep(hist.where((F.col("upto") > F.col("need")) & (F.col("below") <= F.col("need"))).drop("words"), "mix-edge")
         over, under = F.col("upto") - F.col("need"), F.col("need") - F.col("below")
         done = edge.where("lo = hi").select("key", F.col("lo").alias("tau"), (over < under).alias("inclusive"))
         ended = done if ended is None else ended.unionByName(done)
