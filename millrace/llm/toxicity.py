@@ -9,7 +9,8 @@ passage, so that length doesn't dilute a score: in training only a toxic documen
 as toxic, chosen anew after each round, and every passage of the others counts as clean. A last logistic
 fit maps a document's largest passage logit to a probability, with the labelled rows' own class shares.
 
-Fitting takes at most `max_rows` labelled documents a class (the smallest by MD5 of the id), whole texts.
+Fitting takes a bounded sample: at most `max_rows` labelled documents a class (the smallest by MD5 of the id), whole texts of
+at most `max_chars` characters (longer ones don't teach), one row an id (of repeats the greatest text).
 Scoring needs no shuffle: each task scores its rows with the broadcast table, one number a bucket.
 
 Rules: null or wordless text has an average of zero and the score that follows; upper case counts as lower
@@ -24,11 +25,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import batches, lean, ragged
+from millrace.llm.common import batches, bounded, hash60, ragged
 from millrace.llm.textvec import Words
 
 PASSAGE = 16  #: words
@@ -158,22 +159,21 @@ def remainder(id_col: str, mod: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(mod))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 1000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 1000, max_chars: int = 200_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fits on the labelled documents; the caller leaves out what must stay unseen."""
     rows = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y"))
     counts = {r["__y"]: r["count"] for r in rows.groupBy("__y").count().collect()}
     share = counts.get(1, 0) / max(1, sum(counts.values()))
-    first = Window.partitionBy("__y").orderBy(F.md5(F.col("__id").cast("string")), "__id")
-    chosen = rows.withColumn("__n", F.row_number().over(first)).where(F.col("__n") <= max_rows).select("__id", "__y")
-    sample = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).join(F.broadcast(chosen), "__id")
+    chosen = bounded(rows.withColumn("__h", hash60(F.col("__id").cast("string"))), "__y", "__h", max_rows).select("__id", "__y")
+    known = docs.select(F.col(id_col).alias("__id"), F.coalesce(text_col, F.lit("")).alias("__t")).where(F.length("__t") <= max_chars)
+    sample = known.join(F.broadcast(chosen), "__id").groupBy("__id", "__y").agg(F.max("__t").alias("__t"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted(row for b in it for row in zip(*(b.column(i).to_pylist() for i in range(3))))
         model = fit([t or "" for _, t, _ in rows], np.array([y for *_, y in rows], np.int64), share)
         yield pa.RecordBatch.from_arrays([pa.array([model.units.tobytes()], pa.binary()), *(pa.array([x]) for x in (model.bias, model.slope, model.shift))], names=["units", "bias", "slope", "shift"])
 
-    text = sample.select("__id", F.coalesce("__t", F.lit("")), "__y").repartition(1)
-    row = text.mapInArrow(run, "units binary, bias double, slope double, shift double").first()
+    row = sample.select("__id", "__t", "__y").repartition(1).mapInArrow(run, "units binary, bias double, slope double, shift double").first()
     if row is None:  # no labelled document
         return fit([], np.zeros(0, np.int64), share)
     return Model(np.frombuffer(row["units"], np.float32), row["bias"], row["slope"], row["shift"])
@@ -206,4 +206,4 @@ def _scored(docs: DataFrame, model: Model, out_col: str | None, text_col: str, m
             yield out if most is None else out.filter(pa.array(scores < most))
 
     fields = [docs.schema[i] for i in cols] + ([T.StructField(out_col, T.DoubleType())] if out_col else [])
-    return lean(docs).mapInArrow(run, T.StructType(fields))
+    return docs.mapInArrow(run, T.StructType(fields))
