@@ -8,10 +8,12 @@ with gradients from the forward-backward pass. Prediction runs forward-backward
 long chains are cut into pieces of SPAN words whose transfer matrices are multiplied in parallel and then combined,
 which is exact. A text's language is the label with the largest share of the words' marginals, its score that share.
 
-Fitting takes at most `max_rows` labelled documents a language (the smallest by MD5 of the id), whole texts.
+Fitting takes a bounded sample: at most `max_rows` labelled documents a language (the smallest by MD5 of the id), whole texts
+of at most `max_chars` characters (longer ones don't teach), one row an id (of repeats the greatest text), of the `max_langs`
+languages with the most rows. These bounds hold the model's size as well.
 
 Rules: words without a letter take no part; null text and text without a letter give `und` and score 0; upper
-case counts as lower case; with no labelled text everything is `und`. Only rows with a text and a language teach.
+case counts as lower case; with no labelled text everything is `und`. Only rows with an id, a text and a language teach.
 Repeated rows are scored alike. Other columns are not read.
 """
 
@@ -22,11 +24,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import batches, lean, ragged
+from millrace.llm.common import batches, bounded, hash60, ragged
 from millrace.llm.textvec import Words
 
 BUCKETS = 1 << 17
@@ -228,16 +230,19 @@ def fit(texts: list[str], langs: list[str], epochs: int = 3, batch: int = 1024,
     return Crf(labels, params["w"], np.clip(params["t"], -6, 6), params["s"])
 
 
-def train(docs: DataFrame, max_rows: int = 300, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Crf:
+def train(docs: DataFrame, max_rows: int = 300, max_chars: int = 200_000, max_langs: int = 64, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Crf:
     """Fits on the rows given; the caller leaves out what must stay unseen."""
-    known = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit(""))).alias("h"), F.col(lang_col).alias("lang"), F.col(id_col).alias("id"))
-    few = known.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= max_rows).select("id", "lang").distinct()
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text IS NOT NULL").join(F.broadcast(few), ["id", "lang"])
+    known = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(F.col("id").isNotNull() & F.col("lang").isNotNull() & (F.length("text") <= max_chars))
+    langs = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).select("lang")
+    known = known.join(F.broadcast(langs), "lang")
+    hashed = known.select("lang", "id", hash60(F.col("id").cast("string")).alias("h"))
+    few = bounded(hashed, "lang", "h", max_rows).select("lang", "id")
+    sample = known.join(F.broadcast(few), ["lang", "id"]).groupBy("id", "lang").agg(F.max("text").alias("text"))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted(row for b in it for row in zip(*(b.column(i).to_pylist() for i in range(3))))
         crf = fit([r[2] for r in rows], [r[1] for r in rows])
-        arrays = [pa.array([crf.labels], pa.list_(pa.string())), *(pa.array([x.astype(np.float64).tobytes()], pa.binary()) for x in (crf.weights, crf.trans, crf.start))]
+        arrays = [pa.array([crf.labels], pa.list_(pa.string())), *(pa.array([x.tobytes()], pa.binary()) for x in (crf.weights.astype(np.float32), crf.trans, crf.start))]
         yield pa.RecordBatch.from_arrays(arrays, names=["labels", "w", "t", "s"])
 
     row = sample.select("id", "lang", "text").repartition(1).mapInArrow(run, "labels array<string>, w binary, t binary, s binary").first()
@@ -245,7 +250,7 @@ def train(docs: DataFrame, max_rows: int = 300, id_col: str = "doc_id", text_col
         return fit([], [])
     labels = list(row["labels"])
     k = len(labels)
-    return Crf(labels, np.frombuffer(row["w"]).reshape(BUCKETS, k).astype(np.float32), np.frombuffer(row["t"]).reshape(k, k), np.frombuffer(row["s"]))
+    return Crf(labels, np.frombuffer(row["w"], np.float32).reshape(BUCKETS, k), np.frombuffer(row["t"]).reshape(k, k), np.frombuffer(row["s"]))
 
 
 def predict(docs: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -260,5 +265,5 @@ def predict(docs: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str = "
                 langs, scores = own.predict(texts[a:b])
                 yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], pa.array(langs, pa.string()), pa.array(scores)], names=[id_col, "lang_pred", "score"])
 
-    rows = lean(docs).select(F.col(id_col), F.col(text_col))
+    rows = docs.select(F.col(id_col), F.col(text_col))
     return rows.mapInArrow(run, T.StructType([rows.schema[0], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))

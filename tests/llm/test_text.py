@@ -1,11 +1,14 @@
 import base64
+import hashlib
+import time
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import public_tokenizers as P
-from millrace.llm import bpe, langid, mixing, toxicity
+from millrace.llm import bpe, common, langid, mixing, toxicity
 from millrace.llm.textvec import Words
 
 DOCS = "doc_id bigint, text string, source string, lang string, score int, ids string, size int"
@@ -38,6 +41,18 @@ def test_bpe_equals_the_reference_library_and_round_trips(spark, sf, reference):
     assert bpe.encode(docs.limit(0), path, P.PATTERN).collect() == []
 
 
+def test_long_pieces_merge_as_the_reference_library_does(reference):
+    path, other = reference
+    encoder, rng = bpe.Bpe(bpe.load_ranks(path)), np.random.default_rng(6)
+    letters = lambda n, of: "".join(rng.choice(list(of), n))
+    texts = ["a" * 5001, "ab" * 4000, "aab" * 3000, letters(9000, "abcdefghijklmnopqrstuvwxyz"), letters(6000, "ab"), letters(5000, "eéèüßñ"), "the" * 2500 + letters(4000, "etaoin"), letters(2500, "日本語テキスト")]
+    for text in texts:
+        assert encoder.encode_pieces([text.encode()])[0].tolist() == other.encode_ordinary(text)
+    began = time.time()
+    encoder.encode_pieces([letters(128_000, "abcdefghijklmnopqrstuvwxyz").encode()])
+    assert time.time() - began < 15
+
+
 def test_decode_takes_null_ids(spark, reference):
     frame = spark.createDataFrame([(1, [65, 66]), (2, None), (3, [])], "doc_id bigint, ids array<int>")
     got = {r.doc_id: bytes(r.decoded) for r in bpe.decode(frame, reference[0]).collect()}
@@ -133,6 +148,50 @@ def test_toxicity_edge_rows(spark):
     assert toxicity.score(docs.limit(0), model).collect() == []
 
 
+def test_toxicity_scores_match_a_plain_version(spark):
+    """Passages, averages and the largest logit, word by word."""
+    rng = np.random.default_rng(3)
+    model = toxicity.Model(rng.normal(0, 1, toxicity.BUCKETS).astype(np.float32), -0.4, 0.7, 0.1)
+    texts = ["", "a", "Bad BAD bad words  here\tnow", " ".join("".join(rng.choice(list("abcé🎉"), int(rng.integers(1, 9)))) for _ in range(90))]
+    for text, got in zip(texts, model.score(texts)):
+        words = [w for k, w in enumerate(text.lower().split()) if not k or w != text.lower().split()[k - 1]]
+        logits = []
+        for k in range(0, len(words), toxicity.PASSAGE):
+            bags = [toxicity.Bag([w]) for w in words[k : k + toxicity.PASSAGE]]
+            total = max(toxicity.LEAST, sum(int(b.count[0]) for b in bags))
+            logits.append(sum(float(model.units[b.unit].astype(float).sum()) for b in bags) / total * toxicity.SCALE + model.bias)
+        assert abs(got - float(model.probability(np.array(max(logits, default=model.bias))))) < 1e-6
+    docs = rows(spark, [(i, t, "s", "en") for i, t in enumerate(texts)])
+    assert [r.score for r in sorted(toxicity.score(docs, model).collect())] == pytest.approx(model.score(texts).tolist())
+
+
+def test_samples_are_bounded_whatever_repeats(spark):
+    """One id on very many rows is one row of the sample, and a label's sample is its smallest hashes."""
+    one = spark.range(20_000).select(F.lit(7).cast("bigint").alias("id"), F.lit(1).alias("y"))
+    many = spark.range(6000).select((F.col("id") + 100).alias("id"), (F.col("id") % 2).cast("int").alias("y"))
+    hashed = one.unionByName(many).select("y", "id", common.hash60(F.col("id").cast("string")).alias("h"))
+    got = common.bounded(hashed, "y", "h", 50).collect()
+    place = lambda i: int(hashlib.md5(str(i).encode()).hexdigest()[:15], 16)
+    for y in (0, 1):
+        ids = {i + 100 for i in range(6000) if i % 2 == y} | ({7} if y else set())
+        assert sorted(r.id for r in got if r.y == y) == sorted(sorted(ids, key=place)[:50])
+    docs = rows(spark, [(7, f"the bad text {i}", "s", "en") for i in range(3000)] + [(i, "good words", "s", "de") for i in range(100, 140)])
+    labels = docs.select("doc_id", (F.col("doc_id") == 7).cast("int").alias("toxic"))
+    assert len(toxicity.score(docs, toxicity.train(docs, labels)).collect()) == 3040
+    assert langid.train(docs, max_langs=1).labels == ["en"] and langid.train(docs, max_chars=11).labels == ["de"]
+
+
+def test_language_query_matches_a_plain_version(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    crf = langid.train(docs, max_rows=20)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in langid.predict(docs, crf).collect()[:60]:
+        chains = langid.Chains([texts[r.doc_id]])
+        total = chain_brute(crf, chains).sum(axis=0) if len(chains.word) else np.zeros(len(crf.labels))
+        assert r.lang_pred == (crf.labels[int(total.argmax())] if total.sum() else "und")
+        assert abs(r.score - (total.max() / total.sum() if total.sum() else 0)) < 1e-6
+
+
 def test_remainder_is_crc32_of_the_text(spark):
     got = spark.range(100).select("id", toxicity.remainder("id", 4).alias("r")).collect()
     assert all(r.r == zlib.crc32(str(r.id).encode()) % 4 for r in got)
