@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import ascii_lower, attach, keep, mix64, partitions
+from millrace.llm.common import ascii_lower, attach, keep, mix64, partitions, small
 
 NO_ID = -(2**63)
 SLOTS = "shard int, sizes array<int>, bits binary, digests binary, winners array<bigint>, copies array<bigint>"
@@ -173,14 +173,19 @@ def split_by_age(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, Da
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each group of equal texts, that of the largest id (null last); columns unchanged.
 
-    The decision stays with the row: what has the winner's id in its group goes on, and where several rows do (a
-    repeated id, or none at all), the first of them by content is taken, after each task has chosen its own.
+    A row goes if its group has another winner. Where several rows have the winner's id (a repeated id, or none at
+    all), the first of them by content stays, after each task has chosen its own. Only rows of groups of two or more are
+    looked at, by digest and id, and texts don't move unless these are too many to broadcast.
     """
     past, new = split_by_age(docs, id_col)
     rows, classes = _classified(new, past, id_col, text_col)
-    won = attach(rows, classes, "digest", "group_size").where(F.col("id").eqNullSafe(F.col("keep_id")))
-    won = keep(won.groupBy("digest", "keep_id", "group_size").agg(F.count("*").alias("winners")), "exact-winners")
+    found = attach(rows, classes.where("group_size > 1").select("digest", "keep_id", "group_size"), "digest", "group_size")
+    pairs = found.groupBy("digest", "id").agg(F.first("keep_id").alias("keep_id"), F.count("*").alias("n"))
+    pairs = pairs.select(F.col("digest").alias("d"), F.col("id").alias("i"), F.col("id").eqNullSafe(F.col("keep_id")).alias("won"), "n")
+    odd = keep(pairs.where("n > 1 OR NOT won"), "exact-odd")
+    many = odd.count()
     marked = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("bigint").alias("id"), F.unhex(text_digest(F.col(text_col))).alias("digest"))
-    left = attach(marked, won, "digest", "group_size").where(F.col("id").eqNullSafe(F.col("keep_id")))
-    several = left.where("winners > 1").groupBy("digest").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
-    return left.where("winners = 1").select("row").unionByName(several.select("row")).select("row.*")
+    same = (F.col("digest") == F.col("d")) & F.col("id").eqNullSafe(F.col("i"))
+    rest = marked.join(small(odd, many), same, "left_anti")
+    several = marked.join(small(odd.where("won"), many), same, "left_semi").groupBy("digest").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    return rest.select("row").unionByName(several.select("row")).select("row.*")
