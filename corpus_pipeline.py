@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import bpe, exact_dedup, mixing, simhash, toxicity
-from millrace.llm.common import keep
+from millrace.llm.common import job, keep, kept, release
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,8 +52,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, each stage's rows written and reread as the next one's docs."""
+    """All stages over `documents`, each stage's rows written and reread as the next one's docs.
+
+    A stage's intermediate tables and its predecessor's rows are deleted once its own rows are written.
+    """
+    job(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    start = kept()
     for name, stage in STAGES[:-1]:
         docs = keep(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        release(spark, since=start, but=docs)
     return STAGES[-1][1](spark, docs, sf_dir)
