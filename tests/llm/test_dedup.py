@@ -115,6 +115,27 @@ def test_simhash_links_over_chains_and_hot_shards(spark):
         assert [got.get(i, i) for i in range(len(fps))] == root
 
 
+def test_a_hot_group_of_near_copies_gives_links_in_proportion(spark):
+    """5,000 fingerprints around one: a star each shard, not a link a pair; cut into tiles as well."""
+    rng = np.random.default_rng(9)
+    base, fps = int(rng.integers(0, 2**62)), set()
+    while len(fps) < 5000:
+        fps.add(base ^ sum(1 << int(b) for b in rng.choice(62, int(rng.integers(0, 4)), replace=False)))
+    frame = spark.createDataFrame([(i, s) for i, s in enumerate(sorted(fps))], "node bigint, w0 bigint")
+    keys = simhash.blocks_for(5000, 4)
+    for tile in (20_000, 700):
+        edges = simhash.links(frame, 4, keys, tile=tile)
+        assert edges.count() <= 5000
+        assert simhash.components(edges).select("label").distinct().count() == 1
+
+
+def test_components_with_hubs_apart(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "MANY", 100)
+    star = [(0, i) for i in range(1, 3000)] + [(i, i + 1) for i in range(5000, 5400)] + [(9000, 9001)]
+    label = {r.node: r.label for r in simhash.components(spark.createDataFrame(star, "a bigint, b bigint")).collect()}
+    assert label == {**dict.fromkeys(range(3000), 0), **dict.fromkeys(range(5000, 5401), 5000), 9000: 9000, 9001: 9000}
+
+
 def test_blocks_cover_the_radius():
     for n in (10, 10**6, 10**9, 10**12):
         keys = simhash.blocks_for(n, 4)
@@ -180,6 +201,23 @@ def test_near_duplicates_are_exactly_those_of_the_similarity(spark, monkeypatch,
     assert 20 < sum(root[k] == root[k + 1] for k in range(0, 120, 2)) < 40
 
 
+def test_near_duplicate_recall_at_the_threshold(spark):
+    """150 pairs of 200 shingles each at a similarity of 0.802, 0.852, 0.905 and 0.794, at the settings used."""
+    rng = np.random.default_rng(12)
+    word = lambda: "".join(rng.choice(list("abcdefgh"), 6))
+    texts, kind = [], []
+    for shared in (178, 184, 190, 177):
+        for _ in range(150):
+            own = [word() for _ in range(204)]
+            texts += [" ".join(own), " ".join(own[: shared + 4] + [word() for _ in range(200 - shared)])]
+            kind.append(shared)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(rows(spark, list(enumerate(texts)))).collect()}
+    linked = [got[2 * k] == got[2 * k + 1] for k in range(len(kind))]
+    found = {s: sum(x for x, k in zip(linked, kind) if k == s) for s in set(kind)}
+    assert found[178] >= 0.95 * 150 and found[184] >= 0.97 * 150 and found[190] == 150 and found[177] == 0
+    assert len(set(got.values())) == len(texts) - sum(linked)  # nothing else links
+
+
 def test_simhash_of_nothing(spark):
     assert simhash.near_classes(rows(spark, [])).collect() == []
     assert simhash.near_duplicates(rows(spark, [])).collect() == []

@@ -2,6 +2,7 @@
 
 import base64
 import os
+import re
 from collections import Counter
 
 import numpy as np
@@ -9,7 +10,7 @@ import pytest
 
 import corpus_pipeline
 import public_tokenizers as P
-from millrace.llm import common, mixing, toxicity
+from millrace.llm import common, mixing, simhash, toxicity
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 BAD = ["stupid", "idiot", "worthless", "scum", "moron"]
@@ -110,6 +111,19 @@ def test_kept_tables_can_be_released(spark):
     assert not os.path.exists(path) and not common._KEPT
 
 
+def test_a_run_leaves_the_shared_folder_empty(spark, made, tmp_path):
+    shared, before = common.shared_dir(spark), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    common.release(spark)
+    corpus_pipeline.run(spark, made[0]).write.parquet(str(tmp_path / "out"))
+    tables = lambda: [n for n in os.listdir(shared) if re.search(r"-[0-9a-f]{32}$", n)]
+    assert len(tables()) == 1  # the last stage's input
+    common.release(spark)
+    assert tables() == []
+    simhash.near_duplicates(spark.read.parquet(f"{made[0]}/documents.parquet")).count()
+    common.release(spark)
+    assert tables() == [] and before in ("10000", "1000")
+
+
 def test_empty_documents(spark, made, tmp_path):
     path = str(tmp_path)
     docs = spark.read.parquet(f"{made[0]}/documents.parquet").limit(0)
