@@ -5,20 +5,24 @@ shingles. Two fingerprints link if at most `radius` bits differ. Distinct finger
 copies count once. If two of them differ in at most r bits, then of m > r blocks of bits at least m - r are
 the same in both: each choice of m - r blocks is a shard key, and linked pairs meet in at least one shard. A
 shard's fingerprints form a BK-tree, whose children are keyed by their Hamming distance to the parent; a
-search follows only the edges within the radius. A shard of more than `tile` fingerprints is cut into parts,
-and the tree of each part is sent to every part, so that no task holds a whole hot shard. A shard's links are
-folded to a spanning forest before they leave the task, and the forests of all shards to components by label
+search follows only the edges within the radius. A task folds its links to stars on the smallest node of each component
+before they leave it, and the stars of all shards are folded to components by label
 propagation with pointer jumping over written tables.
 
 Broadcasting all trees to all tasks would not be bounded, so a tree goes to the tasks of its own shard key.
 
+A shard of more than `tile` fingerprints is hot. It is cut into tiles (see all_links): tiles are searched by themselves, then
+one fingerprint of each tile's commonest component is searched against those of other tiles, and last of all, what is still outside the
+shard's commonest component against the whole shard. So a third of all rows that are copies of each other
+move a few times each, and no pair that could join two components is left out.
+
 near_duplicates() links texts by the exact similarity (Jaccard) of their shingle sets; fingerprints only find
 candidates. It takes a wider fingerprint: each hash is mixed anew for each of `width` words of 64 bits. Texts of
 similarity s differ in about arccos(2s / (1 + s)) / pi of the bits, which sets the candidates' radius (three
 standard errors of that share are added). Its shard keys are overlapping runs of 12 bits of the fingerprint.
 The components of candidate links are clouds; all pairs of a cloud are then compared by their sets (of 64-bit
-hashes), in tiles that no task outgrows, and only pairs of the similarity asked for link. So no link is false; a pair
-is missed only if no chain of candidates joins it.
+hashes) but for those that other links join already, in tiles as above, and only pairs of the similarity asked for link. So no
+link is false; a pair is missed only if no chain of candidates joins it.
 
 Rules: A-Z is lower-cased; words are runs other than \\x20 and \\x09-\\x0D; a text with fewer words than a
 shingle is one shingle; a text without words (empty or null) has fingerprint 0, which links like any other. Rows
@@ -39,11 +43,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import attach, keep, lean, mix64, partitions, ragged, small
+from millrace.llm.common import attach, join_hubs, keep, mix64, partitions, ragged, small
 
 TILE = 20_000
 #: A cloud's parts hold about so many texts and shingles.
 PART, SHINGLES = 2_000, 500_000
+#: Edges beyond which components() joins hubs apart.
+MANY = 1_000_000
 
 
 def shingle_hashes(text: str | None, words: int, seed: int = 42) -> np.ndarray:
@@ -99,7 +105,7 @@ def fingerprints(docs: DataFrame, words: int = 4, width: int = 0, id_col: str =
             cols = [pa.array(fps[:, i].copy().view(np.int64)) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], names=["id", *names])
 
-    rows = lean(docs).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "id bigint, " + ", ".join(f"{n} bigint" for n in names))
 
 
@@ -197,6 +203,63 @@ def _shard_links(fps: np.ndarray, group: np.ndarray, tree: np.ndarray, query: np
     return links
 
 
+def folded(edges: DataFrame, each: int = 1_000_000) -> DataFrame:
+    """(a, b): fewer edges with the same components, written; a task folds about `each` of them."""
+    rows = keep(edges.select("a", "b"), "links")
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.stack([c.to_numpy() for c in batch.columns]) for batch in it]
+        if held:
+            nodes, at = np.unique(np.concatenate(held, axis=1), return_inverse=True)
+            label = spanning(*at.reshape(2, -1), len(nodes))
+            own = np.flatnonzero(label != np.arange(len(nodes)))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(nodes[label[own]])], names=["a", "b"])
+
+    return keep(rows.coalesce(max(1, -(-rows.count() // each))).mapInArrow(run, "a bigint, b bigint"), "folded")
+
+
+def all_links(rows: DataFrame, group: list[str], link, tile: int, tiled: bool) -> DataFrame:
+    """(a, b): links whose components are those of all linked pairs within each group.
+
+    rows: node (once a group), the group's columns, parts (tiles that the group is cut into), own (a row's tile) and what
+    else link() reads; tiled: some group has several parts. link(cells) gives the links of each cell (group, x, y) between its rows marked tree and its rows marked
+    query; it may leave out pairs of one comp, and pairs that its other links join.
+
+    First each tile by itself. Then, for groups of several tiles: one node of each tile's commonest component, against the
+    others' (a short cut only); then all nodes outside the group's commonest component against the whole group.
+    """
+    yes, no = F.lit(True), F.lit(False)
+    cells = rows.withColumn("comp", F.col("node"))
+    first = folded(link(cells.select("*", F.col("own").alias("x"), F.lit(0).alias("y"), yes.alias("tree"), yes.alias("query"))))
+    if not tiled:
+        return first
+    hot = rows.where("parts > 1")
+
+    def marked(edges: DataFrame) -> DataFrame:
+        found = hot.select(*group, "own", "parts", "node").join(components(edges).withColumnRenamed("label", "comp"), "node", "left")
+        return keep(found.withColumn("comp", F.coalesce("comp", "node")), "tiles")
+
+    per = marked(first).groupBy(*group, "own", "parts", "comp").agg(F.count("*").alias("n"), F.min("node").alias("node"))
+    sent = per.groupBy(*group, "own", "parts").agg(F.max_by("node", F.struct("n", -F.col("comp"))).alias("node"))
+    again = hot.join(sent.select(*group, "node"), [*group, "node"], "left_semi").withColumn("comp", F.col("node"))
+    meet = (-1 - F.floor(F.col("own") / tile)).cast("int")  # so many tiles' nodes make a tile again
+    second = link(again.select("*", meet.alias("x"), F.lit(0).alias("y"), yes.alias("tree"), yes.alias("query")))
+    edges = folded(first.unionByName(second))
+    state = marked(edges)
+    sizes = state.groupBy(*group, "comp").agg(F.count("*").alias("n"))
+    mains = sizes.groupBy(*group).agg(F.max_by("comp", F.struct("n", -F.col("comp"))).alias("main"), (F.sum("n") - F.max("n")).alias("others"))
+    mains = keep(mains.where("others > 0").withColumn("cuts", F.ceil(F.col("others") / tile).cast("int")), "mains")
+    several = mains.count()
+    if not several:
+        return edges
+    left = hot.join(small(mains, several), group).join(state.select(*group, "node", "comp"), [*group, "node"])
+    outside = left.where("comp <> main").withColumn("x", F.pmod(F.xxhash64("node", F.lit(7)), F.col("cuts")).cast("int"))
+    outside = outside.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("*", no.alias("tree"), yes.alias("query"))
+    whole = left.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1))).withColumn("y", F.col("own")).select("*", yes.alias("tree"), no.alias("query"))
+    third = link(outside.unionByName(whole).drop("main", "others", "cuts"))
+    return folded(edges.unionByName(third))
+
+
 def links(distinct: DataFrame, radius: int, keys: list[tuple[int, int]], tile: int = TILE) -> DataFrame:
     """distinct: node, w0, w1, ... with no fingerprint twice. (a, b): links between nodes, whose
     components are those of all pairs within the radius that share a shard key (word, mask)."""
@@ -210,17 +273,14 @@ def links(distinct: DataFrame, radius: int, keys: list[tuple[int, int]], tile: i
     near = F.broadcast(hot) if len(keys) * n // tile <= 100_000 else hot
     rows = keyed.join(near, ["table", "value"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    # Tile (x, y), x <= y, searches the tree of part x with the fingerprints of part y.
     tiles = ["table", "value", "x", "y"]
-    rows = rows.select("table", "value", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "node", *words)
-    dealt = rows.repartition(partitions(distinct.sparkSession, len(keys) * n, 50_000), *tiles).sortWithinPartitions(*tiles)
+    groups = partitions(distinct.sparkSession, len(keys) * n, 50_000)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(cols: np.ndarray) -> pa.RecordBatch:
             group = np.concatenate([[0], np.cumsum((cols[1:, :4] != cols[:-1, :4]).any(axis=1))])
-            fps = np.ascontiguousarray(cols[:, 6:]).view(np.uint64)
-            a, b = cols[:, 5][_shard_links(fps, group, cols[:, 4] == cols[:, 2], cols[:, 4] == cols[:, 3], radius)]
+            fps = np.ascontiguousarray(cols[:, 7:]).view(np.uint64)
+            a, b = cols[:, 4][_shard_links(fps, group, cols[:, 5] == 1, cols[:, 6] == 1, radius)]
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         held: list[np.ndarray] = []
@@ -236,7 +296,12 @@ def links(distinct: DataFrame, radius: int, keys: list[tuple[int, int]], tile: i
         if held and sum(map(len, held)):
             yield flush(np.concatenate(held))
 
-    return dealt.mapInArrow(run, "a bigint, b bigint")
+    def link(cells: DataFrame) -> DataFrame:
+        # Rows are in order of node, so that stars hang on the smallest node.
+        dealt = cells.select(*tiles, "node", F.col("tree").cast("int").alias("tree"), F.col("query").cast("int").alias("query"), *words)
+        return dealt.repartition(groups, *tiles).sortWithinPartitions(*tiles, "node").mapInArrow(run, "a bigint, b bigint")
+
+    return all_links(rows, ["table", "value"], link, tile, not hot.isEmpty())
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -244,13 +309,24 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round a node takes the smallest label among its own, its neighbours' and its label's label, and
     passes it to the node that its old label names, so chains shorten by more than half. Each round's
-    table is written; the loop ends when a round changes nothing.
+    table is written; the loop ends when a round changes nothing. Past MANY edges, nodes with over a thousandth of all edges and
+    labels of so many nodes are joined apart; with fewer edges no key has more rows than a task takes.
     """
     pairs = keep(edges.select("a", "b").union(edges.select("b", "a")).where("a <> b").distinct(), "cc-edges")
     labels = keep(pairs.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("label")), "cc-labels")
+    edges_in_all = pairs.count()
+    if not edges_in_all:
+        return labels
+    spread, most = edges_in_all > MANY, edges_in_all // 1000
+    hubs = keep(pairs.groupBy("b").count().where(F.col("count") > most), "cc-hubs") if spread else None
+
+    def joined(rows: DataFrame, table: DataFrame, key: str, few: DataFrame | None) -> DataFrame:
+        return join_hubs(rows, table, key, few) if spread else rows.join(table, key)
+
     while True:
-        seen = pairs.join(labels.select(F.col("node").alias("b"), "label"), "b").select(F.col("a").alias("node"), "label")
-        jump = labels.join(labels.select(F.col("node").alias("label"), F.col("label").alias("next")), "label").select("node", F.col("next").alias("label"))
+        seen = joined(pairs, labels.select(F.col("node").alias("b"), "label"), "b", hubs).select(F.col("a").alias("node"), "label")
+        large = labels.groupBy("label").count().where(F.col("count") > most) if spread else None
+        jump = joined(labels, labels.select(F.col("node").alias("label"), F.col("label").alias("next")), "label", large).select("node", F.col("next").alias("label"))
         low = seen.unionByName(jump).unionByName(labels).groupBy("node").agg(F.min("label").alias("low"))
         both = low.join(labels, "node")
         told = both.select("node", F.col("low").alias("label")).unionByName(both.select(F.col("label").alias("node"), F.col("low").alias("label")))
@@ -315,29 +391,15 @@ def _sets(text: Column, words: int) -> Column:
     return run(text)
 
 
-def folded(edges: DataFrame, each: int = 1_000_000) -> DataFrame:
-    """(a, b): fewer edges with the same components; a task folds about `each` of them."""
-    rows = keep(edges.select("a", "b"), "links")
-
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.stack([c.to_numpy() for c in batch.columns]) for batch in it]
-        if held:
-            nodes, at = np.unique(np.concatenate(held, axis=1), return_inverse=True)
-            label = spanning(*at.reshape(2, -1), len(nodes))
-            own = np.flatnonzero(label != np.arange(len(nodes)))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes[own]), pa.array(nodes[label[own]])], names=["a", "b"])
-
-    return rows.coalesce(max(8, -(-rows.count() // each))).mapInArrow(run, "a bigint, b bigint")
-
-
-def _exact_links(sets: list[np.ndarray], tree: np.ndarray, query: np.ndarray, similarity: Fraction) -> list[tuple[int, int]]:
+def _exact_links(sets: list[np.ndarray], tree: np.ndarray, query: np.ndarray, comp: np.ndarray, similarity: Fraction) -> list[tuple[int, int]]:
     """Links between rows of the tree and of the query side, whose components are those of all such pairs
-    with at least the similarity. Pairs that links join already aren't compared."""
+    with at least the similarity. Pairs that links join already, or that are of one comp, aren't compared."""
     size = np.fromiter(map(len, sets), np.int64, len(sets))
     _, flat = np.unique(np.concatenate(sets), return_inverse=True)
     start = np.cumsum(size) - size
     seen = np.zeros(int(flat.max(initial=-1)) + 1, np.int32)
-    label, out, alone = np.arange(len(sets)), [], bool((tree & query).all())
+    out, alone = [], bool((tree & query).all())
+    _, label = np.unique(comp, return_inverse=True)
     for q in np.flatnonzero(query):
         # No overlap above the smaller set's size: other sizes can't reach the similarity.
         fits = tree & (np.minimum(size, size[q]) * similarity.denominator >= np.maximum(size, size[q]) * similarity.numerator)
@@ -347,7 +409,7 @@ def _exact_links(sets: list[np.ndarray], tree: np.ndarray, query: np.ndarray, si
         own = flat[start[q] : start[q] + size[q]]
         seen[own] = 1
         while left.size:
-            part, left = left[:256], left[256:]
+            part, left = left[:64], left[64:]
             ends = np.cumsum(size[part])
             common = np.concatenate([[0], np.cumsum(seen[flat[ragged(start[part], size[part])]])])
             common = common[ends] - common[ends - size[part]]
@@ -362,35 +424,33 @@ def _exact_links(sets: list[np.ndarray], tree: np.ndarray, query: np.ndarray, si
 
 
 def verified(members: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """members: node, label, size; texts: node, text. (a, b): links between nodes of one label, whose components
-    are those of all pairs of that label with at least the similarity.
-
-    A label's nodes are cut into parts of about PART nodes or SHINGLES shingles, and each two parts meet in a tile.
-    """
+    """members: node, cloud, size; texts: node, text. (a, b): links between nodes of one cloud, whose components
+    are those of all pairs of that cloud with at least the similarity. Tiles hold about PART nodes or SHINGLES shingles."""
     spark, share = members.sparkSession, Fraction(str(similarity))
     n, total = members.agg(F.count("*"), F.sum("size")).first()
     parts = F.ceil(F.greatest(F.count("*") / PART, F.sum("size") / SHINGLES)).cast("int")
-    hot = keep(members.groupBy("label").agg(parts.alias("parts")).where("parts > 1"), "cloud-parts")
-    placed = members.join(small(hot, hot.count()), "label", "left").select("node", "label", F.coalesce("parts", F.lit(1)).alias("parts"))
-    rows = lean(texts).join(small(placed, n), "node").withColumn("set", _sets(F.col("text"), words))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    x, y = F.least("own", "other"), F.greatest("own", "other")
-    bucket = F.pmod(F.xxhash64("label"), F.lit(partitions(spark, total or 0, SHINGLES)))  # small clouds share a group
-    whole = F.col("parts") == 1
-    tiles = rows.select(F.when(whole, bucket).otherwise(F.col("label")).alias("cloud"), F.when(whole, -1).otherwise(x).alias("x"), F.when(whole, -1).otherwise(y).alias("y"), "own", "label", "node", "set")
-
-    def run(tile: pa.Table) -> pa.Table:
-        x, y, own, label, node = (tile[c].to_numpy() for c in ("x", "y", "own", "label", "node"))
-        sets = [np.frombuffer(b.as_py(), np.uint64) for b in tile["set"]]
-        order, found = np.lexsort([node, label]), []
-        for rows in np.split(order, np.flatnonzero(np.diff(label[order])) + 1):
-            tree, query = (own[rows] == x[rows]) | (x[rows] < 0), (own[rows] == y[rows]) | (x[rows] < 0)
-            found += [(node[rows[a]], node[rows[b]]) for a, b in _exact_links([sets[k] for k in rows], tree, query, share)]
+    hot = keep(members.groupBy("cloud").agg(parts.alias("parts")).where("parts > 1"), "cloud-parts")
+    placed = members.join(small(hot, hot.count()), "cloud", "left").select("node", "cloud", F.coalesce("parts", F.lit(1)).alias("parts"))
+    rows = texts.join(small(placed, n), "node").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    small_clouds = partitions(spark, total or 0, SHINGLES)
+
+    def run(cell: pa.Table) -> pa.Table:
+        cloud, node, comp = (cell[c].to_numpy() for c in ("cloud", "node", "comp"))
+        tree, query = (np.array(cell[c].to_pylist(), bool) for c in ("tree", "query"))
+        sets = [np.frombuffer(b.as_py(), np.uint64) for b in cell["set"]]
+        order, found = np.lexsort([node, cloud]), []
+        for rows in np.split(order, np.flatnonzero(np.diff(cloud[order])) + 1):
+            found += [(node[rows[a]], node[rows[b]]) for a, b in _exact_links([sets[k] for k in rows], tree[rows], query[rows], comp[rows], share)]
         a, b = np.array(found, np.int64).reshape(-1, 2).T
         return pa.table({"a": pa.array(a.copy()), "b": pa.array(b.copy())})
 
-    return tiles.groupBy("cloud", "x", "y").applyInArrow(run, "a bigint, b bigint")
+    def link(cells: DataFrame) -> DataFrame:
+        whole = F.col("parts") == 1  # small clouds share a group
+        by = F.when(whole, F.pmod(F.xxhash64("cloud"), F.lit(small_clouds))).otherwise(F.col("cloud")).alias("cell")
+        dealt = cells.select(by, F.when(whole, -1).otherwise(F.col("x")).alias("x"), F.when(whole, -1).otherwise(F.col("y")).alias("y"), "cloud", "node", "comp", "tree", "query", _sets(F.col("text"), words).alias("set"))
+        return dealt.groupBy("cell", "x", "y").applyInArrow(run, "a bigint, b bigint")
+
+    return all_links(rows, ["cloud"], link, PART, not hot.isEmpty())
 
 
 def _near(rows: DataFrame, similarity: float, words: int, width: int, key_bits: int, step: int) -> DataFrame:
@@ -402,15 +462,15 @@ def _near(rows: DataFrame, similarity: float, words: int, width: int, key_bits:
     names = [f"w{i}" for i in range(width)]
     distinct = rows.groupBy(*[F.col(f"f.{c}").alias(c) for c in [*names, "s0", "s1", "size"]]).agg(F.min("node").alias("node"), F.min("id").alias("low"), F.min(F.struct("order", "node")).alias("best"), F.count("*").alias("copies"))
     distinct = keep(distinct, "simhash-distinct")
-    clouds = components(folded(links(distinct.select("node", *names), radius, keys)))
+    clouds = components(links(distinct.select("node", *names), radius, keys)).withColumnRenamed("label", "cloud")
     members = keep(clouds.join(distinct.select("node", "size"), "node"), "simhash-clouds")
-    label = components(folded(verified(members, rows.select("node", "text"), words, similarity)))
+    label = components(verified(members, rows.select("node", "text"), words, similarity))
     return distinct.join(label, "node", "left").select("s0", "s1", "copies", "low", "best", F.coalesce("label", "node").alias("label"))
 
 
 def _numbered(docs: DataFrame, words: int, width: int, id_col: str, text_col: str) -> DataFrame:
     """node, id, f, order and row (all columns), written, and text of the row. order: by id, null last, then by content."""
-    rows = lean(docs).select(F.struct("*").alias("row"), F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     order = F.struct(F.col("id").isNull().alias("none"), "id", F.xxhash64(F.to_json("row")).alias("hash"))
     rows = keep(rows.select(F.monotonically_increasing_id().alias("node"), "id", order.alias("order"), "row", _prints(F.col("text"), words, width).alias("f")), "simhash")
     return rows.withColumn("text", F.col("row").getField(text_col))
