@@ -30,12 +30,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import keep, lean, mix64, partitions, ragged
+from millrace.llm.common import keep, mix64, partitions, ragged
 from millrace.llm.textvec import range_hashes
 
 WINDOW, RUN = 13, 4  #: words
 CHUNK = 3_000_000  #: bytes of text a chunk is cut at
 BUCKET = 8_000_000  #: bytes of strings a bucket should hold
+TASK = 24_000_000  #: bytes of strings, before compression, that a task should read
 HOT = 5_000
 NO_ID = 2**63 - 1
 
@@ -219,7 +220,7 @@ def chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
         if held:
             yield flush()
 
-    rows = lean(docs).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, "chunk string, bytes bigint, kmers bigint, frequent array<struct<key:bigint,n:bigint>>, docs binary")
 
 
@@ -284,6 +285,8 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int64()), pa.array([name] * len(rows), pa.string()), pa.array([x for _, x in rows], pa.binary())], names=["bucket", "chunk", "data"])
 
     dealt = packed.select("chunk", "docs").mapInArrow(deal, "bucket bigint, chunk string, data binary")
+    # The tasks grow in number with the text, so that none grows with it.
+    dealt = dealt.repartition(max(partitions(spark), -(-3 * (total or 0) // TASK)), "bucket")
     hits = dealt.groupBy("bucket").applyInArrow(_count, "chunk string, hits binary")
     hits = keep(hits, "substring-hits").groupBy("chunk").agg(F.collect_list("hits").alias("hits"))
 
