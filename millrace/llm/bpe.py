@@ -4,7 +4,9 @@ A text is cut into pieces by the tokenizer's pattern. The distinct pieces of a b
 by length and laid out as padded matrices of token ids. In each round every row merges its leftmost
 pair of minimum rank and is compacted by one column; ranks of pairs come from an open-addressing hash table
 over (left id, right id), and only the ranks beside a merge are looked up again. Rows without a mergeable pair
-leave the matrix. A piece that is itself a token is taken at once, as the reference tokenizers do.
+leave the matrix. A piece that is itself a token is taken at once, as the reference tokenizers do. A piece of more than
+LONG bytes is a matrix of one row, which merges all pairs of minimum rank at once, from the left up to the first merge
+that gives rise to a rank as low: the same merges in the same order, in fewer rounds.
 
 Rules: null text counts as empty and gives no ids; special tokens are ordinary text; lone surrogates can't
 occur in Spark strings. decode() joins the tokens' bytes; null ids give empty bytes, an unknown id is an error.
@@ -25,11 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import batches, lean, ragged
+from millrace.llm.common import batches, ragged
 
 NONE = np.int32(2**31 - 1)  #: the rank of a pair that doesn't merge
 CHARS = 1_000_000  #: characters encoded at once
 PIECES = 150_000  #: pieces remembered between batches
+LONG = 2_000  #: bytes of a piece beyond which its row stands alone
 
 
 def load_ranks(path: str) -> list[bytes]:
@@ -107,6 +110,8 @@ class Bpe:
         for i, piece in enumerate(pieces):
             if (one := self.whole.get(piece)) is not None:
                 out[i] = np.array([one], np.int32)
+            elif len(piece) > LONG:
+                out[i] = self._merge_long(piece)
             elif piece:
                 todo.append(i)
         rows = np.array(todo, np.int64)
@@ -120,6 +125,29 @@ class Bpe:
                     out[i] = ids
         return out
 
+    def _merge_long(self, piece: bytes) -> np.ndarray:
+        ids = self.byte[np.frombuffer(piece, np.uint8)]
+        ranks = self.pairs.get(ids[:-1], ids[1:])
+        while len(ranks) and (best := ranks.min()) != NONE:
+            at = np.flatnonzero(ranks == best)
+            run = np.cumsum(np.append(True, np.diff(at) != 1)) - 1  # of places side by side, whose pairs overlap
+            at = at[(at - at[np.flatnonzero(np.diff(run, prepend=-1))][run]) % 2 == 0]
+            # A merge's neighbours at its time: the left one may be merged before it, the right one isn't yet.
+            left, right = ids[at - 1], ids[np.minimum(at + 2, len(ids) - 1)]
+            left[1:][np.diff(at) == 2] = best
+            left[at == 0], right[at + 2 >= len(ids)] = -1, -1
+            merged = np.full(len(at), best, np.int32)
+            low = np.minimum(self.pairs.get(left, merged), self.pairs.get(merged, right)) <= best
+            if low.any():
+                at = at[: low.argmax() + 1]
+            ids[at] = best
+            ids, ranks = np.delete(ids, at + 1), np.delete(ranks, at)
+            new = at - np.arange(len(at))
+            for k in (new - 1, new):
+                k = k[(k >= 0) & (k < len(ranks))]
+                ranks[k] = self.pairs.get(ids[k], ids[k + 1])
+        return ids
+
     def _merge(self, pieces: list[bytes], sizes: np.ndarray) -> list[np.ndarray]:
         n, width = len(pieces), int(sizes.max())
         ids = np.full((n, width + 1), -1, np.int32)  # the last column stays padding
@@ -255,7 +283,7 @@ DECODED = T.StructField("decoded", T.BinaryType())
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, T.StructType]:
-    rows = lean(docs).select(F.col(id_col), F.col(text_col))
+    rows = docs.select(F.col(id_col), F.col(text_col))
     return rows, T.StructType([rows.schema[0], T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
 
@@ -268,7 +296,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
     """encoded with a further column, decoded (binary): the bytes that the ids stand for."""
     run = _decoding(_token_bytes(encoded.sparkSession, path), encoded.columns, ids_col)
-    return lean(encoded).mapInArrow(run, T.StructType([*encoded.schema, DECODED]))
+    return encoded.mapInArrow(run, T.StructType([*encoded.schema, DECODED]))
 
 
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
