@@ -12,6 +12,7 @@ from millrace.llm.common import job, keep, kept, release
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under 0.3; the model is fitted on all labelled documents it may sample."""
+    job(spark)
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.judged(docs, model)
 
@@ -23,6 +24,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of texts that share 0.8 or more of their five-word shingles."""
+    job(spark)
     return simhash.deduplicated(docs)
 
 
@@ -33,6 +35,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row's token ids, their number, and whether decoding them gives the text again."""
+    job(spark)
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     rows = docs.withColumn("doc", F.struct("doc_id", "source", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha")))
     out = bpe.round_trip(rows, path, public_tokenizers.PATTERN, id_col="doc")
@@ -56,7 +59,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A stage's intermediate tables and its predecessor's rows are deleted once its own rows are written.
     """
-    job(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     start = kept()
     for name, stage in STAGES[:-1]:
