@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import ann, bpe, chat, exact_dedup, langid, mixing, simhash, substring_dedup, toxicity, url_filter
+from millrace.llm import ann, bpe, chat, crosstoken, exact_dedup, importance, langid, mixing, ngram_join, simhash, substring_dedup, toxicity, url_filter
 from millrace.llm.common import job
 
 
@@ -89,7 +89,38 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, crf).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_toxicity, op3_mixing, op4_substring_dedup, op5_ann, op6_url_filter, op7_chat, op8_bpe, op9_simhash, op10_langid)}
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), similarity=0.85, words=4)
+
+
+def op12_cross_tokenizer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return crosstoken.cross_tokenizer(table(spark, sf_dir, "documents"), a, public_tokenizers.PATTERN, b)
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), share=(10, 100), low=1, high=1, buckets=10_000, least=20, seed=2024)
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_exact_dedup,
+        op2_toxicity,
+        op3_mixing,
+        op4_substring_dedup,
+        op5_ann,
+        op6_url_filter,
+        op7_chat,
+        op8_bpe,
+        op9_simhash,
+        op10_langid,
+        op11_ngram_join,
+        op12_cross_tokenizer,
+        op13_importance,
+    )
+}
 
 UP, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -154,4 +185,32 @@ ORACLE_SQL = {
                sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
                CAST(sum(upto) FILTER (role = 'assistant' OR i = n) AS BIGINT) AS formatted_chars
         FROM s GROUP BY conv_id""",
+    "op11_ngram_join": rf"""
+        WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, '{UP}', '{LOW}'), '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+        e AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+                    ELSE list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))) END AS g FROM d),
+        s AS (SELECT doc_id, unnest(g) AS t, len(g) AS n FROM e),
+        p AS (SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS c
+              FROM s a JOIN s b ON a.t = b.t AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY ALL),
+        l AS (SELECT x, y FROM p WHERE 100 * c >= 85 * (n + m - c)),
+        u AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+        r AS (SELECT doc_id AS x, doc_id AS y FROM e UNION SELECT r.x, u.y FROM r JOIN u ON r.y = u.x)
+        SELECT e.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, min(r.y) AS component_id FROM e JOIN r ON r.x = e.doc_id GROUP BY ALL""",
+    "op13_importance": rf"""
+        WITH k AS (SELECT list_transform(range(256), lambda b: list_reduce([b] || range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+        w AS (SELECT 'd' AS side, doc_id, unnest(regexp_extract_all(translate(text, '{UP}', '{LOW}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM documents
+              UNION ALL SELECT 'b', NULL, unnest(regexp_extract_all(translate(text, '{UP}', '{LOW}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) FROM benchmark),
+        v AS (SELECT DISTINCT w, hex(encode(w)) AS h FROM w),
+        c AS (SELECT w, xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(range(1, len(h), 2), lambda i: CAST('0x' || substr(h, i, 2) AS BIGINT)),
+                     lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 10000 AS bucket FROM v, k),
+        f AS (SELECT side, doc_id, bucket FROM w JOIN c USING (w)),
+        n AS (SELECT bucket, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 'b') AS t FROM f GROUP BY bucket),
+        z AS (SELECT sum(s) AS s_all, sum(t) AS t_all FROM n),
+        g AS (SELECT bucket, CAST(floor(1000.0::DOUBLE * ln((t + 1)::DOUBLE * (s_all + 10000)::DOUBLE / ((s + 1)::DOUBLE * (t_all + 10000)::DOUBLE))) AS BIGINT) AS gain FROM n, z),
+        m AS (SELECT doc_id, count(*) AS n_features, CAST(sum(gain) AS BIGINT) AS weight FROM f JOIN g USING (bucket) WHERE side = 'd' GROUP BY doc_id),
+        a AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+                     CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT)::DOUBLE AS h FROM documents LEFT JOIN m USING (doc_id)),
+        o AS (SELECT *, weight + CAST(floor(-1000.0::DOUBLE * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score FROM a),
+        q AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS i, count(*) OVER () AS n FROM o WHERE n_features >= 20)
+        SELECT o.doc_id, n_features, weight, score, CASE WHEN i <= 10 * n // 100 THEN i END AS rank FROM o LEFT JOIN q USING (doc_id)""",
 }
