@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.functions.core import let
-from millrace.operators.order import hash_key, indexed, quantiles
+from millrace.operators.order import ROWS, hash_key, indexed, quantiles, ranks_by
 
 NAN = float("nan")
 
@@ -103,6 +103,21 @@ def trim_by_quantile(df: DataFrame, ratio: str, low: float = 0.01, high: float =
     return df.where(F.col(ratio).between(F.lit(a).cast("double"), F.lit(b).cast("double")))
 
 
+def nearest_rank(pct: float) -> Callable[[Column], Column]:
+    """The place of the nearest-rank percentile among n values, from 0: min(n - 1, floor(pct / 100 n))."""
+    return lambda n: F.least(n - 1, F.floor(n * (pct / 100)).cast("bigint"))
+
+
+def upper_median() -> Callable[[Column], Column]:
+    """The place of the upper median among n values: n div 2."""
+    return lambda n: F.floor(n / 2).cast("bigint")
+
+
+def order_statistics(df: DataFrame, group: tuple[str, ...], value: Column, places: dict[str, Callable[[Column], Column]], rows: int = ROWS) -> DataFrame:
+    """(group, n, a column a place): exact order statistics by group, of values that aren't null. No group's values are gathered."""
+    return ranks_by(df, group, value, places, rows)
+
+
 def per_dim_rho(pairs: DataFrame, keys: list[str], dim: str = "dim", least: float = 1e-6) -> DataFrame:
     """Pearson of x and y by dimension, averaged over the dimensions that vary on both sides: (keys, rho, dims)."""
     by = pairs.groupBy(*keys, dim).agg(F.corr("x", "y").alias("r"), F.stddev_samp("x").alias("sx"), F.stddev_samp("y").alias("sy"))
@@ -323,21 +338,71 @@ def corpus_wer(df: DataFrame, ref: str, hyp: str) -> DataFrame:
     return df.agg((F.sum(errors) / F.sum(words)).alias("wer"), F.sum(errors).alias("errors"), F.sum(words).alias("words"))
 
 
+def _json_at(json: Column, path: Column) -> Column:
+    """The value at a dotted path (a column) of a JSON text; a number picks from a list."""
+    step = lambda p: F.when(p.rlike(r"^\d+$"), F.concat(F.lit("["), p, F.lit("]"))).otherwise(F.concat(F.lit("."), p))
+    return F.call_function("get_json_object", json, F.concat(F.lit("$"), F.array_join(F.transform(F.split(path, r"\."), step), "")))
+
+
+def select_json_row(rows: Column, selector: Column) -> Column:
+    """One of an array of JSON objects: `max_<field>` takes the largest (the first of equals; a missing value counts as 0),
+    `<field>=<text>` the first that matches, no selector the first; null if there is none."""
+    measure, key = F.substring(selector, 5, 1_000), F.substring_index(selector, "=", 1)
+    want = F.substring(selector, F.length(key) + 2, F.lit(1_000))
+    size_of = lambda r: F.coalesce(_json_at(r, measure).try_cast("double"), F.lit(0.0))
+    said = lambda r: _json_at(r, key)
+    same = lambda r: F.coalesce((said(r) == want) | (said(r).isin("true", "false") & (said(r) == F.lower(want))), F.lit(False))
+    largest = F.array_max(F.transform(rows, lambda r, i: F.struct(size_of(r).alias("v"), (-i).alias("i"))))
+    by_max = F.try_element_at(rows, (1 - largest["i"]).cast("int"))
+    first = F.try_element_at(F.filter(rows, same), F.lit(1))
+    plain = F.try_element_at(rows, F.lit(1))
+    return F.when(F.contains(selector, F.lit("=")), first).when(F.startswith(selector, F.lit("max_")), by_max).otherwise(plain)
+
+
 def evaluate_claims(claims: DataFrame, reports: DataFrame) -> DataFrame:
-    """claims: claim, report, field (dotted), op, bound, other_field. reports: report, json. (claim, measured, outcome).
+    """Checks reported numbers. (claim, measured, outcome, report_used, missing, detail).
+
+    claims: claim, op, bound, field (dotted), and, each of these if it is needed: report, or reports (candidates: the first that exists is
+    used, those before it are missing); list_field and select (the field is looked up in one row of a list, see select_json_row);
+    fields (their sum is measured; all must be there); other_field. reports: report, json.
 
-    Ops: >=, <=, ==, all_true (every value of the field's map), lt_field (less than other_field).
+    Ops: >=, <=, ==, all_true (every value of the field's map counts as true, and there is one), lt_field (less than other_field). A claim without
+    a report, row, field or number is unmeasured, never failed; detail says why, or how many checks passed and which failed.
     """
-    def step(path: Column) -> Column:
-        return F.concat(F.lit("$"), F.array_join(F.transform(F.split(path, r"\."), lambda p: F.when(p.rlike(r"^\d+$"), F.concat(F.lit("["), p, F.lit("]"))).otherwise(F.concat(F.lit("."), p))), ""))
-
-    joined = claims.join(reports, "report", "left")
-    got = F.call_function("get_json_object", F.col("json"), step(F.col("field")))
-    other = F.call_function("get_json_object", F.col("json"), step(F.col("other_field"))).try_cast("double")
-    x, op, bound = got.try_cast("double"), F.col("op"), F.col("bound")
-    every = F.forall(F.map_values(F.from_json(got, "map<string,boolean>")), lambda v: F.coalesce(v, F.lit(False)))
-    holds = F.when(op == ">=", x >= bound).when(op == "<=", x <= bound).when(op == "==", x == bound).when(op == "lt_field", x < other).when(op == "all_true", every)
-    return joined.select("claim", got.alias("measured"), F.when(holds.isNull(), "unmeasured").when(holds, "pass").otherwise("fail").alias("outcome"))
+    texts = {"other_field": "string", "list_field": "string", "select": "string", "fields": "array<string>"}
+    have = claims.columns
+    claims = claims.withColumns({c: F.lit(None).cast(t) for c, t in texts.items() if c not in have})
+    named = F.col("reports") if "reports" in have else F.array("report")
+    asked = claims.withColumn("__asked", named)
+    each = asked.select("claim", F.posexplode("__asked").alias("at", "report")).join(reports.select("report", "json"), "report").where("json IS NOT NULL")
+    used = each.groupBy("claim").agg(F.min_by(F.struct("report", "json", "at"), "at").alias("u"))
+    joined = asked.join(used, "claim", "left").select(*[c for c in asked.columns if c != "report"], F.col("u.report").alias("report_used"), F.col("u.json").alias("__json"), F.col("u.at").alias("__at"))
+    rows = F.from_json(_json_at(F.col("__json"), F.col("list_field")), "array<string>")
+    joined = joined.withColumn("__row", F.when(F.col("list_field").isNull(), F.col("__json")).otherwise(select_json_row(rows, F.coalesce("select", F.lit("")))))
+    parts = F.transform("fields", lambda f: _json_at(F.col("__json"), f).try_cast("double"))
+    whole = F.forall(parts, lambda v: v.isNotNull())
+    sum_of = F.when(whole, F.aggregate(parts, F.lit(0.0), lambda a, v: a + v)).cast("string")
+    joined = joined.withColumn("measured", F.when(F.col("fields").isNotNull(), sum_of).otherwise(_json_at(F.col("__row"), F.col("field"))))
+    joined = joined.withColumn("__other", _json_at(F.col("__json"), F.col("other_field")).try_cast("double"))
+    joined = joined.withColumn("__checks", F.when(F.col("op") == "all_true", F.from_json("measured", "map<string,string>")))
+    x, op, bound = F.col("measured").try_cast("double"), F.col("op"), F.col("bound")
+    true = lambda v: F.coalesce(~v.isin("false", "0", "0.0", "", "[]", "{}"), F.lit(False))
+    failing = F.map_keys(F.map_filter("__checks", lambda _, v: ~true(v)))
+    every = F.when(F.col("measured").isNotNull(), F.coalesce((F.size("__checks") > 0) & (F.size(failing) == 0), F.lit(False)))
+    holds = F.when(op == ">=", x >= bound).when(op == "<=", x <= bound).when(op == "==", x == bound).when(op == "lt_field", x < F.col("__other")).when(op == "all_true", every)
+    passed = F.format_string("%d of %d", F.size("__checks") - F.size(failing), F.size("__checks"))
+    why = (
+        F.when(F.col("report_used").isNull(), F.concat(F.lit("no report: "), F.array_join("__asked", ", ")))
+        .when(F.col("fields").isNotNull() & F.col("measured").isNull(), F.concat(F.lit("missing fields: "), F.array_join("fields", ", ")))
+        .when(F.col("__row").isNull(), F.concat(F.lit("no row matched: "), F.coalesce("select", F.lit(""))))
+        .when(F.col("measured").isNull(), F.concat(F.lit("no field "), F.col("field")))
+        .when((op == "lt_field") & F.col("__other").isNull(), F.concat(F.lit("no field "), F.col("other_field")))
+        .when((op == "all_true") & (F.size(failing) > 0), F.concat(passed, F.lit("; failing: "), F.array_join(F.array_sort(failing), ", ")))
+        .when(op == "all_true", passed)
+    )
+    outcome = F.when(holds.isNull(), "unmeasured").when(holds, "pass").otherwise("fail")
+    missing = F.when(F.col("__at").isNull(), F.col("__asked")).otherwise(F.slice("__asked", 1, F.col("__at")))
+    return joined.select("claim", "measured", outcome.alias("outcome"), "report_used", missing.alias("missing"), why.alias("detail"))
 
 
 # Metrics for which more is better.

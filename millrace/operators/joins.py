@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.operators.order import hash_key, indexed
+from millrace.operators.order import AFTER, BEFORE, ROWS, blocks, carried, hash_key, indexed, spanning
 
 
 def attach_share(df: DataFrame, mix: DataFrame, name: str = "teacher") -> DataFrame:
@@ -77,15 +77,43 @@ def pairs_within(df: DataFrame, key: str, id_col: str, most: int | None = None)
     return a.join(df.select(key, F.col(id_col).alias("b")), key).where("a < b")
 
 
-def asof_word(points: DataFrame, words: DataFrame, key: str, at: str = "pos", start: str = "start", word: str = "word") -> DataFrame:
-    """Each point with the last word that starts at or before it; before the first, the first word."""
+def asof_word(points: DataFrame, words: DataFrame, key: str, at: str = "pos", start: str = "start", word: str = "word", rows: int = ROWS) -> DataFrame:
+    """Each point with the last word that starts at or before it; before the first, the first word. Of words with one start, the greatest.
+
+    Points and words lie in one order, in blocks; a block carries the last word before it, and the first one after it, so a key of
+    all rows is spread.
+    """
+    kind = points.select(F.struct(*points.columns)).schema[0].dataType
     both = points.select(key, F.col(at).alias("__at"), F.struct(*points.columns).alias("__p"), F.lit(1).alias("__o"), F.lit(None).cast(words.schema[word].dataType).alias("__w")).unionByName(
-        words.select(key, F.col(start).alias("__at"), F.lit(None).cast(points.select(F.struct(*points.columns)).schema[0].dataType).alias("__p"), F.lit(0).alias("__o"), F.col(word).alias("__w"))
+        words.select(key, F.col(start).alias("__at"), F.lit(None).cast(kind).alias("__p"), F.lit(0).alias("__o"), F.col(word).alias("__w"))
     )
-    order = Window.partitionBy(key).orderBy("__at", "__o")
+    by = ("__at", "__o", "__w")
+    both, parts = blocks(both, (key,), by, rows)
+    order = Window.partitionBy(key, "__block").orderBy(*by)
     last = F.last("__w", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     first = F.first("__w", ignorenulls=True).over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing))
-    return both.withColumn("word", F.coalesce(last, first)).where("__o = 1").select("__p.*", "word")
+    found = both.withColumn("__last", last).withColumn("__first", first)
+    if parts == 1:
+        return found.where("__o = 1").select("__p.*", F.coalesce("__last", "__first").alias("word"))
+    own, follow = spanning(both, (key,), parts)
+    at_word = F.when(F.col("__w").isNotNull(), F.struct("__at", "__w"))
+    table = own.groupBy(key, "__block").agg(F.max_by("__w", at_word).alias("__l"), F.min_by("__w", at_word).alias("__f"))
+    table = table.withColumn("__before", F.last("__l", ignorenulls=True).over(follow.rowsBetween(*BEFORE)))
+    table = table.withColumn("__after", F.first("__f", ignorenulls=True).over(follow.rowsBetween(*AFTER))).drop("__l", "__f")
+    return carried(found, table, (key,), parts).where("__o = 1").select("__p.*", F.coalesce("__last", "__before", "__first", "__after").alias("word"))
+
+
+def join_classes(rows: DataFrame, classes: DataFrame, key: str, size: str, parts: int = 1000) -> DataFrame:
+    """Inner join of many rows to one class row a key, where a key may hold a third of all rows; size: the rows of a key.
+
+    Keys of over 1/parts of all rows are fewer than `parts`, whatever the data: their classes are broadcast, and their rows
+    stay where they are. Other keys meet in a shuffled join.
+    """
+    total = classes.agg(F.sum(size)).first()[0] or 0
+    hot = F.col(size) > max(1_000, total // parts)
+    often = F.broadcast(classes.where(hot))
+    rare = rows.join(F.broadcast(classes.where(hot).select(key)), key, "left_anti").join(classes.where(~hot), key)
+    return rows.join(often, key).unionByName(rare)
 
 
 def frames_in_span(frames: DataFrame, spans: DataFrame, key: str, frame: str = "frame", start: str = "start", stop: str = "stop", width: int = 64) -> DataFrame:

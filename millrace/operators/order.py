@@ -1,59 +1,102 @@
-"""Ranks, running sums and quantiles over a whole table or a hot group, without gathering it in one task.
+"""Ranks, running sums, neighbours, carried values and order statistics over a table or a hot group, without gathering it in one task.
 
-Rows are cut into blocks between quantiles of a numeric key, so that a block holds about ROWS of them whatever the
-key's distribution. Windows run inside a block; what comes before a block is added from a table with a row a block.
+The input is written once and counted. A table of more than ROWS rows is then dealt out by ranges of (group, key, ties) and written with
+each row's range, its block: blocks follow one another in that order, so a group of all rows, or one key value of all rows, is spread
+over many. Windows run inside a block; what comes before (or after) a block is carried from a table with a row a group and block.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.store import written
+
 ROWS = 250_000  #: of a block
-BLOCKS = 4_096  #: at most
+FEW = 100_000  #: rows that may be broadcast
+
 
+def blocks(df: DataFrame, group: tuple[str, ...], by: tuple[str, ...], rows: int = ROWS) -> tuple[DataFrame, int]:
+    """(df written, with __block, and how many blocks there are). Rows of one group and block follow one another in order of `by`."""
+    df = written(df, "order-rows")
+    parts = -(-df.count() // rows)
+    if parts <= 1:
+        return df.withColumn("__block", F.lit(0)), 1
+    return written(df.repartitionByRange(parts, *group, *by).withColumn("__block", F.spark_partition_id()), "order-blocks"), parts
 
-def _cuts(df: DataFrame, key: str, rows: int) -> list[float]:
-    """Values between which the key's rows are about equally many, from one pass; none for a table of one block."""
-    grid = F.percentile_approx(F.col(key).cast("double"), [i / BLOCKS for i in range(1, BLOCKS)], 10 * BLOCKS)
-    n, found = df.agg(F.count("*"), grid).first()
-    blocks = min(BLOCKS, -(-n // rows))
-    return sorted({found[i * BLOCKS // blocks - 1] for i in range(1, blocks)}) if found else []
 
+def carried(df: DataFrame, table: DataFrame, group: tuple[str, ...], parts: int) -> DataFrame:
+    """df with the columns of table (a row a group and __block, where there is something to carry) at its group and block."""
+    names = [*group, "__block"]
+    table = table.select(*[F.col(c).alias(f"__on_{c}") for c in names], *[c for c in table.columns if c not in names])
+    few = F.broadcast(table) if parts <= FEW else table
+    on = [F.col(f"__on_{c}").eqNullSafe(F.col(c)) for c in names]
+    return df.join(few, on, "left").drop(*[f"__on_{c}" for c in names])
 
-def _block(key: Column, cuts: list[float]) -> Column:
-    """The number of cuts under the key, by bisection."""
-    table, key = F.lit(cuts), key.cast("double")
 
-    def halve(bounds: Column, _: Column) -> Column:
-        mid = F.floor((bounds["low"] + bounds["high"]) / 2).cast("int")
-        under = F.try_element_at(table, mid + 1) < key
-        return F.struct(F.when(under, mid + 1).otherwise(bounds["low"]).alias("low"), F.when(under, bounds["high"]).otherwise(mid).alias("high"))
+def spanning(df: DataFrame, group: tuple[str, ...], parts: int) -> tuple[DataFrame, Window]:
+    """What blocks() gave, cut down to groups of several blocks (fewer rows of (group, block) than twice the blocks), and the order of a group's blocks."""
+    order = Window.partitionBy(*group).orderBy("__block")
+    if not group:
+        return df, order
+    several = df.groupBy(*group).agg(F.min("__block").alias("__a"), F.max("__block").alias("__b")).where("__a < __b")
+    named = several.select(*[F.col(c).alias(f"__on_{c}") for c in group])  # fewer than blocks
+    return df.join(F.broadcast(named) if parts <= FEW else named, [F.col(f"__on_{c}").eqNullSafe(F.col(c)) for c in group], "left_semi"), order
 
-    steps = F.sequence(F.lit(1), F.lit(math.ceil(math.log2(len(cuts) + 1))))
-    return F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.lit(len(cuts)).alias("high")), halve)["low"]
+
+BEFORE = (Window.unboundedPreceding, -1)
+AFTER = (1, Window.unboundedFollowing)
 
 
 def running(df: DataFrame, key: str, out: str, value: Column | None = None, group: tuple[str, ...] = (), ties: tuple[str, ...] = (), rows: int = ROWS) -> DataFrame:
     """Adds out: the sum of value (1 if None, so a rank from 1) over the rows of the group up to this
-    one in order of key, then ties. key must be numeric and not null; (key, ties) must tell rows apart."""
+    one in order of key, then ties. (key, ties) must tell rows apart, or those alike must be interchangeable."""
     value = F.lit(1).cast("bigint") if value is None else value
-    cuts = _cuts(df, key, rows)
-    df = df.withColumn("__v", value)
-    if not cuts:
-        upto = Window.partitionBy(*group).orderBy(key, *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return df.withColumn(out, F.sum("__v").over(upto)).drop("__v")
-    df = df.withColumn("__block", _block(F.col(key), cuts))
-    by = [*group, "__block"]
-    inside = Window.partitionBy(*by).orderBy(key, *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    blocks = df.groupBy(*by).agg(F.sum("__v").alias("__s"))
-    before = Window.partitionBy(*group).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.withColumn("__before", F.sum("__s").over(before)).select(*[F.col(c).alias(f"__{c}") for c in by], "__before")
-    on = [F.col(f"__{c}").eqNullSafe(F.col(c)) for c in by]
-    joined = df.withColumn("__in", F.sum("__v").over(inside)).join(blocks, on)
-    return joined.withColumn(out, F.col("__in") + F.coalesce("__before", F.lit(0))).select(*[c for c in df.columns if c not in ("__v", "__block")], out)
+    columns = [*df.columns, out]
+    df, parts = blocks(df.withColumn("__v", value), group, (key, *ties), rows)
+    inside = Window.partitionBy(*group, "__block").orderBy(key, *ties).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = df.withColumn("__in", F.sum("__v").over(inside))
+    if parts == 1:
+        return summed.withColumn(out, F.col("__in")).select(columns)
+    own, order = spanning(df, group, parts)
+    table = own.groupBy(*group, "__block").agg(F.sum("__v").alias("__s")).withColumn("__before", F.sum("__s").over(order.rowsBetween(*BEFORE))).drop("__s")
+    return carried(summed, table, group, parts).withColumn(out, F.col("__in") + F.coalesce("__before", F.lit(0))).select(columns)
+
+
+def neighbour(df: DataFrame, value: str, out: str, group: tuple[str, ...], by: tuple[str, ...], ahead: bool = False, rows: int = ROWS) -> DataFrame:
+    """Adds out: the value of the group's row before (or after) in order of `by`, null for the first (last) one."""
+    columns = [*df.columns, out]
+    df, parts = blocks(df, group, by, rows)
+    inside = Window.partitionBy(*group, "__block").orderBy(*by)
+    step = F.lead if ahead else F.lag
+    near = df.withColumn("__edge", step(F.lit(1)).over(inside).isNull()).withColumn("__near", step(value).over(inside))
+    if parts == 1:
+        return near.withColumn(out, F.col("__near")).select(columns)
+    own, order = spanning(df, group, parts)
+    pick = F.min_by if ahead else F.max_by
+    table = own.groupBy(*group, "__block").agg(pick(F.struct(F.col(value).alias("v")), F.struct(*by)).alias("__e"))
+    table = table.withColumn("__far", step(F.col("__e.v")).over(order)).drop("__e")
+    return carried(near, table, group, parts).withColumn(out, F.when(F.col("__edge"), F.col("__far")).otherwise(F.col("__near"))).select(columns)
+
+
+def ranks_by(df: DataFrame, group: tuple[str, ...], value: Column, places: dict[str, Callable[[Column], Column]], rows: int = ROWS) -> DataFrame:
+    """(group, n, a column a place): exact order statistics of every group at once, nulls left out.
+
+    places: from the number of a group's values n, the place wanted, from 0. Equal values of a group are counted before they move; the counts
+    are summed up in order of value, block by block, and the value at a place is the least whose sum passes it. So no task
+    gets a group's values, however many it has.
+    """
+    counts = df.select(*group, value.alias("__x")).where(F.col("__x").isNotNull()).groupBy(*group, "__x").agg(F.count("*").alias("__c"))
+    upto = written(running(counts, "__x", "__upto", F.col("__c"), group, rows=rows), "order-ranks")
+    sizes = written(upto.groupBy(*group).agg(F.max("__upto").alias("n")), "order-sizes")
+    named = sizes.select(*[F.col(c).alias(f"__on_{c}") for c in group], "n")
+    on = [F.col(f"__on_{c}").eqNullSafe(F.col(c)) for c in group]
+    both = upto.join(F.broadcast(named) if named.count() <= FEW else named, on) if group else upto.crossJoin(F.broadcast(named))  # one row
+    picks = [F.min(F.when(F.col("__upto") > place(F.col("n")), F.col("__x"))).alias(name) for name, place in places.items()]
+    return both.groupBy(*group).agg(F.max("n").alias("n"), *picks)
 
 
 def indexed(df: DataFrame, key: str, out: str = "idx", group: tuple[str, ...] = (), ties: tuple[str, ...] = (), rows: int = ROWS) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType
 
-from millrace.operators.order import indexed, running
+from millrace.operators.order import BEFORE, ROWS, blocks, carried, indexed, neighbour, running, spanning
 
 PHI = 0.61803398875
 
@@ -24,8 +27,8 @@ def interleave(df: DataFrame, group: str, key: str, *ties: str, limit: int | Non
     if limit is None:
         ranked = indexed(df, key, "turn", (group,), ties)
         return ranked.join(F.broadcast(groups) if groups.count() <= 100_000 else groups, group)
-    ranked = df.withColumn("turn", F.row_number().over(Window.partitionBy(group).orderBy(key, *ties)) - 1).where(F.col("turn") < limit)
-    return ranked.join(groups, group).orderBy("turn", "group_rank").limit(limit)
+    ranked = df.withColumn("turn", F.row_number().over(Window.partitionBy(group).orderBy(key, *ties))).where(F.col("turn") <= limit)  # a limit by group before the shuffle, too
+    return ranked.withColumn("turn", F.col("turn") - 1).join(groups, group).orderBy("turn", "group_rank").limit(limit)
 
 
 def head_per_group(df: DataFrame, group: str, k: int, *order: str) -> DataFrame:
@@ -58,14 +61,23 @@ def punctuate(words: Column, add_ms: float = 300.0) -> Column:
     return F.trim(F.regexp_replace(F.array_join(F.transform(words, one), " "), r"\s+", " "))
 
 
-def _cut_words(words: Column, min_s: float, max_s: float, gap_s: float) -> Column:
-    """array<struct(first, last, start, end)>: the segments' first and last words, by place from 0.
+BOUNDS = "struct<first:int,last:int,start:double,end:double>"
+
+
+def _bounds(first: Column, last: Column, start: Column, end: Column) -> Column:
+    return F.struct(first.cast("int").alias("first"), last.cast("int").alias("last"), start.cast("double").alias("start"), end.cast("double").alias("end"))
+
+
+def _ended(acc: Column) -> Column:
+    return F.when(acc["now"].isNull(), acc["done"]).otherwise(F.array_append(acc["done"], acc["now"]))
+
+
+def _greedy(words: Column, min_s: float, max_s: float, gap_s: float) -> Column:
+    """array<struct(first, last, start, end)>: the greedy segments' first and last words, by place from 0.
 
     The fold holds the open segment's bounds; the list of segments grows once a segment, not once a word.
     """
-    bounds = "struct<first:int,last:int,start:double,end:double>"
-    open_ = lambda first, last, start, end: F.struct(first.cast("int").alias("first"), last.cast("int").alias("last"), start.cast("double").alias("start"), end.cast("double").alias("end"))
-    none, nothing = F.lit(None).cast(bounds), F.array().cast(f"array<{bounds}>")
+    open_, none, nothing = _bounds, F.lit(None).cast(BOUNDS), F.array().cast(f"array<{BOUNDS}>")
 
     def add(acc: Column, w: Column) -> Column:
         now, place = acc["now"], acc["place"]
@@ -74,15 +86,20 @@ def _cut_words(words: Column, min_s: float, max_s: float, gap_s: float) -> Colum
         done = F.when(now.isNotNull() & close, F.array_append(acc["done"], now)).otherwise(acc["done"])
         return F.struct(F.when(now.isNull() | close, fresh).otherwise(grown).alias("now"), (place + 1).cast("int").alias("place"), done.alias("done"))
 
+    return F.aggregate(words, F.struct(none.alias("now"), F.lit(0).alias("place"), nothing.alias("done")), add, _ended)
+
+
+def _cut_words(words: Column, min_s: float, max_s: float, gap_s: float) -> Column:
+    """The greedy segments, short ones joined to the one before."""
+
     def merge(acc: Column, s: Column) -> Column:
         now = acc["now"]
         short = now.isNotNull() & (s["end"] - s["start"] < min_s)
         done = F.when(now.isNull() | short, acc["done"]).otherwise(F.array_append(acc["done"], now))
-        return F.struct(F.when(short, open_(now["first"], s["last"], now["start"], s["end"])).otherwise(s).alias("now"), done.alias("done"))
+        return F.struct(F.when(short, _bounds(now["first"], s["last"], now["start"], s["end"])).otherwise(s).alias("now"), done.alias("done"))
 
-    ended = lambda acc: F.when(acc["now"].isNull(), acc["done"]).otherwise(F.array_append(acc["done"], acc["now"]))
-    cut = F.aggregate(words, F.struct(none.alias("now"), F.lit(0).alias("place"), nothing.alias("done")), add, ended)
-    return F.aggregate(cut, F.struct(none.alias("now"), nothing.alias("done")), merge, ended)
+    none, nothing = F.lit(None).cast(BOUNDS), F.array().cast(f"array<{BOUNDS}>")
+    return F.aggregate(_greedy(words, min_s, max_s, gap_s), F.struct(none.alias("now"), nothing.alias("done")), merge, _ended)
 
 
 def segment_by_words(words: Column, min_s: float = 3.0, max_s: float = 15.0, gap_s: float = 0.3) -> Column:
@@ -112,6 +129,65 @@ def split_long_segment(segment: Column, words: Column, max_s: float) -> Column:
     return F.when((segment["end"] - segment["start"] <= max_s) | (F.size(own) < 2), whole).when(F.size(pieces) >= 2, pieces).otherwise(F.transform(F.sequence(F.lit(0), n - 1), equal))
 
 
+def pieces(words: DataFrame, key: str, gap_s: float, rows: int = ROWS) -> DataFrame:
+    """words: key, start, end, word. Adds piece: the number of gaps of over gap_s before a word, in its key's order of start, end, word.
+
+    The order is cut into blocks; a block carries the end of the word before it and the number of gaps so far.
+    """
+    by = ("start", "end", "word")
+    df, parts = blocks(words, (key,), by, rows)
+    inside = Window.partitionBy(key, "__block").orderBy(*by)
+    df = df.withColumn("__gap", F.coalesce((F.col("start") - F.lag("end").over(inside) > gap_s).cast("int"), F.lit(0)))
+    counted = df.withColumn("__in", F.sum("__gap").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    if parts == 1:
+        return counted.withColumn("piece", F.col("__in")).select(*words.columns, "piece")
+    own, order = spanning(df, (key,), parts)
+    table = own.groupBy(key, "__block").agg(F.min("start").alias("__s"), F.max_by("end", F.struct(*by)).alias("__e"), F.sum("__gap").alias("__n"))
+    table = table.withColumn("__first", F.coalesce((F.col("__s") - F.lag("__e").over(order) > gap_s).cast("int"), F.lit(0)))
+    table = table.withColumn("__before", F.coalesce(F.sum(F.col("__n") + F.col("__first")).over(order.rowsBetween(*BEFORE)), F.lit(0)) + F.col("__first")).select(key, "__block", "__before")
+    return carried(counted, table, (key,), parts).withColumn("piece", F.col("__in") + F.coalesce("__before", F.lit(0))).select(*words.columns, "piece")
+
+
+def segment_recordings(words: DataFrame, key: str, min_s: float = 3.0, max_s: float = 15.0, gap_s: float = 0.3, rows: int = ROWS) -> DataFrame:
+    """segment_by_words() for recordings of any length. words: key, start, end, word. (key, n, start, end, text, words): n from 0.
+
+    A word after a gap of over max_s opens a segment whatever came before, so recordings are cut there, and the fold runs over one piece (a stretch
+    without such a pause) at a time. The merge of short segments goes across pieces: a segment that is long enough, or
+    a recording's first, starts a merged one, so merged segments are numbered by a running count.
+    """
+    cut = pieces(words.select(key, F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), "word"), key, max(max_s, gap_s), rows)
+    folded = cut.groupBy(key, "piece").agg(F.array_sort(F.collect_list(F.struct("start", "end", "word"))).alias("w"))
+    each = folded.select(key, "piece", "w", F.posexplode(_greedy(F.col("w"), min_s, max_s, gap_s)).alias("k", "s"))
+    own = F.slice("w", F.col("s.first") + 1, F.col("s.last") - F.col("s.first") + 1)
+    each = each.select(key, "piece", "k", F.col("s.start").alias("start"), F.col("s.end").alias("end"), own.alias("words"))
+    head = ((F.col("piece") == 0) & (F.col("k") == 0)) | (F.col("end") - F.col("start") >= min_s)
+    placed = running(each, "piece", "n", head.cast("bigint"), (key,), ("k",), rows)
+    parts = F.array_sort(F.collect_list(F.struct("piece", "k", "start", "end", "words")))
+    merged = placed.groupBy(key, (F.col("n") - 1).alias("n")).agg(parts.alias("p"))
+    merged = merged.select(key, "n", F.element_at("p", 1)["start"].alias("start"), F.element_at("p", -1)["end"].alias("end"), F.flatten(F.transform("p", lambda x: x["words"])).alias("words"))
+    return merged.select(key, "n", "start", "end", F.array_join(F.transform("words", lambda w: w["word"]), " ").alias("text"), "words")
+
+
+def split_recordings(segments: DataFrame, key: str, max_s: float) -> DataFrame:
+    """segment_recordings() with segments of over max_s split: (key, n, p, start, end, text), p the piece's place in its segment."""
+    piece = F.posexplode(split_long_segment(F.struct("start", "end", "text"), F.col("words"), max_s))
+    return segments.select(key, "n", piece.alias("p", "s")).select(key, "n", "p", "s.start", "s.end", "s.text")
+
+
+def punctuated(words: DataFrame, key: str, by: tuple[str, ...], add_ms: float = 300.0, rows: int = ROWS) -> DataFrame:
+    """punctuate() a word a row, for recordings of any length. words: key, start, end, word. Adds token."""
+    after = neighbour(words, "start", "__next", (key,), by, ahead=True, rows=rows)
+    bare = F.regexp_replace(F.trim("word"), ",+$", "")
+    return after.withColumn("token", F.concat(bare, F.when((F.col("__next") - F.col("end")) * 1000 >= add_ms, ",").otherwise(""))).drop("__next")
+
+
+def folded_means(df: DataFrame, key: str, by: tuple[str, ...], value: str, k: int, rows: int = ROWS) -> DataFrame:
+    """(key, fold, mean): means of each k values in order; the rest is left out. by: its first column must be a number."""
+    placed = indexed(df.select(key, *by, value), by[0], "__i", (key,), by[1:], rows)
+    folds = placed.groupBy(key, F.floor(F.col("__i") / k).alias("fold")).agg(F.avg(value).alias("mean"), F.count("*").alias("__n"))
+    return folds.where(F.col("__n") == k).drop("__n")
+
+
 def gap_sessions(df: DataFrame, key: str, ts: str, gap: str) -> DataFrame:
     """(key, start, end, n): runs of rows no further apart than the gap; combines before and after the shuffle."""
     s = df.groupBy(key, F.session_window(F.col(ts).cast("timestamp"), gap).alias("w")).agg(F.count("*").alias("n"), F.max(ts).alias("last"))
@@ -178,6 +254,51 @@ def pad_batch(df: DataFrame, batch: str, order: str, ids: str) -> DataFrame:
     return by.select(batch, rows.alias("ids"), lengths.alias("lengths"), masks.alias("masks"), "width")
 
 
+def _zero(kind: DataType, width: Column) -> Column:
+    """What a missing place of an array's elements is filled with: 0, or for vectors as many zeros as they are wide."""
+    if isinstance(kind, ArrayType):
+        return F.transform(F.sequence(F.lit(1), width), lambda _: F.lit(0).cast(kind.elementType))
+    return F.lit(0).cast(kind)
+
+
+def pad_columns(df: DataFrame, batch: str, order: str, axes: dict[str, list[str]], caps: dict[str, int] | None = None, scalars: tuple[str, ...] = ()) -> DataFrame:
+    """Rectangular batches of ragged columns: a row a batch, its rows in order of `order`.
+
+    axes: for each axis (tokens, frames, reference ...) its array columns, of numbers or of vectors. An axis is as wide as its first
+    column's longest array in the batch, or caps[axis] if that is less. Every array is cut or filled with zeros to that
+    width; <axis>_mask tells the first column's own places, <axis>_lengths how many they are, <axis>_width the width. A null array
+    has no places, and a batch without any has width 0. scalars: columns given out as one array each.
+    A batch is gathered in a row, as it has to be; its size is set by whoever numbered the batches.
+    """
+    kinds = {c: df.schema[c].dataType.elementType for cols in axes.values() for c in cols}
+    first = {axis: cols[0] for axis, cols in axes.items()}
+    sized = {axis: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)) for axis, c in first.items()}
+    vectors = [c for c, kind in kinds.items() if isinstance(kind, ArrayType)]
+    inner = [F.max(F.coalesce(F.array_max(F.transform(c, F.size)), F.lit(0))).alias(f"__in_{c}") for c in vectors]
+    widths = [F.max(n if axis not in (caps or {}) else F.least(n, F.lit(caps[axis]))).alias(f"{axis}_width") for axis, n in sized.items()]
+    rows = F.array_sort(F.collect_list(F.struct(order, *kinds, *scalars)))
+    by = df.groupBy(batch).agg(rows.alias("__r"), *widths, *inner)
+
+    def places(axis: str) -> Callable[[Column], Column]:
+        return lambda x: F.least(F.greatest(F.coalesce(F.size(x[first[axis]]), F.lit(0)), F.lit(0)), F.col(f"{axis}_width"))
+
+    def filled(axis: str, c: str) -> Column:
+        kind, width = df.schema[c].dataType, F.col(f"{axis}_width")
+        zero = _zero(kinds[c], F.col(f"__in_{c}") if c in vectors else F.lit(0))
+        fill = lambda x: F.slice(F.concat(F.coalesce(x[c], F.array().cast(kind)), F.array_repeat(zero, width)), F.lit(1), width)
+        return F.when(width > 0, F.transform("__r", fill)).otherwise(F.transform("__r", lambda x: F.array().cast(kind)))
+
+    def masked(axis: str) -> Column:
+        there, width = places(axis), F.col(f"{axis}_width")
+        return F.transform("__r", lambda x: F.concat(F.array_repeat(F.lit(1), there(x)), F.array_repeat(F.lit(0), width - there(x))))
+
+    out = [F.col(batch)]
+    for axis, cols in axes.items():
+        out += [filled(axis, c).alias(c) for c in cols]
+        out += [masked(axis).alias(f"{axis}_mask"), F.transform("__r", places(axis)).alias(f"{axis}_lengths"), F.col(f"{axis}_width")]
+    return by.select(*out, *[F.col(f"__r.{c}").alias(c) for c in scalars])
+
+
 def split_by_text(df: DataFrame, text: str, n_val: int) -> DataFrame:
     """Adds split: val for the first n_val distinct texts in order, train for the others; renditions stay together."""
     val = df.select(text).distinct().orderBy(text).limit(n_val).withColumn("__v", F.lit(True))

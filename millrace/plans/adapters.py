@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.operators.store import new_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -43,13 +41,4 @@ def timed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scratch(spark: SparkSession) -> str:
     """A new folder that driver and executors share, deleted when the driver ends."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
-    folder = f"{root.rstrip('/')}/plans-{uuid.uuid4().hex}"
-
-    def delete() -> None:
-        with contextlib.suppress(Exception):  # the JVM may be gone before
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-    atexit.register(delete)
-    return folder
+    return new_folder(spark, "plans")

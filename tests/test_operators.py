@@ -30,7 +30,7 @@ def test_running_sums_of_skewed_keys(spark):
     """Keys far apart and one group that holds all rows: blocks follow the rows, not the keys' range."""
     keys = [i for i in range(300)] + [10**15 + 10**9 * i for i in range(300)]
     df = frame(spark, [(k, 1) for k in keys], "id bigint, g int")
-    assert len(order._cuts(df, "id", 50)) >= 8
+    assert order.blocks(df, ("g",), ("id",), 50)[1] >= 8
     got = {r.id: r.at for r in order.indexed(df, "id", "at", ("g",), rows=50).collect()}
     assert got == {k: i for i, k in enumerate(keys)}
 
