@@ -254,10 +254,21 @@ def parse_mix(spec: Column) -> Column:
 
 
 def fingerprint(col: Column, algo: str = "sha256") -> Column:
-    """Hex digest of a string or binary value, or of the JSON of anything else."""
+    """Hex digest of a string or binary value; for structs, maps and arrays see config_fingerprint."""
     return F.sha1(col) if algo == "sha1" else F.sha2(col, 256)
 
 
+def canonical_json(col: Column) -> Column:
+    """JSON text of any value under the key `v`, with the keys of all objects sorted, at every level; nulls stay. Structs and maps of the same
+    content give the same text, in whatever order their fields come (variants hold their keys sorted)."""
+    return F.to_json(F.parse_json(F.to_json(F.struct(col.alias("v")), {"ignoreNullFields": "false"})))
+
+
+def config_fingerprint(col: Column) -> Column:
+    """SHA-256 of the canonical JSON of a struct, map, array or plain value."""
+    return F.sha2(canonical_json(col), 256)
+
+
 def stable_hash(value: Column, seed: int = 0) -> Column:
     return F.crc32(F.concat(F.lit(f"{seed}:"), value.cast("string")).cast("binary"))
 

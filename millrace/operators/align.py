@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import numeric as N
+from millrace.operators import signal
 from millrace.functions import text as T
 from millrace.functions.core import let
 from millrace.operators.order import quantiles
@@ -118,8 +119,30 @@ def speechlikeness(df: DataFrame) -> DataFrame:
     return out.withColumn("speech_like", F.col("voiced").between(0.25, 0.9) & F.col("median_f0").between(70, 350) & F.coalesce(F.col("flatness") < 0.65, F.lit(True)))
 
 
+def speech_of_signals(df: DataFrame, wav: str = "wav", sr: int = 24000, hop: int = 256, frame: int = 1024, low: float = 60.0, high: float = 500.0, threshold: float | None = None, least: int = 4096, least_flat: int = 2048) -> DataFrame:
+    """speechlikeness() from the signals: pitch and flatness are measured here. Signals of under `least` samples are left out, flatness takes
+    `least_flat`; without a signal that is long enough, all is null."""
+    long = df.where(F.size(wav) >= least).select(wav)
+    measured = signal.with_flatness(signal.with_f0(long, wav, sr, hop, frame, low, high, threshold), wav, frame, frame // 4, least_flat)
+    return speechlikeness(measured.select("f0", "flatness"))
+
+
 def cache_provenance(df: DataFrame) -> DataFrame:
     """One row: a hash of the sorted item hashes' sum per shard, items, teachers and voices of a cache (id, teacher, voice)."""
     shards = df.groupBy((F.crc32(F.col("id").cast("string").cast("binary")) % 64).alias("s")).agg(F.sum(F.crc32(F.concat_ws("|", "id", "teacher", "voice").cast("binary"))).alias("h"), F.count("*").alias("n"))
     print_ = shards.agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("s", "h", "n")))), 256).alias("fingerprint"), F.sum("n").alias("items"))  # 64 rows
     return print_.crossJoin(df.agg(F.array_sort(F.collect_set("teacher")).alias("teachers"), F.array_sort(F.collect_set("voice")).alias("voices")))  # one row each
+
+
+def weight_fingerprint(df: DataFrame, group: str, name: str = "name", part: str = "part", values: str = "values") -> DataFrame:
+    """(group, fingerprint): a hash of a model's weights, whatever order its rows are in. df: group, name, part, values (an array of numbers).
+
+    A tree: each part of a tensor is hashed where it lies, as 32-bit floats, then a tensor's parts in order, then the tensors by
+    name. Only digests move; a tensor of any size is as many rows as its parts.
+    """
+    text = F.array_join(F.transform(values, lambda v: v.cast("float").cast("string")), ",")
+    leaves = df.select(group, name, part, F.sha2(text, 256).alias("h"))
+    joined = lambda rows: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(rows)), lambda x: x["h"]), ""), 256)
+    tensors = leaves.groupBy(group, name).agg(joined(F.struct(part, "h")).alias("h"))
+    named = tensors.select(group, name, F.sha2(F.concat_ws(":", name, "h"), 256).alias("h"))
+    return named.groupBy(group).agg(joined(F.struct(name, "h")).alias("fingerprint"))

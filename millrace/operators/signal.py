@@ -201,3 +201,54 @@ def with_f0(df: DataFrame, wav: str = "wav", sr: int = 24000, hop: int = 256, fr
         return [_lists(pa.array(flat), counts)]
 
     return _mapped(df, wav, [T.StructField(out, T.ArrayType(T.DoubleType()))], feature)
+
+
+def with_stft_loss(df: DataFrame, ref: str, est: str, sizes: tuple[tuple[int, int], ...] = ((512, 128), (1024, 256), (2048, 512)), eps: float = 1e-7) -> DataFrame:
+    """Adds stft_convergence, stft_log_mag and stft_loss (their sum): two signals' magnitude spectra compared at several resolutions.
+
+    sizes: (frame, hop). At each, the norm of the difference over the norm of est's spectrum, and the mean absolute difference of logarithms; averaged over the
+    resolutions. Signals are compared over the shorter one's length; frames of both are transformed together, FRAMES at most, and only sums of a pair are
+    held. Null where a signal is null or both are empty.
+    """
+    at = [df.columns.index(c) for c in (ref, est)]
+    fields = [T.StructField(c, T.DoubleType()) for c in ("stft_convergence", "stft_log_mag", "stft_loss")]
+    names = [*df.columns, *(f.name for f in fields)]
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            pairs = []
+            for a, b in zip(batch.column(at[0]), batch.column(at[1])):
+                n = min(len(a), len(b)) if a.is_valid and b.is_valid else 0
+                pairs.append(tuple(np.asarray(x.values.slice(0, n).to_numpy(zero_copy_only=False), np.float64) for x in (a, b)) if n else None)
+            there = [i for i, p in enumerate(pairs) if p]
+            sums = np.zeros((len(sizes), 4, len(pairs)))  # squares of the difference, of est, differences of logarithms, bins
+            for k, (size, hop) in enumerate(sizes):
+                waves = [[pairs[i][side] for i in there] for side in (0, 1)]
+                for (owner, x), (_, y) in zip(_framed(waves[0], size, hop, "reflect"), _framed(waves[1], size, hop, "reflect")):
+                    mx, my = (np.abs(np.fft.rfft(f * _hann(size), axis=1)) for f in (x, y))
+                    found = ((my - mx) ** 2).sum(axis=1), (my**2).sum(axis=1), np.abs(np.log(mx + eps) - np.log(my + eps)).sum(axis=1), np.full(len(x), mx.shape[1])
+                    for j, values in enumerate(found):
+                        np.add.at(sums[k, j], np.array(there)[owner], values)
+            with np.errstate(invalid="ignore", divide="ignore"):
+                convergence = (np.sqrt(sums[:, 0]) / (np.sqrt(sums[:, 1]) + eps)).mean(axis=0)
+                log_mag = (sums[:, 2] / sums[:, 3]).mean(axis=0)
+            none = np.array([p is None for p in pairs], bool)
+            cols = [pa.array(x, mask=none) for x in (convergence, log_mag, convergence + log_mag)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=names)
+
+    return df.mapInArrow(run, T.StructType([*df.schema, *fields]))
+
+
+def with_flatness(df: DataFrame, wav: str = "wav", n_fft: int = 1024, hop: int = 256, least: int = 2048) -> DataFrame:
+    """Adds flatness: over frames, the geometric mean of the magnitudes over their mean, averaged; null for signals of under `least` samples."""
+
+    def feature(waves: list[np.ndarray]) -> list[pa.Array]:
+        total, n = np.zeros(len(waves)), np.zeros(len(waves))
+        for owner, frames in _framed(waves, n_fft, hop, "reflect"):
+            spectrum = np.maximum(np.abs(np.fft.rfft(frames * _hann(n_fft), axis=1)), 1e-8)
+            np.add.at(total, owner, np.exp(np.log(spectrum).mean(axis=1)) / spectrum.mean(axis=1))
+            np.add.at(n, owner, 1)
+        short = np.array([len(w) < least for w in waves], bool)
+        return [pa.array(total / np.maximum(n, 1), mask=short)]
+
+    return _mapped(df, wav, [T.StructField("flatness", T.DoubleType())], feature)

@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import numeric as N
+from millrace.functions import tables
 from millrace.functions import text as T
 from millrace.operators import aggregates as A
-from millrace.operators import align, picks
+from millrace.operators import align, neartext, picks
 from millrace.operators import filters as P
 from millrace.operators import windows as W
-from millrace.operators.order import indexed
+from millrace.operators.order import indexed, quantiles
 from millrace.plans import jobs
 from millrace.plans.adapters import frames, records, scratch, table, timed
 from millrace.plans.more_queries import VEC, vectors
-from millrace.plans.queries import FALLBACK, HOURS, LONG, LONG_SPLIT, RECORDS, STRETCHES, docs, hashed_sql, negatives_sql, query, r6
+from millrace.plans.queries import FALLBACK, HOURS, LONG, LONG_SPLIT, RECORDS, STRETCHES, docs, hashed_sql, hours, negatives_sql, query, r6, rounded, segments_sql
 from millrace.sources import manifests as S
 from millrace.streaming import streams
 
@@ -61,7 +62,7 @@ def s4_write_shards(spark, d):
     return rows.join(index, "path", "left").select("doc_id", "print", F.coalesce(F.col("n") <= 100, F.lit(False)).alias("listed"))
 
 
-@query("WITH v AS (SELECT o_custkey, list(CAST(o_totalprice * 100 AS BIGINT) % 30000 ORDER BY o_orderkey) AS x FROM orders GROUP BY 1) SELECT o_custkey, 16000 AS sample_rate, [round(v / 32768, 6) for v in x] AS wav FROM v")
+@query("WITH v AS (SELECT o_custkey, list(CAST(o_totalprice * 100 AS BIGINT) % 30000 ORDER BY o_orderkey) AS x FROM orders GROUP BY 1) SELECT o_custkey, 16000 AS sample_rate, [round(v / 32768, 6) + 0 for v in x] AS wav FROM v")
 def s7_decode_waves(spark, d):
     """Each customer's orders as the bytes of a WAV file."""
     little = lambda x, size: F.array_join(F.reverse(F.regexp_extract_all(F.lpad(F.hex(x), 2 * size, "0"), F.lit("(..)"), 1)), "")
@@ -70,7 +71,7 @@ def s7_decode_waves(spark, d):
     head = [F.lit(b"RIFF".hex()), little(36 + F.size("r") * 2, 4), F.lit((b"WAVE" + b"fmt ").hex()), *(little(F.lit(v), n) for v, n in ((16, 4), (1, 2), (1, 2), (16000, 4), (32000, 4), (2, 2), (16, 2))), F.lit(b"data".hex()), little(F.size("r") * 2, 4)]
     files = by.select(F.col("o_custkey").cast("string").alias("path"), F.unhex(F.concat(*head, data)).alias("content"))
     out = S.decode_waves(files)
-    return out.select(F.col("path").cast("bigint").alias("o_custkey"), "sample_rate", F.transform("wav", lambda v: F.round(v.cast("double"), 6)).alias("wav"))
+    return out.select(F.col("path").cast("bigint").alias("o_custkey"), "sample_rate", rounded(F.col("wav").cast("array<double>"), 6).alias("wav"))
 
 
 @query("SELECT vec_id AS idx, text, ['a', 'b', 'c'][vec_id % 3 + 1] AS voice FROM embeddings JOIN documents ON doc_id = vec_id")
@@ -207,6 +208,11 @@ def c11_expand_corpus(spark, d):
     return r6(jobs.expand_corpus(frames(spark, d))[0].select("utt", "dim", "normed"), "normed")
 
 
+def corpus_rows(spark, d):
+    """Documents as a corpus with faults: ids twice, three sample rates, missing licences."""
+    return docs(spark, d).select(F.floor(F.col("doc_id") / 2).alias("utt_id"), "text", (8000 + F.col("doc_id") % 3).alias("sample_rate"), (F.length("text") / 150.0).alias("duration_s"), F.when(F.col("doc_id") % 7 > 0, F.col("lang")).alias("license"))
+
+
 @query(
     """WITH r AS (SELECT doc_id // 2 AS utt_id, text, length(text) / 150.0 AS s, 8000 + doc_id % 3 AS rate, CASE WHEN doc_id % 7 > 0 THEN lang END AS licence FROM documents)
     SELECT 'missing fields' AS check, count(*) AS bad FROM r WHERE utt_id IS NULL OR text IS NULL OR licence IS NULL UNION ALL SELECT 'repeated ids', count(*) FROM (SELECT utt_id FROM r GROUP BY 1 HAVING count(*) > 1)
@@ -214,16 +220,15 @@ def c11_expand_corpus(spark, d):
     UNION ALL SELECT 'further sample rates', count(DISTINCT rate) - 1 FROM r"""
 )
 def c12_validate(spark, d):
-    rows = docs(spark, d).select(F.floor(F.col("doc_id") / 2).alias("utt_id"), "text", (8000 + F.col("doc_id") % 3).alias("sample_rate"), (F.length("text") / 150.0).alias("duration_s"), F.when(F.col("doc_id") % 7 > 0, F.col("lang")).alias("license"))
-    return jobs.validate(rows, table(spark, d, "benchmark"))
+    return jobs.validate(corpus_rows(spark, d), table(spark, d, "benchmark"))
 
 
-@query("SELECT b.vec_id AS variant, a.vec_id AS base, [round((CAST(a.embedding[i] AS DOUBLE) + CAST(b.embedding[i] AS DOUBLE)) / 2, 6) for i in range(1, 65)] AS shared FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 3")
+@query("SELECT b.vec_id AS variant, a.vec_id AS base, [(CAST(a.embedding[i] AS DOUBLE) + CAST(b.embedding[i] AS DOUBLE)) / 2 for i in range(1, 65)] AS shared FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 3")
 def c13_rendition_pairs(spark, d):
     base = vectors(spark, d).select(F.col("vec_id").alias("utt_id"), F.col("x").alias("series"))
     variants = base.select(F.col("utt_id").alias("variant"), (F.col("utt_id") - 3).alias("variant_of"), "series")
     out = jobs.rendition_pairs(base, variants)
-    return out.select("variant", F.col("base_utt_id").alias("base"), F.transform("shared", lambda v: F.round(v, 6)).alias("shared"))
+    return out.select("variant", F.col("base_utt_id").alias("base"), "shared")
 
 
 @query(
@@ -240,7 +245,7 @@ def c15_claims_report(spark, d):
     claims, files = evidence(spark, d)
     claims = claims.select("claim", "path", F.col("claim").alias("report"), F.lit("size.chars").alias("field"), F.lit(">=").alias("op"), F.lit(400.0).alias("bound"), F.lit(None).cast("string").alias("other_field"))
     reports = table(spark, d, "pages").select(F.col("page_id").alias("report"), F.to_json(F.struct(F.struct(F.length("html").alias("chars")).alias("size"))).alias("json"))
-    return jobs.claims_report(claims, reports, files)
+    return jobs.claims_report(claims, reports, files).select("claim", "path", "status", "sha256", "measured", "outcome")
 
 
 TURNED = "t AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS turn, [abs(CAST(x AS DOUBLE)) for x in embedding] AS e FROM embeddings)"
@@ -261,14 +266,44 @@ def c10_feature_cache(spark, d):
     return r6(jobs.feature_cache(rows, spark.sql("SELECT 'src0' AS name, 0.5D AS weight")).select("utt_id", "ids", "durations", "weight"), "weight")
 
 
-# --- streams (T): the events' files as they lie there, all that is there at once ----------------------
+# --- near-duplicate texts (C16) ------------------------------------------------------------------------
 
 
-def streamed(spark, d):
-    """The events as a stream of one file, and a folder for what comes of it."""
-    folder = scratch(spark)
-    table(spark, d, "events").coalesce(1).write.parquet(f"{folder}/in")
-    return streams.events_stream(spark, f"{folder}/in"), folder
+@query(
+    r"""WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
+    w AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS j, len(ws) AS n FROM d),
+    i AS (SELECT doc_id, string_agg(w, ' ') OVER (PARTITION BY doc_id ORDER BY j ROWS BETWEEN CURRENT ROW AND 4 FOLLOWING) AS t FROM w QUALIFY j = 0 OR j <= n - 5),
+    s AS (SELECT DISTINCT doc_id, t FROM i), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1), f AS (SELECT t FROM s GROUP BY 1 HAVING count(*) > 1),
+    r AS (SELECT doc_id, t, n FROM s SEMI JOIN f USING (t) JOIN n USING (doc_id)),
+    l AS (SELECT a.doc_id AS x, b.doc_id AS y FROM r a JOIN r b ON a.t = b.t AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+      GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+    u AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l), z AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT z.x, u.y FROM z JOIN u ON z.y = u.x)
+    SELECT z.x AS doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(z.y) AS component_id FROM z LEFT JOIN n ON n.doc_id = z.x GROUP BY 1"""
+)
+def c16_near_duplicates(spark, d):
+    """Texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more."""
+    return neartext.near_duplicates(docs(spark, d))
+
+
+# --- streams (T): the events' files as they come, a slice of time after another --------------------------
+
+
+def slices(spark, d, parts=3):
+    """(the events' slice number, by time: cuts at exact quantiles; the folder for what comes of them)."""
+    at = (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at")
+    ev = table(spark, d, "events").withColumn("at", at)
+    cuts = [c for c in quantiles(ev, F.col("at"), [k / parts for k in range(1, parts)]) if c is not None]
+    number = sum((F.col("at") > F.lit(c)).cast("int") for c in cuts) if cuts else F.lit(0)
+    return ev.withColumn("slice", number).drop("at"), scratch(spark)
+
+
+def arrivals(spark, d, run, parts=3):
+    """Writes a slice to folder/in, as many files as Spark has tasks for, then calls run(stream, folder), again and again; the folder."""
+    ev, folder = slices(spark, d, parts)
+    for k in range(parts):
+        ev.where(F.col("slice") == k).drop("slice").write.mode("append").parquet(f"{folder}/in")
+        run(streams.events_stream(spark, f"{folder}/in"), folder)
+    return folder
 
 
 def ended(spark, stream, folder, name):
@@ -276,30 +311,45 @@ def ended(spark, stream, folder, name):
     return spark.read.parquet(f"{folder}/{name}")
 
 
+#: Slice numbers of the events, as slices() gives them.
+SLICED = "ev AS (SELECT *, (epoch_us(ts) / 1e6 > a)::INT + (epoch_us(ts) / 1e6 > b)::INT AS slice FROM events, (SELECT quantile_cont(epoch_us(ts) / 1e6, 1 / 3::DOUBLE) AS a, quantile_cont(epoch_us(ts) / 1e6, 2 / 3::DOUBLE) AS b FROM events))"
+
+
 @query("SELECT event_id, user_id, event_type, value FROM events")
 def t1_append_manifest(spark, d):
-    stream, folder = streamed(spark, d)
-    ended(spark, stream, folder, "out")
-    return ended(spark, stream, folder, "out").select("event_id", "user_id", "event_type", "value")  # again: nothing twice
+    """Files that come in three times; a further run finds nothing new."""
+    folder = arrivals(spark, d, lambda stream, folder: ended(spark, stream, folder, "out"))
+    return ended(spark, streams.events_stream(spark, f"{folder}/in"), folder, "out").select("event_id", "user_id", "event_type", "value")
 
 
 @query("SELECT event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
 def t2_process_new(spark, d):
-    stream, folder = streamed(spark, d)
-    batch = lambda df, i: df.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).write.mode("append").parquet(f"{folder}/sums")
-    for _ in range(2):  # the second run finds nothing new
-        streams.process_new(stream, batch, f"{folder}/ledger").awaitTermination()
+    """The producer writes slices and then its marker; the consumer runs until it sees that."""
+    ev, folder = slices(spark, d)
+    batch = lambda df, i: df.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).write.mode("overwrite").parquet(f"{folder}/sums/batch={i}")
+    for k in range(3):
+        ev.where(F.col("slice") == k).drop("slice").write.mode("append").parquet(f"{folder}/in")
+        if k == 2:
+            spark.range(1).write.parquet(f"{folder}/ended")
+        streams.process_until(spark, lambda: streams.events_stream(spark, f"{folder}/in"), batch, f"{folder}/ledger", f"{folder}/ended" if k == 2 else f"{folder}/in", 0.0)
     sums = spark.read.parquet(f"{folder}/sums").groupBy("event_type").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
     return sums.select("event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query("SELECT user_id, round(avg(value), 8) AS mean, round(var_pop(value), 5) AS var FROM events GROUP BY 1")
+@query(
+    f"""WITH {SLICED}, s AS (SELECT user_id, slice, avg(value) AS m, var_pop(value) AS v FROM ev GROUP BY ALL), l AS (SELECT user_id, list(m ORDER BY slice) AS m, list(v ORDER BY slice) AS v FROM s GROUP BY 1)
+    SELECT user_id, round(list_reduce(m, lambda a, x: 0.99::DOUBLE * a + 0.01::DOUBLE * x), 8) AS mean, round(list_reduce(v, lambda a, x: 0.99::DOUBLE * a + 0.01::DOUBLE * x), 5) AS var FROM l"""
+)
 def t3_ema_norm(spark, d):
-    """One batch: its statistics are copied."""
-    stream, folder = streamed(spark, d)
-    keep = lambda df, i: df.write.mode("append").parquet(f"{folder}/stats")
-    streams.ema_norm(stream).writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{folder}/stats").select("user_id", F.round("mean", 8).alias("mean"), F.round("var", 5).alias("var"))
+    """Three batches: the first one's statistics are copied, the others' mixed in."""
+
+    def run(stream, folder):
+        put = lambda df, i: df.withColumn("batch", F.lit(i)).write.mode("append").parquet(f"{folder}/stats")
+        streams.ema_norm(stream).writeStream.foreachBatch(put).outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+
+    stats = spark.read.parquet(f"{arrivals(spark, d, run)}/stats")
+    last = stats.groupBy("user_id").agg(F.max_by("mean", "batch").alias("mean"), F.max_by("var", "batch").alias("var"))
+    return last.select("user_id", F.round("mean", 8).alias("mean"), F.round("var", 5).alias("var"))
 
 
 @query(
@@ -308,19 +358,77 @@ def t3_ema_norm(spark, d):
 )
 def t4_sessions(spark, d):
     """Sessions that the watermark has passed."""
-    stream, folder = streamed(spark, d)
-    out = ended(spark, streams.sessions(stream), folder, "sessions")
-    return out.select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("first"), "n")
+    folder = arrivals(spark, d, lambda stream, folder: ended(spark, streams.sessions(stream), folder, "sessions"))
+    return spark.read.parquet(f"{folder}/sessions").select("user_id", F.date_format("start", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("first"), "n")
+
+
+@query(f"WITH RECURSIVE {HOURS}, {segments_sql('w', 'g', '3.0', '15.0', '6.0')} SELECT key, round(s, 4) AS start, round(e, 4) AS end, last - first + 1 AS words FROM g")
+def t4_capped_segments(spark, d):
+    """W7's segments from a stream in three batches and an end marker a key. An hour counts as a second, so the watermark's hour is a second, too."""
+    streams.rocksdb(spark)
+    ev, folder = slices(spark, d)
+    words = ev.select(F.col("user_id").alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 / 3600).alias("start"), F.col("event_type").alias("word"), "slice")
+    words = words.select("key", F.timestamp_micros((F.col("start") * 1e6).cast("bigint")).alias("ts"), "start", (F.col("start") + 0.05).alias("end"), "word", "slice")
+    now = words.agg(F.max("ts").alias("ts"))  # a marker comes when the last word does, or it would be late
+    over = words.select("key").distinct().crossJoin(F.broadcast(now)).select("key", "ts", F.lit(None).cast("double").alias("start"), F.lit(None).cast("double").alias("end"), F.lit(None).cast("string").alias("word"), F.lit(3).alias("slice"))
+    every = words.unionByName(over)
+    for k in range(4):
+        every.where(F.col("slice") == k).drop("slice").write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema("key bigint, ts timestamp, start double, end double, word string").parquet(f"{folder}/in")
+        ended(spark, streams.capped_segments(stream, late="5 seconds", gap_s=6.0, hold_s=1e9), folder, "segments")
+    return spark.read.parquet(f"{folder}/segments").select("key", F.round("start", 4).alias("start"), F.round("end", 4).alias("end"), F.col("n").alias("words"))
 
 
 @query("SELECT event_id, user_id FROM events WHERE event_type <> 'click'")
 def t5_validate_stream(spark, d):
-    stream, folder = streamed(spark, d)
     held = spark.sql("SELECT ' CLICK ' AS event_type")
-    return ended(spark, streams.validate_stream(stream, held, "event_id", "event_type"), folder, "valid").select("event_id", "user_id")
+    folder = arrivals(spark, d, lambda stream, folder: ended(spark, streams.validate_stream(stream, held, "event_id", "event_type"), folder, "valid"))
+    return spark.read.parquet(f"{folder}/valid").select("event_id", "user_id")
+
+
+@query(
+    """WITH r AS (SELECT doc_id // 2 AS utt_id, text, length(text) / 150.0 AS s, 8000 + doc_id % 3 AS rate, CASE WHEN doc_id % 7 > 0 THEN lang END AS licence FROM documents)
+    SELECT 'missing fields' AS check, count(*) AS bad FROM r WHERE utt_id IS NULL OR text IS NULL OR licence IS NULL UNION ALL SELECT 'repeated ids', count(*) FROM (SELECT utt_id FROM r GROUP BY 1 HAVING count(*) > 1)
+    UNION ALL SELECT 'held-out texts', count(*) FROM benchmark WHERE lower(trim(text, ' ')) IN (SELECT lower(trim(text, ' ')) FROM r) UNION ALL SELECT 'duration', count(*) FROM r WHERE NOT s BETWEEN 3 AND 30
+    UNION ALL SELECT 'further sample rates', count(DISTINCT rate) - 1 FROM r"""
+)
+def t5_validation_counters(spark, d):
+    """The running counters after the last of three batches: those of C12 on the whole table."""
+    folder = scratch(spark)
+    rows = corpus_rows(spark, d).withColumn("utt_id", F.col("utt_id").cast("string"))
+    for k in range(3):
+        rows.where(F.pmod(F.xxhash64("text", "utt_id"), F.lit(3)) == k).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+        streams.validation_counters(stream, table(spark, d, "benchmark"), f"{folder}/state", f"{folder}/ledger").awaitTermination()
+    found = spark.read.parquet(f"{folder}/state/counters")
+    return found.groupBy("check").agg(F.max_by("bad", "batch").alias("bad"))
 
 
 @query("WITH h AS (SELECT event_id, row_number() OVER (ORDER BY md5('5:0:' || event_id), event_id) - 1 AS i, count(*) OVER () AS n FROM events) SELECT event_id, i // 64 AS batch, i % 64 AS slot FROM h WHERE i < n // 64 * 64 AND i // 64 >= 40")
 def t6_resume(spark, d):
     """An epoch's batches from a saved position on."""
     return streams.resume(W.epoch_batches(table(spark, d, "events").select("event_id"), "event_id", 64, 5, 0), 40)
+
+
+@query("WITH h AS (SELECT event_id, row_number() OVER (ORDER BY md5('5:0:' || event_id), event_id) - 1 AS i, count(*) OVER () AS n FROM events) SELECT event_id, i // 64 AS batch, i % 64 AS slot FROM h WHERE i < n // 64 * 64")
+def t6_stop_and_resume(spark, d):
+    """A run that stops after 40 batches, and one that reads its position and goes on: each row once."""
+    folder = scratch(spark)
+    epoch = lambda: W.epoch_batches(table(spark, d, "events").select("event_id"), "event_id", 64, 5, 0)
+    streams.run_batches(epoch(), folder, stop=40)
+    streams.run_batches(epoch(), folder)
+    return spark.read.schema("event_id bigint, slot bigint, batch bigint").parquet(f"{folder}/batches").select("event_id", "batch", "slot")
+
+
+# --- table functions (X) ------------------------------------------------------------------------------
+
+
+@query(f"WITH RECURSIVE {HOURS}, {segments_sql('w', 'g', '3.0', '15.0', '6.0')} SELECT CAST(key AS VARCHAR) AS key, CAST(n AS INT) AS n, round(s, 4) AS start, round(e, 4) AS end, CAST(last - first + 1 AS INT) AS words FROM g")
+def x6_segment_words(spark, d):
+    """W7's segments by a table function, called from SQL on partitions of the words."""
+    tables.register(spark)
+    hours(spark, d).createOrReplaceTempView("millrace_hours")
+    return spark.sql(
+        """SELECT key, n, round(start, 4) AS start, round(end, 4) AS end, words
+        FROM segment_words(TABLE(SELECT key, start, end, word FROM millrace_hours) PARTITION BY key ORDER BY (start, end, word), 3.0D, 15.0D, 6.0D)"""
+    )

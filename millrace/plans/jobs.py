@@ -10,9 +10,9 @@ from millrace.functions import text as T
 from millrace.operators import aggregates as A
 from millrace.operators import filters as P
 from millrace.operators import joins as J
-from millrace.operators import sets
+from millrace.operators import align, sets
 from millrace.operators import windows as W
-from millrace.operators.order import indexed
+from millrace.operators.order import hash_key, indexed
 from millrace.operators.signal import with_spectral
 
 
@@ -71,11 +71,10 @@ def curate(waves: DataFrame, cfg: P.CurateConfig = P.CurateConfig(), sr: int = 2
 
 
 def ingest(words: DataFrame, min_s: float = 3.0, max_s: float = 15.0, gap_s: float = 0.3) -> DataFrame:
-    """C7. words: recording, start, end, word; a recording's words fit one row. (utt_id, recording, start, end, text): segments, over-long ones split."""
-    by = P.clean_words(words).groupBy("recording").agg(F.array_sort(F.collect_list(F.struct("start", "end", "word"))).alias("w"))
-    segments = W.segment_by_words(F.col("w"), min_s, max_s, gap_s)
-    split = by.select("recording", F.flatten(F.transform(segments, lambda s: W.split_long_segment(s, F.col("w"), max_s))).alias("s"))
-    rows = split.select("recording", F.posexplode("s").alias("n", "s")).select("recording", "n", "s.start", "s.end", F.trim("s.text").alias("text"))
+    """C7. words: recording, start, end, word; recordings may have any length. (utt_id, recording, start, end, text): segments, over-long ones split."""
+    segments = W.segment_recordings(P.clean_words(words), "recording", min_s, max_s, gap_s)
+    cut = W.split_recordings(segments, "recording", max_s)
+    rows = indexed(cut.withColumnRenamed("n", "__n"), "__n", "n", ("recording",), ("p",)).select("recording", F.col("n").cast("int").alias("n"), "start", "end", F.trim("text").alias("text"))
     return rows.where((F.col("end") - F.col("start") >= min_s) & (F.col("text") != "")).withColumn("utt_id", F.concat_ws("_", "recording", F.format_string("%05d", "n"))).withColumn("text_source", F.lit("words"))
 
 
@@ -133,6 +132,38 @@ def paired_batches(items: DataFrame, id_col: str, voice: str, size: int, seed: i
     return rows.join(pos, id_col).join(neg, id_col)
 
 
+def cropped(items: DataFrame, id_col: str, frames: list[str], tokens: list[str], size: int, seed: int, epoch: int, durations: str = "durations") -> DataFrame:
+    """Items whose frame arrays are cut to a window of `size` frames at a hashed place, and whose token arrays to the tokens it touches (F47).
+
+    An item that is no longer than the window, or can't be cropped, stays whole. Adds crop (null for these).
+    """
+    total = F.size(frames[0])
+    draw = hash_key(seed + epoch, id_col)
+    start = F.pmod(draw, F.greatest(total - size + 1, F.lit(1)).cast("bigint")).cast("int")
+    crop = F.when(total > size, align.crop_to_tokens(F.col(durations), F.col(frames[0]), start, F.lit(size)))
+    rows = items.withColumn("crop", crop)
+    cut = {c: F.when(F.col("crop").isNull(), F.col(c)).otherwise(F.slice(c, F.col("crop.start") + 1, F.col("crop.frames"))) for c in frames}
+    cut |= {c: F.when(F.col("crop").isNull(), F.col(c)).otherwise(F.slice(c, F.col("crop.first") + 1, F.col("crop.last") - F.col("crop.first"))) for c in tokens}
+    return rows.withColumns(cut)
+
+
+def training_batches(
+    items: DataFrame, id_col: str, voice: str, size: int, seed: int, epoch: int, frames: list[str], tokens: list[str], reference: str, crop_frames: int | None = None, max_ref: int | None = None, scalars: tuple[str, ...] = ()
+) -> DataFrame:
+    """C14. An epoch's padded batches: cropped items (W18, F47) with the reference series of another item of their voice and of one of another
+    voice (J11, J12), all columns padded with masks (W19). durations must be among tokens. The reference is cut to max_ref frames.
+    """
+    batches = paired_batches(items, id_col, voice, size, seed, epoch)
+    batches = cropped(batches, id_col, frames, tokens, crop_frames, seed, epoch) if crop_frames else batches
+    series = items.select(F.col(id_col).alias("__id"), F.col(reference).alias("__ref"))
+    for kind in ("positive", "negative"):
+        own = series.select(F.col("__id").alias(kind), F.col("__ref").alias(f"ref_{kind}"))
+        batches = batches.join(own, kind, "left")
+    axes = {"text": tokens, "frame": frames, "ref": ["ref_positive"], "ref_neg": ["ref_negative"]}
+    caps = {} if max_ref is None else {"ref": max_ref, "ref_neg": max_ref}
+    return W.pad_columns(batches, "batch", "slot", axes, caps, (id_col, voice, "positive", "negative", *scalars))
+
+
 def disjoint_corpus(prompts: DataFrame, voices: DataFrame, waves: DataFrame, n_val: int, cfg: P.CurateConfig = P.CurateConfig()) -> tuple[DataFrame, DataFrame]:
     """C9. prompts: text; voices: voice; waves: text, voice, wav. (kept records of the grid with their split, report)."""
     rows, report, _ = curate(J.grid(prompts, voices).join(waves, ["text", "voice"]), cfg)

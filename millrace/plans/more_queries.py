@@ -13,7 +13,7 @@ from millrace.operators import filters as P
 from millrace.operators import joins as J
 from millrace.operators import windows as W
 from millrace.plans.adapters import frames, records, series, table, timed
-from millrace.plans.queries import LONG, READINGS, RECORDS, SERIES, STEMS, WS, bootstrap_sql, docs, hashed_sql, query, r6
+from millrace.plans.queries import LONG, READINGS, RECORDS, SERIES, STEMS, WS, bootstrap_sql, docs, hashed_sql, query, r6, rounded
 from millrace.sources import manifests as S
 
 VEC = "w AS (SELECT vec_id, [CAST(x AS DOUBLE) for x in embedding] AS x FROM embeddings)"
@@ -32,9 +32,9 @@ def signals(spark, d):
 SIG = "g AS (SELECT user_id, list(value / 100 ORDER BY ts, event_id) AS x FROM events GROUP BY 1)"
 
 
-@query(f"WITH {VEC} SELECT vec_id, [round(v / list_max([abs(y) for y in x]) * 0.6, 6) for v in x] AS y FROM w")
+@query(f"WITH {VEC} SELECT vec_id, [round(v / list_max([abs(y) for y in x]) * 0.6, 6) + 0 for v in x] AS y FROM w")
 def f35_peak_normalised(spark, d):
-    return vectors(spark, d).select("vec_id", F.transform(N.normalize_peak(F.col("x")), lambda v: F.round(v, 6)).alias("y"))
+    return vectors(spark, d).select("vec_id", rounded(N.normalize_peak(F.col("x")), 6).alias("y"))
 
 
 @query(f"WITH {VEC}, e AS (SELECT vec_id, [list_sum([v * v for v in x[i * 8 + 1:i * 8 + 8]]) / 8 for i in range(8)] AS e FROM w) SELECT vec_id, round(len([v for v in e if v < list_max(e) * 0.1]) / len(e), 6) AS silence FROM e")
@@ -55,9 +55,9 @@ def f33_snr(spark, d):
     return rows.select("l_suppkey", F.round(N.estimate_snr_db(F.transform("r", lambda x: x["l_quantity"]), 3200, 20.0, 0.5), 5).alias("db"))
 
 
-@query(f"WITH {VEC} SELECT vec_id, [round(20 * log10(greatest(sqrt(list_sum([v * v for v in x[greatest(i * 8 - 8, 0) + 1:least(i * 8 + 8, 64)]]) / 16), 1e-8)), 5) for i in range(9)] AS db FROM w")
+@query(f"WITH {VEC} SELECT vec_id, [round(20 * log10(greatest(sqrt(list_sum([v * v for v in x[greatest(i * 8 - 8, 0) + 1:least(i * 8 + 8, 64)]]) / 16), 1e-8)), 5) + 0 for i in range(9)] AS db FROM w")
 def f36_frame_energy(spark, d):
-    return vectors(spark, d).select("vec_id", F.transform(N.frame_energy_db(F.col("x"), 16, 8), lambda v: F.round(v, 5)).alias("db"))
+    return vectors(spark, d).select("vec_id", rounded(N.frame_energy_db(F.col("x"), 16, 8), 5).alias("db"))
 
 
 @query("SELECT event_id, CASE WHEN value * 5 <= 0 THEN 0 ELSE 1 + CAST(round_even(least(greatest(log2(greatest(value * 5, 60) / 60) / log2(500.0 / 60), 0), 1) * 255, 0) AS INT) END AS bin FROM events")
@@ -72,31 +72,31 @@ def f40_duration_scale(spark, d):
 
 
 @query(
-    f"""WITH {VEC} SELECT vec_id, [round(list_sum(x[a[1] + 1:a[2]]) / (a[2] - a[1]), 6) for a in [[0, 4], [4, 5], [4, 16], [16, 25], [25, 45], [45, 52]]] AS means FROM w"""
+    f"""WITH {VEC} SELECT vec_id, [round(list_sum(x[a[1] + 1:a[2]]) / (a[2] - a[1]), 6) + 0 for a in [[0, 4], [4, 5], [4, 16], [16, 25], [25, 45], [45, 52]]] AS means FROM w"""
 )
 def f41_span_means(spark, d):
     durations = F.array(*map(F.lit, [4, 0, 12, 9, 20, 7]))
     means = N.span_means(F.col("x"), N.token_spans(durations, F.size("x")))
-    return vectors(spark, d).select("vec_id", F.transform(means, lambda v: F.round(v, 6)).alias("means"))
+    return vectors(spark, d).select("vec_id", rounded(means, 6).alias("means"))
 
 
-@query(f"WITH {VEC} SELECT vec_id, [round(list_sum(x[a[1] + 1:a[2]]) / (a[2] - a[1]), 6) for a in [[0, 4], [4, 8], [8, 16], [16, 24], [24, 36], [36, 48], [48, 56], [56, 64]]] AS v FROM w")
+@query(f"WITH {VEC} SELECT vec_id, [round(list_sum(x[a[1] + 1:a[2]]) / (a[2] - a[1]), 6) + 0 for a in [[0, 4], [4, 8], [8, 16], [16, 24], [24, 36], [36, 48], [48, 56], [56, 64]]] AS v FROM w")
 def f42_token_vectors(spark, d):
     """Two vectors a token, of tokens of 8, 16, 24 and 16 frames."""
     v = align.token_vectors(F.col("x"), F.array(*map(F.lit, [8, 16, 24, 16])), 2)
-    return vectors(spark, d).select("vec_id", F.transform(F.flatten(v), lambda y: F.round(y, 6)).alias("v"))
+    return vectors(spark, d).select("vec_id", rounded(F.flatten(v), 6).alias("v"))
 
 
-@query(f"WITH {VEC} SELECT vec_id, [round(list_sum(x[a[1] + 1:a[2]]) / (a[2] - a[1]), 6) for a in [[0, 10], [10, 11], [15, 64]]] AS v FROM w")
+@query(f"WITH {VEC} SELECT vec_id, [round(list_sum(x[a[1] + 1:a[2]]) / (a[2] - a[1]), 6) + 0 for a in [[0, 10], [10, 11], [15, 64]]] AS v FROM w")
 def f43_span_average(spark, d):
     v = align.span_average(F.col("x"), F.array(F.lit(10), F.lit(0), F.lit(4)))
-    return vectors(spark, d).select("vec_id", F.transform(v, lambda y: F.round(y, 6)).alias("v"))
+    return vectors(spark, d).select("vec_id", rounded(v, 6).alias("v"))
 
 
-@query(f"WITH {VEC} SELECT vec_id, [CASE WHEN i < 60 THEN round(list_sum(x[i // 10 * 10 + 1:i // 10 * 10 + 10]) / 10, 6) ELSE round(x[i + 1], 6) END for i in range(64)] AS v FROM w")
+@query(f"WITH {VEC} SELECT vec_id, [CASE WHEN i < 60 THEN round(list_sum(x[i // 10 * 10 + 1:i // 10 * 10 + 10]) / 10, 6) + 0 ELSE round(x[i + 1], 6) + 0 END for i in range(64)] AS v FROM w")
 def f44_at_rate(spark, d):
     v = align.at_rate(F.col("x"), F.array(F.lit(20), F.lit(20), F.lit(20)), 2)
-    return vectors(spark, d).select("vec_id", F.transform(v, lambda y: F.round(y, 6)).alias("v"))
+    return vectors(spark, d).select("vec_id", rounded(v, 6).alias("v"))
 
 
 @query("SELECT vec_id, vec_id % 40 AS start, 16 AS frames, list_sum([CASE WHEN (i + 1) * 8 < vec_id % 40 THEN 1 ELSE 0 END for i in range(8)])::INT AS first, list_sum([CASE WHEN (i + 1) * 8 < vec_id % 40 + 15 THEN 1 ELSE 0 END for i in range(8)])::INT + 1 AS last FROM embeddings")
@@ -160,12 +160,12 @@ TRIANGLES = """ed AS (SELECT [700 * (10 ^ (2595 * log10(1 + 12000 / 700.0) * m /
 
 @query(
     f"""WITH {SIG}, {REFLECTED}, {SPECTRUM}, {TRIANGLES}, m AS (SELECT user_id, i, [ln(greatest(list_sum([sqrt(p[k]) * t[b][k] for k in range(1, 18)]), 1e-5)) for b in range(1, 7)] AS m FROM sp, tr)
-    SELECT user_id, i AS frame, [round(v, 4) for v in m] AS bands FROM m"""
+    SELECT user_id, i AS frame, [round(v, 4) + 0 for v in m] AS bands FROM m"""
 )
 def f37_log_mel(spark, d):
     """Each user's event values as a signal of 24 kHz, in frames of 32 and six bands."""
     out = signal.with_log_mel(signals(spark, d), n_fft=32, hop=8, bands=6)
-    return out.select("user_id", F.posexplode("log_mel").alias("frame", "m")).select("user_id", F.col("frame").cast("bigint").alias("frame"), F.transform("m", lambda v: F.round(v, 4)).alias("bands"))
+    return out.select("user_id", F.posexplode("log_mel").alias("frame", "m")).select("user_id", F.col("frame").cast("bigint").alias("frame"), rounded(F.col("m"), 4).alias("bands"))
 
 
 #: Pitch by YIN of frames of 32 at 800 Hz from 60 to 200 Hz, threshold 0.8: lags 4 to 13.
@@ -182,7 +182,7 @@ YIN = """ce AS (SELECT user_id, i, [v - list_avg(f) for v in f] AS f FROM fr),
 def f38_pitch(spark, d):
     """Event values as a signal of 800 Hz, in frames of 32."""
     out = signal.with_f0(signals(spark, d), sr=800, hop=8, frame=32, low=60, high=200, threshold=0.8)
-    return out.select("user_id", F.transform("f0", lambda v: F.round(v, 3)).alias("f0"))
+    return out.select("user_id", rounded(F.col("f0"), 3).alias("f0"))
 
 
 @query(
@@ -194,7 +194,7 @@ def f38_pitch(spark, d):
 )
 def f38_pitch_autocorrelation(spark, d):
     out = signal.with_f0(signals(spark, d), sr=800, hop=8, frame=32, low=60, high=200, method="autocorr")
-    return out.select("user_id", F.transform("f0", lambda v: F.round(v, 3)).alias("f0"))
+    return out.select("user_id", rounded(F.col("f0"), 3).alias("f0"))
 
 
 @query("SELECT conv_id, turn, text AS said FROM conversations WHERE length(text) BETWEEN 25 AND 220 AND text NOT IN (SELECT text FROM conversations WHERE turn = 0)")
@@ -250,9 +250,9 @@ def p12_only_teacher(spark, d):
 @query("WITH u AS (SELECT user_id, list(struct_pack(w := event_type, s := epoch_us(ts) / 1e6) ORDER BY ts, event_id) AS l FROM events GROUP BY 1) SELECT user_id, array_to_string([l[i].w || CASE WHEN i < len(l) AND (l[i + 1].s - l[i].s) * 1000 >= 7200000 THEN ',' ELSE '' END for i in range(1, len(l) + 1)], ' ') AS text FROM u")
 def w6_punctuate(spark, d):
     """A comma where two hours pass."""
-    by = timed(spark, d).groupBy(F.col("key").alias("user_id")).agg(F.array_sort(F.collect_list(F.struct("start", "event_id", "word"))).alias("w"))
-    w = F.transform("w", lambda x: F.struct(x["start"].alias("start"), x["start"].alias("end"), x["word"].alias("word")))
-    return by.select("user_id", W.punctuate(w, 7_200_000.0).alias("text"))
+    words = timed(spark, d).select(F.col("key").alias("user_id"), "start", F.col("start").alias("end"), "event_id", "word")
+    tokens = W.punctuated(words, "user_id", ("start", "event_id"), 7_200_000.0)
+    return tokens.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "event_id", "token"))), lambda x: x["token"]), " ").alias("text"))
 
 
 @query(

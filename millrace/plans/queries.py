@@ -35,6 +35,11 @@ def r6(df: DataFrame, *cols: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in cols})
 
 
+def rounded(xs, digits: int):
+    """An array's values rounded; 0.0 stands for -0.0, which arrays would be told apart by (in SQL: round(x, n) + 0)."""
+    return F.transform(xs, lambda v: F.round(v, digits) + F.lit(0.0))
+
+
 # Pieces of SQL that several oracles share.
 LONG = "f AS (SELECT vec_id AS utt, label AS voice, vec_id % 2 AS source, unnest(range(64)) AS dim, CAST(unnest(embedding) AS DOUBLE) AS value FROM embeddings)"
 SERIES = f"{LONG}, z AS (SELECT utt, voice, dim % 8 AS dim, dim // 8 AS frame, value FROM f)"
@@ -561,8 +566,8 @@ def a12_trim(spark, d):
 
 @query("SELECT user_id, list_sort(list(value))[least(count(*) - 1, floor(count(*) * 0.9)::BIGINT) + 1] AS p90, list_sort(list(value))[count(*) // 2 + 1] AS upper_median FROM events GROUP BY 1")
 def a13_ranks(spark, d):
-    by = table(spark, d, "events").groupBy("user_id").agg(F.collect_list("value").alias("v"))
-    return by.select("user_id", N.nearest_rank(F.col("v"), 90).alias("p90"), N.upper_median(F.col("v")).alias("upper_median"))
+    ranks = A.order_statistics(table(spark, d, "events"), ("user_id",), F.col("value"), {"p90": A.nearest_rank(90), "upper_median": A.upper_median()})
+    return ranks.select("user_id", "p90", "upper_median")
 
 
 @query(
@@ -713,7 +718,42 @@ def a36_corpus_wer(spark, d):
 def a37_claims(spark, d):
     ev = table(spark, d, "events")
     claims = ev.select(F.col("event_id").alias("claim"), F.col("event_id").alias("report"), F.lit("k").alias("field"), F.lit(">=").alias("op"), F.col("value").alias("bound"), F.lit(None).cast("string").alias("other_field"))
-    return A.evaluate_claims(claims, ev.select(F.col("event_id").alias("report"), F.col("props").alias("json")))
+    return A.evaluate_claims(claims, ev.select(F.col("event_id").alias("report"), F.col("props").alias("json"))).select("claim", "measured", "outcome")
+
+
+@query(
+    """WITH e AS (SELECT user_id AS u, event_id, event_type, value FROM events),
+    r AS (SELECT u, count(*) AS n, min(value) AS low, max(value) AS high, bool_or(event_type = 'click') AS click, bool_or(event_type = 'error') AS error, arg_min(value, event_id) AS first,
+            arg_max(event_id, struct_pack(v := value, i := -event_id)) AS top, arg_min(value, event_id) FILTER (event_type = 'purchase') AS bought FROM e GROUP BY 1),
+    c AS (SELECT u, 'max' AS kind, high AS m, high >= 90 AS ok, NULL AS detail FROM r UNION ALL SELECT u, 'max_id', top, top >= 5000, NULL FROM r
+      UNION ALL SELECT u, 'match', bought, bought <= 50, CASE WHEN bought IS NULL THEN 'no row matched: kind=purchase' END FROM r UNION ALL SELECT u, 'first', first, first >= 20, NULL FROM r
+      UNION ALL SELECT u, 'sum', low + high, low + high <= 100, NULL FROM r UNION ALL SELECT u, 'sum_absent', NULL, NULL, 'missing fields: low, nope' FROM r
+      UNION ALL SELECT u, 'checks', NULL, click AND error, concat(click::INT + error::INT, ' of 2', CASE WHEN NOT click AND NOT error THEN '; failing: click, error' WHEN NOT click THEN '; failing: click' WHEN NOT error THEN '; failing: error' END) FROM r
+      UNION ALL SELECT u, 'less', low, low < n, NULL FROM r UNION ALL SELECT u, 'absent', NULL, NULL, 'no field nope' FROM r)
+    SELECT u || '/' || kind AS claim, round(CAST(CASE WHEN u % 5 < 4 THEN m END AS DOUBLE), 6) AS measured, CASE WHEN u % 5 = 4 OR ok IS NULL THEN 'unmeasured' WHEN ok THEN 'pass' ELSE 'fail' END AS outcome,
+      CASE WHEN u % 5 < 2 THEN 'new/' || u WHEN u % 5 < 4 THEN 'old/' || u END AS report_used, CASE WHEN u % 5 < 2 THEN 0 WHEN u % 5 < 4 THEN 1 ELSE 2 END AS missing,
+      CASE WHEN u % 5 = 4 THEN 'no report: new/' || u || ', old/' || u ELSE detail END AS detail FROM c"""
+)
+def a37_claim_kinds(spark, d):
+    """Every kind of claim about a report of each user's events; reports have two candidates, of which one, both or none exist."""
+    ev = table(spark, d, "events").select(F.col("user_id").alias("u"), "event_id", F.col("event_type").alias("kind"), "value")
+    row = F.struct(F.col("event_id").alias("id"), "kind", F.col("value").alias("seconds"))
+    checks = F.struct(F.bool_or(F.col("kind") == "click").alias("click"), F.bool_or(F.col("kind") == "error").alias("error"))
+    by = ev.groupBy("u").agg(F.array_sort(F.collect_list(row)).alias("rows"), F.count("*").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"), checks.alias("checks"))
+    by = by.select("u", F.to_json(F.struct(F.struct("rows", "checks").alias("a"), "n", "low", "high")).alias("json"))
+    where = F.when(F.col("u") % 5 < 2, F.array(F.lit("new/"), F.lit("old/"))).when(F.col("u") % 5 < 4, F.array(F.lit("old/"))).otherwise(F.array().cast("array<string>"))
+    reports = by.select(F.explode(where).alias("at"), "u", "json").select(F.concat("at", F.col("u").cast("string")).alias("report"), "json")
+    kinds = spark.sql(
+        """SELECT * FROM VALUES ('max', 'a.rows', 'max_seconds', 'seconds', NULL, '>=', 90D, NULL), ('max_id', 'a.rows', 'max_seconds', 'id', NULL, '>=', 5000D, NULL), ('match', 'a.rows', 'kind=purchase', 'seconds', NULL, '<=', 50D, NULL),
+        ('first', 'a.rows', '', 'seconds', NULL, '>=', 20D, NULL), ('sum', NULL, NULL, NULL, array('low', 'high'), '<=', 100D, NULL), ('sum_absent', NULL, NULL, NULL, array('low', 'nope'), '<=', 100D, NULL),
+        ('checks', NULL, NULL, 'a.checks', NULL, 'all_true', NULL, NULL), ('less', NULL, NULL, 'low', NULL, 'lt_field', NULL, 'n'), ('absent', NULL, NULL, 'nope', NULL, '==', 1D, NULL)
+        AS t(kind, list_field, select, field, fields, op, bound, other_field)"""
+    )
+    claims = by.select("u").crossJoin(F.broadcast(kinds))  # nine rows
+    name = F.col("u").cast("string")
+    claims = claims.withColumn("claim", F.concat_ws("/", name, "kind")).withColumn("reports", F.array(F.concat(F.lit("new/"), name), F.concat(F.lit("old/"), name))).drop("u", "kind")
+    out = A.evaluate_claims(claims, reports)
+    return out.select("claim", F.round(F.col("measured").try_cast("double"), 6).alias("measured"), "outcome", "report_used", F.size("missing").alias("missing"), "detail")
 
 
 @query(
@@ -761,19 +801,17 @@ HOURS = "w AS (SELECT user_id AS key, row_number() OVER (PARTITION BY user_id OR
 
 
 def hours(spark, d):
-    """key and w: each user's events as sorted timed words, an hour for a second."""
+    """key, start, end, word: events as timed words, an hour for a second."""
     from millrace.plans.adapters import timed
 
-    rows = timed(spark, d).select("key", (F.col("start") / 3600).alias("start"), (F.col("start") / 3600 + 0.05).alias("end"), "word", "event_id")
-    by = rows.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "event_id", "end", "word"))).alias("w"))
-    return by.select("key", F.transform("w", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["word"].alias("word"))).alias("w"))
+    return timed(spark, d).select("key", (F.col("start") / 3600).alias("start"), (F.col("start") / 3600 + 0.05).alias("end"), "word")
 
 
 @query(f"WITH RECURSIVE {HOURS}, {segments_sql('w', 'g', '3.0', '15.0', '6.0')} SELECT key, n, round(s, 4) AS start, round(e, 4) AS end, last - first + 1 AS words FROM g")
 def w7_segments(spark, d):
     """Greedy segments of 3 to 15 seconds."""
-    segs = hours(spark, d).select("key", F.posexplode(W.segment_by_words(F.col("w"), gap_s=6.0)).alias("n", "s"))
-    return segs.select("key", "n", F.round("s.start", 4).alias("start"), F.round("s.end", 4).alias("end"), F.size(F.split("s.text", " ")).alias("words"))
+    segs = W.segment_recordings(hours(spark, d), "key", gap_s=6.0)
+    return segs.select("key", "n", F.round("start", 4).alias("start"), F.round("end", 4).alias("end"), F.size("words").alias("words"))
 
 
 #: Segments longer than 15 seconds cut by the cap alone, or else in equal slices.
@@ -792,9 +830,8 @@ LONG_SPLIT = f"""{segments_sql('w', 'g', '3.0', '15.0', '6.0')},
 
 @query(f"WITH RECURSIVE {HOURS}, {LONG_SPLIT} SELECT k AS key, n, round(s, 4) AS start, round(e, 4) AS end, words FROM pieces")
 def w8_split_segments(spark, d):
-    rows = hours(spark, d).select("key", "w", F.posexplode(W.segment_by_words(F.col("w"), gap_s=6.0)).alias("n", "s"))
-    cut = rows.select("key", "n", F.explode(W.split_long_segment(F.col("s"), F.col("w"), 15.0)).alias("p"))
-    return cut.select("key", "n", F.round("p.start", 4).alias("start"), F.round("p.end", 4).alias("end"), F.size(F.split("p.text", " ")).alias("words"))
+    cut = W.split_recordings(W.segment_recordings(hours(spark, d), "key", gap_s=6.0), "key", 15.0)
+    return cut.select("key", "n", F.round("start", 4).alias("start"), F.round("end", 4).alias("end"), F.size(F.split("text", " ")).alias("words"))
 
 
 @query("SELECT event_id, round(coalesce((epoch_us(lag(ts) OVER w) / 1e6 + epoch_us(ts) / 1e6) / 2, epoch_us(ts) / 1e6), 3) AS l, round(coalesce((epoch_us(lead(ts) OVER w) / 1e6 + epoch_us(ts) / 1e6) / 2, epoch_us(ts) / 1e6), 3) AS r FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)")
@@ -916,13 +953,12 @@ def f54_cosine(spark, d):
 
 
 @query(
-    """WITH x AS (SELECT user_id, list(value ORDER BY ts, event_id) AS v FROM events GROUP BY 1)
-    SELECT user_id, [round(list_avg(v[i * 8 + 1:i * 8 + 8]), 8) for i in range(len(v) // 8)] AS folded FROM x"""
+    """WITH x AS (SELECT user_id, list(value ORDER BY ts, event_id) AS v FROM events GROUP BY 1), y AS (SELECT user_id, v, unnest(range(len(v) // 8)) AS fold FROM x)
+    SELECT user_id, fold, round(list_avg(v[fold * 8 + 1:fold * 8 + 8]), 8) AS mean FROM y"""
 )
 def f32_folded_means(spark, d):
-    ev = table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("r"))
-    folds = N.fold(F.transform("r", lambda x: x["value"]), 8)
-    return ev.select("user_id", F.transform(folds, lambda f: F.round(N.mean(f), 8)).alias("folded"))
+    ev = table(spark, d, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id", "value")
+    return W.folded_means(ev, "user_id", ("at", "event_id"), "value", 8).select("user_id", "fold", F.round("mean", 8).alias("mean"))
 
 
 @query("SELECT event_id, round(greatest(coalesce(CASE event_type WHEN 'click' THEN 0.5 END, 1) * coalesce(value / 100, 1), 0.05), 6) AS weight FROM events")
