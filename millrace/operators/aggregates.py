@@ -266,6 +266,78 @@ def alignment_evidence(df: DataFrame) -> DataFrame:
     )
 
 
+def alignment_report(df: DataFrame, sr: int = 24000, hop: int = 256) -> DataFrame:
+    """A25 in full. df: text, teacher, token_frames, duration_s, mos. One row: records, aligned, coverage, chars_median, median and p90 of the relative
+    error of the duration, mean, median, p10 and p90 of the score, teachers (a map of counts) and checks (a map).
+
+    Medians lie half-way between two middle values, p10 and p90 are nearest ranks. Records of no duration have no error.
+    """
+    held = F.coalesce(F.size("token_frames") > 0, F.lit(False))
+    counted = held & (F.col("duration_s") > 0)
+    err = F.abs(F.aggregate("token_frames", F.lit(0.0), lambda a, x: a + x) * hop / sr - F.col("duration_s")) / F.col("duration_s")
+    rows = df.select("teacher", held.alias("held"), F.when(counted, err).alias("err"), F.when(counted, F.size("token_frames").cast("double")).alias("chars"), F.when(held, F.size("token_frames") == F.length("text")).alias("each"), F.col("mos").cast("double").alias("mos"))
+    medians = {c: _constant(quantiles(rows, F.col(c), [0.5])[0]) for c in ("chars", "err", "mos")}
+    (p90,) = _places(rows, F.col("err"), {"p90": nearest_rank(90)})
+    low, high = _places(rows, F.col("mos"), {"p10": nearest_rank(10), "p90": nearest_rank(90)})
+    teachers = rows.groupBy(F.coalesce("teacher", F.lit("None")).alias("t")).agg(F.count("*").alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("t", "n")))).alias("teachers"))  # a row a teacher
+    out = rows.agg(
+        F.count("*").alias("records"), F.count_if("held").alias("aligned"), (F.count_if("held") / F.greatest(F.count("*"), F.lit(1))).alias("coverage"), medians["chars"].alias("chars_median"), medians["err"].alias("median_error"), _constant(p90).alias("p90_error"),
+        F.avg("mos").alias("mos_mean"), medians["mos"].alias("mos_median"), _constant(low).alias("mos_p10"), _constant(high).alias("mos_p90"), F.coalesce(F.bool_and("each"), F.lit(True)).alias("__each"), F.count("mos").alias("__mos"),
+    )
+    checks = {"carries an alignment": F.col("aligned") > 0, "one frame per character": F.col("__each"), "reproduces the duration": F.coalesce(F.col("median_error") < 0.10, F.lit(False)), "all scored": F.col("__mos") == F.col("records")}
+    named = F.create_map(*[x for name, ok in checks.items() for x in (F.lit(name), ok)])
+    return out.withColumn("checks", named).drop("__each", "__mos").crossJoin(teachers)  # one row each
+
+
+def _places(rows: DataFrame, value: Column, places: dict[str, Callable[[Column], Column]]) -> list[float | None]:
+    found = ranks_by(rows.select(F.lit(0).alias("__all"), value.alias("__value")), ("__all",), F.col("__value"), places).first()
+    return [found[name] if found else None for name in places]
+
+
+def alignment_comparison(df: DataFrame) -> DataFrame:
+    """A26 by utterance, of at least four tokens on both sides. df: utt, aligned, fallback (durations in frames), audio_frames. (utt, tokens, r, aligned_error,
+    fallback_error, apart): the correlation over the shorter one's tokens (null if one side is constant) and relative errors of the totals."""
+    n = F.least(F.size("aligned"), F.size("fallback"))
+    cut = df.where(n >= 4).withColumn("__n", n).select("utt", "__n", "audio_frames", F.slice("aligned", F.lit(1), n).alias("a"), F.slice("fallback", F.lit(1), n).alias("b"))
+    each = cut.select("utt", "__n", "audio_frames", F.explode(F.arrays_zip("a", "b")).alias("p")).select("utt", "__n", "audio_frames", F.col("p.a").cast("double").alias("x"), F.col("p.b").cast("double").alias("y"))
+    by = each.groupBy("utt").agg(F.first("__n").alias("tokens"), F.first("audio_frames").alias("f"), F.corr("x", "y").alias("r"), F.sum("x").alias("x"), F.sum("y").alias("y"))
+    error = lambda v: F.abs(F.col(v) - F.col("f")) / F.greatest(F.col("f"), F.lit(1.0))
+    return by.select("utt", "tokens", F.when(~F.isnan("r"), F.col("r")).alias("r"), error("x").alias("aligned_error"), error("y").alias("fallback_error"), (F.abs(F.col("x") - F.col("y")) / F.greatest(F.col("x"), F.lit(1.0))).alias("apart"))
+
+
+def alignment_summary(comparison: DataFrame) -> DataFrame:
+    """A26 over alignment_comparison(): utterances, medians of r and the errors, and checks (a map)."""
+    names = ["r", "aligned_error", "fallback_error"]
+    medians = [_constant(quantiles(comparison, F.col(c), [0.5])[0]).alias(f"median_{c}") for c in names]
+    out = comparison.agg(F.count("*").alias("utterances"), *medians, F.bool_and((F.col("aligned_error") < 0.05) & (F.col("fallback_error") < 0.05)).alias("__cover"), F.bool_and(F.col("apart") < 0.05).alias("__agree"))
+    checks = F.create_map(F.lit("changes the structure"), F.coalesce(F.col("median_r") < 0.5, F.lit(False)), F.lit("cover the audio"), F.col("__cover"), F.lit("agree on the length"), F.col("__agree"))
+    return out.withColumn("checks", checks).drop("__cover", "__agree")
+
+
+def fit_report(tokens: DataFrame, latents: DataFrame) -> DataFrame:
+    """A27 in full: (measure, train, val, gap), each the mean over a split's utterances; gap is train less val.
+
+    tokens: split, utt, true_dur, pred_dur, true_f0, pred_f0, true_energy, pred_energy, a row a token. latents: split, utt, dim, true, pred, a row a token and
+    dimension. The cosine is over all of an utterance's values, the correlation over its dimensions that vary on both sides.
+    """
+    mae = lambda a, b: F.avg(F.abs(F.col(a) - F.col(b)))
+    ratio = F.sum("pred_dur") / F.greatest(F.sum("true_dur"), F.lit(1.0))
+    own = tokens.groupBy("split", "utt").agg(mae("true_dur", "pred_dur").alias("duration_mae"), ratio.alias("duration_ratio"), mae("true_f0", "pred_f0").alias("f0_mae"), mae("true_energy", "pred_energy").alias("energy_mae"))
+    by = latents.groupBy("split", "utt", "dim").agg(F.sum(F.col("true") * F.col("pred")).alias("xy"), F.sum(F.col("true") * F.col("true")).alias("xx"), F.sum(F.col("pred") * F.col("pred")).alias("yy"), F.corr("true", "pred").alias("r"), F.stddev_samp("true").alias("sx"), F.stddev_samp("pred").alias("sy"))
+    varied = (F.col("sx") >= 1e-6) & (F.col("sy") >= 1e-6)
+    cosine = F.sum("xy") / F.greatest(F.sqrt(F.sum("xx")) * F.sqrt(F.sum("yy")), F.lit(1e-8))
+    vectors = by.groupBy("split", "utt").agg(cosine.alias("cosine"), (F.coalesce(F.sum(F.when(varied, F.col("r"))), F.lit(0.0)) / F.greatest(F.count_if(varied), F.lit(1))).alias("dim_correlation"))
+    measures = ["duration_mae", "duration_ratio", "f0_mae", "energy_mae", "cosine", "dim_correlation"]
+    means = own.join(vectors, ["split", "utt"]).groupBy("split").agg(*[F.avg(c).alias(c) for c in measures])
+    long = means.select("split", F.explode(F.array(*[F.struct(F.lit(c).alias("measure"), F.col(c).alias("v")) for c in measures])).alias("m")).select("split", "m.measure", "m.v")
+    return long.groupBy("measure").pivot("split", ["train", "val"]).agg(F.first("v")).withColumn("gap", F.col("train") - F.col("val"))
+
+
+def voice_counts(df: DataFrame, split: str = "split", voice: str = "voice") -> DataFrame:
+    """(split, voice, n): items of each voice on each side, -1 where there is none."""
+    return df.groupBy(split, F.coalesce(voice, F.lit(-1)).alias("voice")).agg(F.count("*").alias("n"))
+
+
 def alignment_value(df: DataFrame) -> DataFrame:
     """df: utt, aligned and fallback (arrays of durations). By utterance: their Pearson (NaN under 3) and length error."""
     pairs = df.select("utt", F.size("aligned").alias("n"), F.explode(F.arrays_zip("aligned", "fallback")).alias("p")).select("utt", "n", F.col("p.aligned").cast("double").alias("x"), F.col("p.fallback").cast("double").alias("y"))

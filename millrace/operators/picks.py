@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.operators.aggregates import spread_summary
 from millrace.operators.order import indexed
 
 
@@ -54,5 +55,11 @@ def best_row(df: DataFrame, key: str, metric: str, largest: bool = True) -> Data
     return df.groupBy(key).agg(pick.alias("r")).select(key, "r.*")
 
 
-def rank_in(df: DataFrame, group: str, *order: str) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+def sweep(df: DataFrame, setting: str, value: str = "value", largest: bool = True) -> DataFrame:
+    """(setting, mean, std, min, max, n, straddles_zero, verdict, best): a sweep's settings over their seeds, and the one of the best mean (the
+    smallest setting of equals). A setting's mean less and plus its deviation tells it from zero or doesn't."""
+    by = spread_summary(df, [setting], value)
+    order = F.struct(F.when(F.isnan("mean") | F.col("mean").isNull(), 1).otherwise(0).alias("none"), (-F.col("mean") if largest else F.col("mean")).alias("m"), F.col(setting).alias("s"))
+    top = by.agg(F.min(order).alias("t"))
+    verdict = F.when(F.col("straddles_zero"), "indistinguishable from zero").otherwise("clear of zero")
+    return by.withColumn("verdict", verdict).crossJoin(F.broadcast(top)).withColumn("best", F.col(setting).eqNullSafe(F.col("t.s"))).drop("t")  # one row

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
-from millrace.operators import align, signal
+from millrace.operators import aggregates as A
+from millrace.operators import align, picks, signal
+from millrace.operators.order import indexed
 from millrace.plans import jobs
-from millrace.plans.adapters import frames, table
+from millrace.plans.adapters import frames, scratch, table
 from millrace.plans.more_queries import SIG, SILENT, YIN, signals, vectors
-from millrace.plans.queries import hashed_sql, negatives_sql, query, r6
+from millrace.plans.queries import SENT, hashed_sql, negatives_sql, query, r6, rounded
 
 #: Items i(id, voice, x, durations, ids, energy): vectors as series of 64 frames and eight tokens.
 ITEMS = "i AS (SELECT vec_id AS id, label AS voice, [CAST(v AS DOUBLE) for v in embedding] AS x, [4, 4, 8, 8, 12, 12, 8, 8] AS durations, [k + vec_id % 10 for k in range(1, 9)] AS ids FROM embeddings)"
@@ -93,3 +95,174 @@ def f53_speech_of_signals(spark, d):
     """Speech-likeness from signals alone, short ones left out, in frames of 32 at 800 Hz."""
     out = align.speech_of_signals(signals(spark, d), "wav", sr=800, hop=8, frame=32, low=60, high=200, threshold=0.8, least=40, least_flat=60)
     return out.select(F.round("voiced", 6).alias("voiced"), F.round("median_f0", 3).alias("median_f0"), F.round("flatness", 6).alias("flatness"), "speech_like")
+
+
+# --- full reports (A25, A26, A27, L8) and jobs (C1, C5, C10 to C13) -----------------------------------
+
+
+@query(
+    """WITH m AS (SELECT source AS teacher, text, quality AS mos, CASE WHEN doc_id % 5 > 0 THEN len(string_split(text, ' ')) END AS n, length(text) * 256 / 24000.0::DOUBLE * 1.05::DOUBLE AS dur FROM documents LEFT JOIN labels USING (doc_id)),
+    e AS (SELECT *, CASE WHEN n > 0 AND dur > 0 THEN abs(n * 5.0::DOUBLE * 256 / 24000 - dur) / dur END AS err FROM m), t AS (SELECT map_from_entries(list((teacher, n) ORDER BY teacher)) AS teachers FROM (SELECT teacher, count(*) AS n FROM m GROUP BY 1)),
+    o AS (SELECT count(*) AS records, count(n) AS aligned, quantile_cont(CASE WHEN err IS NOT NULL THEN n END::DOUBLE, 0.5) AS chars, quantile_cont(err, 0.5) AS med, list_sort(list(err) FILTER (err IS NOT NULL)) AS es, avg(mos) AS mean, quantile_cont(mos::DOUBLE, 0.5) AS mmed, list_sort(list(mos) FILTER (mos IS NOT NULL)) AS ms FROM e)
+    SELECT records, aligned, round(aligned / records, 6) AS coverage, chars AS chars_median, round(med, 6) AS median_error, round(es[least(len(es) - 1, floor(len(es) * 0.9)::BIGINT) + 1], 6) AS p90_error, round(mean, 6) AS mos_mean, mmed AS mos_median,
+      CAST(ms[least(len(ms) - 1, floor(len(ms) * 0.1)::BIGINT) + 1] AS DOUBLE) AS mos_p10, CAST(ms[least(len(ms) - 1, floor(len(ms) * 0.9)::BIGINT) + 1] AS DOUBLE) AS mos_p90, list_sort(list_transform(map_entries(teachers), lambda x: x.key || '=' || x.value)) AS teachers,
+      ['all scored=' || (len(ms) = records), 'carries an alignment=true', 'one frame per character=false', 'reproduces the duration=' || (med < 0.1)] AS checks FROM o, t"""
+)
+def a25_alignment_report(spark, d):
+    """Words of five frames as alignments, on four of five documents."""
+    base = table(spark, d, "documents").join(table(spark, d, "labels").select("doc_id", F.col("quality").cast("double").alias("mos")), "doc_id", "left")
+    held = F.when(F.col("doc_id") % 5 > 0, F.transform(F.split("text", " "), lambda w: F.lit(5)))
+    rows = base.select(F.col("source").alias("teacher"), "text", "mos", held.alias("token_frames"), (F.length("text") * 256 / F.lit(24000.0) * 1.05).alias("duration_s"))
+    entries = lambda m: F.array_sort(F.transform(F.map_entries(m), lambda x: F.concat_ws("=", x["key"].cast("string"), x["value"].cast("string"))))
+    out = A.alignment_report(rows)
+    return r6(out.withColumn("teachers", entries("teachers")).withColumn("checks", entries("checks")), "coverage", "median_error", "p90_error", "mos_mean")
+
+
+PAIRED = "b AS (SELECT a.vec_id AS utt, [abs(CAST(v AS DOUBLE)) for v in a.embedding] AS x, [abs(CAST(v AS DOUBLE)) for v in b.embedding][:60] AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)"
+
+
+@query(
+    f"""WITH {PAIRED}, p AS (SELECT utt, list_sum(x) * 1.02 AS f, x[i] AS x, y[i] AS y FROM b, range(1, 61) t(i)),
+    c AS (SELECT utt, any_value(f) AS f, corr(x, y) AS r, sum(x) AS sx, sum(y) AS sy FROM p GROUP BY 1), e AS (SELECT r, abs(sx - f) / greatest(f, 1.0::DOUBLE) AS a, abs(sy - f) / greatest(f, 1.0::DOUBLE) AS b, abs(sx - sy) / greatest(sx, 1.0::DOUBLE) AS c FROM c)
+    SELECT count(*) AS utterances, round(quantile_cont(r, 0.5), 6) AS median_r, round(quantile_cont(a, 0.5), 6) AS median_aligned_error, round(quantile_cont(b, 0.5), 6) AS median_fallback_error,
+      quantile_cont(r, 0.5) < 0.5 AS structure, bool_and(a < 0.05 AND b < 0.05) AS cover, bool_and(c < 0.05) AS agree FROM e"""
+)
+def a26_alignment_summary(spark, d):
+    """Absolute vectors as durations, the next vector (60 tokens of it) as the estimate."""
+    v = vectors(spark, d).select("vec_id", F.transform("x", F.abs).alias("x"))
+    both = v.join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.slice("x", 1, 60).alias("y")), "vec_id")
+    rows = both.select(F.col("vec_id").alias("utt"), F.col("x").alias("aligned"), F.col("y").alias("fallback"), (F.aggregate("x", F.lit(0.0), lambda a, b: a + b) * 1.02).alias("audio_frames"))
+    out = A.alignment_summary(A.alignment_comparison(rows))
+    named = {"structure": "changes the structure", "cover": "cover the audio", "agree": "agree on the length"}
+    return r6(out.select("utterances", "median_r", "median_aligned_error", "median_fallback_error", *[F.col("checks")[k].alias(c) for c, k in named.items()]), "median_r", "median_aligned_error", "median_fallback_error")
+
+
+@query(
+    """WITH v AS (SELECT a.vec_id AS utt, CASE WHEN a.vec_id % 4 = 0 THEN 'val' ELSE 'train' END AS split, [CAST(x AS DOUBLE) for x in a.embedding] AS x, [CAST(x AS DOUBLE) for x in b.embedding] AS y FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1),
+    l AS (SELECT utt, split, i % 8 AS dim, i // 8 AS tok, x[i + 1] AS t, y[i + 1] AS p FROM v, range(64) r(i)),
+    k AS (SELECT utt, split, avg(abs(p - t)) FILTER (dim = 0) AS duration_mae, sum(p) FILTER (dim = 0) / greatest(sum(t) FILTER (dim = 0), 1.0::DOUBLE) AS duration_ratio, avg(abs(p - t)) FILTER (dim = 1) AS f0_mae, avg(abs(p - t)) FILTER (dim = 2) AS energy_mae,
+      sum(p * t) / greatest(sqrt(sum(p * p)) * sqrt(sum(t * t)), 1e-8) AS cosine FROM l GROUP BY ALL),
+    r AS (SELECT utt, avg(c) AS dim_correlation FROM (SELECT utt, dim, corr(t, p) AS c FROM l GROUP BY ALL HAVING stddev_samp(t) >= 1e-6 AND stddev_samp(p) >= 1e-6) GROUP BY 1),
+    m AS (SELECT split, avg(duration_mae) AS duration_mae, avg(duration_ratio) AS duration_ratio, avg(f0_mae) AS f0_mae, avg(energy_mae) AS energy_mae, avg(cosine) AS cosine, avg(dim_correlation) AS dim_correlation FROM k JOIN r USING (utt) GROUP BY 1),
+    u AS (UNPIVOT m ON duration_mae, duration_ratio, f0_mae, energy_mae, cosine, dim_correlation INTO NAME measure VALUE v)
+    SELECT measure, round(max(v) FILTER (split = 'train'), 6) AS train, round(max(v) FILTER (split = 'val'), 6) AS val, round(max(v) FILTER (split = 'train') - max(v) FILTER (split = 'val'), 6) AS gap FROM u GROUP BY 1"""
+)
+def a27_fit_report(spark, d):
+    """The next vector as the prediction; its first three dimensions as durations, pitch and energy."""
+    rows = frames(spark, d).select("utt", (F.col("dim") % 8).alias("dim"), F.floor(F.col("dim") / 8).alias("tok"), "value")
+    both = rows.withColumnRenamed("value", "true").join(rows.select((F.col("utt") - 1).alias("utt"), "dim", "tok", F.col("value").alias("pred")), ["utt", "dim", "tok"])
+    latents = both.withColumn("split", F.when(F.col("utt") % 4 == 0, "val").otherwise("train"))
+    pick = lambda c, k: F.max(F.when(F.col("dim") == k, F.col(c)))
+    names = ["dur", "f0", "energy"]
+    tokens = latents.groupBy("split", "utt", "tok").agg(*[pick(c, k).alias(f"{c}_{n}") for k, n in enumerate(names) for c in ("true", "pred")])
+    return r6(A.fit_report(tokens, latents), "train", "val", "gap")
+
+
+@query("SELECT CASE WHEN vec_id % 4 = 0 THEN 'val' ELSE 'train' END AS split, coalesce(label, -1) AS voice, count(*) AS n FROM embeddings GROUP BY ALL")
+def a27_voice_counts(spark, d):
+    return A.voice_counts(table(spark, d, "embeddings").select(F.when(F.col("vec_id") % 4 == 0, "val").otherwise("train").alias("split"), F.col("label").alias("voice")))
+
+
+@query(
+    """WITH s AS (SELECT l_linenumber AS setting, avg(l_tax - 0.04::DOUBLE) AS m, coalesce(stddev_samp(l_tax - 0.04::DOUBLE), 0) AS sd, count(*) AS n FROM lineitem WHERE l_partkey % 7 = 0 GROUP BY 1)
+    SELECT setting, round(m, 6) AS mean, round(sd, 6) AS std, n, CASE WHEN m - sd <= 0 AND m + sd >= 0 THEN 'indistinguishable from zero' ELSE 'clear of zero' END AS verdict, setting = first_value(setting) OVER (ORDER BY m DESC, setting) AS best FROM s"""
+)
+def l8_sweep(spark, d):
+    rows = table(spark, d, "lineitem").where("l_partkey % 7 = 0").select(F.col("l_linenumber").alias("setting"), (F.col("l_tax") - 0.04).alias("value"))
+    return r6(picks.sweep(rows, "setting").select("setting", "mean", "std", "n", "verdict", "best"), "mean", "std")
+
+
+@query(
+    f"""WITH {SENT}, k AS (SELECT *, row_number() OVER (PARTITION BY regexp_replace(lower(sentence), '[^a-z]', '', 'g') ORDER BY source, doc_id, pos) AS n FROM s),
+    t AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id, pos) - 1 AS turn, dense_rank() OVER (ORDER BY source) AS g FROM k WHERE n = 1),
+    c AS (SELECT source, count(*) AS n FROM (SELECT source, row_number() OVER (ORDER BY turn, g) AS rank FROM t QUALIFY rank <= 500) GROUP BY 1)
+    SELECT d.source, CAST(sum(length(text)) AS BIGINT) AS chars, (SELECT count(*) FROM s WHERE s.source = d.source) AS sentences_found, (SELECT count(*) FROM t WHERE t.source = d.source) AS sentences_kept, (SELECT coalesce(max(n), 0) FROM c WHERE c.source = d.source) AS selected FROM documents d GROUP BY 1"""
+)
+def c1_provenance(spark, d):
+    books = table(spark, d, "documents")
+    return jobs.prompt_provenance(books, jobs.build_prompts(books, 500))
+
+
+@query(
+    """WITH p AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS i, length(text) / 15.0::DOUBLE AS s FROM documents), t AS (SELECT *, CASE WHEN i * 0.61803398875 - floor(i * 0.61803398875) < 0.3 THEN 'x' ELSE 'y' END AS teacher FROM p),
+    b AS (SELECT teacher, count(*) AS n FROM t GROUP BY 1) SELECT count(*) AS n, round(sum(s) / 3600, 6) AS hours, 'x=0.3,y=0.7' AS mix, (SELECT string_agg(teacher || ':' || n || ':' || CASE teacher WHEN 'x' THEN 'mit' ELSE 'cc0' END, ',' ORDER BY teacher) FROM b) AS teachers FROM t"""
+)
+def c5_corpus_meta(spark, d):
+    registry = spark.sql("SELECT * FROM VALUES ('x', 'mit', false), ('y', 'cc0', false) AS t(name, licence, restricted)")
+    rows = table(spark, d, "documents").select("doc_id", "text")
+    meta = jobs.scheduled_corpus(rows, [("x", 0.3), ("y", 0.7)], ["v0", "v1"], registry, F.length("text") / 15.0)[1]
+    mix = F.array_join(F.transform(F.map_entries("mix"), lambda x: F.concat_ws("=", x["key"], x["value"].cast("string"))), ",")
+    teachers = F.array_join(F.transform("teachers", lambda x: F.concat_ws(":", x["teacher"], x["n"].cast("string"), x["license"])), ",")
+    return meta.select("n", F.round("hours", 6).alias("hours"), mix.alias("mix"), teachers.alias("teachers"))
+
+
+@query(
+    f"""WITH i AS (SELECT vec_id, vec_id AS id, label, 'v' || (label % 7) AS name, vec_id % 2 AS side, embedding FROM embeddings), f AS (SELECT id, side, name AS voice, CASE WHEN side = 0 THEN '0' ELSE '1' END AS source, dim, CAST(embedding[dim + 1] AS DOUBLE) AS value FROM i, range(64) r(dim)),
+    k AS (SELECT voice FROM f GROUP BY 1 HAVING count(DISTINCT source) > 1), a AS (SELECT voice, source, dim, avg(value) AS m, greatest(stddev_samp(value), 1e-6) AS s FROM f SEMI JOIN k USING (voice) GROUP BY ALL),
+    b AS (SELECT voice, dim, avg(value) AS m, greatest(stddev_samp(value), 1e-6) AS s FROM f GROUP BY ALL)
+    SELECT id, side, f.voice, dim, round((value - coalesce(a.m, b.m)) / coalesce(a.s, b.s), 6) + 0 AS normed FROM f LEFT JOIN a USING (voice, source, dim) LEFT JOIN b USING (voice, dim)"""
+)
+def c11_expand_cache(spark, d):
+    """Odd vectors merged into a cache of the even ones, whose voices have other numbers, then normalised."""
+    rows = vectors(spark, d).withColumn("name", F.concat(F.lit("v"), F.col("label") % 7))
+    sides = []
+    for side in (0, 1):
+        own = rows.where(F.col("vec_id") % 2 == side)
+        voices = own.select("name").distinct().withColumn("voice", F.substring("name", 2, 9).cast("bigint") + 3 * side)
+        items = own.join(voices, "name").select(F.col("vec_id").alias("id"), "voice", F.size("x").alias("width"), F.lit("").alias("tag"))
+        long = own.select(F.col("vec_id").alias("id"), F.posexplode("x").alias("dim", "value"))
+        sides.append((items, voices, long))
+    (base, base_voices, base_frames), (extra, extra_voices, extra_frames) = sides
+    items, normed, scale, widths = jobs.expand_cache(base, extra, base_voices, extra_voices, ("p", "p"), base_frames, extra_frames)
+    return normed.select(F.col("utt").alias("id"), F.col("source").cast("bigint").alias("side"), "voice", "dim", (F.round("normed", 6) + F.lit(0.0)).alias("normed"))
+
+
+@query(
+    """WITH r AS (SELECT doc_id // 2 AS utt_id, text, lang, length(text) / 150.0::DOUBLE AS s FROM documents), t AS (SELECT text, count(*) AS n FROM r GROUP BY 1)
+    SELECT (SELECT count(*) FROM r) AS records, (SELECT count(DISTINCT lang) FROM r) AS voices, (SELECT count(*) FROM t) AS distinct_texts, (SELECT count(*) FROM t WHERE n > 1) AS repeated_texts, (SELECT count(DISTINCT lower(trim(text, ' '))) FROM benchmark) AS held_out,
+      (SELECT count(*) FROM documents WHERE doc_id % 3 = 0) AS missing, round(sum(s) / 3600, 6) AS hours, round(quantile_cont(s, 0.5), 6) AS median, round(min(s), 6) AS min, round(max(s), 6) AS max, count(*) FILTER (s < 1 OR s > 30) AS out_of_range FROM r"""
+)
+def c12_validation_report(spark, d):
+    """Files exist for two of three documents."""
+    docs = table(spark, d, "documents")
+    rows = docs.select(F.floor(F.col("doc_id") / 2).alias("utt_id"), "text", F.col("lang").alias("voice"), F.lit(8000).alias("sample_rate"), (F.length("text") / 150.0).alias("duration_s"), F.col("lang").alias("license"), F.concat(F.lit("wav/"), F.col("doc_id").cast("string")).alias("wav_path"))
+    files = docs.where("doc_id % 3 > 0").select(F.concat(F.lit("wav/"), F.col("doc_id").cast("string")).alias("path"))
+    checks, summary = jobs.validation_report(rows, table(spark, d, "benchmark"), files)
+    lost = checks.where("check = 'missing files'").select(F.col("bad").alias("missing"))
+    return r6(summary.crossJoin(lost), "hours", "median", "min", "max")  # one row each
+
+
+@query(
+    """WITH b AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS i, [CAST(x AS DOUBLE) for x in embedding] AS x FROM embeddings), p AS (SELECT v.vec_id, [(v.x[k] + b.x[k]) / 2 for k in range(1, 65)] AS s FROM b v JOIN b ON v.i = b.i + 5),
+    u AS (SELECT vec_id AS utt_id, 'shared' AS kind, s FROM p UNION ALL SELECT vec_id, 'own', x FROM b)
+    SELECT utt_id, kind, [round(list_sum(s[a[1] + 1:a[2]]) / (a[2] - a[1]), 6) + 0 for a in [[0, 10], [10, 11], [14, 64]]] AS target FROM u"""
+)
+def c13_shared_targets(spark, d):
+    """Each vector with the one five places before, three tokens of 10, 0 (a frame at least) and 3 frames; what follows goes to the last."""
+    rows = indexed(vectors(spark, d), "vec_id", "idx").select(F.col("vec_id").alias("utt_id"), "idx", F.array(F.lit(10), F.lit(0), F.lit(3)).alias("durations"), F.col("x").alias("series"))
+    renditions, originals = jobs.shared_targets(rows, rows.select("utt_id", "idx", "series"), offset=5)
+    return renditions.unionByName(originals).select("utt_id", "kind", rounded(F.col("target"), 6).alias("target"))
+
+
+@query(
+    """WITH i AS (SELECT doc_id, source, lang, row_number() OVER (ORDER BY doc_id) - 1 AS n, length(text) AS c FROM documents),
+    t AS (SELECT source, row_number() OVER (ORDER BY min(doc_id), source) - 1 AS k FROM documents GROUP BY 1), v AS (SELECT lang, row_number() OVER (ORDER BY min(doc_id), lang) - 1 AS k FROM documents GROUP BY 1)
+    x AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS turn, count(*) OVER () AS m, [CAST(e AS DOUBLE) for e in embedding] AS x FROM embeddings)
+    SELECT doc_id AS utt_id, t.k AS teacher_index, v.k AS voice_index, doc_id % 3 = 0 AS aligned, 64 AS frames, round(CASE WHEN source = 'src0' THEN 0.5 ELSE 1 END, 6) AS weight,
+      CASE WHEN doc_id % 3 = 0 THEN [round(list_sum([abs(e) for e in x[k * 6 + 1:k * 6 + 6]]) / 6, 6) + 0 for k in range(10)] END AS energy, CASE WHEN doc_id % 3 = 0 THEN [round((x[k * 2 + 1] + x[k * 2 + 2]) / 2, 6) + 0 for k in range(30)] END AS latent
+    FROM i JOIN t USING (source) JOIN v USING (lang) JOIN x ON turn = doc_id % m"""
+)
+def c10_build_cache(spark, d):
+    """Ten characters of each document, every third one with an alignment, over vectors as series; read back from the files, of 100 items at most."""
+    docs = table(spark, d, "documents")
+    turns = indexed(vectors(spark, d).select("vec_id", "x"), "vec_id", "turn").select("turn", "x")
+    n = F.broadcast(turns.agg(F.count("*").alias("n")))
+    rows = docs.crossJoin(n).withColumn("turn", F.pmod("doc_id", "n")).join(turns, "turn")  # one row
+    given = F.when(F.col("doc_id") % 3 == 0, F.array_repeat(F.lit(6), 10))
+    rows = rows.select(F.col("doc_id").alias("utt_id"), F.rpad(F.lit(""), 10, "abcde").alias("text"), F.col("source").alias("teacher"), F.col("lang").alias("voice"), F.lit(None).cast("double").alias("mos"), F.transform("x", F.abs).alias("energy"), F.transform("x", lambda v: F.when(v > 0, v * 100).otherwise(F.lit(0.0))).alias("f0"), F.col("x").alias("latent"), given.alias("token_frames"))
+    items, index, _, _ = jobs.build_cache(rows, spark.sql("SELECT 'src0' AS name, 0.5D AS weight"), scratch(spark), items=100)
+    most = F.broadcast(index.agg(F.max("n").alias("most")))
+    kept = items.crossJoin(most).where("most <= 100")  # one row
+    total = F.aggregate("durations", F.lit(0), lambda a, x: a + x)
+    measured = {"energy": rounded(F.col("token_energy"), 6), "latent": rounded(F.flatten("token_latent"), 6)}
+    return kept.select("utt_id", "teacher_index", "voice_index", "aligned", F.when(F.col("aligned"), total + 4).otherwise(total).alias("frames"), F.round("weight", 6).alias("weight"), *[F.when(F.col("aligned"), x).alias(c) for c, x in measured.items()])
