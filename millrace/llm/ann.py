@@ -9,13 +9,13 @@ A leaf's rows are counted; one with more than TILE of them is cut into tiles.
 Search: all trees share one priority queue. From the roots on, the queue gives the node with the largest
 margin so far (the smaller of its parent's and the query's signed distance to the split), whose far side
 joins the queue; a query ends when the leaves reached hold a given share of all rows. Queries of equal vectors are one.
-Rerank: a tile of a leaf's entries and the queries that reached the leaf meet in one group. A matrix product gives
+Rerank: a tile of a leaf's entries and a tile of the queries that reached the leaf meet in one group. A matrix product gives
 distances that are off by rounding; every entry that the bound of this error can't tell from the k nearest goes on
 to the exact distance in double precision, so ties are settled by id alone. The best of all tiles follow by a window per query.
 
 Rules: vectors that are null, empty, of another size than most, all zero, or hold null or non-finite components
-take no part, as queries or as candidates. A row is never its own answer, but rows of equal vector are. Ties
-go to the smaller id; rows with a null id take no part; of rows with one id each vector counts. Other columns
+take no part, as queries or as candidates. A row is never its own answer, but rows of equal vector are, and so are other rows of
+its id. Ties go to the smaller id; rows with a null id take no part; every row counts, whatever its id or vector. Other columns
 are not read. Empty tables give empty results.
 """
 
@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from millrace.llm.common import attach, keep, partitions, small
 
 TILE = 16_384  #: entries of a leaf that one group reranks
+PROBES = 16_384  #: queries of a leaf that one group reranks
 
 
 @dataclass
@@ -128,9 +129,14 @@ def _matrix(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
 
 
 def nearest(a: np.ndarray, b: np.ndarray, ids: list[list[int]], k: int) -> list[tuple[int, int, float]]:
-    """(row of a, id, distance): the ids of the k + 1 rows of b nearest to each row of a, by exact distance and smallest
-    id; a row of b stands for all of its ids."""
-    out: list[tuple[int, int, float]] = []
+    """(row of a, id, distance): the first three of nearest_rows()."""
+    return [x[:3] for x in nearest_rows(a, b, ids, k)]
+
+
+def nearest_rows(a: np.ndarray, b: np.ndarray, ids: list[list[int]], k: int) -> list[tuple[int, int, float, int, int]]:
+    """(row of a, id, distance, row of b, place of the id): the ids of the k + 1 rows of b nearest to each row of a, by exact distance
+    and smallest id; a row of b stands for all of its ids."""
+    out: list[tuple[int, int, float, int, int]] = []
     if not len(b):
         return out
     low, most = np.array([x[0] for x in ids]), min(len(b), k + 1)
@@ -147,7 +153,7 @@ def nearest(a: np.ndarray, b: np.ndarray, ids: list[list[int]], k: int) -> list[
             at = np.flatnonzero(near[i] - error[i] <= cut[i])
             exact = np.sqrt(((part[i] - b[at]) ** 2).sum(axis=1))
             for j in np.lexsort((low[at], exact))[:most]:
-                out += [(start + i, own, float(exact[j])) for own in ids[at[j]]]
+                out += [(start + i, own, float(exact[j]), int(at[j]), p) for p, own in enumerate(ids[at[j]])]
     return out
 
 
@@ -214,24 +220,38 @@ def search(
     large = small(large, len(held))
     counted = spark.sparkContext.broadcast(vars(forest))
 
-    def tiled(df: DataFrame, tile: Column) -> DataFrame:
-        return df.join(large, "leaf", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1))).withColumn("tile", tile)
+    reached = keep(distinct.join(asked, "key").select("key", "v").mapInArrow(probe, f"key string, v {kind}, leaves array<int>"), "ann-probes")
+    # Queries by leaf: a row a node of the forest at most.
+    asking = {r["leaf"]: r["n"] for r in reached.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count("*").alias("n")).collect()}
+    crowded = spark.createDataFrame([(node, -(-m // PROBES)) for node, m in asking.items() if m > PROBES], "leaf int, crowds int")
+    crowded = small(crowded, len(asking))
 
+    def tiled(df: DataFrame, tile: Column, crowd: Column) -> DataFrame:
+        parts = df.join(large, "leaf", "left").join(crowded, "leaf", "left").withColumn("tiles", F.coalesce("tiles", F.lit(1))).withColumn("crowds", F.coalesce("crowds", F.lit(1)))
+        return parts.withColumn("tile", tile).withColumn("crowd", crowd)
+
+    part = lambda n: F.pmod(F.xxhash64("key"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     index = distinct.select("key", "v", "ids").mapInArrow(place, f"key string, v {kind}, ids array<bigint>, leaves array<int>")
-    index = tiled(index.select(F.explode("leaves").alias("leaf"), "key", "v", "ids"), F.pmod(F.xxhash64("key"), F.col("tiles")).cast("int")).select("leaf", "tile", "v", "ids")
-    probes = distinct.join(asked, "key").select("key", "v").mapInArrow(probe, f"key string, v {kind}, leaves array<int>")
-    probes = tiled(probes.select(F.explode("leaves").alias("leaf"), "key", "v"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("leaf", "tile", "key", "v")
+    index = tiled(index.select(F.explode("leaves").alias("leaf"), "key", "v", "ids"), part("tiles"), every("crowds"))
+    index = index.select("leaf", "tile", "crowd", F.xxhash64("key").alias("entry"), "v", "ids")
+    probes = tiled(reached.select(F.explode("leaves").alias("leaf"), "key", "v"), every("tiles"), part("crowds")).select("leaf", "tile", "crowd", "key", "v")
 
     def rerank(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = nearest(_matrix(left["v"], dim), _matrix(right["v"], dim) if right.num_rows else np.zeros((0, dim)), right["ids"].to_pylist(), k)
-        keys = left["key"].to_pylist()
-        return pa.table({"key": pa.array([keys[i] for i, _, _ in found], pa.string()), "vec_id": pa.array([j for _, j, _ in found], pa.int64()), "score": pa.array([d for _, _, d in found], pa.float64())})
-
-    pairs = probes.groupBy("leaf", "tile").cogroup(index.groupBy("leaf", "tile")).applyInArrow(rerank, "key string, vec_id bigint, score double")
-    pairs = pairs.repartition(partitions(spark), "key").dropDuplicates(["key", "vec_id"])
-    by = Window.partitionBy("key").orderBy("score", "vec_id")
+        found = nearest_rows(_matrix(left["v"], dim), _matrix(right["v"], dim) if right.num_rows else np.zeros((0, dim)), right["ids"].to_pylist(), k)
+        keys, entries = left["key"].to_pylist(), right["entry"].to_pylist()
+        cols = [keys[i] for i, *_ in found], [j for _, j, *_ in found], [x[2] for x in found], [entries[x[3]] for x in found], [x[4] for x in found]
+        kinds = {"key": pa.string(), "vec_id": pa.int64(), "score": pa.float64(), "entry": pa.int64(), "place": pa.int32()}
+        return pa.table({name: pa.array(values, t) for (name, t), values in zip(kinds.items(), cols)})
+
+    cells = ["leaf", "tile", "crowd"]
+    pairs = probes.groupBy(*cells).cogroup(index.groupBy(*cells)).applyInArrow(rerank, "key string, vec_id bigint, score double, entry bigint, place int")
+    # A row is its vector (entry) and its place among the ids of that; trees find it again at the same distance.
+    pairs = pairs.repartition(partitions(spark), "key").groupBy("key", "vec_id", "entry", "place").agg(F.min("score").alias("score"))
+    by = Window.partitionBy("key").orderBy("score", "vec_id", "entry", "place")
     best = pairs.withColumn("n", F.row_number().over(by)).where(F.col("n") <= k + 1)
-    best = best.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("score", "vec_id"))).alias("best"))
+    best = best.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("score", "vec_id", "entry", "place"))).alias("best"))
     found = attach(queries, keep(best.join(asked, "key"), "ann-best"), "key", "asked")
-    own = F.slice(F.filter("best", lambda x: x["vec_id"] != F.col("id")), 1, k)
+    self_ = F.array_position(F.transform("best", lambda x: (x["vec_id"] == F.col("id")) & (x["entry"] == F.xxhash64("key"))), True)
+    own = F.slice(F.filter("best", lambda _, i: i + 1 != self_), 1, k)
     return found.select(F.col("id").alias("query_id"), F.posexplode(own).alias("p", "b")).select("query_id", (F.col("p") + 1).alias("rank"), "b.vec_id", "b.score")

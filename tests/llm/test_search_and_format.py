@@ -85,6 +85,27 @@ def test_recall_on_the_given_vectors(spark):
     assert near / (10 * len(got)) >= 0.9
 
 
+def test_a_leaf_that_all_queries_reach_is_cut_into_tiles(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    pairs = [(i, [float(x) for x in rng.normal(size=8).astype(np.float32)]) for i in range(400)]
+    monkeypatch.setattr(ann, "PROBES", 7)
+    monkeypatch.setattr(ann, "TILE", 50)
+    got = {}
+    for r in ann.search(vectors(spark, pairs), F.col("id") % 4 == 0, k=5, trees=1, leaf=400, search_share=100.0).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.score, r.vec_id))
+    want = brute(pairs, [i for i, _ in pairs if i % 4 == 0], 5)
+    assert {q: [x[1:] for x in sorted(v)] for q, v in got.items()} == want
+
+
+def test_rows_of_one_id_all_count(spark):
+    """One id with two vectors, and one with the same vector twice: the nearest of each row, in every run."""
+    pairs = [(0, [1.0, 0.0]), (1, [1.0, 0.1]), (1, [1.0, 3.0]), (2, [1.0, 0.2]), (2, [1.0, 0.2]), (0, [1.0, 0.4])]
+    found = {tuple(sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 6)) for r in ann.search(vectors(spark, pairs).repartition(n), F.col("id") == 0, k=10).collect())) for n in (1, 3)}
+    from_first = [(0.1, 1), (0.2, 2), (0.2, 2), (0.4, 0), (3.0, 1)]
+    from_last = [(0.2, 2), (0.2, 2), (0.3, 1), (0.4, 0), (2.6, 1)]
+    assert found == {tuple(sorted((0, n, v, s) for own in (from_first, from_last) for n, (s, v) in enumerate(own, 1)))}
+
+
 def test_few_vectors_give_all_candidates(spark):
     got = ann.search(vectors(spark, [(0, [1.0, 2.0]), (1, [1.0, 2.5]), (2, [1.0, 2.0])]), F.col("id") == 0, k=10).collect()
     assert sorted((r["rank"], r.vec_id, r.score) for r in got) == [(1, 2, 0.0), (2, 1, 0.5)]
