@@ -45,8 +45,8 @@ def job(spark: SparkSession) -> None:
 _KEPT: list[str] = []
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and rereads it: cuts lineage and survives lost executors.
+def keep(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+    """Writes df to the shared folder and rereads it: cuts lineage and survives lost executors. codec: Parquet's, else the session's.
 
     Results are lazy and read these tables, so they stay until release() or the end of the driver.
     """
@@ -55,7 +55,7 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     atexit.register(_at_end, spark)
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     _KEPT.append(path)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -95,6 +95,22 @@ def bounded(rows: DataFrame, label: str, h: str, most: int) -> DataFrame:
     return ranked.where(F.col("__n") <= most).drop("__n")
 
 
+def passages(text: Column, key: Column, most: int, size: int = 2_000) -> Column:
+    """A text of up to `most` characters as it is; of a longer one, stretches of `size` characters from all over it, `most` characters in all,
+    in order: those whose places have the smallest hashes with the key."""
+    places = F.sequence(F.lit(0), F.ceil(F.length(text) / size).cast("int") - 1)
+    drawn = F.slice(F.array_sort(F.transform(places, lambda i: F.struct(F.md5(F.concat_ws(":", key.cast("string"), i.cast("string"))).alias("h"), i.alias("i")))), 1, max(1, most // size))
+    taken = F.array_sort(F.transform(drawn, lambda x: x["i"]))
+    return F.when(F.length(text) <= most, text).otherwise(F.array_join(F.transform(taken, lambda i: F.substring(text, i * size + 1, F.lit(size))), " "))
+
+
+def within_budget(rows: DataFrame, label: str, text: str, order: list[str], budget: int) -> DataFrame:
+    """Rows of each label, in order, as long as their texts and those before them hold at most `budget` characters; the first one always.
+    A label must have few rows (see bounded())."""
+    upto = F.sum(F.length(text)).over(Window.partitionBy(label).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.withColumn("__upto", upto).where((F.col("__upto") <= budget) | (F.col("__upto") == F.length(text))).drop("__upto")
+
+
 def hash60(text: Column) -> Column:
     """The first 60 bits of a text's MD5 as a number."""
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("bigint")

@@ -8,11 +8,12 @@ with gradients from the forward-backward pass. Prediction runs forward-backward
 long chains are cut into pieces of SPAN words whose transfer matrices are multiplied in parallel and then combined,
 which is exact. A text's language is the label with the largest share of the words' marginals, its score that share.
 
-Fitting takes a bounded sample: at most `max_rows` labelled documents a language (the smallest by MD5 of the id), whole texts
-of at most `max_chars` characters (longer ones don't teach), one row an id (of repeats the greatest text), of the `max_langs`
-languages with the most rows. These bounds hold the model's size as well.
+Fitting takes a bounded sample: at most `max_rows` labelled documents a language (the smallest by MD5 of the id), one row an id (of repeats the
+greatest text), and of these, in the same order, as many as hold the language's part of `budget` characters. A text of over `max_chars`
+characters teaches by stretches from all over it (common.passages). So the one task that fits holds about `budget` characters. All languages are
+learned: with more than 64 of them, features are hashed to fewer buckets, so that the model keeps its size.
 
-Rules: words without a letter take no part; null text and text without a letter give `und` and score 0; upper
+Rules: of languages with equal shares the first by name is predicted; words without a letter take no part; null text and text without a letter give `und` and score 0; upper
 case counts as lower case; with no labelled text everything is `und`. Only rows with an id, a text and a language teach.
 Repeated rows are scored alike. Other columns are not read.
 """
@@ -28,26 +29,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import batches, bounded, hash60, ragged
+from millrace.llm.common import batches, bounded, hash60, passages, ragged, within_budget
 from millrace.llm.textvec import Words
 
-BUCKETS = 1 << 17
+BUCKETS = 1 << 17  #: of features, for up to 64 languages
 SPAN = 32  #: words of a piece
 CHARS = 400_000
 GRAMS, AFFIXES = (2, 3, 4), (1, 2, 3, 4)
 
 
+def buckets_for(labels: int) -> int:
+    """Buckets of features, a power of two: as many as 64 languages' weights for 2^17 take in all."""
+    return max(1 << 8, min(BUCKETS, 1 << ((64 * BUCKETS) // max(1, labels)).bit_length() - 1))
+
+
 class Chains:
     """The lettered words of texts: word (number among the distinct ones), doc, and their features."""
 
-    def __init__(self, texts: list[str]):
+    def __init__(self, texts: list[str], buckets: int = BUCKETS):
         words = Words([t.lower() for t in texts])
         ok = words.lettered()[words.which] if len(words.which) else np.zeros(0, bool)
         used, self.word = np.unique(words.which[ok], return_inverse=True)
         self.doc, self.distinct = words.doc[ok], len(used)
         number = np.full(len(words.unique), -1, np.int64)
         number[used] = np.arange(len(used))
-        found = [words.grams(GRAMS, BUCKETS, 1), words.affixes(AFFIXES, BUCKETS, 2)]
+        found = [words.grams(GRAMS, buckets, 1), words.affixes(AFFIXES, buckets, 2)]
         owner, feature = (np.concatenate([x[k] for x in found]) for k in (0, 1))
         owner = number[owner]
         owner, feature = owner[owner >= 0], feature[owner >= 0]
@@ -165,7 +171,7 @@ class Crf:
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """Each text's language and score."""
-        chains = Chains(texts)
+        chains = Chains(texts, len(self.weights))
         total = np.zeros((len(texts), len(self.labels)))
         if self.labels and len(chains.word):
             p = self.marginals(chains)
@@ -182,10 +188,11 @@ def fit(texts: list[str], langs: list[str], epochs: int = 3, batch: int = 1024,
     k = len(labels)
     if not k:
         return Crf([], np.zeros((BUCKETS, 0)), np.zeros((0, 0)), np.zeros(0))
-    chains = Chains(texts)
+    buckets = buckets_for(k)
+    chains = Chains(texts, buckets)
     gold_of = np.array([labels.index(x) for x in langs])
     first, length = pieces(chains.doc, SPAN)
-    params = {"w": np.zeros((BUCKETS, k)), "t": np.zeros((k, k)), "s": np.zeros(k)}
+    params = {"w": np.zeros((buckets, k)), "t": np.zeros((k, k)), "s": np.zeros(k)}
     moment = {n: (np.zeros_like(v), np.zeros_like(v)) for n, v in params.items()}
     rng, step, rows = np.random.default_rng(seed), 0, np.arange(SPAN)[None, :]
     for _ in range(epochs):
@@ -230,14 +237,14 @@ def fit(texts: list[str], langs: list[str], epochs: int = 3, batch: int = 1024,
     return Crf(labels, params["w"], np.clip(params["t"], -6, 6), params["s"])
 
 
-def train(docs: DataFrame, max_rows: int = 300, max_chars: int = 200_000, max_langs: int = 64, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Crf:
+def train(docs: DataFrame, max_rows: int = 300, max_chars: int = 200_000, budget: int = 40_000_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Crf:
     """Fits on the rows given; the caller leaves out what must stay unseen."""
-    known = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(F.col("id").isNotNull() & F.col("lang").isNotNull() & (F.length("text") <= max_chars))
-    langs = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).select("lang")
-    known = known.join(F.broadcast(langs), "lang")
+    known = docs.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    langs = max(1, known.agg(F.count_distinct("lang")).first()[0])
     hashed = known.select("lang", "id", hash60(F.col("id").cast("string")).alias("h"))
-    few = bounded(hashed, "lang", "h", max_rows).select("lang", "id")
-    sample = known.join(F.broadcast(few), ["lang", "id"]).groupBy("id", "lang").agg(F.max("text").alias("text"))
+    few = bounded(hashed, "lang", "h", max_rows).select("lang", "id", "h")
+    sample = known.join(F.broadcast(few), ["lang", "id"]).groupBy("id", "lang", "h").agg(F.max(passages(F.col("text"), F.col("id"), max_chars)).alias("text"))
+    sample = within_budget(sample, "lang", "text", ["h", "id"], budget // langs)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted(row for b in it for row in zip(*(b.column(i).to_pylist() for i in range(3))))
@@ -250,7 +257,7 @@ def train(docs: DataFrame, max_rows: int = 300, max_chars: int = 200_000, max_la
         return fit([], [])
     labels = list(row["labels"])
     k = len(labels)
-    return Crf(labels, np.frombuffer(row["w"], np.float32).reshape(BUCKETS, k), np.frombuffer(row["t"]).reshape(k, k), np.frombuffer(row["s"]))
+    return Crf(labels, np.frombuffer(row["w"], np.float32).reshape(-1, k), np.frombuffer(row["t"]).reshape(k, k), np.frombuffer(row["s"]))
 
 
 def predict(docs: DataFrame, crf: Crf, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

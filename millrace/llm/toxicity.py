@@ -9,8 +9,9 @@ passage, so that length doesn't dilute a score: in training only a toxic documen
 as toxic, chosen anew after each round, and every passage of the others counts as clean. A last logistic
 fit maps a document's largest passage logit to a probability, with the labelled rows' own class shares.
 
-Fitting takes a bounded sample: at most `max_rows` labelled documents a class (the smallest by MD5 of the id), whole texts of
-at most `max_chars` characters (longer ones don't teach), one row an id (of repeats the greatest text).
+Fitting takes a bounded sample: at most `max_rows` labelled documents of the table a class (the smallest by MD5 of the id), one row an id (of
+repeats the greatest text), and of these, in the same order, as many as hold `budget` characters. A text of over `max_chars` characters teaches by
+stretches from all over it (common.passages). So the one task that fits holds 2 x `budget` characters.
 Scoring needs no shuffle: each task scores its rows with the broadcast table, one number a bucket.
 
 Rules: null or wordless text has an average of zero and the score that follows; upper case counts as lower
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.common import batches, bounded, hash60, ragged
+from millrace.llm.common import batches, bounded, hash60, passages, ragged, within_budget
 from millrace.llm.textvec import Words
 
 PASSAGE = 16  #: words
@@ -159,14 +160,16 @@ def remainder(id_col: str, mod: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(mod))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 1000, max_chars: int = 200_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = 1000, max_chars: int = 200_000, budget: int = 20_000_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Fits on the labelled documents; the caller leaves out what must stay unseen."""
     rows = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y"))
     counts = {r["__y"]: r["count"] for r in rows.groupBy("__y").count().collect()}
     share = counts.get(1, 0) / max(1, sum(counts.values()))
-    chosen = bounded(rows.withColumn("__h", hash60(F.col("__id").cast("string"))), "__y", "__h", max_rows).select("__id", "__y")
-    known = docs.select(F.col(id_col).alias("__id"), F.coalesce(text_col, F.lit("")).alias("__t")).where(F.length("__t") <= max_chars)
-    sample = known.join(F.broadcast(chosen), "__id").groupBy("__id", "__y").agg(F.max("__t").alias("__t"))
+    there = rows.join(docs.select(F.col(id_col).alias("__id")).distinct(), "__id", "left_semi")  # labels without a document take no places
+    chosen = bounded(there.withColumn("__h", hash60(F.col("__id").cast("string"))), "__y", "__h", max_rows).select("__id", "__y", "__h")
+    known = docs.select(F.col(id_col).alias("__id"), F.coalesce(text_col, F.lit("")).alias("__t")).join(F.broadcast(chosen), "__id")
+    sample = known.groupBy("__id", "__y", "__h").agg(F.max(passages(F.col("__t"), F.col("__id"), max_chars)).alias("__t"))
+    sample = within_budget(sample, "__y", "__t", ["__h", "__id"], budget)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted(row for b in it for row in zip(*(b.column(i).to_pylist() for i in range(3))))

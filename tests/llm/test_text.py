@@ -104,6 +104,31 @@ def test_mixing_meets_targets_and_nests(spark, sf):
     assert sorted(map(tuple, mixing.mix(rows(spark, docs).repartition(7)).collect()), key=str) == sorted(map(tuple, got), key=str)
 
 
+def test_a_source_without_ids_comes_near_its_target(spark):
+    """Null and repeated ids, equal texts as well: the words taken miss the target by half of the largest row at most."""
+    kinds = {"none": [(None, f"a b c d {i}") for i in range(900)], "alike": [(7, "one two three four")] * 700, "some": [(i, "w " * (1 + i % 9)) for i in range(500)]}
+    docs = [(i, t, s) for s, own in kinds.items() for i, t in own]
+    got = mixing.mix(spark.createDataFrame(docs, "doc_id bigint, text string, source string")).collect()
+    assert len(got) == len(docs)
+    by = {}
+    for r in got:
+        x = by.setdefault(r.source_size, [0, r.target, 0])
+        x[0] += r.taken
+        x[2] = max(x[2], r["size"])
+    assert len(by) == 3 and all(abs(taken - target) <= largest / 2 for taken, target, largest in by.values())
+    again = mixing.mix(spark.createDataFrame(docs[::-1], "doc_id bigint, text string, source string")).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
+
+
+def test_many_sources_with_a_hot_one(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 3)
+    docs = [(i, "w " * (1 + i % 5), "hot" if i % 2 else f"s{i % 40}") for i in range(800)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, source string")
+    joined = sorted(map(str, mixing.mix(df).collect()))
+    monkeypatch.undo()
+    assert sorted(map(str, mixing.mix(df).collect())) == joined
+
+
 def test_mixing_of_nothing(spark):
     assert mixing.mix(rows(spark, [])).collect() == []
     assert mixing.mixed(rows(spark, [])).collect() == []
@@ -178,7 +203,7 @@ def test_samples_are_bounded_whatever_repeats(spark):
     docs = rows(spark, [(7, f"the bad text {i}", "s", "en") for i in range(3000)] + [(i, "good words", "s", "de") for i in range(100, 140)])
     labels = docs.select("doc_id", (F.col("doc_id") == 7).cast("int").alias("toxic"))
     assert len(toxicity.score(docs, toxicity.train(docs, labels)).collect()) == 3040
-    assert langid.train(docs, max_langs=1).labels == ["en"] and langid.train(docs, max_chars=11).labels == ["de"]
+    assert langid.train(docs, max_chars=11, budget=1).labels == ["de", "en"]  # long texts teach by stretches, each language by one row at least
 
 
 def test_language_query_matches_a_plain_version(spark, sf):
@@ -251,3 +276,37 @@ def test_language_edge_rows(spark):
             assert (r.lang_pred == "und") == (not crf.labels or not any(c.isalpha() for c in text))
             assert 0 <= r.score <= 1
     assert langid.predict(docs.limit(0), crf).collect() == []
+
+
+def test_long_texts_teach_by_stretches_from_all_over(spark):
+    text = "".join(f"{i:05d} " for i in range(20_000))  # 120,000 characters
+    df = spark.createDataFrame([(1, text), (2, "short"), (3, ""), (4, None)], "id int, t string")
+    got = {r.id: r.p for r in df.select("id", common.passages(F.col("t"), F.col("id"), 12_000).alias("p")).collect()}
+    assert got[2] == "short" and got[3] == "" and got[4] is None
+    parts = [got[1][k : k + 2_000] for k in range(0, len(got[1]), 2_001)]
+    at = [text.index(p) for p in parts]
+    assert len(parts) == 6 and all(len(p) == 2_000 and a % 2_000 == 0 for p, a in zip(parts, at)) and at == sorted(at) and at[-1] > 20_000
+    rows = spark.createDataFrame([("a", i, "x" * 10) for i in range(9)] + [("b", 0, "y" * 99), ("b", 1, "y")], "l string, o int, t string")
+    kept = common.within_budget(rows, "l", "t", ["o"], 45).groupBy("l").count().collect()
+    assert {r.l: r["count"] for r in kept} == {"a": 4, "b": 1}
+
+
+def test_all_languages_are_learned(spark):
+    """Ninety languages, more than the feature table is made for: none is left out, and each is found again."""
+    rng = np.random.default_rng(1)
+    docs = []
+    for k in range(90):
+        own = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(12)]
+        docs += [(len(docs) + j, " ".join(rng.choice(own, 60)), f"l{k:02d}") for j in range(4)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string, lang string")
+    crf = langid.train(df.where("doc_id % 4 < 3"))
+    assert len(crf.labels) == 90 and crf.weights.size <= 64 * langid.BUCKETS
+    got = {r.doc_id: r.lang_pred for r in langid.predict(df.where("doc_id % 4 = 3"), crf).collect()}
+    assert sum(got[i] == lang for i, _, lang in docs if i % 4 == 3) >= 85
+
+
+def test_labels_without_a_document_take_no_places(spark):
+    docs = spark.createDataFrame([(i, "vile foul bad word" if i % 2 else "kind calm good day") for i in range(60)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(10_000 + i, 1) for i in range(5000)], "doc_id bigint, toxic int")
+    scores = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.train(docs, labels, max_rows=25)).collect()}
+    assert min(s for i, s in scores.items() if i % 2) > max(s for i, s in scores.items() if not i % 2)
