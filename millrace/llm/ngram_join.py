@@ -3,7 +3,7 @@
 A text's set holds its distinct shingles (runs of `words` words, lower-cased A-Z). Sets of equal content are joined once. A set of n shingles may
 lack at most e = n - ceil(s n) of them in any set of similarity s. In one order of all shingles, similar sets therefore share at least l of
 their first e + l ones: their extended prefixes. Shingles are 64-bit hashes, so this first order needs no counting, and only the extended
-prefixes (about a fifth of the shingles) move. They are counted: the second order is by number of sets, rare first.
+prefixes (about a quarter of the shingles) move. They are counted: the second order is by number of sets, rare first.
 
 Of a set's extended prefix at most e shingles lack in a similar one's, so the rarest of them are taken until more than e would
 have to lack before nothing is shared, and these are indexed: shingles of up to RARE sets one by one; more frequent ones as combinations
@@ -39,7 +39,7 @@ from millrace.llm.common import attach, keep, mix64, partitions, ragged, small
 from millrace.llm.simhash import _with_lowest, components, folded, shingle_set, spanning, verified
 
 #: Shingles of at most so many sets are indexed one by one, others in combinations.
-RARE = 32
+RARE = 4
 #: Shingles of a combination.
 TOGETHER = 2
 #: Index entries that a task folds at once.
@@ -53,7 +53,7 @@ def lacking(n: np.ndarray, similarity: Fraction) -> np.ndarray:
 
 def extension(n: np.ndarray) -> np.ndarray:
     """By how many elements the prefix of a set of size n is longer than its lacking ones."""
-    return 2 + n // 25
+    return 2 + n // 12
 
 
 def size_classes(most: int, similarity: Fraction) -> np.ndarray:
@@ -214,7 +214,7 @@ def jaccard_components(docs: DataFrame, similarity: float = 0.8, words: int = 5,
     """One row per row: id_col, n_shingles, component_id: the smallest id that links of at least the similarity reach."""
     share = Fraction(str(similarity))
     rows = docs.select(F.monotonically_increasing_id().alias("node"), F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = keep(rows.withColumn("f", _prefix(F.col("text"), words, share)), "ngram-rows")
+    rows = keep(rows.withColumn("f", _prefix(F.col("text"), words, share)), "ngram-rows", "zstd")
     own = rows.select("node", "id", "f.s0", "f.s1", "f.size")
     distinct = keep(own.where("size > 0").groupBy("s0", "s1", "size").agg(F.min("node").alias("node"), F.min("id").alias("low"), F.count("*").alias("copies")), "ngram-distinct")
     copies = keep(own.where("size > 0").select("node").join(distinct.select("node"), "node", "left_anti"), "ngram-copies")
