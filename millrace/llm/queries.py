@@ -187,15 +187,17 @@ ORACLE_SQL = {
         FROM s GROUP BY conv_id""",
     "op11_ngram_join": rf"""
         WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, '{UP}', '{LOW}'), '[^\x20\x09-\x0D]+'), []) AS ws FROM documents),
-        e AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
-                    ELSE list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))) END AS g FROM d),
-        s AS (SELECT doc_id, unnest(g) AS t, len(g) AS n FROM e),
-        p AS (SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS c
-              FROM s a JOIN s b ON a.t = b.t AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) GROUP BY ALL),
-        l AS (SELECT x, y FROM p WHERE 100 * c >= 85 * (n + m - c)),
+        w AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS j, len(ws) AS n FROM d),
+        i AS (SELECT doc_id, string_agg(w, ' ') OVER (PARTITION BY doc_id ORDER BY j ROWS BETWEEN CURRENT ROW AND 3 FOLLOWING) AS t FROM w QUALIFY j = 0 OR j <= n - 4),
+        s AS (SELECT DISTINCT doc_id, hash(t) AS t FROM i),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        f AS (SELECT t FROM s GROUP BY 1 HAVING count(*) > 1),
+        r AS (SELECT doc_id, t, n FROM s SEMI JOIN f USING (t) JOIN n USING (doc_id)),
+        l AS (SELECT a.doc_id AS x, b.doc_id AS y FROM r a JOIN r b ON a.t = b.t AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+              GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
         u AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
-        r AS (SELECT doc_id AS x, doc_id AS y FROM e UNION SELECT r.x, u.y FROM r JOIN u ON r.y = u.x)
-        SELECT e.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, min(r.y) AS component_id FROM e JOIN r ON r.x = e.doc_id GROUP BY ALL""",
+        z AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT z.x, u.y FROM z JOIN u ON z.y = u.x)
+        SELECT z.x AS doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(z.y) AS component_id FROM z LEFT JOIN n ON n.doc_id = z.x GROUP BY 1""",
     "op13_importance": rf"""
         WITH k AS (SELECT list_transform(range(256), lambda b: list_reduce([b] || range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
         w AS (SELECT 'd' AS side, doc_id, unnest(regexp_extract_all(translate(text, '{UP}', '{LOW}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM documents
