@@ -276,7 +276,7 @@ def pad_columns(df: DataFrame, batch: str, order: str, axes: dict[str, list[str]
     vectors = [c for c, kind in kinds.items() if isinstance(kind, ArrayType)]
     inner = [F.max(F.coalesce(F.array_max(F.transform(c, F.size)), F.lit(0))).alias(f"__in_{c}") for c in vectors]
     widths = [F.max(n if axis not in (caps or {}) else F.least(n, F.lit(caps[axis]))).alias(f"{axis}_width") for axis, n in sized.items()]
-    rows = F.array_sort(F.collect_list(F.struct(order, *kinds, *scalars)))
+    rows = F.array_sort(F.collect_list(F.struct(order, *kinds, *[c for c in scalars if c != order])))
     by = df.groupBy(batch).agg(rows.alias("__r"), *widths, *inner)
 
     def places(axis: str) -> Callable[[Column], Column]:

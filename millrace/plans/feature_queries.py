@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from millrace.functions import numeric as N
 from millrace.functions import text as T
 from millrace.operators import aggregates as A
 from millrace.operators import align, picks, signal
+from millrace.operators import joins as J
+from millrace.operators import windows as W
 from millrace.operators.order import indexed
 from millrace.plans import jobs
 from millrace.plans.adapters import frames, scratch, table
 from millrace.plans.more_queries import SIG, SILENT, YIN, signals, vectors
-from millrace.plans.queries import SENT, hashed_sql, negatives_sql, query, r6, rounded
+from millrace.plans.queries import LONG, SENT, hashed_sql, negatives_sql, query, r6, rounded
+from millrace.sources import manifests as S
 
 #: Items i(id, voice, x, durations, ids, energy): vectors as series of 64 frames and eight tokens.
 ITEMS = "i AS (SELECT vec_id AS id, label AS voice, [CAST(v AS DOUBLE) for v in embedding] AS x, [4, 4, 8, 8, 12, 12, 8, 8] AS durations, [k + vec_id % 10 for k in range(1, 9)] AS ids FROM embeddings)"
@@ -266,3 +270,120 @@ def c10_build_cache(spark, d):
     total = F.aggregate("durations", F.lit(0), lambda a, x: a + x)
     measured = {"energy": rounded(F.col("token_energy"), 6), "latent": rounded(F.flatten("token_latent"), 6)}
     return kept.select("utt_id", "teacher_index", "voice_index", "aligned", F.when(F.col("aligned"), total + 4).otherwise(total).alias("frames"), F.round("weight", 6).alias("weight"), *[F.when(F.col("aligned"), x).alias(c) for c, x in measured.items()])
+
+
+# --- whole results of scans, joins, reports and inverse functions --------------------------------------
+
+
+@query("SELECT source, length(t) AS n, md5(t) AS print FROM (SELECT source, string_agg(coalesce(text, ''), '|' ORDER BY doc_id) AS t FROM documents GROUP BY 1)")
+def s6_read_books(spark, d):
+    """A file a source, with header and footer around its texts, read back whole."""
+    folder = scratch(spark)
+    each = table(spark, d, "documents").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", F.coalesce("text", F.lit("")).alias("t")))).alias("r"))
+    body = F.array_join(F.transform("r", lambda x: x["t"]), "|")
+    book = F.concat(F.lit(f"Title\n{S.BOOK_START} EBOOK ***\n"), body, F.lit(f"\n{S.BOOK_END} EBOOK ***\nLicence"))
+    each.select("source", book.alias("value")).repartition("source").write.partitionBy("source").text(folder)
+    out = S.read_books(spark, f"{folder}/*/*.txt").withColumn("text", F.trim(F.regexp_replace("text", r"^ EBOOK \*\*\*\n|\n$", "")))
+    return out.select(F.regexp_extract("path", "source=([^/]*)/", 1).alias("source"), F.length("text").cast("bigint").alias("n"), F.md5("text").alias("print"))
+
+
+@query(
+    f"""WITH {SIG}, p AS (SELECT user_id, x, unnest(range(len(x) * 2)) AS i FROM g WHERE len(x) >= 2), q AS (SELECT user_id, x, i, i * ((len(x) - 1)::DOUBLE / (len(x) * 2 - 1)) AS pos FROM p),
+    f AS (SELECT *, least(floor(pos)::INT, len(x) - 1) AS low FROM q) SELECT user_id, list(round(x[low + 1] + (x[least(low + 2, len(x))] - x[low + 1]) * (pos - low), 6) + 0 ORDER BY i) AS y FROM f GROUP BY 1"""
+)
+def s8_resampled(spark, d):
+    """Each user's signal at twice its rate, every sample."""
+    rows = signals(spark, d).where(F.size("wav") >= 2)
+    return rows.select("user_id", rounded(N.resample(F.col("wav"), 1, 2), 6).alias("y"))
+
+
+@query(
+    f"""WITH {LONG}, x AS (SELECT utt AS k, dim AS frame, value FROM f WHERE utt % 2 = 0), y AS (SELECT utt - 1 AS k, dim AS frame, value FROM f WHERE utt % 2 = 1),
+    r AS (SELECT x.k, s.shift, corr(x.value, y.value) AS rho FROM x, (SELECT unnest(range(-3, 4)) AS shift) s JOIN y ON y.k = x.k AND y.frame = x.frame + s.shift GROUP BY ALL HAVING count(*) >= 20)
+    SELECT k, arg_max(shift, rho) AS shift, round(max(rho), 6) AS rho FROM r GROUP BY k"""
+)
+def j15_shift_and_rho(spark, d):
+    f = frames(spark, d).select("utt", F.col("dim").alias("frame"), "value")
+    a = f.where("utt % 2 = 0").withColumnRenamed("utt", "k")
+    b = f.where("utt % 2 = 1").select((F.col("utt") - 1).alias("k"), "frame", "value")
+    return r6(J.best_shift(a, b, "k", 3).select("k", F.col("shift").cast("bigint").alias("shift"), "rho"), "rho")
+
+
+@query("WITH l AS (SELECT user_id, row_number() OVER w AS frame, value AS x, lag(value) OVER w AS y FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) SELECT user_id, frame, x, y FROM l WHERE y IS NOT NULL")
+def j17_zipped_values(spark, d):
+    """Each user's series against itself one place later, value by value."""
+    at = F.unix_micros(F.col("ts").cast("timestamp")).alias("at")
+    placed = indexed(table(spark, d, "events").select("user_id", at, "event_id", "value"), "at", "frame", ("user_id",), ("event_id",))
+    rows = placed.select("user_id", (F.col("frame") + 1).alias("frame"), "value")
+    return J.zip_min(rows, rows.withColumn("frame", F.col("frame") + 1), ["user_id", "frame"]).select("user_id", "frame", "x", "y")
+
+
+@query(
+    f"""WITH {SIG}, l AS (SELECT 20 * log10(greatest(list_max([abs(v) for v in x]), 1e-8)) AS p, 20 * log10(greatest(sqrt(list_sum([v * v for v in x]) / len(x)), 1e-8)) AS r, len(x) / 200.0::DOUBLE AS d FROM g),
+    m AS (SELECT quantile_cont(r, 0.5) AS r, quantile_cont(p, 0.5) AS p, quantile_cont(p - r, 0.5) AS c, quantile_cont(d, 0.5) AS d, count(*) AS n FROM l)
+    SELECT round(r, 6) AS rms_db, round(p, 6) AS peak_db, round(c, 6) AS crest_db, round(d, 6) AS duration_s, n, list_filter([CASE WHEN r < -40 THEN 'quiet' END, CASE WHEN p > -0.1 THEN 'clipped' END, CASE WHEN d < 0.5 THEN 'short' END], lambda x: x IS NOT NULL) AS failed FROM m"""
+)
+def a31_levels_and_checks(spark, d):
+    rows = signals(spark, d).select(N.levels(F.col("wav")).alias("l"), (F.size("wav") / 200.0).alias("duration_s")).select("l.*", "duration_s")
+    return r6(A.level_summary(rows).select("rms_db", "peak_db", "crest_db", "duration_s", "n", "failed"), "rms_db", "peak_db", "crest_db", "duration_s")
+
+
+@query(
+    """SELECT event_type AS metric, round(avg(value) FILTER (user_id % 3 <> 0 AND value >= 50), 6) AS mean, count(*) FILTER (user_id % 3 <> 0 AND value >= 50) AS n, list_sort(list(DISTINCT 'absent for ' || user_id % 6) FILTER (user_id % 3 = 0)) AS reasons FROM events GROUP BY 1"""
+)
+def a34_means_and_reasons(spark, d):
+    """Values under 50 aren't numbers; users divisible by 3 have no measure, for two reasons."""
+    ev = table(spark, d, "events")
+    value = F.when(F.col("value") >= 50, F.col("value")).otherwise(F.lit(float("nan")))
+    rows = ev.select(F.col("event_type").alias("metric"), value.alias("value"), (F.col("user_id") % 3 != 0).alias("available"), F.concat(F.lit("absent for "), (F.col("user_id") % 6).cast("string")).alias("reason"))
+    return r6(A.metric_report(rows).select("metric", "mean", "n", "reasons"), "mean")
+
+
+@query("SELECT o_orderkey, round(CASE WHEN f <= 60 THEN 0 ELSE 60 END * pow(2, least(greatest(log2(greatest(f, 60) / 60.0::DOUBLE) / log2(500 / 60.0::DOUBLE), 0), 1) * log2(500 / 60.0::DOUBLE)), 5) AS f0 FROM (SELECT o_orderkey, o_totalprice % 700 + 1 AS f FROM orders)")
+def f39_pitch_round_trip(spark, d):
+    """Pitch to the scale from 0 to 1 and back: itself within the range, the upper bound above, unvoiced (0) below."""
+    f = table(spark, d, "orders").select("o_orderkey", (F.col("o_totalprice") % 700 + 1).alias("f"))
+    return f.select("o_orderkey", F.round(N.normalized_to_f0(N.f0_to_normalized(F.col("f"))), 5).alias("f0"))
+
+
+@query("SELECT vec_id AS utt, dim, round(CAST(embedding[dim + 1] AS DOUBLE), 5) AS value FROM embeddings, range(64) r(dim)")
+def f46_round_trip(spark, d):
+    """Normalised by the population's statistics and back."""
+    f = frames(spark, d)
+    rows = f.join(A.population_norm(f).drop("n"), "dim")
+    back = N.denormalize(N.normalize(F.col("value"), F.col("mean"), F.col("var")), F.col("mean"), F.col("var"))
+    return rows.select("utt", "dim", F.round(back, 5).alias("value"))
+
+
+@query(
+    """WITH w AS (SELECT a.vec_id, [CAST(x AS DOUBLE) for x in a.embedding] AS a, [CAST(x AS DOUBLE) for x in b.embedding] AS b FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)
+    SELECT vec_id, round(greatest(list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b))) - 0.05, 0), 6) AS hinge FROM w"""
+)
+def f54_cosine_hinge(spark, d):
+    v = vectors(spark, d)
+    both = v.select("vec_id", "x").join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("y")), "vec_id")
+    return r6(both.select("vec_id", N.cosine_hinge(F.col("x"), F.col("y"), 0.05).alias("hinge")), "hinge")
+
+
+@query(
+    """WITH k AS (SELECT list_transform(range(256), lambda b: list_reduce([b] || range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+    s AS (SELECT CAST(doc_id AS VARCHAR) AS i, doc_id || '|' || source || '|' || lang AS r FROM documents), h AS (SELECT hex(encode(i)) AS i, hex(encode(r)) AS r FROM s),
+    c AS (SELECT xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(range(1, len(i), 2), lambda j: CAST('0x' || substr(i, j, 2) AS BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) % 64 AS s,
+        xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(range(1, len(r), 2), lambda j: CAST('0x' || substr(r, j, 2) AS BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS h FROM h, k),
+    g AS (SELECT s, CAST(sum(h) AS BIGINT) AS h, count(*) AS n FROM c GROUP BY 1) SELECT sha256('[' || string_agg('{"s":' || s || ',"h":' || h || ',"n":' || n || '}', ',' ORDER BY s) || ']') AS fingerprint, CAST(sum(n) AS BIGINT) AS items FROM g"""
+)
+def f23_cache_fingerprint(spark, d):
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("teacher"), F.col("lang").alias("voice"))
+    return align.cache_provenance(rows).select("fingerprint", "items")
+
+
+@query(
+    """WITH t AS (SELECT conv_id, turn, [length(text), turn, 7][:1 + turn % 3] AS ids FROM conversations), m AS (SELECT *, max(len(ids)) OVER (PARTITION BY conv_id) AS w FROM t)
+    SELECT conv_id, turn, list_concat(ids, [0 for k in range(w - len(ids))]) AS ids, [CASE WHEN k < len(ids) THEN 1 ELSE 0 END for k in range(w)] AS mask, CAST(w AS INT) AS width FROM m"""
+)
+def w19_pad_columns(spark, d):
+    """Conversations as batches of turns of one to three numbers, with their masks."""
+    rows = table(spark, d, "conversations").select("conv_id", "turn", F.slice(F.array(F.length("text").cast("bigint"), F.col("turn").cast("bigint"), F.lit(7).cast("bigint")), F.lit(1), (F.col("turn") % 3 + 1).cast("int")).alias("ids"))
+    out = W.pad_columns(rows, "conv_id", "turn", {"text": ["ids"]}, scalars=("turn",))
+    each = out.select("conv_id", "text_width", F.explode(F.arrays_zip("turn", "ids", "text_mask")).alias("r"))
+    return each.select("conv_id", "r.turn", "r.ids", F.col("r.text_mask").alias("mask"), F.col("text_width").alias("width"))
