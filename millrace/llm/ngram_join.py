@@ -7,7 +7,7 @@ prefixes (about a quarter of the shingles) move. They are counted: the second or
 
 Of a set's extended prefix at most e shingles lack in a similar one's, so the rarest of them are taken until more than e would
 have to lack before nothing is shared, and these are indexed: shingles of up to RARE sets one by one; more frequent ones as combinations
-of k = 2, formed only within groups into which they are dealt by hash. A group of p shingles holds out against p - k of them lacking; the extension l makes
+of k (2 here), formed only within groups into which they are dealt by hash. A group of p shingles holds out against p - k of them lacking; the extension l makes
 up for that. The number of groups grows with the size of the sets, so that a long text's combinations grow with its length and not with
 the square of it. Similar sets must then agree on that number: sizes are cut into classes such that similar sets are of one class or of
 neighbouring ones, and a set is indexed for its own class and the next. A set whose extended prefix holds more than e shingles of no other set
@@ -51,9 +51,9 @@ def lacking(n: np.ndarray, similarity: Fraction) -> np.ndarray:
     return n - -(-n * similarity.numerator // similarity.denominator)
 
 
-def extension(n: np.ndarray) -> np.ndarray:
-    """By how many elements the prefix of a set of size n is longer than its lacking ones."""
-    return 2 + n // 12
+def extension(n: np.ndarray, together: int = TOGETHER) -> np.ndarray:
+    """By how many elements the prefix of a set of size n is longer than its lacking ones: enough for one group of combinations at least."""
+    return together + n // 12
 
 
 def size_classes(most: int, similarity: Fraction) -> np.ndarray:
@@ -67,7 +67,7 @@ def size_classes(most: int, similarity: Fraction) -> np.ndarray:
 def groups_of(bounds: np.ndarray, slot: int, together: int) -> int:
     """Groups of frequent shingles for a class: what the shortest set indexed in it can make up for."""
     shortest = bounds[max(0, slot - 1)]
-    return max(1, int(extension(shortest) - 1) // max(1, together - 1))
+    return max(1, int(extension(shortest, together) - 1) // max(1, together - 1))
 
 
 def least_size(similarity: Fraction) -> int:
@@ -78,7 +78,7 @@ def least_size(similarity: Fraction) -> int:
     return n
 
 
-def _prefix(text: Column, words: int, similarity: Fraction) -> Column:
+def _prefix(text: Column, words: int, similarity: Fraction, together: int = TOGETHER) -> Column:
     """struct(s0, s1: digest of the set, size, prefix: the extended prefix, empty where no other set can link)."""
     least = least_size(similarity)
 
@@ -90,7 +90,7 @@ def _prefix(text: Column, words: int, similarity: Fraction) -> Column:
             n = np.int64(len(own))
             numbers[i, :2] = np.frombuffer(xxhash.xxh3_128_digest(own.tobytes()), np.int64)
             numbers[i, 2] = n
-            prefixes.append(own[: int(lacking(n, similarity) + extension(n))].view(np.int64) if n >= least else own[:0].view(np.int64))
+            prefixes.append(own[: int(lacking(n, similarity) + extension(n, together))].view(np.int64) if n >= least else own[:0].view(np.int64))
         offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
         flat = np.concatenate([np.zeros(0, np.int64), *prefixes])
         cols = [pa.array(numbers[:, k].copy()) for k in range(3)] + [pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
@@ -210,17 +210,20 @@ def candidate_links(sets: DataFrame, similarity: float, rare: int = RARE, togeth
     return folded(local.where("entry IS NULL").select("a", "b").unionByName(met.select("a", "b")))
 
 
-def jaccard_components(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row: id_col, n_shingles, component_id: the smallest id that links of at least the similarity reach."""
+def jaccard_components(docs: DataFrame, similarity: float = 0.8, words: int = 5, rare: int = RARE, together: int = TOGETHER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row: id_col, n_shingles, component_id: the smallest id that links of at least the similarity reach.
+
+    rare, together: shingles of up to `rare` sets are indexed one by one, others in combinations of `together`.
+    """
     share = Fraction(str(similarity))
     rows = docs.select(F.monotonically_increasing_id().alias("node"), F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = keep(rows.withColumn("f", _prefix(F.col("text"), words, share)), "ngram-rows", "zstd")
+    rows = keep(rows.withColumn("f", _prefix(F.col("text"), words, share, together)), "ngram-rows", "zstd")
     own = rows.select("node", "id", "f.s0", "f.s1", "f.size")
     distinct = keep(own.where("size > 0").groupBy("s0", "s1", "size").agg(F.min("node").alias("node"), F.min("id").alias("low"), F.count("*").alias("copies")), "ngram-distinct")
     copies = keep(own.where("size > 0").select("node").join(distinct.select("node"), "node", "left_anti"), "ngram-copies")
     first = rows.join(small(copies, copies.count()), "node", "left_anti")  # one row of each set
     sets = first.where(F.size("f.prefix") > 0).select("node", "f.size", "f.prefix")
-    clouds = components(candidate_links(sets, similarity)).withColumnRenamed("label", "cloud")
+    clouds = components(candidate_links(sets, similarity, rare, together)).withColumnRenamed("label", "cloud")
     members = keep(clouds.join(distinct.select("node", "size"), "node"), "ngram-clouds")
     label = components(verified(members, rows.select("node", "text"), words, similarity))
     named = distinct.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
