@@ -183,6 +183,39 @@ class Crf:
         return [self.labels[b] if w > 0 else "und" for b, w in zip(best.tolist(), words.tolist())], score
 
 
+def gradients(params: dict[str, np.ndarray], chains: Chains, first: np.ndarray, length: np.ndarray, gold: np.ndarray) -> tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]:
+    """Of the negative log-likelihood a word of pieces that start at `first` and have one label each (gold): (that by the weights of the features
+    seen, these features, those by transitions t and starts s)."""
+    k = len(params["s"])
+    words = chains.word[padded(first, length, SPAN)]
+    own, which = np.unique(words, return_inverse=True)
+    which = which.reshape(words.shape)
+    n_feats = np.diff(np.append(chains.first, len(chains.owner)))[own]
+    feats = chains.feature[ragged(chains.first[own], n_feats)]
+    starts = np.cumsum(n_feats) - n_feats
+    e = np.add.reduceat(params["w"][feats], starts, axis=0) * chains.share[own][:, None]
+    score = np.exp(e - e.max(axis=1, keepdims=True))[which]
+    trans, begin = np.exp(params["t"]), np.exp(params["s"])
+    inside = np.arange(SPAN)[None, :] < length[:, None]
+    alpha, beta = forward_backward(score, length, trans, np.broadcast_to(begin, (len(first), k)), np.ones((len(first), k)))
+    p = alpha * beta
+    p /= p.sum(axis=2, keepdims=True)
+    dp = p - np.eye(k)[gold][:, None, :]
+    dp[~inside] = 0
+    scale = 1 / inside.sum()
+    de = np.stack([np.bincount(which.ravel(), weights=dp[:, :, j].ravel(), minlength=len(own)) for j in range(k)], axis=1) * scale
+    pair = alpha[:, :-1, :, None] * trans * (score * beta)[:, 1:, None, :]
+    pair /= pair.sum(axis=(2, 3), keepdims=True)
+    both = inside[:, 1:]
+    dt = pair[both].sum(axis=0)
+    np.subtract.at(dt, (gold, gold), both.sum(axis=1))
+    grads = {"t": dt * scale, "s": dp[:, 0].sum(axis=0) * scale}
+    spread = np.repeat(de * chains.share[own][:, None], n_feats, axis=0)
+    seen, back = np.unique(feats, return_inverse=True)
+    gw = np.stack([np.bincount(back, weights=spread[:, j], minlength=len(seen)) for j in range(k)], axis=1)
+    return gw, seen, grads
+
+
 def fit(texts: list[str], langs: list[str], epochs: int = 3, batch: int = 1024, rate: float = 0.05, seed: int = 3) -> Crf:
     labels = sorted(set(langs))
     k = len(labels)
@@ -194,40 +227,14 @@ def fit(texts: list[str], langs: list[str], epochs: int = 3, batch: int = 1024,
     first, length = pieces(chains.doc, SPAN)
     params = {"w": np.zeros((buckets, k)), "t": np.zeros((k, k)), "s": np.zeros(k)}
     moment = {n: (np.zeros_like(v), np.zeros_like(v)) for n, v in params.items()}
-    rng, step, rows = np.random.default_rng(seed), 0, np.arange(SPAN)[None, :]
+    rng, step = np.random.default_rng(seed), 0
     for _ in range(epochs):
         order = rng.permutation(len(first))
         for at in np.array_split(order, max(1, len(order) // batch)):
             if not len(at):
                 continue
             step += 1
-            words = chains.word[padded(first[at], length[at], SPAN)]
-            own, which = np.unique(words, return_inverse=True)
-            which = which.reshape(words.shape)
-            n_feats = np.diff(np.append(chains.first, len(chains.owner)))[own]
-            feats = chains.feature[ragged(chains.first[own], n_feats)]
-            starts = np.cumsum(n_feats) - n_feats
-            e = np.add.reduceat(params["w"][feats], starts, axis=0) * chains.share[own][:, None]
-            score = np.exp(e - e.max(axis=1, keepdims=True))[which]
-            trans, begin = np.exp(params["t"]), np.exp(params["s"])
-            inside = rows < length[at][:, None]
-            alpha, beta = forward_backward(score, length[at], trans, np.broadcast_to(begin, (len(at), k)), np.ones((len(at), k)))
-            p = alpha * beta
-            p /= p.sum(axis=2, keepdims=True)
-            gold = gold_of[chains.doc[first[at]]]
-            dp = p - np.eye(k)[gold][:, None, :]
-            dp[~inside] = 0
-            scale = 1 / inside.sum()
-            de = np.stack([np.bincount(which.ravel(), weights=dp[:, :, j].ravel(), minlength=len(own)) for j in range(k)], axis=1) * scale
-            pair = alpha[:, :-1, :, None] * trans * (score * beta)[:, 1:, None, :]
-            pair /= pair.sum(axis=(2, 3), keepdims=True)
-            both = inside[:, 1:]
-            dt = pair[both].sum(axis=0)
-            np.subtract.at(dt, (gold, gold), both.sum(axis=1))
-            grads = {"t": dt * scale, "s": dp[:, 0].sum(axis=0) * scale}
-            spread = np.repeat(de * chains.share[own][:, None], n_feats, axis=0)
-            seen, back = np.unique(feats, return_inverse=True)
-            gw = np.stack([np.bincount(back, weights=spread[:, j], minlength=len(seen)) for j in range(k)], axis=1)
+            gw, seen, grads = gradients(params, chains, first[at], length[at], gold_of[chains.doc[first[at]]])
             for name, g, rows_ in (("w", gw, seen), ("t", grads["t"], slice(None)), ("s", grads["s"], slice(None))):
                 m, v = moment[name]
                 m[rows_] = 0.9 * m[rows_] + 0.1 * g

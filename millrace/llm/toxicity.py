@@ -87,6 +87,26 @@ class Bag:
         return np.add.reduceat(of_words[self.word], self.first, axis=0) / self.total[:, None]
 
 
+def forward(params: dict[str, np.ndarray], bag: Bag, unit: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(each passage's average, its two logits)."""
+    mean = bag.passages(np.add.reduceat(params["e"][unit], starts, axis=0))
+    return mean, SCALE * mean @ params["w"].T + params["b"]
+
+
+def gradients(params: dict[str, np.ndarray], bag: Bag, unit: np.ndarray, unit_word: np.ndarray, starts: np.ndarray, toxic: np.ndarray, balance: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the cross-entropy of all passages, weighed by balance, by embeddings e and the softmax's w and b."""
+    mean, z = forward(params, bag, unit, starts)
+    p = np.exp(z - z.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    dz = (p - np.stack([~toxic, toxic], axis=1)) * balance[:, None]
+    of_token = np.repeat(SCALE * dz @ params["w"] / bag.total[:, None], bag.size, axis=0)
+    grads = {"w": SCALE * dz.T @ mean, "b": dz.sum(axis=0), "e": np.empty_like(params["e"])}
+    for d in range(params["e"].shape[1]):
+        of_word = np.bincount(bag.word, weights=of_token[:, d], minlength=bag.distinct)
+        grads["e"][:, d] = np.bincount(unit, weights=of_word[unit_word], minlength=len(params["e"]))
+    return grads
+
+
 def fit(texts: list[str], labels: np.ndarray, share: float, rounds: int = 4, steps: int = 16, seed: int = 7) -> Model:
     """share: the part of label 1 among all labelled rows."""
     if not (labels == 1).any() or not (labels == 0).any():
@@ -104,31 +124,17 @@ def fit(texts: list[str], labels: np.ndarray, share: float, rounds: int = 4, ste
     weight = np.ones(len(bag.first))
     step = 0
 
-    def forward() -> tuple[np.ndarray, np.ndarray]:
-        mean = bag.passages(np.add.reduceat(params["e"][unit], starts, axis=0))
-        z = SCALE * mean @ params["w"].T + params["b"]
-        return mean, z
-
     for round_ in range(rounds):
         for _ in range(steps):
             step += 1
-            mean, z = forward()
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
             balance = np.where(toxic, 0.5 / max(weight[toxic].sum(), 1), 0.5 / max(weight[~toxic].sum(), 1)) * weight
-            dz = (p - np.stack([~toxic, toxic], axis=1)) * balance[:, None]
-            dmean = SCALE * dz @ params["w"] / bag.total[:, None]
-            of_token = np.repeat(dmean, bag.size, axis=0)
-            grads = {"w": SCALE * dz.T @ mean, "b": dz.sum(axis=0), "e": np.empty_like(params["e"])}
-            for d in range(DIM):
-                of_word = np.bincount(bag.word, weights=of_token[:, d], minlength=bag.distinct)
-                grads["e"][:, d] = np.bincount(unit, weights=of_word[unit_word], minlength=len(used))
+            grads = gradients(params, bag, unit, unit_word, starts, toxic, balance)
             for k, g in grads.items():
                 m, v = moments[k]
                 m += 0.1 * (g - m)
                 v += 0.01 * (g * g - v)
                 params[k] -= 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + EPS)
-        _, z = forward()
+        _, z = forward(params, bag, unit, starts)
         logit = z[:, 1] - z[:, 0]
         best = np.full(len(texts), -np.inf)
         np.maximum.at(best, bag.passage_doc, logit)

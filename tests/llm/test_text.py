@@ -310,3 +310,61 @@ def test_labels_without_a_document_take_no_places(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(10_000 + i, 1) for i in range(5000)], "doc_id bigint, toxic int")
     scores = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.train(docs, labels, max_rows=25)).collect()}
     assert min(s for i, s in scores.items() if i % 2) > max(s for i, s in scores.items() if not i % 2)
+
+
+def differences(loss, x, at, step=1e-5):
+    out = []
+    for i in at:
+        kept = x[i]
+        x[i] = kept + step
+        high = loss()
+        x[i] = kept - step
+        out.append((high - loss()) / (2 * step))
+        x[i] = kept
+    return np.array(out)
+
+
+def test_toxicity_gradients_by_finite_differences():
+    rng = np.random.default_rng(4)
+    bag = toxicity.Bag(["some bad words here " * 9, "all good", "good good bad", "x"])
+    order = np.argsort(bag.unit_word, kind="stable")
+    used, unit = np.unique(bag.unit[order], return_inverse=True)
+    unit_word, starts = bag.unit_word[order], np.cumsum(bag.count) - bag.count
+    params = {"e": rng.normal(0, 0.3, (len(used), 4)), "w": rng.normal(0, 0.5, (2, 4)), "b": rng.normal(0, 0.1, 2)}
+    toxic = rng.random(len(bag.first)) < 0.5
+    balance = rng.random(len(bag.first))
+
+    def loss():
+        _, z = toxicity.forward(params, bag, unit, starts)
+        return float(((np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(z)), toxic.astype(int)]) * balance).sum())
+
+    grads = toxicity.gradients(params, bag, unit, unit_word, starts, toxic, balance)
+    for name, at in (("e", [(i, d) for i in range(0, len(used), 7) for d in range(4)]), ("w", list(np.ndindex(2, 4))), ("b", [(0,), (1,)])):
+        assert differences(loss, params[name], at) == pytest.approx(np.array([grads[name][i] for i in at]), abs=1e-6)
+
+
+def test_language_gradients_by_finite_differences():
+    rng = np.random.default_rng(5)
+    chains = langid.Chains(["one two three four", "uno dos tres " * 14, "solo"])
+    first, length = langid.pieces(chains.doc, langid.SPAN)
+    params = {"w": rng.normal(0, 0.5, (langid.BUCKETS, 3)), "t": rng.normal(0, 0.5, (3, 3)), "s": rng.normal(0, 0.5, 3)}
+    gold = np.array([0, 1, 1, 2][: len(first)])
+
+    def loss():
+        """Of each piece, by itself: the log of all paths' scores less that of the path of its label."""
+        e, total = chains.emissions(params["w"]), 0.0
+        for at, n, y in zip(first, length, gold):
+            score = e[chains.word[at : at + n]]
+            a = params["s"] + score[0]
+            for t in range(1, n):
+                a = np.log(np.exp(a[:, None] + params["t"]).sum(axis=0)) + score[t]
+            path = params["s"][y] + score[:, y].sum() + (n - 1) * params["t"][y, y]
+            total += np.log(np.exp(a).sum()) - path
+        return float(total / length.sum())
+
+    gw, seen, grads = langid.gradients(params, chains, first, length, gold)
+    at = [(i, j) for i in range(0, len(seen), 11) for j in range(3)]
+    assert differences(loss, params["w"], [(seen[i], j) for i, j in at]) == pytest.approx(np.array([gw[i] for i in at]), abs=1e-7)
+    for name in ("t", "s"):
+        at = list(np.ndindex(params[name].shape))
+        assert differences(loss, params[name], at) == pytest.approx(np.array([grads[name][i] for i in at]), abs=1e-7)
