@@ -19,7 +19,9 @@ move a few times each, and no pair that could join two components is left out.
 near_duplicates() links texts by the exact similarity (Jaccard) of their shingle sets; fingerprints only find
 candidates. It takes a wider fingerprint: each hash is mixed anew for each of `width` words of 64 bits. Texts of
 similarity s differ in about arccos(2s / (1 + s)) / pi of the bits, which sets the candidates' radius (three
-standard errors of that share are added). Its shard keys are overlapping runs of 12 bits of the fingerprint.
+standard errors of that share are added). Its shard keys are overlapping runs of bits of the fingerprint: of 12 bits for up to eighty million texts, of one bit
+more for each doubling, with as many more words as keep a pair's chance of a run in common (settings_for). Few bits say little of a few shingles, so
+sets of up to SHORT shingles are candidates by their shingles themselves as well (ngram_join), which misses none.
 The components of candidate links are clouds; all pairs of a cloud are then compared by their sets (of 64-bit
 hashes) but for those that other links join already, in tiles as above, and only pairs of the similarity asked for link. So no
 link is false; a pair is missed only if no chain of candidates joins it.
@@ -50,6 +52,10 @@ TILE = 20_000
 PART, SHINGLES = 2_000, 500_000
 #: Edges beyond which components() joins hubs apart.
 MANY = 1_000_000
+#: Sets of up to so many shingles are found by them.
+SHORT = 32
+#: Texts up to which fingerprints have 6 words and runs of 12 bits, which start every 10 bits.
+TEXTS, STEP = 80_000_000, 10
 
 
 def shingle_hashes(text: str | None, words: int, seed: int = 42) -> np.ndarray:
@@ -364,19 +370,37 @@ def near_classes(docs: DataFrame, radius: int = 4, words: int = 4, id_col: str =
     return out.select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("w0")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def _prints(text: Column, words: int, width: int) -> Column:
-    """w0, w1, ...: the wide fingerprint; s0, s1: a digest of the shingle set; size: its shingles."""
-    names = [f"w{i}" for i in range(width)] + ["s0", "s1", "size"]
+def settings_for(n: int, similarity: float) -> tuple[int, int]:
+    """(words of a fingerprint, bits of a run) for n texts: shards hold some 20,000 of them whatever n, and a pair at the similarity
+    shares a run as surely as with 6 words and 12 bits."""
+    bits = 12 + max(0, math.ceil(math.log2(max(1, n) / TEXTS)))
+    same = 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
+    runs = lambda b: len(range(0, 65 - b, STEP))  # noqa: E731  of a word
+    return math.ceil(6 * runs(12) / runs(bits) * same ** (12 - bits)), bits
 
-    @F.arrow_udf("struct<" + ", ".join(f"{n}: bigint" for n in names) + ">")
+
+def _prints(text: Column, words: int, width: int, similarity: float) -> Column:
+    """w0, w1, ...: the wide fingerprint; s0, s1: a digest of the shingle set; size: its shingles; short: of a set of up to SHORT
+    shingles those that its partners share some of (see ngram_join)."""
+    from millrace.llm.ngram_join import extension, lacking, least_size
+
+    names, share = [f"w{i}" for i in range(width)] + ["s0", "s1", "size"], Fraction(str(similarity))
+    least = least_size(share)
+
+    @F.arrow_udf("struct<" + ", ".join(f"{n}: bigint" for n in names) + ", short: array<bigint>>")
     def run(texts: pa.Array) -> pa.Array:
-        out = np.zeros((len(texts), len(names)), np.int64)
+        out, short = np.zeros((len(texts), len(names)), np.int64), []
         for i, one in enumerate(texts):
             own = shingle_set(one.as_py(), words)
             out[i, :width] = wide_fingerprint(own, width).view(np.int64)
             out[i, width : width + 2] = np.frombuffer(xxhash.xxh3_128_digest(own.tobytes()), np.int64)
-            out[i, -1] = len(own)
-        return pa.StructArray.from_arrays([pa.array(out[:, k].copy()) for k in range(len(names))], names=names)
+            n = np.int64(len(own))
+            out[i, -1] = n
+            short.append(own[: int(lacking(n, share) + extension(n))].view(np.int64) if least <= n <= SHORT else own[:0].view(np.int64))
+        cols = [pa.array(out[:, k].copy()) for k in range(len(names))]
+        offsets = np.concatenate([[0], np.cumsum([len(x) for x in short])]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *short])))
+        return pa.StructArray.from_arrays([*cols, lists], names=[*names, "short"])
 
     return run(text)
 
@@ -453,48 +477,53 @@ def verified(members: DataFrame, texts: DataFrame, words: int, similarity: float
     return all_links(rows, ["cloud"], link, PART, not hot.isEmpty())
 
 
-def _near(rows: DataFrame, similarity: float, words: int, width: int, key_bits: int, step: int) -> DataFrame:
+def _near(rows: DataFrame, similarity: float, words: int, width: int, key_bits: int) -> DataFrame:
     """rows: node (tells rows apart), id, text, f (prints), order, written. One row per distinct shingle set: s0, s1,
     copies, low (its least id), best (its row of the least order and node), label (equal for linked sets)."""
+    from millrace.llm.ngram_join import candidate_links
+
     share, bits = math.acos(2 * similarity / (1 + similarity)) / math.pi, 64 * width
     radius = math.floor(bits * share + 3 * math.sqrt(bits * share * (1 - share)))
-    keys = [(w, _signed(list(range(b, b + key_bits)))) for w in range(width) for b in range(0, 65 - key_bits, step)]
+    keys = [(w, _signed(list(range(b, b + key_bits)))) for w in range(width) for b in range(0, 65 - key_bits, STEP)]
     names = [f"w{i}" for i in range(width)]
-    distinct = rows.groupBy(*[F.col(f"f.{c}").alias(c) for c in [*names, "s0", "s1", "size"]]).agg(F.min("node").alias("node"), F.min("id").alias("low"), F.min(F.struct("order", "node")).alias("best"), F.count("*").alias("copies"))
+    distinct = rows.groupBy(*[F.col(f"f.{c}").alias(c) for c in [*names, "s0", "s1", "size"]]).agg(
+        F.min("node").alias("node"), F.min("id").alias("low"), F.min(F.struct("order", "node")).alias("best"), F.count("*").alias("copies"), F.first("f.short").alias("prefix")
+    )
     distinct = keep(distinct, "simhash-distinct")
-    clouds = components(links(distinct.select("node", *names), radius, keys)).withColumnRenamed("label", "cloud")
+    short = candidate_links(distinct.where(F.size("prefix") > 0).select("node", "size", "prefix"), similarity)
+    found = links(distinct.select("node", *names), radius, keys).unionByName(short)
+    clouds = components(found).withColumnRenamed("label", "cloud")
     members = keep(clouds.join(distinct.select("node", "size"), "node"), "simhash-clouds")
     label = components(verified(members, rows.select("node", "text"), words, similarity))
     return distinct.join(label, "node", "left").select("s0", "s1", "copies", "low", "best", F.coalesce("label", "node").alias("label"))
 
 
-def _numbered(docs: DataFrame, words: int, width: int, id_col: str, text_col: str) -> DataFrame:
+def _numbered(docs: DataFrame, words: int, width: int, similarity: float, id_col: str, text_col: str) -> DataFrame:
     """node, id, f, order and row (all columns), written, and text of the row. order: by id, null last, then by content."""
     rows = docs.select(F.struct("*").alias("row"), F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text"))
     order = F.struct(F.col("id").isNull().alias("none"), "id", F.xxhash64(F.to_json("row")).alias("hash"))
-    rows = keep(rows.select(F.monotonically_increasing_id().alias("node"), "id", order.alias("order"), "row", _prints(F.col("text"), words, width).alias("f")), "simhash")
+    rows = keep(rows.select(F.monotonically_increasing_id().alias("node"), "id", order.alias("order"), "row", _prints(F.col("text"), words, width, similarity).alias("f")), "simhash")
     return rows.withColumn("text", F.col("row").getField(text_col))
 
 
-def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, width: int = 6, key_bits: int = 12, step: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row: id_col, component_id of texts whose shingle sets have at least the similarity given.
-
-    Shards hold n / 2^key_bits texts on average: past eighty million texts, take more key bits and a larger width.
-    """
-    rows = _numbered(docs.select(id_col, text_col), words, width, id_col, text_col)
-    named = keep(_near(rows, similarity, words, width, key_bits, step), "simhash-near")
+def near_duplicates(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row: id_col, component_id of texts whose shingle sets have at least the similarity given."""
+    width, key_bits = settings_for(docs.count(), similarity)
+    rows = _numbered(docs.select(id_col, text_col), words, width, similarity, id_col, text_col)
+    named = keep(_near(rows, similarity, words, width, key_bits), "simhash-near")
     lowest = named.groupBy("label").agg(F.min("low").alias("component_id"))
     key = lambda a, b: F.concat_ws(",", a, b)
     classes = keep(_with_lowest(named, lowest).select(key("s0", "s1").alias("fp"), "copies", "component_id"), "simhash-classes")
     return attach(rows.select("id", key("f.s0", "f.s1").alias("fp")), classes, "fp", "copies").select(F.col("id").alias(id_col), "component_id")
 
 
-def deduplicated(docs: DataFrame, similarity: float = 0.8, words: int = 5, width: int = 6, key_bits: int = 12, step: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicated(docs: DataFrame, similarity: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each component of near_duplicates(), that of the smallest id (null last); columns unchanged.
 
     Rows are decided on as such, so null and repeated ids are as good as others.
     """
-    rows = _numbered(docs, words, width, id_col, text_col)
-    best = _near(rows, similarity, words, width, key_bits, step).groupBy("label").agg(F.min("best").alias("best"))
+    width, key_bits = settings_for(docs.count(), similarity)
+    rows = _numbered(docs, words, width, similarity, id_col, text_col)
+    best = _near(rows, similarity, words, width, key_bits).groupBy("label").agg(F.min("best").alias("best"))
     lost = keep(rows.select("node").join(best.select("best.node"), "node", "left_anti"), "simhash-lost")
     return rows.select("node", "row").join(small(lost, lost.count()), "node", "left_anti").select("row.*")

@@ -264,3 +264,25 @@ def test_substrings_with_hot_minimisers_and_many_chunks(spark, monkeypatch):
 
 def test_substrings_of_nothing(spark):
     assert substring_dedup.dedup_substrings(rows(spark, [])).collect() == []
+
+
+def test_very_short_near_copies_all_link(spark):
+    """Four shingles against five of them, 0.8 exactly: a fingerprint of so few would miss one in five."""
+    docs = []
+    for k in range(150):
+        own = [f"a{k}x{j}" for j in range(9)]
+        docs += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(own[:-1]))]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(rows(spark, docs)).collect()}
+    assert got == {i: i - i % 2 for i in range(300)}
+
+
+def test_settings_follow_the_number_of_texts():
+    """Shards stay as large, and a pair at 0.8 is as likely to share a run."""
+    import math
+
+    same = 1 - math.acos(1.6 / 1.8) / math.pi
+    assert simhash.settings_for(0, 0.8) == simhash.settings_for(80_000_000, 0.8) == (6, 12)
+    for n in (10**8, 10**9, 10**10, 10**11, 10**12):
+        width, bits = simhash.settings_for(n, 0.8)
+        runs = width * len(range(0, 65 - bits, simhash.STEP))
+        assert n / 2**bits <= 80_000_000 / 2**12 and 1 - (1 - same**bits) ** runs >= 0.99 and width <= 100
