@@ -136,6 +136,6 @@ def test_registered():
     import __spark_entry__ as e
 
     names = e.queries()
-    assert "pipeline" in names and sum(n.startswith("op") for n in names) == 10
+    assert "pipeline" in names and sum(n.startswith("op") for n in names) == 13
     assert corpus_pipeline.ORACLE_SQL is None and 4 <= len(corpus_pipeline.STAGES) <= 5
     assert toxicity.PASSAGE == 16
