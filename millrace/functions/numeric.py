@@ -312,7 +312,3 @@ def fallback_durations(energy: Column, n_tokens: Column) -> Column:
 
     rising = F.aggregate(let(sums, edges), F.array(F.lit(0)), step)
     return let(rising, lambda r: F.zip_with(F.slice(r, 2, n_tokens), F.slice(r, 1, n_tokens), lambda b, a: b - a))
-
-
-def crop(values: Column, start: Column, size: Column) -> Column:
-    return F.slice(values, start + 1, size)

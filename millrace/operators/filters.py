@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
-from millrace.operators.order import running
+from millrace.operators.order import few, running
 
 
 @dataclass(frozen=True)
@@ -128,8 +128,8 @@ def registry(spark: SparkSession) -> DataFrame:
 
 def licence_gate(df: DataFrame, registry: DataFrame, name: str = "teacher", acknowledged: bool = False, strict: bool = False) -> DataFrame:
     """Rows whose teacher is in the registry (name, restricted) and free, or acknowledged. strict: others are an error.
-    A registry is a configured list of a few hundred names at most, and is broadcast as such."""
-    known = F.broadcast(registry.select(F.col("name").alias("__name"), "restricted"))
+    A registry is a configured list of names; it is broadcast if it is counted to be small."""
+    known = few(registry.select(F.col("name").alias("__name"), "restricted"))
     joined = df.join(known, F.col(name) == F.col("__name"), "left")
     bad = F.col("__name").isNull() | (F.coalesce("restricted", F.lit(True)) & F.lit(not acknowledged))
     if strict:

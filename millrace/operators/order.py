@@ -19,6 +19,11 @@ ROWS = 250_000  #: of a block
 FEW = 100_000  #: rows that may be broadcast
 
 
+def few(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint if its counted rows are within the bound."""
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
 def blocks(df: DataFrame, group: tuple[str, ...], by: tuple[str, ...], rows: int = ROWS) -> tuple[DataFrame, int]:
     """(df written, with __block, and how many blocks there are). Rows of one group and block follow one another in order of `by`."""
     df = written(df, "order-rows")

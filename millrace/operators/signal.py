@@ -56,12 +56,6 @@ def spectral_frames(frames: np.ndarray, sr: int) -> np.ndarray:
     return np.stack([hz[(share >= q).argmax(axis=1)] for q in (0.95, 0.99)], axis=1)
 
 
-def spectral_stats(wav: np.ndarray, sr: int, n_fft: int = 1024) -> tuple[float, float]:
-    """(95 % rolloff, 99 % bandwidth) in Hz, averaged over Hann frames centred on every quarter frame."""
-    found = np.concatenate([spectral_frames(f, sr) for _, f in _framed([wav], n_fft, n_fft // 4, "reflect")])
-    return tuple(map(float, found.mean(axis=0)))
-
-
 def mel_filters(sr: int, n_fft: int, bands: int = 80, low: float = 0.0, high: float | None = None) -> np.ndarray:
     """Triangles on the HTK mel scale, each divided by its width in Hz (times two)."""
     mel = lambda f: 2595 * np.log10(1 + np.asarray(f) / 700)
@@ -76,12 +70,6 @@ def mel_frames(frames: np.ndarray, filters: np.ndarray, floor: float = 1e-5) ->
     return np.log(np.maximum(np.abs(np.fft.rfft(frames * _hann(frames.shape[1]), axis=1)) @ filters.T, floor))
 
 
-def log_mel(wav: np.ndarray, sr: int = 24000, n_fft: int = 1024, hop: int = 256, bands: int = 80) -> np.ndarray:
-    """frames x bands."""
-    filters = mel_filters(sr, n_fft, bands)
-    return np.concatenate([mel_frames(f, filters) for _, f in _framed([wav], n_fft, hop, "reflect")])
-
-
 def _correlated(x: np.ndarray) -> np.ndarray:
     """Each row's product sums with itself at lags from 0."""
     n = 1 << (2 * x.shape[1] - 1).bit_length()
@@ -132,13 +120,6 @@ def autocorrelation_frames(frames: np.ndarray, sr: int, low: float, high: float,
 METHODS = {"yin": (yin_frames, 0.5), "autocorr": (autocorrelation_frames, 0.3)}
 
 
-def estimate_f0(wav: np.ndarray, sr: int = 24000, hop: int = 256, frame: int = 1024, low: float = 60.0, high: float = 500.0, threshold: float | None = None, method: str = "yin") -> np.ndarray:
-    """Pitch in Hz around every hop-th sample, 0 where unvoiced."""
-    pitch, usual = METHODS[method]
-    parts = [pitch(f, sr, low, high, usual if threshold is None else threshold) for _, f in _framed([wav], frame, hop, "constant")]
-    return np.concatenate(parts) if parts else np.zeros(0)
-
-
 def _mapped(df: DataFrame, wav: str, fields: list[T.StructField], feature: Callable[[list[np.ndarray]], list[pa.Array]]) -> DataFrame:
     """df with further columns: feature() of a batch's signals that are not null, an array for each field."""
     at = df.columns.index(wav)

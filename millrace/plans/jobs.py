@@ -12,7 +12,7 @@ from millrace.operators import filters as P
 from millrace.operators import joins as J
 from millrace.operators import align, sets
 from millrace.operators import windows as W
-from millrace.operators.order import hash_key, indexed
+from millrace.operators.order import few, hash_key, indexed
 from millrace.operators.signal import with_spectral
 from millrace.sources.manifests import corpus_meta, write_shards
 
@@ -71,7 +71,7 @@ def schedule_corpus(prompts: DataFrame, mix: list[tuple[str, float]], voices: li
     rows = rows.withColumn("teacher", W.schedule(F.col("idx"), mix)).withColumn("voice", W.assign_voice(F.col("idx"), voices)).withColumn("tags", T.scan_tags(F.col("text")))
     allowed = P.licence_gate(rows, registry, strict=True)
     licences = registry.select(F.col("name").alias("teacher"), F.col("licence").alias("license"))
-    return allowed.join(F.broadcast(licences), "teacher").withColumn("utt_id", F.format_string("%08d", "idx"))
+    return allowed.join(few(licences), "teacher").withColumn("utt_id", F.format_string("%08d", "idx"))
 
 
 def scheduled_corpus(prompts: DataFrame, mix: list[tuple[str, float]], voices: list[str], registry: DataFrame, seconds: Column, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
