@@ -365,7 +365,6 @@ def t4_sessions(spark, d):
 @query(f"WITH RECURSIVE {HOURS}, {segments_sql('w', 'g', '3.0', '15.0', '6.0')} SELECT key, round(s, 4) AS start, round(e, 4) AS end, last - first + 1 AS words FROM g")
 def t4_capped_segments(spark, d):
     """W7's segments from a stream in three batches and an end marker a key. An hour counts as a second, so the watermark's hour is a second, too."""
-    streams.rocksdb(spark)
     ev, folder = slices(spark, d)
     words = ev.select(F.col("user_id").alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 / 3600).alias("start"), F.col("event_type").alias("word"), "slice")
     words = words.select("key", F.timestamp_micros((F.col("start") * 1e6).cast("bigint")).alias("ts"), "start", (F.col("start") + 0.05).alias("end"), "word", "slice")
@@ -375,7 +374,8 @@ def t4_capped_segments(spark, d):
     for k in range(4):
         every.where(F.col("slice") == k).drop("slice").write.mode("append").parquet(f"{folder}/in")
         stream = spark.readStream.schema("key bigint, ts timestamp, start double, end double, word string").parquet(f"{folder}/in")
-        ended(spark, streams.capped_segments(stream, late="5 seconds", gap_s=6.0, hold_s=1e9), folder, "segments")
+        with streams.rocksdb(spark):
+            ended(spark, streams.capped_segments(stream, late="5 seconds", gap_s=6.0, hold_s=1e9), folder, "segments")
     return spark.read.parquet(f"{folder}/segments").select("key", F.round("start", 4).alias("start"), F.round("end", 4).alias("end"), F.col("n").alias("words"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import time
 from collections.abc import Callable, Iterator
 
@@ -178,7 +179,7 @@ def capped_segments(stream: DataFrame, key: str = "key", ts: str = "ts", late: s
     A word is folded once the watermark has passed it, so words may come out of order within `late`. A segment is given out when the
     next one that isn't short has closed, or when a key has been silent for max_s and hold_s (a short segment after such a
     silence stays by itself), or when a row without a word says that the key has ended. start and end are seconds since 1970, as ts.
-    The session's state store must be RocksDB's (rocksdb() sets it).
+    The session's state store must be RocksDB's when the stream starts (see rocksdb()).
     """
     kind = stream.schema[key].dataType.simpleString()
     words = stream.withWatermark(ts, late).select(F.col(key).alias("key"), ts, F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), "word")
@@ -186,9 +187,15 @@ def capped_segments(stream: DataFrame, key: str = "key", ts: str = "ts", late: s
     return words.groupBy("key").transformWithStateInPandas(_Segments(min_s, max_s, gap_s, hold_s), schema, "Append", "EventTime")
 
 
-def rocksdb(spark: SparkSession) -> None:
-    """The state store that transformWithState needs, for streams started from now on."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+@contextlib.contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """The state store that transformWithState needs, for streams started within; the session's own one is set again afterwards."""
+    name, before = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def validate_stream(stream: DataFrame, holdout: DataFrame, id_col: str, text: str, ts: str = "ts", late: str = "1 hour") -> DataFrame:

@@ -273,7 +273,6 @@ def test_stft_loss_of_equal_and_short_signals(spark):
 
 def test_capped_segments_close_in_silence(spark, tmp_path):
     """Words out of order within the watermark; a key that falls silent is given out by its timer."""
-    streams.rocksdb(spark)
     schema = "key string, ts timestamp, start double, end double, word string"
     batches = [[("a", 5.0), ("a", 1.0), ("b", 2.0)], [("a", 3.0), ("a", 9.0)], [("z", 500.0)], [("z", 900.0)]]
     found = []
@@ -282,7 +281,8 @@ def test_capped_segments_close_in_silence(spark, tmp_path):
         frame(spark, rows, "key string, start double, end double, word string").select("key", F.timestamp_seconds("start").alias("ts"), "start", "end", "word").write.mode("append").parquet(f"{tmp_path}/in")
         stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
         out = streams.capped_segments(stream, late="6 seconds", min_s=3, max_s=15, gap_s=1.5, hold_s=30)
-        streams.append_manifest(out, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+        with streams.rocksdb(spark):
+            streams.append_manifest(out, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
         found.append({(r.key, r.start, r.end, r.text) for r in spark.read.parquet(f"{tmp_path}/out").collect()})
     assert found[1] == set()
     assert found[-1] >= {("a", 1.0, 10.0, "a1 a3 a5 a9"), ("b", 2.0, 3.0, "b2")}
