@@ -252,7 +252,7 @@ def c13_shared_targets(spark, d):
     """WITH i AS (SELECT doc_id, source, lang, row_number() OVER (ORDER BY doc_id) - 1 AS n, length(text) AS c FROM documents),
     t AS (SELECT source, row_number() OVER (ORDER BY min(doc_id), source) - 1 AS k FROM documents GROUP BY 1), v AS (SELECT lang, row_number() OVER (ORDER BY min(doc_id), lang) - 1 AS k FROM documents GROUP BY 1),
     x AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS turn, count(*) OVER () AS m, [CAST(e AS DOUBLE) for e in embedding] AS x FROM embeddings)
-    SELECT doc_id AS utt_id, t.k AS teacher_index, v.k AS voice_index, doc_id % 3 = 0 AS aligned, 64 AS frames, round(CASE WHEN source = 'src0' THEN 0.5 ELSE 1 END, 6) AS weight,
+    SELECT doc_id AS utt_id, t.k AS teacher_index, v.k AS voice_index, doc_id % 3 = 0 AS aligned, 64 AS frames, round(CASE WHEN source = 'src0' THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END, 6) AS weight,
       CASE WHEN doc_id % 3 = 0 THEN [round(list_sum([abs(e) for e in x[k * 6 + 1:k * 6 + 6]]) / 6, 6) + 0 for k in range(10)] END AS energy, CASE WHEN doc_id % 3 = 0 THEN [round((x[k * 2 + 1] + x[k * 2 + 2]) / 2, 6) + 0 for k in range(30)] END AS latent
     FROM i JOIN t USING (source) JOIN v USING (lang) JOIN x ON turn = doc_id % m"""
 )
