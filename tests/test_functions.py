@@ -31,6 +31,16 @@ def test_prose(spark, text, want):
     assert bool(one(spark, text, T.is_prose_like(X))) is want
 
 
+@pytest.mark.parametrize(("text", "want"), [("she read the whole of book vi.", False), ("she read the whole of book vi!?", False), ("she read the whole of book six.", True)])
+def test_prose_ends_in_a_numeral_with_marks(spark, text, want):
+    assert one(spark, text, T.is_prose_like(X)) is want
+
+
+@pytest.mark.parametrize(("text", "want"), [("Part, she said, of the old house is gone.", False), ("Parts, she said, of the old house are gone.", True)])
+def test_prompt_begins_with_a_heading_and_marks(spark, text, want):
+    assert one(spark, text, T.is_usable_prompt(X)) is want
+
+
 def test_normalize(spark):
     assert one(spark, "Hello — “World” 42 & x9 dr. Who’s <b>!", T.normalize_text(X)) == "hello - world four two and x9 doctor who's <b> !"
     assert one(spark, "The best. Mr. X", T.normalize_text(X)) == "the best. mister x"
