@@ -31,6 +31,19 @@ def test_one_key_value_of_all_rows_is_spread(spark):
     assert sorted(r.at for r in order.indexed(nulls, "k", "at", ("g",), rows=7).collect()) == sorted([*range(30)] * 2)
 
 
+@pytest.mark.parametrize("few", [0, 1000])
+def test_overlap_of_common_texts(spark, monkeypatch, few):
+    monkeypatch.setattr(J, "FEW", few)
+    calls, distinct = [], J.join_classes
+    monkeypatch.setattr(J, "join_classes", lambda *a: calls.append(1) or distinct(*a))
+    own = frame(spark, [(" A",)] * 300 + [("b",), (None,)], "text string")
+    held = frame(spark, [(i, "a") for i in range(200)] + [(200, "B "), (201, "c"), (202, None)], "id int, text string")
+    out = J.holdout_overlap(own, held)
+    assert sorted(r.id for r in out.collect()) == list(range(201)) and out.columns == ["id", "text"]
+    assert bool(calls) == (few == 0)
+    assert few == 0 or "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("rows", [5, 1000])
 def test_neighbours_cross_blocks(spark, rows):
     data = [(i % 2, i, f"v{i}" if i % 7 else None) for i in range(80)] + [(9, 1, "alone")]
