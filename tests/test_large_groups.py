@@ -31,6 +31,19 @@ def test_one_key_value_of_all_rows_is_spread(spark):
     assert sorted(r.at for r in order.indexed(nulls, "k", "at", ("g",), rows=7).collect()) == sorted([*range(30)] * 2)
 
 
+def test_wide_rows_stay_out_of_the_order(spark, monkeypatch):
+    monkeypatch.setattr(order, "LARGE", 0)
+    monkeypatch.setattr(order, "WIDE", 0)
+    seen, blocks = [], order.blocks
+    monkeypatch.setattr(order, "blocks", lambda df, *rest: seen.append(df.columns) or blocks(df, *rest))
+    df = frame(spark, [(i * 7 % 50, f"text {i}") for i in range(50)] + [(None, "none")], "k int, text string")
+    got = {(r.k, r.text, r.idx) for r in order.indexed(df, "k", rows=8).collect()}
+    assert got == {(i * 7 % 50, f"text {i}", i * 7 % 50 + 1) for i in range(50)} | {(None, "none", 0)}
+    near = {r.text: r.n for r in order.neighbour(df.where("k IS NOT NULL"), "k", "n", (), ("k",), rows=8).collect()}
+    assert near == {f"text {i}": (i * 7 % 50 - 1 if i else None) for i in range(50)}
+    assert seen and not any("text" in columns for columns in seen)
+
+
 @pytest.mark.parametrize("few", [0, 1000])
 def test_overlap_of_common_texts(spark, monkeypatch, few):
     monkeypatch.setattr(J, "FEW", few)
