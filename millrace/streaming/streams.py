@@ -258,15 +258,29 @@ def position(spark: SparkSession, folder: str) -> int:
     return spark.read.schema("position bigint").parquet(f"{folder}/position").agg(F.max("position")).first()[0] if exists(spark, f"{folder}/position") else 0
 
 
+def _drop_from(spark: SparkSession, folder: str, start: int) -> None:
+    """Deletes the folder's subfolders first=n (or batch=n) of n >= start."""
+    if exists(spark, folder):
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        for status in files.listStatus(path):
+            name, _, n = status.getPath().getName().partition("=")
+            if name in ("first", "batch") and n.isdigit() and int(n) >= start:
+                files.delete(status.getPath(), True)
+
+
 def run_batches(batches: DataFrame, folder: str, stop: int | None = None) -> int:
     """T6: writes the batches from the saved position on, up to `stop`, to folder/batches, then saves the position, which it returns.
 
-    Batches are partitions that are overwritten, so a run that failed before its position was saved leaves nothing twice.
+    A run writes a folder named by its first batch, in files of many batches each, in order of batch; what lies there from that position on, of a run
+    that failed before it saved its own, is deleted first, so nothing is there twice.
     """
     spark = batches.sparkSession
-    rows = resume(batches, position(spark, folder))
+    start = position(spark, folder)
+    rows = resume(batches, start)
     rows = rows if stop is None else rows.where(F.col("batch") < stop)
-    rows.repartition("batch").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{folder}/batches")
+    _drop_from(spark, f"{folder}/batches", start)
+    rows.repartition("batch").sortWithinPartitions("batch").write.mode("overwrite").parquet(f"{folder}/batches/first={start}")
     done = stop if stop is not None else (batches.agg(F.max("batch")).first()[0] or 0) + 1
     save_position(spark, folder, done)
     return done

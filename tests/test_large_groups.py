@@ -336,3 +336,14 @@ def test_batches_resume_from_the_saved_position(spark, tmp_path):
     assert streams.run_batches(rows, str(tmp_path)) == 5 and streams.run_batches(rows, str(tmp_path)) == 5
     got = spark.read.parquet(f"{tmp_path}/batches")
     assert got.count() == 50 and got.select("id").distinct().count() == 50
+
+
+def test_files_do_not_grow_with_the_batches(spark, tmp_path):
+    rows = spark.range(600).select("id", F.floor(F.col("id") / 2).alias("batch"))
+    folder = str(tmp_path)
+    assert streams.run_batches(rows, folder, stop=100) == 100
+    rows.where("batch BETWEEN 100 AND 120").write.parquet(f"{folder}/batches/first=100")  # a run that failed before it saved its position
+    assert streams.run_batches(rows, folder) == 300
+    assert len(list(tmp_path.glob("batches/*/*.parquet"))) <= 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    got = {(r.id, r.batch) for r in spark.read.schema("id bigint, batch bigint").parquet(f"{folder}/batches").collect()}
+    assert got == {(i, i // 2) for i in range(600)} and spark.read.parquet(f"{folder}/batches").count() == 600
