@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import numeric as N
 from millrace.functions import text as T
+from millrace.operators import align
 
 
 def one(spark, value, column, kind="string"):
@@ -67,6 +68,16 @@ def test_split_tags(spark):
     assert one(spark, None, plain) is None and one(spark, "", tags) == []
 
 
+def test_phoneme_frames_of_a_text(spark):
+    words = ["ˈhəloʊ", "", "ː", "a", "bbb", "ˈhəloʊ", " x", None, "é\u2028ə"]
+    frames = [20, 4, 0, 0, 7, 3, 5, 2, 9]
+    rows = spark.createDataFrame([(0, words, frames), (1, [], []), (2, None, None), (3, words[::-1], frames[::-1])], "i int, w array<string>, f array<int>")
+    each = {r.i: r.d for r in rows.select("i", align.phoneme_frames_each(F.col("f"), F.col("w")).alias("d")).collect()}
+    alone = rows.select("i", F.zip_with("w", "f", lambda w, f: F.when(w.isNotNull(), align.phoneme_frames(f, w))).alias("d"))
+    assert each == {r.i: r.d for r in alone.collect()}
+    assert each[0][7] is None and each[1] == [] and each[2] is None
+
+
 def test_phoneme_ids(spark):
     ids = one(spark, "a ˈəʊ̩", T.char_ids(X, phonemes=True))
     assert 1 not in ids and one(spark, ids, T.from_char_ids(X, phonemes=True), "array<int>") == "a ˈəʊ̩"
