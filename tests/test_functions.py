@@ -68,6 +68,14 @@ def test_split_tags(spark):
     assert one(spark, None, plain) is None and one(spark, "", tags) == []
 
 
+def test_normalize_searches_only_for_what_is_there(spark):
+    for text in ("MR. Dr.x no. 7 St. 9a best. mrs.", "a – b—c & 5% 1+2=3 x_no. é no.\t\n z", " «q»  <calm>  <a  b>MR.", "", "éno. ßst. No.No. dr.st."):
+        whole = T._spoken(F.translate(X, "’“”", "'\"\""), F.lit(" ".join(T.ABBREVIATIONS)), False)  # as if each abbreviation were there
+        assert one(spark, text, T._plain(X, False)) == one(spark, text, whole)
+    plan = spark.range(1).select(T.normalize_text(F.lit("x")))._jdf.queryExecution().toString()
+    assert "(?=m)" in plan and "contains" in plan.lower()
+
+
 def test_phoneme_frames_of_a_text(spark):
     words = ["ˈhəloʊ", "", "ː", "a", "bbb", "ˈhəloʊ", " x", None, "é\u2028ə"]
     frames = [20, 4, 0, 0, 7, 3, 5, 2, 9]
