@@ -76,6 +76,35 @@ def test_normalize_searches_only_for_what_is_there(spark):
     assert "(?=m)" in plan and "contains" in plan.lower()
 
 
+def test_char_ids_by_table(spark):
+    symbols = T.CHARS + T.IPA
+    text = symbols + "\t\n\x0b\f\r\xa0\u2028é😀\x7f\x00"
+    for phonemes in (False, True):
+        known = symbols if phonemes else T.CHARS
+        want = [known.index(c) + 28 if c in known else 1 for c in text if c not in "\t\n\x0b\f\r"]
+        assert one(spark, text, T.char_ids(X, add_special=False, phonemes=phonemes)) == want
+        assert one(spark, text, T.char_ids(X, 5, phonemes=phonemes)) == [2, *want[:4]]
+    assert one(spark, None, T.char_ids(X)) is None and one(spark, "", T.char_ids(X)) == [2, 3]
+    assert "transform" not in spark.range(1).select(T.char_ids(F.lit("x")))._jdf.queryExecution().toString()
+
+
+def test_fallback_durations_by_hand(spark):
+    def plain(energy, tokens):
+        n, upto, at = len(energy), [], 0.0
+        for e in energy:
+            at += e
+            upto.append(at)
+        every, edges = max([1e-8, *upto]), [0]
+        for k in range(1, tokens + 1):
+            e = n if k == tokens else round((sum(u < k / tokens * every for u in upto) + k / tokens * n) / 2)
+            edges.append(min(max(e, edges[-1] + 1), max(n - (tokens - k), edges[-1])))
+        return [b - a for a, b in zip(edges, edges[1:])]
+
+    rows = [([(i * 37 % 11) / 7 for i in range(n)], t) for n in (0, 1, 5, 64) for t in (1, 2, 9, 64)] + [([0.0] * 6, 3), ([3.0, -1.0, 2.0, -4.0, 1.0], 3)]
+    got = spark.createDataFrame([(i, *r) for i, r in enumerate([*rows, (None, 2)])], "i int, e array<double>, t int").select("i", N.fallback_durations(F.col("e"), F.col("t")).alias("d")).collect()
+    assert {r.i: r.d for r in got} == {i: plain(*r) for i, r in enumerate(rows)} | {len(rows): None}
+
+
 def test_phoneme_frames_of_a_text(spark):
     words = ["ˈhəloʊ", "", "ː", "a", "bbb", "ˈhəloʊ", " x", None, "é\u2028ə"]
     frames = [20, 4, 0, 0, 7, 3, 5, 2, 9]
