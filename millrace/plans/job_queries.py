@@ -344,8 +344,7 @@ def t3_ema_norm(spark, d):
     """Three batches: the first one's statistics are copied, the others' mixed in."""
 
     def run(stream, folder):
-        put = lambda df, i: df.withColumn("batch", F.lit(i)).write.mode("append").parquet(f"{folder}/stats")
-        streams.ema_norm(stream).writeStream.foreachBatch(put).outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+        streams.ema_norm_tables(stream, f"{folder}/stats", f"{folder}/state").awaitTermination()
 
     stats = spark.read.parquet(f"{arrivals(spark, d, run)}/stats")
     last = stats.groupBy("user_id").agg(F.max_by("mean", "batch").alias("mean"), F.max_by("var", "batch").alias("var"))

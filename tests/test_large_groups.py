@@ -314,6 +314,16 @@ def test_capped_segments_close_in_silence(spark, tmp_path):
     assert found[-1] >= {("a", 1.0, 10.0, "a1 a3 a5 a9"), ("b", 2.0, 3.0, "b2")}
 
 
+def test_running_norm_in_tables(spark, tmp_path):
+    batches = [[(1, 1.0), (1, 3.0), (2, None), (None, 4.0)], [(1, 10.0), (2, 5.0), (2, float("nan"))], [(2, 7.0)]]
+    for batch in batches:
+        frame(spark, batch, "user_id int, value double").write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema("user_id int, value double").parquet(f"{tmp_path}/in")
+        streams.ema_norm_tables(stream, f"{tmp_path}/out", f"{tmp_path}/state", momentum=0.5).awaitTermination()
+    got = {r.user_id: (r["mean"], r["var"]) for r in spark.read.parquet(f"{tmp_path}/out/batch=2").collect()}
+    assert got == {1: (6.0, 0.5), 2: (6.0, 0.0), None: (4.0, 0.0)}
+
+
 def test_process_until_sees_the_marker(spark, tmp_path):
     spark.range(3).write.parquet(f"{tmp_path}/in")
     seen, calls = [], []
