@@ -373,9 +373,8 @@ def t4_capped_segments(spark, d):
     for k in range(4):
         every.where(F.col("slice") == k).drop("slice").write.mode("append").parquet(f"{folder}/in")
         stream = spark.readStream.schema("key bigint, ts timestamp, start double, end double, word string").parquet(f"{folder}/in")
-        with streams.rocksdb(spark):
-            ended(spark, streams.capped_segments(stream, late="5 seconds", gap_s=6.0, hold_s=1e9), folder, "segments")
-    return spark.read.parquet(f"{folder}/segments").select("key", F.round("start", 4).alias("start"), F.round("end", 4).alias("end"), F.col("n").alias("words"))
+        streams.capped_segments_tables(stream, f"{folder}/segments", f"{folder}/state", late_s=5.0, gap_s=6.0, hold_s=1e9).awaitTermination()
+    return spark.read.parquet(f"{folder}/segments/done").select("key", F.round("start", 4).alias("start"), F.round("end", 4).alias("end"), F.col("n").alias("words"))
 
 
 @query("SELECT event_id, user_id FROM events WHERE event_type <> 'click'")

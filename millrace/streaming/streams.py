@@ -7,11 +7,13 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from millrace.operators import joins as J
+from millrace.operators.store import written
 
 
 def events_stream(spark: SparkSession, path: str, per_trigger: int | None = None) -> DataFrame:
@@ -215,6 +217,103 @@ def capped_segments(stream: DataFrame, key: str = "key", ts: str = "ts", late: s
     return words.groupBy("key").transformWithStateInPandas(_Segments(min_s, max_s, gap_s, hold_s), schema, "Append", "EventTime")
 
 
+#: Kinds of rows of a fold: an end marker, the last closed segment, the open one, a word; a segment that is given out.
+MARKER, LAST, OPEN, WORD, DONE = range(5)
+
+
+def _fold(now: float, min_s: float, max_s: float, gap_s: float, hold_s: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Folds rows sorted by key, kind, start, end and text, as _Segments does: words before `now` (all, if the key has ended) into segments."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, found, schema = ["key", "kind", "start", "end", "n", "text"], [], None
+        key, ended, last, held, waits = None, False, None, None, False
+
+        def close(segment: tuple) -> None:
+            nonlocal last
+            if last is not None and segment[1] - segment[0] < min_s:
+                last = (last[0], segment[1], last[2] + segment[2], f"{last[3]} {segment[3]}")
+                return
+            if last is not None:
+                found.append((key, DONE, *last))
+            last = segment
+
+        def finish() -> None:
+            if ended or (held and not waits and now > held[1] + max_s + hold_s):
+                if held:
+                    close(held)
+                if last:
+                    found.append((key, DONE, *last))
+                return
+            found.extend((key, kind, *segment) for kind, segment in ((LAST, last), (OPEN, held)) if segment)
+
+        def rows() -> pa.RecordBatch:
+            columns = list(zip(*found)) or [()] * len(names)
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], names=names)
+
+        for part in parts:
+            part = part.select(names)
+            first, schema = schema is None, part.schema
+            for k, kind, start, end, n, text in zip(*(c.to_pylist() for c in part.columns)):
+                if first or k != key:
+                    if not first:
+                        finish()
+                    first, key, ended, last, held, waits = False, k, False, None, None, False
+                if kind == MARKER:
+                    ended = True
+                elif kind == LAST:
+                    last = (start, end, n, text)
+                elif kind == OPEN:
+                    held = (start, end, n, text)
+                elif ended or start < now:
+                    if held and ((start - held[1] >= gap_s and held[1] - held[0] >= min_s) or end - held[0] > max_s):
+                        close(held)
+                        held = None
+                    held = (held[0], end, held[2] + 1, f"{held[3]} {text}") if held else (start, end, 1, text)
+                else:
+                    waits = True
+                    found.append((k, WORD, start, end, 1, text))
+            yield rows()
+        if schema is not None:
+            finish()
+            yield rows()
+
+    return run
+
+
+def capped_segments_tables(stream: DataFrame, folder: str, checkpoint: str, key: str = "key", ts: str = "ts", late_s: float = 3600.0, min_s: float = 3.0, max_s: float = 15.0, gap_s: float = 0.3, hold_s: float = 60.0) -> StreamingQuery:
+    """T4 as capped_segments(), with its state in tables: folder/done/batch=n holds the segments (key, start, end, n, text) that batch n gave out.
+
+    A batch's words and what is left of the batches before (waiting words, open and last segments) are dealt out by key, sorted and folded in one pass a
+    task, so no key costs a call of Python or of a state store. Words that the watermark had passed before the batch are dropped. A batch that runs
+    again overwrites what it wrote.
+    """
+    spark, kind = stream.sparkSession, stream.schema[key].dataType.simpleString()
+    schema = f"key {kind}, kind int, start double, end double, n int, text string"
+
+    def step(batch: DataFrame, number: int) -> None:
+        at = F.unix_micros(F.col(ts).cast("timestamp")) / 1e6
+        before = exists(spark, f"{folder}/seen/batch={number - 1}")
+        seen = spark.read.schema("at double").parquet(f"{folder}/seen/batch={number - 1}").first()[0] if before else None
+        past = float("-inf") if seen is None else seen - late_s
+        newest = batch.agg(F.max(at)).first()[0]
+        known = [x for x in (seen, newest) if x is not None]
+        seen = max(known) if known else None
+        now = float("-inf") if seen is None else seen - late_s
+        words = batch.where(at >= F.lit(past)).select(F.col(key).alias("key"), F.when(F.col("word").isNull(), MARKER).otherwise(WORD).alias("kind"), F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"), F.lit(1).alias("n"), F.col("word").alias("text"))
+        if before:
+            words = words.unionByName(spark.read.schema(schema).parquet(f"{folder}/left/batch={number - 1}"))
+        sorted_ = words.repartition("key").sortWithinPartitions("key", "kind", "start", "end", "text")
+        folded = written(sorted_.mapInArrow(_fold(now, min_s, max_s, gap_s, hold_s), schema), "folded")
+        folded.where(F.col("kind") == DONE).drop("kind").write.mode("overwrite").parquet(f"{folder}/done/batch={number}")
+        folded.where(F.col("kind") != DONE).write.mode("overwrite").parquet(f"{folder}/left/batch={number}")
+        spark.range(1).select(F.lit(seen).cast("double").alias("at")).write.mode("overwrite").parquet(f"{folder}/seen/batch={number}")
+        for name in ("left", "seen"):
+            _drop(spark, f"{folder}/{name}/batch={number - 2}")
+
+    return process_new(stream, step, checkpoint)
+
+
 @contextlib.contextmanager
 def rocksdb(spark: SparkSession) -> Iterator[None]:
     """The state store that transformWithState needs, for streams started within; the session's own one is set again afterwards."""

@@ -314,6 +314,21 @@ def test_capped_segments_close_in_silence(spark, tmp_path):
     assert found[-1] >= {("a", 1.0, 10.0, "a1 a3 a5 a9"), ("b", 2.0, 3.0, "b2")}
 
 
+def test_capped_segments_in_tables(spark, tmp_path):
+    """Words out of order within the watermark, late ones, silence and an end marker; no call a key."""
+    batches = [[("a", 5.0, "w"), ("a", 1.0, "w"), ("b", 2.0, "w")], [("a", 3.0, "w"), ("a", 9.0, "w")], [("z", 500.0, "w"), ("a", 2.0, "late")], [("z", 503.0, "w")], [("z", 503.5, None)]]
+    found = []
+    for batch in batches:
+        rows = [(key, at, at + 1, w and f"{key}{at:.0f}") for key, at, w in batch]
+        frame(spark, rows, "key string, start double, end double, word string").select("key", F.timestamp_micros((F.col("start") * 1e6).cast("bigint")).alias("ts"), "start", "end", "word").write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema("key string, ts timestamp, start double, end double, word string").parquet(f"{tmp_path}/in")
+        streams.capped_segments_tables(stream, f"{tmp_path}/out", f"{tmp_path}/state", late_s=6, gap_s=1.5, hold_s=30).awaitTermination()
+        found.append({(r.key, r.start, r.end, r.n, r.text) for r in spark.read.parquet(f"{tmp_path}/out/done").collect()})
+    silent = {("a", 1.0, 10.0, 4, "a1 a3 a5 a9"), ("b", 2.0, 3.0, 1, "b2")}
+    assert found[:4] == [set(), set(), silent, silent]
+    assert found[4] == silent | {("z", 500.0, 504.0, 2, "z500 z503")}
+
+
 def test_running_norm_in_tables(spark, tmp_path):
     batches = [[(1, 1.0), (1, 3.0), (2, None), (None, 4.0)], [(1, 10.0), (2, 5.0), (2, float("nan"))], [(2, 7.0)]]
     for batch in batches:
