@@ -7,7 +7,9 @@ stated as 0.9999 (and grows above it); only sets whose exact Jaccard similarity
 
 Candidates are verified in rounds: in a group of one key, each set that isn't joined with the group's head is compared with it. The head leaves the
 group then, as it has met all others, and groups whose sets are all joined are done, so a group of copies of one text costs as many comparisons as it has sets.
-What is left after ROUNDS rounds, sets of one key that mostly don't link, is compared in full, by tiles: no pair of candidates is left out.
+What is left after ROUNDS rounds are sets with a key in common that mostly don't link: texts around one passage, whose pairs grow with the square of the
+corpus. They get new groups, by shingles of which any two sets that reach the threshold share one (the rarest of a set, by their counts in what is left),
+one more round, and then all comparisons in a group, by tiles. No pair of candidates that can link is left out.
 
 Rules: A-Z is lower-cased; words are runs other than \\x20 and \\x09-\\x0D; a text of fewer words than a shingle is one shingle; a text without words
 (or null) has an empty set, which links with nothing. Rows with a null id take part, but name a component only if it has no other id.
@@ -26,46 +28,103 @@ from millrace.functions.core import let
 from millrace.operators.joins import join_classes
 from millrace.operators.store import written
 
-ROUNDS = 4
+ROUNDS = 2
 TILE = 64  #: sets of a key that are compared in one cell
 
 
-def shingle_set(text: Column, words: int = 5) -> Column:
-    """The distinct shingles' hashes in order."""
-    lower = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    parts = F.filter(F.split(lower, r"[\x20\x09-\x0D]+"), lambda w: w != "")
-    gram = lambda ws: F.transform(F.sequence(F.lit(1), F.greatest(F.size(ws) - (words - 1), F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(ws, i, words), " ")))
-    return let(parts, lambda ws: F.when(F.size(ws) == 0, F.array().cast("array<bigint>")).otherwise(F.array_sort(F.array_distinct(gram(ws)))))
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     return x ^ (x >> np.uint64(29))
 
 
-def signed(hashes: Column, bands: int, rows: int) -> Column:
-    """struct(digest of the set, keys: one a band)."""
-    salts = _mixed(np.arange(1, bands * rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+BLANK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+GOLD = np.uint64(0x9E3779B97F4A7C15)
+BLOCK = 1 << 19  #: bytes of text that are hashed together, so that the arrays stay in the processor's cache
 
-    @F.arrow_udf("struct<digest: binary, keys: array<bigint>>")
-    def run(sets: pa.Array) -> pa.Array:
-        digests, keys = [], np.zeros((len(sets), bands), np.uint64)
-        size = np.array(sets.value_lengths(), np.int64)
-        flat, stop = sets.flatten().to_numpy().view(np.uint64), np.cumsum(size)
-        for i in range(len(sets)):
-            own = flat[stop[i] - size[i] : stop[i]]
-            digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest())
-            low = np.full(bands * rows, 2**64 - 1, np.uint64)
-            for k in range(0, len(own), 4096):  # bounds the matrix of a long text
-                low = np.minimum(low, _mixed(own[k : k + 4096, None] ^ salts).min(axis=0))
-            h = np.arange(bands, dtype=np.uint64)
-            for r in range(rows):
-                h = _mixed(h ^ low.reshape(bands, rows)[:, r]) + np.uint64(r)
-            keys[i] = h
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * bands, pa.int32()), pa.array(keys.view(np.int64).ravel()))
-        return pa.StructArray.from_arrays([pa.array(digests, pa.binary()), lists], names=["digest", "keys"])
 
-    return run(hashes)
+def _word_hashes(raw: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, where each text's words begin and end): raw are the texts' bytes, lower-cased, cut at edges.
+
+    A word's hash is the sum of random numbers drawn by byte and place in the word.
+    """
+    at = np.flatnonzero(~BLANK[raw])
+    text = np.searchsorted(at, edges)
+    new = np.ones(len(at), bool)
+    new[1:] = np.diff(at) > 1
+    new[text[text < len(at)]] = True
+    first = np.flatnonzero(new)
+    place = np.arange(len(at)) - np.repeat(first, np.diff(np.append(first, len(at))))
+    value = _mixed(_mixed((place.astype(np.uint64) * np.uint64(256) + raw[at] + np.uint64(1)) * GOLD))
+    return np.add.reduceat(value, first) if len(first) else value, np.searchsorted(first, text)
+
+
+def _shingles(hashes: np.ndarray, edges: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(each text's distinct shingles in order, their number): a text's words are cut at edges."""
+    stop, at = np.repeat(edges[1:], np.diff(edges)), np.arange(len(hashes))
+    grams, factors = hashes.copy(), np.cumprod(np.full(words, GOLD))
+    for j in range(1, min(words, len(hashes))):
+        grams[:-j] += np.where(at[j:] < stop[:-j], hashes[j:] * factors[j], np.uint64(0))
+    begins = at == np.repeat(edges[:-1], np.diff(edges))
+    taken = begins | (at + words <= stop)
+    edges = np.append(0, np.cumsum(taken))[edges]
+    grams = _mixed(grams[taken])
+    for a, b in zip(edges[:-1], edges[1:]):
+        grams[a:b].sort()
+    new = np.ones(len(grams), bool)
+    new[1:] = grams[1:] != grams[:-1]
+    new[edges[edges < len(grams)]] = True
+    return grams[new], np.diff(np.append(0, np.cumsum(new))[edges])
+
+
+def _keys(grams: np.ndarray, size: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """Each set's keys, one a band; sets without shingles: zeros."""
+    salts = _mixed(np.arange(1, 2 * bands * rows + 1, dtype=np.uint64) * GOLD).astype(np.uint32).reshape(bands, rows, 2) | np.uint32(1)
+    full = size > 0
+    start = (np.cumsum(size) - size)[full]
+    low, high = grams.astype(np.uint32), (grams >> np.uint64(32)).astype(np.uint32)
+    x, y = np.empty_like(low), np.empty_like(low)
+    keys, seeds = np.zeros((len(size), bands), np.uint64), _mixed(np.arange(1, bands + 1, dtype=np.uint64) * GOLD)
+    for band in range(bands if len(grams) else 0):
+        key = np.full(len(start), seeds[band])
+        for a, b in salts[band]:
+            np.multiply(low, a, out=x)
+            np.multiply(high, b, out=y)
+            np.add(x, y, out=x)
+            np.right_shift(x, np.uint32(15), out=y)
+            np.bitwise_xor(x, y, out=x)
+            np.multiply(x, np.uint32(0x85EBCA6B), out=x)
+            key = _mixed((key ^ np.minimum.reduceat(x, start)) * GOLD)
+        keys[full, band] = key
+    return keys
+
+
+def signed(text: Column, words: int, bands: int, rows: int) -> Column:
+    """struct(hashes: the distinct shingles' hashes in order, digest of the set, keys: one a band)."""
+
+    @F.arrow_udf("struct<hashes: array<bigint>, digest: binary, keys: array<bigint>>")
+    def run(texts: pa.Array) -> pa.Array:
+        texts = texts.cast(pa.large_binary())
+        _, offsets, data = texts.buffers()
+        cut = np.frombuffer(offsets, np.int64)[texts.offset :][: len(texts) + 1]
+        raw = np.frombuffer(data or b"", np.uint8)
+        sets, sizes, keys, digests, i = [], [], [], [], 0
+        while i < len(texts):
+            k = max(i + 1, int(np.searchsorted(cut, cut[i] + BLOCK, "right")) - 1)
+            grams, size = _shingles(*_word_hashes(LOWER[raw[cut[i] : cut[k]]], cut[i : k + 1] - cut[i]), words)
+            stop = np.cumsum(size)
+            digests += [hashlib.blake2b(grams[b - n : b].tobytes(), digest_size=16).digest() for n, b in zip(size, stop)]
+            keys.append(_keys(grams, size, bands, rows))
+            sets.append(grams)
+            sizes.append(size)
+            i = k
+        edges, flat = np.append(0, np.cumsum(np.concatenate(sizes))) if sizes else np.zeros(1, np.int64), np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        lists = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(flat.view(np.int64)))
+        bands_of = pa.ListArray.from_arrays(pa.array(np.arange(len(texts) + 1) * bands, pa.int32()), pa.array(np.concatenate(keys).view(np.int64).ravel() if keys else [], pa.int64()))
+        return pa.StructArray.from_arrays([lists, pa.array(digests, pa.binary()), bands_of], names=["hashes", "digest", "keys"])
+
+    return run(F.coalesce(text, F.lit("")))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -98,47 +157,73 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     left = pairs.groupBy("a").agg(F.count("*").alias("__na")).join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
     right = pairs.groupBy("b").agg(F.count("*").alias("__nb")).join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
     both = join_classes(join_classes(pairs, written(left, "near-left"), "a", "__na"), written(right, "near-right"), "b", "__nb")
-    common = F.size(F.array_intersect("x", "y"))
-    return both.where(common * 10_000 >= share * (F.size("x") + F.size("y") - common)).select("a", "b")
+    reach = let(F.size(F.array_intersect("x", "y")), lambda common: common * 10_000 >= share * (F.size("x") + F.size("y") - common))
+    return both.where(reach).select("a", "b")
+
+
+def _rare(sets: DataFrame, similarity: float) -> DataFrame:
+    """sets: node, size, hashes. (key, node, size, early): shingles, rarest first, of which any two sets that reach the similarity share one.
+
+    Of two sets the smaller has it among its first (early), the larger among as many as the similarity leaves out. The order is by the number of these
+    sets that hold a shingle, so a passage that many of them hold is in nobody's first shingles, unless it is nearly all of a set.
+    """
+    share = round(similarity * 10_000)
+    grams = sets.select("node", "size", F.explode("hashes").alias("key"))
+    counts = written(grams.groupBy("key").agg(F.count("*").alias("__n")).where("__n > 1"), "near-counts")
+    shared = join_classes(grams, counts, "key", "__n").groupBy("node", "size").agg(F.sort_array(F.collect_list(F.struct("__n", "key"))).alias("g"))
+    first = shared.withColumn("alone", F.col("size") - F.size("g"))  # shingles of one set come before all others
+    late = first.withColumn("g", F.slice("g", 1, F.greatest(F.expr(f"size - ({share}L * size + 9999) DIV 10000 + 1").cast("int") - F.col("alone"), F.lit(0))))
+    early = F.expr(f"place + alone < size - ({2 * share}L * size + {9_999 + share}) DIV {10_000 + share} + 1").alias("early")
+    return late.select("node", "size", "alone", F.posexplode("g.key").alias("place", "key")).select("key", "node", "size", early)
 
 
 def links(sets: DataFrame, similarity: float, tile: int = TILE, rounds: int = ROUNDS) -> DataFrame:
-    """sets: node, keys, hashes, no set twice. (node, label): components of candidates that reach the similarity."""
-    each = sets.select("node", F.posexplode("keys").alias("band", "k")).select(F.xxhash64("band", "k").alias("key"), "node")
-    each = written(each, "near-keys")
-    shared = each.groupBy("key").agg(F.count("*").alias("__n")).where("__n > 1")
-    members = written(join_classes(each, shared, "key", "__n").select("key", "node"), "near-members")
+    """sets: node, size, keys, hashes, no set twice. (node, label): components of candidates that reach the similarity."""
+    each = written(sets.select(F.explode("keys").alias("key"), "node", "size"), "near-keys")
+    shared = written(each.groupBy("key").agg(F.count("*").alias("__n")).where("__n > 1"), "near-shared")
+    members = written(join_classes(each, shared, "key", "__n").select("key", "node", "size", F.lit(True).alias("early")), "near-members")
+    held = members.select("node").distinct().hint("shuffle_hash")  # the sets themselves aren't sorted
+    sets = written(sets.select("node", "size", "hashes").join(held, "node", "left_semi"), "near-sets")
     label, found = None, None
-    sized = sets.select("node", F.size("hashes").alias("size"))
 
     def named(rows: DataFrame) -> DataFrame:
+        """With each set's component; groups of one component are done and left out."""
         out = rows.withColumn("comp", F.col("node")) if label is None else rows.join(label.withColumnRenamed("label", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        return out.join(sized, "node")
-
-    def checked(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        # Sets too unlike in size can't reach the similarity.
-        fits = pairs.where(F.least("m", "n") >= similarity * F.greatest("m", "n") - 1e-9)
-        new = _verified(written(fits.select("a", "b").distinct(), "near-pairs"), sets, similarity)
-        links = written(new if found is None else new.unionByName(found), "near-links")
-        return links, components(links)
-
-    for _ in range(rounds):
-        rows = written(named(members), "near-round")
-        heads = rows.groupBy("key").agg(F.min(F.struct("node", "comp", F.col("size").alias("m"))).alias("h"), F.count("*").alias("__n"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
-        heads = written(heads.where("c0 < c1").select("key", "__n", F.col("h.node").alias("a"), F.col("h.comp").alias("head_comp"), F.col("h.m").alias("m")), "near-heads")
-        if heads.isEmpty():
+        out = written(out, "near-round")
+        groups = out.groupBy("key").agg(F.count("*").alias("__n"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max("early").alias("any"), F.min(F.struct("node", "comp", "size", "early")).alias("h"))
+        groups = written(groups.where("c0 < c1 AND any").select("key", "__n", "h"), "near-groups")
+        return written(join_classes(out, groups, "key", "__n"), "near-rest")
+
+    def compare(pairs: DataFrame) -> None:
+        """pairs: x and y, structs of node, size and early. Sets too unlike in size can't reach the similarity."""
+        nonlocal label, found
+        small, large = F.least("x.size", "y.size"), F.greatest("x.size", "y.size")
+        fits = pairs.where(small >= similarity * large - 1e-9).where(F.when(F.col("x.size") <= F.col("y.size"), F.col("x.early")).otherwise(F.col("y.early")))
+        new = written(_verified(written(fits.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct(), "near-pairs"), sets, similarity), "near-links")
+        if not new.isEmpty():
+            found = new if found is None else new.unionByName(found)
+            label = components(found)
+
+    one = F.struct("node", "size", "early")
+    for stage, heads in enumerate((rounds, min(rounds, 1))):
+        for _ in range(heads):
+            rows = named(members)
+            if rows.isEmpty():
+                return _labels(label, sets)
+            members = rows.where("node <> h.node").select("key", "node", "size", "early")
+            met = rows.where("node <> h.node AND comp <> h.comp")
+            compare(met.select(F.col("h").alias("x"), one.alias("y")))
+        rows = named(members)
+        if rows.isEmpty():
             return _labels(label, sets)
-        met = join_classes(rows, heads, "key", "__n").where("node <> a")
-        members = written(met.select("key", "node"), "near-members")
-        found, label = checked(met.where("comp <> head_comp").select("a", F.col("node").alias("b"), "m", F.col("size").alias("n")))
-    rows = named(members)
-    left = rows.groupBy("key").agg(F.count("*").alias("__n"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 < c1").withColumn("parts", F.ceil(F.col("__n") / tile).cast("int")).drop("c0", "c1")
-    placed = join_classes(rows, left, "key", "__n").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        if stage == 0:
+            held = rows.select("node").distinct().hint("shuffle_hash")
+            members = written(_rare(written(sets.join(held, "node", "left_semi"), "near-open"), similarity), "near-rare")
+    placed = rows.withColumn("parts", F.ceil(F.col("__n") / tile).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cells = spread.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "node", "comp", "size")
-    side = cells.select("key", "x", "y", F.col("node").alias("b"), F.col("comp").alias("other_comp"), F.col("size").alias("n"))
-    pairs = cells.withColumnRenamed("node", "a").withColumnRenamed("size", "m").join(side, ["key", "x", "y"]).where("a < b AND comp <> other_comp")
-    found, label = checked(pairs.select("a", "b", "m", "n"))
+    cells = spread.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), one.alias("x"), "comp")
+    pairs = cells.join(cells.select("key", "i", "j", F.col("x").alias("y"), F.col("comp").alias("other_comp")), ["key", "i", "j"]).where("x.node < y.node AND comp <> other_comp")
+    compare(pairs)
     return _labels(label, sets)
 
 
@@ -148,12 +233,11 @@ def _labels(label: DataFrame | None, sets: DataFrame) -> DataFrame:
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = 0.8, words: int = 5, bands: int = 30, rows: int = 5) -> DataFrame:
     """One row per row: id_col, n_shingles, component_id (the smallest id that links reach)."""
-    hashed = df.select(F.col(id_col).alias("id"), shingle_set(F.col(text_col), words).alias("hashes"))
-    signed_rows = hashed.withColumn("node", F.monotonically_increasing_id()).withColumn("s", signed(F.col("hashes"), bands, rows))
-    table = written(signed_rows.select("node", "id", "hashes", F.size("hashes").alias("size"), "s.digest", "s.keys"), "near-rows")
+    rows_of = df.select(F.col(id_col).alias("id"), signed(F.col(text_col), words, bands, rows).alias("s")).withColumn("node", F.monotonically_increasing_id())
+    table = written(rows_of.select("node", "id", "s.hashes", F.size("s.hashes").alias("size"), "s.digest", "s.keys"), "near-rows")
     full = table.where("size > 0").select("node", "id", "size", "digest")
     distinct = written(full.groupBy("digest").agg(F.min("node").alias("node"), F.min("id").alias("low"), F.count("*").alias("copies")), "near-distinct")
-    sets = table.select("node", "keys", "hashes").join(distinct.select("node"), "node", "left_semi")
+    sets = table.select("node", "size", "keys", "hashes").join(distinct.select("node").hint("shuffle_hash"), "node", "left_semi")
     label = links(sets, similarity)
     named = written(distinct.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), "near-named")
     lowest = named.groupBy("label").agg(F.min("low").alias("component_id"), F.count("*").alias("__n"))

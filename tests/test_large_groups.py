@@ -1,6 +1,7 @@
 """Operators that spread one hot group over blocks, against plain versions; blocks hold a few rows here."""
 
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -207,6 +208,38 @@ def test_candidates_left_by_the_rounds_are_compared_by_tiles(spark, rounds, monk
     assert sorted(map(tuple, neartext.near_duplicates(df).collect()), key=str) == brute(pairs, 0.8)
 
 
+def test_texts_around_one_passage_are_not_all_compared(spark, monkeypatch):
+    """They share MinHash keys and don't link: pairs that are compared grow with the texts, not with their square."""
+    rng, compared, write = np.random.default_rng(8), [], neartext.written
+    passage = [f"p{i}" for i in range(90)]
+    rows = [(k, " ".join([*passage, *[f"own{k}x{i}" for i in range(int(rng.integers(22, 40)))]])) for k in range(240)]
+    rows += [(1000 + k, f"{rows[k][1]} more") for k in range(0, 240, 12)]
+
+    def counted(df, name):
+        out = write(df, name)
+        if name == "near-pairs":
+            compared.append(out.count())
+        return out
+
+    monkeypatch.setattr(neartext, "written", counted)
+    got = neartext.near_duplicates(frame(spark, rows, "doc_id bigint, text string"))
+    assert sorted(map(tuple, got.collect()), key=str) == brute(rows, 0.8)
+    assert sum(compared) < 15 * len(rows)
+
+
+def test_shingles_of_bytes_are_those_of_words():
+    rng, word = np.random.default_rng(9), ["a", "B", "\u00c9", "\u65e5\u672c", "x\x00y", "\x1c", "\u00a0", "bb", "a" * 300]
+    texts = ["", " \n\t", "one two", "A b c D e", "a b c d E "] + ["".join(str(rng.choice(word)) + str(rng.choice([" ", "\x0b", " \r\n"])) for _ in range(rng.integers(0, 30))) for _ in range(200)]
+    cut = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    found, size = neartext._shingles(*neartext._word_hashes(neartext.LOWER[np.frombuffer("".join(texts).encode(), np.uint8)], cut), 5)
+    names = {}
+    for t, stop, n in zip(texts, np.cumsum(size), size):
+        words = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t))
+        want = {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+        assert names.setdefault(frozenset(want), frozenset(found[stop - n : stop].tolist())) == frozenset(found[stop - n : stop].tolist()) and len(want) == n
+    assert len(set(names.values())) == len(names) and len(set().union(*names)) == len(set().union(*names.values()))
+
+
 def test_recall_at_the_threshold(spark):
     """Pairs of 100 shingles at a similarity just over 0.8: at least 99 of 100 link (0.9999 expected)."""
     rng, rows = np.random.default_rng(2), []
