@@ -29,6 +29,7 @@ from millrace.operators.joins import join_classes
 from millrace.operators.store import written
 
 ROUNDS = 2
+BUCKETS = 1 << 20  #: bounds the table that is broadcast to find the sets with candidates
 TILE = 64  #: sets of a key that are compared in one cell
 
 
@@ -177,13 +178,15 @@ def _rare(sets: DataFrame, similarity: float) -> DataFrame:
     return late.select("node", "size", "alone", F.posexplode("g.key").alias("place", "key")).select("key", "node", "size", early)
 
 
-def links(sets: DataFrame, similarity: float, tile: int = TILE, rounds: int = ROUNDS) -> DataFrame:
-    """sets: node, size, keys, hashes, no set twice. (node, label): components of candidates that reach the similarity."""
-    each = written(sets.select(F.explode("keys").alias("key"), "node", "size"), "near-keys")
+def links(keyed: DataFrame, sets: DataFrame, similarity: float, tile: int = TILE, rounds: int = ROUNDS) -> DataFrame:
+    """keyed: node, size, keys, no set twice; sets: node, size, hashes of these at least. (node, label): components of candidates that reach the similarity."""
+    each = written(keyed.select(F.explode("keys").alias("key"), "node", "size"), "near-keys")
     shared = written(each.groupBy("key").agg(F.count("*").alias("__n")).where("__n > 1"), "near-shared")
     members = written(join_classes(each, shared, "key", "__n").select("key", "node", "size", F.lit(True).alias("early")), "near-members")
+    bucket = F.pmod(F.xxhash64("node"), F.lit(BUCKETS)).alias("bucket")  # most sets without a candidate stay where they are
+    near = sets.withColumn("bucket", bucket).join(F.broadcast(members.select(bucket).distinct()), "bucket", "left_semi").drop("bucket")
     held = members.select("node").distinct().hint("shuffle_hash")  # the sets themselves aren't sorted
-    sets = written(sets.select("node", "size", "hashes").join(held, "node", "left_semi"), "near-sets")
+    sets = written(near.join(held, "node", "left_semi"), "near-sets")
     label, found = None, None
 
     def named(rows: DataFrame) -> DataFrame:
@@ -237,8 +240,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     table = written(rows_of.select("node", "id", "s.hashes", F.size("s.hashes").alias("size"), "s.digest", "s.keys"), "near-rows")
     full = table.where("size > 0").select("node", "id", "size", "digest")
     distinct = written(full.groupBy("digest").agg(F.min("node").alias("node"), F.min("id").alias("low"), F.count("*").alias("copies")), "near-distinct")
-    sets = table.select("node", "size", "keys", "hashes").join(distinct.select("node").hint("shuffle_hash"), "node", "left_semi")
-    label = links(sets, similarity)
+    keyed = table.select("node", "size", "keys").join(distinct.select("node").hint("shuffle_hash"), "node", "left_semi")
+    label = links(keyed, table.select("node", "size", "hashes"), similarity)
     named = written(distinct.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), "near-named")
     lowest = named.groupBy("label").agg(F.min("low").alias("component_id"), F.count("*").alias("__n"))
     classes = written(join_classes(named, lowest, "label", "__n").select("digest", "copies", "component_id"), "near-classes")
