@@ -11,6 +11,9 @@ What is left after ROUNDS rounds are sets with a key in common that mostly don't
 corpus. They get new groups, by shingles of which any two sets that reach the threshold share one (the rarest of a set, by their counts in what is left),
 one more round, and then all comparisons in a group, by tiles. No pair of candidates that can link is left out.
 
+Tables that grow with the input meet in shuffled joins, by hint: Spark judges a table by its files, where the ids of pairs and cells take a few bits
+each, and would broadcast millions of rows through the driver. What is broadcast is bounded: fewer than a thousand narrow rows, and a bit a bucket.
+
 Rules: A-Z is lower-cased; words are runs other than \\x20 and \\x09-\\x0D; a text of fewer words than a shingle is one shingle; a text without words
 (or null) has an empty set, which links with nothing. Rows with a null id take part, but name a component only if it has no other id.
 """
@@ -29,7 +32,7 @@ from millrace.operators.joins import join_classes
 from millrace.operators.store import written
 
 ROUNDS = 2
-BUCKETS = 1 << 20  #: bounds the table that is broadcast to find the sets with candidates
+BUCKETS = 1 << 20  #: bits of the table that is broadcast to find the sets with candidates
 TILE = 64  #: sets of a key that are compared in one cell
 
 
@@ -139,25 +142,42 @@ def components(edges: DataFrame) -> DataFrame:
     degree = written(pairs.groupBy("b").agg(F.count("*").alias("__n")), "component-degrees")
     labels = written(pairs.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")), "component-labels")
     while True:
-        named = degree.join(labels.select(F.col("node").alias("b"), "label"), "b")
+        named = degree.join(labels.select(F.col("node").alias("b"), "label").hint("merge"), "b")
         seen = join_classes(pairs, named, "b", "__n").select(F.col("a").alias("node"), "label")
         sizes = labels.groupBy("label").agg(F.count("*").alias("__n"))
-        heads = sizes.join(labels.select(F.col("node").alias("label"), F.col("label").alias("next")), "label")
+        heads = sizes.join(labels.select(F.col("node").alias("label"), F.col("label").alias("next")).hint("merge"), "label")
         jump = join_classes(labels, heads, "label", "__n").select("node", F.col("next").alias("label"))
         told = join_classes(labels, sizes, "label", "__n").select("node", "label")
         new = seen.unionByName(jump).unionByName(told).groupBy("node").agg(F.min("label").alias("label"))
         new = written(new, "component-labels")
-        if new.join(labels.withColumnRenamed("label", "old"), "node").where("label <> old").isEmpty():
+        if new.join(labels.withColumnRenamed("label", "old").hint("merge"), "node").where("label <> old").isEmpty():
             return new
         labels = new
 
 
+def _marked(sets: DataFrame, members: DataFrame) -> DataFrame:
+    """The sets of the members' nodes, and some others: one bit a bucket of nodes is broadcast, 64 of them a row."""
+    bucket = F.pmod(F.xxhash64("node"), F.lit(BUCKETS))
+    word, bit = F.shiftright(bucket, 6).alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(node), {BUCKETS}L) & 63 AS int))")
+    words = members.groupBy(word).agg(F.bit_or(bit).alias("bits"))
+    return sets.select("*", word).join(F.broadcast(words), "word").where(F.col("bits").bitwiseAND(bit) != 0).drop("word", "bits")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """pairs (a, b) of which the sets (node, hashes) reach the similarity. A set of very many pairs is broadcast to them."""
-    share = round(similarity * 10_000)
-    left = pairs.groupBy("a").agg(F.count("*").alias("__na")).join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
-    right = pairs.groupBy("b").agg(F.count("*").alias("__nb")).join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
-    both = join_classes(join_classes(pairs, written(left, "near-left"), "a", "__na"), written(right, "near-right"), "b", "__nb")
+    """pairs (a, b) of which the sets (node, hashes) reach the similarity.
+
+    Sets are too wide to broadcast: one of very many pairs (so of fewer than a thousand) has a copy for each piece of these.
+    """
+    share, most = round(similarity * 10_000), max(1_000, pairs.count() // 1_000)
+    needed = _marked(sets, pairs.select(F.explode(F.array("a", "b")).alias("node")))
+    both = pairs
+    for end, other, name in (("a", "b", "x"), ("b", "a", "y")):
+        pieces = pairs.groupBy(end).agg(F.ceil(F.count("*") / most).cast("int").alias("pieces"))
+        often = F.broadcast(written(pieces.where("pieces > 1"), "near-often"))
+        one = needed.select(F.col("node").alias(end), F.col("hashes").alias(name)).join(often, end, "left")
+        copies = one.select(end, name, F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1)).alias("piece"))
+        piece = F.coalesce(F.pmod(F.xxhash64(other), "pieces").cast("int"), F.lit(0)).alias("piece")
+        both = both.join(often, end, "left").select(*both.columns, piece).join(copies.hint("shuffle_hash"), [end, "piece"]).drop("piece")
     reach = let(F.size(F.array_intersect("x", "y")), lambda common: common * 10_000 >= share * (F.size("x") + F.size("y") - common))
     return both.where(reach).select("a", "b")
 
@@ -183,15 +203,14 @@ def links(keyed: DataFrame, sets: DataFrame, similarity: float, tile: int = TILE
     each = written(keyed.select(F.explode("keys").alias("key"), "node", "size"), "near-keys")
     shared = written(each.groupBy("key").agg(F.count("*").alias("__n")).where("__n > 1"), "near-shared")
     members = written(join_classes(each, shared, "key", "__n").select("key", "node", "size", F.lit(True).alias("early")), "near-members")
-    bucket = F.pmod(F.xxhash64("node"), F.lit(BUCKETS)).alias("bucket")  # most sets without a candidate stay where they are
-    near = sets.withColumn("bucket", bucket).join(F.broadcast(members.select(bucket).distinct()), "bucket", "left_semi").drop("bucket")
+    near = _marked(sets, members)  # most sets without a candidate stay where they are
     held = members.select("node").distinct().hint("shuffle_hash")  # the sets themselves aren't sorted
     sets = written(near.join(held, "node", "left_semi"), "near-sets")
     label, found = None, None
 
     def named(rows: DataFrame) -> DataFrame:
         """With each set's component; groups of one component are done and left out."""
-        out = rows.withColumn("comp", F.col("node")) if label is None else rows.join(label.withColumnRenamed("label", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        out = rows.withColumn("comp", F.col("node")) if label is None else rows.join(label.withColumnRenamed("label", "comp").hint("merge"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         out = written(out, "near-round")
         groups = out.groupBy("key").agg(F.count("*").alias("__n"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max("early").alias("any"), F.min(F.struct("node", "comp", "size", "early")).alias("h"))
         groups = written(groups.where("c0 < c1 AND any").select("key", "__n", "h"), "near-groups")
@@ -225,7 +244,7 @@ def links(keyed: DataFrame, sets: DataFrame, similarity: float, tile: int = TILE
     placed = rows.withColumn("parts", F.ceil(F.col("__n") / tile).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     cells = spread.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), one.alias("x"), "comp")
-    pairs = cells.join(cells.select("key", "i", "j", F.col("x").alias("y"), F.col("comp").alias("other_comp")), ["key", "i", "j"]).where("x.node < y.node AND comp <> other_comp")
+    pairs = cells.join(cells.select("key", "i", "j", F.col("x").alias("y"), F.col("comp").alias("other_comp")).hint("merge"), ["key", "i", "j"]).where("x.node < y.node AND comp <> other_comp")
     compare(pairs)
     return _labels(label, sets)
 
@@ -242,7 +261,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     distinct = written(full.groupBy("digest").agg(F.min("node").alias("node"), F.min("id").alias("low"), F.count("*").alias("copies")), "near-distinct")
     keyed = table.select("node", "size", "keys").join(distinct.select("node").hint("shuffle_hash"), "node", "left_semi")
     label = links(keyed, table.select("node", "size", "hashes"), similarity)
-    named = written(distinct.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), "near-named")
+    named = written(distinct.join(label.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node")), "near-named")
     lowest = named.groupBy("label").agg(F.min("low").alias("component_id"), F.count("*").alias("__n"))
     classes = written(join_classes(named, lowest, "label", "__n").select("digest", "copies", "component_id"), "near-classes")
     found = join_classes(full, classes, "digest", "copies").select("id", "size", "component_id")

@@ -227,6 +227,50 @@ def test_texts_around_one_passage_are_not_all_compared(spark, monkeypatch):
     assert sum(compared) < 15 * len(rows)
 
 
+def test_only_bounded_tables_are_broadcast(spark, monkeypatch):
+    """Spark may not choose a broadcast by the size of a file: numbers take a few bits each there. Nor are sets broadcast."""
+    auto, wide, write, join = [], [], neartext.written, neartext.join_classes
+    monkeypatch.setattr(neartext.links, "__defaults__", (8, 0))  # so that each kind of join has rows
+
+    def looked(df, name):
+        plans = df._jdf.queryExecution()
+        joins, asked = plans.executedPlan().toString().count("BroadcastHashJoin"), plans.optimizedPlan().toString().count("strategy=broadcast")
+        auto.extend([name] * (joins != asked))
+        return write(df, name)
+
+    def joined(rows, classes, *rest):
+        wide.extend(name for name, kind in classes.dtypes if "array" in kind)
+        return join(rows, classes, *rest)
+
+    monkeypatch.setattr(neartext, "written", looked)
+    monkeypatch.setattr(neartext, "join_classes", joined)
+    pairs = texts()
+    got = neartext.near_duplicates(frame(spark, pairs, "doc_id bigint, text string"))
+    assert sorted(map(tuple, got.collect()), key=str) == brute(pairs, 0.8)
+    assert not auto and not wide
+
+
+def test_buckets_are_broadcast_as_bits(spark):
+    sets = spark.range(3000).select(F.col("id").alias("node"), F.array("id").alias("hashes"))
+    near = neartext._marked(sets, sets.where("node % 50 = 7").select("node"))
+    got = [(r.node, r.hashes) for r in near.collect()]
+    assert {i for i in range(3000) if i % 50 == 7} <= {i for i, _ in got} and len(got) < 70 and all(h == [i] for i, h in got)
+    assert near.columns == sets.columns and neartext._marked(sets, sets.limit(0)).isEmpty()
+
+
+def test_a_set_of_many_pairs_is_copied_not_broadcast(spark):
+    rng = np.random.default_rng(4)
+    hashes = [list(range(40))] + [sorted({*range(int(rng.integers(25, 41))), *rng.integers(100, 10**6, int(rng.integers(1, 6))).tolist()}) for _ in range(2600)]
+    sets = frame(spark, [(i, len(h), h) for i, h in enumerate(hashes)], "node bigint, size int, hashes array<bigint>")
+    edges = [(0, i) for i in range(1, 2601)] + [(i, 2600) for i in range(1, 2600)]
+    found = neartext._verified(frame(spark, edges, "a bigint, b bigint"), sets, 0.8)
+    joins = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "strategy=" in x]
+    assert sum("strategy=shuffle_hash" in x for x in joins) == 2
+    assert found._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") == sum("strategy=broadcast" in x for x in joins)
+    want = [(a, b) for a, b in edges if len({*hashes[a]} & {*hashes[b]}) >= 0.8 * len({*hashes[a]} | {*hashes[b]}) - 1e-9]
+    assert sorted(map(tuple, found.collect())) == sorted(want) and 100 < len(want) < len(edges) - 100
+
+
 def test_shingles_of_bytes_are_those_of_words():
     rng, word = np.random.default_rng(9), ["a", "B", "\u00c9", "\u65e5\u672c", "x\x00y", "\x1c", "\u00a0", "bb", "a" * 300]
     texts = ["", " \n\t", "one two", "A b c D e", "a b c d E "] + ["".join(str(rng.choice(word)) + str(rng.choice([" ", "\x0b", " \r\n"])) for _ in range(rng.integers(0, 30))) for _ in range(200)]
