@@ -139,20 +139,19 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
     pairs = written(both, "component-edges")
-    degree = written(pairs.groupBy("b").agg(F.count("*").alias("__n")), "component-degrees")
-    labels = written(pairs.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")), "component-labels")
+    first = pairs.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label"), F.count("*").alias("degree"))
+    labels = written(first, "component-labels")
     while True:
-        named = degree.join(labels.select(F.col("node").alias("b"), "label").hint("merge"), "b")
-        seen = join_classes(pairs, named, "b", "__n").select(F.col("a").alias("node"), "label")
+        named = labels.select(F.col("node").alias("b"), "label", "degree")
+        seen = join_classes(pairs, named, "b", "degree").select(F.col("a").alias("node"), "label")
         sizes = labels.groupBy("label").agg(F.count("*").alias("__n"))
         heads = sizes.join(labels.select(F.col("node").alias("label"), F.col("label").alias("next")).hint("merge"), "label")
         jump = join_classes(labels, heads, "label", "__n").select("node", F.col("next").alias("label"))
-        told = join_classes(labels, sizes, "label", "__n").select("node", "label")
-        new = seen.unionByName(jump).unionByName(told).groupBy("node").agg(F.min("label").alias("label"))
-        new = written(new, "component-labels")
-        if new.join(labels.withColumnRenamed("label", "old").hint("merge"), "node").where("label <> old").isEmpty():
-            return new
-        labels = new
+        told = seen.unionByName(jump).unionByName(labels.withColumn("old", F.col("label")), allowMissingColumns=True)
+        new = written(told.groupBy("node").agg(F.min("label").alias("label"), F.max("degree").alias("degree"), F.max("old").alias("old")), "component-labels")
+        labels = new.drop("old")
+        if new.where("label <> old").isEmpty():
+            return labels.drop("degree")
 
 
 def _marked(sets: DataFrame, members: DataFrame) -> DataFrame:
@@ -205,7 +204,7 @@ def links(keyed: DataFrame, sets: DataFrame, similarity: float, tile: int = TILE
     members = written(join_classes(each, shared, "key", "__n").select("key", "node", "size", F.lit(True).alias("early")), "near-members")
     near = _marked(sets, members)  # most sets without a candidate stay where they are
     held = members.select("node").distinct().hint("shuffle_hash")  # the sets themselves aren't sorted
-    sets = written(near.join(held, "node", "left_semi"), "near-sets")
+    sets = written(near.join(held, "node"), "near-sets")  # Spark would move a semi-join before the bits, and shuffle all sets
     label, found = None, None
 
     def named(rows: DataFrame) -> DataFrame:

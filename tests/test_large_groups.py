@@ -250,6 +250,14 @@ def test_only_bounded_tables_are_broadcast(spark, monkeypatch):
     assert not auto and not wide
 
 
+def test_sets_without_a_candidate_are_not_shuffled(spark, monkeypatch):
+    plans, write = {}, neartext.written
+    monkeypatch.setattr(neartext, "written", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()) and write(df, name))
+    neartext.near_duplicates(frame(spark, [(i, f"a b c d e f g {i % 5}") for i in range(20)], "doc_id bigint, text string"))
+    side = plans["near-sets"].split("Exchange hashpartitioning")[1]  # what comes to the join of the sets
+    assert "bits" in side.split("Scan parquet")[0] and "BroadcastHashJoin" in side
+
+
 def test_buckets_are_broadcast_as_bits(spark):
     sets = spark.range(3000).select(F.col("id").alias("node"), F.array("id").alias("hashes"))
     near = neartext._marked(sets, sets.where("node % 50 = 7").select("node"))
